@@ -11,6 +11,7 @@ from .bpe import round_trip
 from .common import table
 from .linededup import dedup_lines
 from .packing import pack_documents
+from .secrets import secret_report
 from .sharding import shard_documents
 
 
@@ -31,8 +32,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bpe, op4_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bpe, op4_packing, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
