@@ -24,31 +24,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def even_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined with facts, which has one row for each key.
+
+    A second key keeps Spark from reusing the layout of the aggregation behind facts, so both sides are plain shuffles
+    and adaptive execution can split the partition of a key that very many rows carry.
+    """
+    second = F.xxhash64(F.lit("even"), key)
+    return rows.withColumn("_second", second).join(facts.withColumn("_second", second), [key, "_second"]).drop("_second")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a long, b long); component is the smallest node reachable.
 
-    Alternating large-star and small-star steps: each node of a star is linked to the smallest neighbour, so stars
-    merge in a number of rounds that grows with the logarithm of the longest path. Rounds end when nothing changes;
-    a round is cut by a checkpoint. No edges give no rows; loops (a = b) keep their node.
+    Alternating large-star and small-star steps: each node hands its smallest neighbour on, so stars merge in a number
+    of rounds that grows with the logarithm of the longest path. Rounds end when nothing changes; each ends with a
+    checkpoint. Loops (a = b) give their node; no edges give no rows.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    tidy = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, mark = cut(tidy), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        kept = now.where("a = b")
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(small_least.select("a", F.col("m").alias("b"))).unionByName(kept).distinct())
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
+        large = even_join(both, least, "a").where("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = even_join(large, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if found == mark:
             break
-        mark = tuple(found)
-    nodes = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return nodes.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+        mark = found
+    ends = now.unionByName(now.select(F.col("b").alias("a"), "b"))
+    return ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
 class Words(dict):

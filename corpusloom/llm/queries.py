@@ -11,8 +11,10 @@ from .bpe import round_trip
 from .common import table
 from .linededup import dedup_lines
 from .packing import pack_documents
+from .quality import quality_report
 from .secrets import secret_report
 from .sharding import shard_documents
+from .vectors import near_vectors, voronoi_top_k
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,16 +34,28 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bpe, op4_packing, op10_secrets)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bpe, op4_packing, op7_top_k, op8_near_vectors, op9_quality, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2}
+    return {"op2_line_dedup": OP2, "op7_top_k": OP7, "op8_near_vectors": OP8}
 
 
 OP2 = """
@@ -67,3 +81,34 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*
        sha256(coalesce(string_agg(l, chr(10) ORDER BY line) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+OP7 = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum([q.e[i] * d.e[i] FOR i IN range(1, 65)]) AS BIGINT) AS score
+  FROM v AS q JOIN v AS d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP8 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings
+  UNION
+  SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node
+), parts AS (
+  SELECT node, min(root) AS component_id FROM reach GROUP BY node
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings AS e LEFT JOIN counts ON counts.a = e.vec_id JOIN parts ON parts.node = e.vec_id
+"""
