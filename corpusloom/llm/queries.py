@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import round_trip
 from .common import table
 from .linededup import dedup_lines
+from .ngramjoin import ngram_components
 from .packing import pack_documents
 from .quality import quality_report
 from .secrets import secret_report
@@ -34,6 +35,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -51,7 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bpe, op4_packing, op7_top_k, op8_near_vectors, op9_quality, op10_secrets)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bpe, op4_packing, op6_ngram_join, op7_top_k, op8_near_vectors, op9_quality, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
