@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The most labelled documents that the fit sees, chosen by a hash of their ids; their lines' features go to the driver.
 FIT_DOCS = 4000
@@ -234,7 +235,7 @@ def quality_scores(docs: DataFrame, chain: Chain, keep: float = KEEP) -> DataFra
             found = np.concatenate([scores(chain, b) for b in blocks(batch["text"])]) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(found, 0, 1), pa.float64())], [*names, "score"])
 
-    scored = own.mapInArrow(of, own.schema.add("score", "double")) if "text" in names else own
+    scored = own.mapInArrow(of, T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.select(*names, held_out().alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))
 
 
