@@ -1,15 +1,470 @@
-"""Every query of the library by name, with its DuckDB counterpart."""
+"""Every query of the library by name over the driver's tables, with the DuckDB SQL it must agree with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as tx
+from .functions.vectors import cosine
+from .operators import chunking, dedup, gate, render, retrieval, stats, store
+from .plans import quota
+from .sources.tables import corpus, read_table
+from .streaming import events as ev
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+CORPUS = "corpus AS (SELECT doc_id AS id, source AS chapter, lang AS subject, CAST(doc_id % 3 AS VARCHAR) AS grade, text AS content FROM documents)"
+KEYWORDS = ("the", "license", "password", "nicht", "ment")
+CHAPTERS = ("src1", "src7", "src13")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def values(rows: list[tuple]) -> str:
+    show = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+
+
+# ---- counts and summaries
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT source) AS chapters, count(DISTINCT lang) AS subjects FROM documents")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.corpus_stats(corpus(spark, sf_dir))
+
+
+@query("""SELECT source AS chapter, count(*) AS n, length(min(text)) AS first_len, length(max(text)) AS last_len, min(length(text)) AS min_len,
+max(length(text)) AS max_len, CAST(sum(len(regexp_extract_all(text, '[^ \\n\\t]+'))) // count(*) AS BIGINT) AS mean_words FROM documents GROUP BY source""")
+def chapter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.chapter_stats(corpus(spark, sf_dir))
+
+
+@query("SELECT DISTINCT source AS chapter FROM documents WHERE source <> '' ORDER BY 1 NULLS LAST LIMIT 30")
+def distinct_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.distinct_chapters(corpus(spark, sf_dir))
+
+
+@query("SELECT DISTINCT source AS chapter FROM documents WHERE lang = 'en' AND doc_id % 3 = 1 AND source <> '' ORDER BY 1 LIMIT 100")
+def chapters_of_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.distinct_chapters(corpus(spark, sf_dir), 100, "en", "1")
+
+
+@query("""SELECT event_type AS kind, count(*) AS n, count(*) FILTER (value >= 20) AS good,
+CAST(round(count(*) FILTER (value >= 20) * 100.0::DOUBLE / greatest(count(*), 1), 1) AS VARCHAR) || '%' AS rate FROM events GROUP BY event_type""")
+def request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.request_counters(read_table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), (F.col("value") >= 20).alias("ok")))
+
+
+@query("""SELECT source AS chapter, count(*) FILTER (length(text) >= 300) AS uploaded, count(*) FILTER (length(text) < 300) AS failed,
+CASE WHEN count(*) FILTER (length(text) < 300) = 0 THEN 'OK' ELSE 'WARN' END AS status FROM documents GROUP BY source""")
+def ingestion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.ingestion_summary(corpus(spark, sf_dir).select("chapter", (F.length("content") >= 300).alias("ok")))
+
+
+# ---- retrieval
+
+
+@query(f"""WITH {CORPUS}, k(keyword) AS (VALUES {values([(w,) for w in KEYWORDS])}), hits AS (
+SELECT keyword, id, length(content) AS chars, row_number() OVER (PARTITION BY keyword ORDER BY length(content), id) AS rn
+FROM corpus JOIN k ON contains(lower(content), lower(keyword)))
+SELECT keyword, id, CAST(chars AS INTEGER) AS chars, CAST(rn AS INTEGER) AS rn FROM hits WHERE rn <= 2""")
+def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.keyword_topk(corpus(spark, sf_dir), KEYWORDS)
+
+
+@query(f"""WITH {CORPUS}, hits AS (SELECT item_id AS qid, id, chapter, subject, content, row_number() OVER (PARTITION BY item_id ORDER BY id) AS rn
+FROM corpus JOIN benchmark ON contains(lower(content), lower(benchmark.text)))
+SELECT qid, id, coalesce(nullif(chapter, ''), 'Unknown') AS chapter, coalesce(nullif(subject, ''), 'Unknown') AS subject,
+substring(content, 1, 500) AS excerpt, CAST(0.7 AS DOUBLE) AS similarity, CAST(rn AS INTEGER) AS rn FROM hits WHERE rn <= 3""")
+def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return retrieval.substring_search(corpus(spark, sf_dir), items)
+
+
+@query(f"""WITH {CORPUS}, c(ord, term) AS (VALUES {values(list(enumerate(CHAPTERS)))}), k(ord, term) AS (VALUES {values(list(enumerate(KEYWORDS)))}),
+t1 AS (SELECT id, chapter, 0.9::DOUBLE AS relevance, ord, row_number() OVER (PARTITION BY ord ORDER BY length(content), id) AS rn FROM corpus JOIN c ON contains(lower(chapter), lower(term))),
+t2 AS (SELECT id, chapter, 0.8::DOUBLE AS relevance, ord, row_number() OVER (PARTITION BY ord ORDER BY length(content), id) AS rn FROM corpus JOIN k ON contains(lower(content), lower(term))),
+main AS (SELECT id, arg_min(chapter, seq) AS chapter, arg_min(relevance, seq) AS relevance, min(seq) AS seq FROM (
+  SELECT id, chapter, relevance, ord * 2 + rn AS seq FROM t1 WHERE rn <= 2 UNION ALL SELECT id, chapter, relevance, 100 + ord * 2 + rn FROM t2 WHERE rn <= 2) GROUP BY id),
+spare AS (SELECT id, chapter, 0.4::DOUBLE AS relevance, 200 + row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '0'), id) AS seq FROM corpus
+  WHERE contains(lower(subject), 'en') AND (SELECT count(*) FROM main) < 3 QUALIFY row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '0'), id) <= 3),
+found AS (SELECT id, arg_min(chapter, seq) AS chapter, arg_min(relevance, seq) AS relevance, min(seq) AS seq FROM (SELECT * FROM main UNION ALL SELECT * FROM spare) GROUP BY id),
+diverse AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY relevance DESC, seq) AS rn FROM found),
+kept AS (SELECT id, chapter, relevance, row_number() OVER (ORDER BY relevance DESC, seq) AS pos FROM diverse WHERE rn = 1 OR relevance > 0.8)
+SELECT CAST(pos AS INTEGER) AS pos, id, chapter, relevance FROM kept WHERE pos <= 8""")
+def tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.tiered_search(corpus(spark, sf_dir), KEYWORDS, CHAPTERS, "en")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("chapter"), F.when(F.col("label") % 2 == 0, "Science").otherwise("History").alias("subject"), (F.col("vec_id") % 2).cast("string").alias("grade"), "embedding")
+
+
+#: The query vector of the catalog's searches, a fixed pattern over 64 dimensions.
+PROBE = [((i * 7) % 13 - 6) / 40 for i in range(64)]
+PROBE_SQL = "[((i * 7) % 13 - 6)::DOUBLE / 40 FOR i IN range(0, 64)]"
+VECTORS = "v AS (SELECT vec_id AS id, label AS chapter, CASE WHEN label % 2 = 0 THEN 'Science' ELSE 'History' END AS subject, CAST(vec_id % 2 AS VARCHAR) AS grade, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+@query(f"""WITH {VECTORS}, s AS (SELECT id, chapter, round(list_cosine_similarity(e, {PROBE_SQL}), 6) AS similarity FROM v WHERE chapter IN (1, 2, 3, 4, 5))
+SELECT id, chapter, similarity FROM s WHERE similarity > 0.1 ORDER BY similarity DESC, id LIMIT 8""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.vector_topk(vectors(spark, sf_dir), PROBE, 8, 0.1, [1, 2, 3, 4, 5])
+
+
+@query(f"""WITH {VECTORS}, s AS (SELECT id, chapter, lower(subject) AS subject, round(list_cosine_similarity(e, {PROBE_SQL}), 6) AS similarity FROM v WHERE grade = '1'),
+t AS (SELECT *, CASE WHEN contains(subject, 'Sci') AND similarity > 0.65 THEN 1 WHEN contains(subject, 'sci') AND similarity > 0.65 THEN 2 WHEN contains(subject, 'sci') AND similarity > 0.05 THEN 3 END AS stage FROM s)
+SELECT id, chapter, similarity, stage FROM t WHERE stage = (SELECT min(stage) FROM t) ORDER BY similarity DESC, id LIMIT 8""")
+def staged_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.staged_vector_search(vectors(spark, sf_dir), PROBE, "Sci", "1", threshold=0.65, relaxed=0.05)
+
+
+@query(f"""WITH {CORPUS}, k(ord, keyword) AS (VALUES {values(list(enumerate(KEYWORDS)))}), hits AS (
+  SELECT ord, keyword, id, contains(lower(subject), 'en') AND chapter IN ('src1', 'src2', 'src3') AS strict FROM corpus JOIN k ON contains(lower(content), lower(keyword)) WHERE grade = '1'),
+open AS (SELECT *, bool_or(strict) OVER (PARTITION BY ord) AS any_strict FROM hits),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY id) AS rn FROM open WHERE strict OR NOT any_strict),
+once AS (SELECT id, arg_min(keyword, ord) AS keyword, min(ord * 100 + rn) AS seq FROM ranked WHERE rn <= 6 GROUP BY id)
+SELECT CAST(row_number() OVER (ORDER BY seq) AS INTEGER) AS pos, id, keyword, 0.6::DOUBLE AS similarity FROM once ORDER BY seq LIMIT 6""")
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.keyword_search(corpus(spark, sf_dir), KEYWORDS, "en", "1", ["src1", "src2", "src3"])
+
+
+@query(f"""WITH {VECTORS}, {CORPUS}, a AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 AS r1, s AS s1 FROM (SELECT id, round(list_cosine_similarity(e, {PROBE_SQL}), 6) AS s FROM v) QUALIFY r1 < 60),
+b AS (SELECT id, row_number() OVER (ORDER BY length(content), id) - 1 AS r2 FROM corpus WHERE contains(lower(content), 'the') AND id < 500 QUALIFY r2 < 60),
+f AS (SELECT coalesce(a.id, b.id) AS id, r1, r2, round(coalesce(1.0::DOUBLE / (61 + r1), 0) + coalesce(1.0::DOUBLE / (61 + r2), 0), 9) AS rrf_score, CASE WHEN r2 IS NOT NULL THEN 0.6::DOUBLE ELSE s1 END AS similarity,
+CASE WHEN r2 IS NOT NULL THEN 'keyword' ELSE 'vector' END AS source FROM a FULL JOIN b ON a.id = b.id)
+SELECT id, rrf_score, similarity, source, CAST(row_number() OVER (ORDER BY rrf_score DESC, r1 NULLS LAST, r2 NULLS LAST) AS INTEGER) AS pos FROM f""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists of 60: nearest vectors, and the shortest texts with a word among the ids that vectors have at every size."""
+    near = vectors(spark, sf_dir).select("id", F.round(cosine("embedding", F.array(*map(F.lit, PROBE))), 6).alias("similarity"), F.lit(1).alias("one"))
+    near = retrieval.first_rows(near, ["one"], [F.desc("similarity"), "id"], 60, "rank").select("id", (F.col("rank") - 1).alias("rank"), "similarity")
+    hits = corpus(spark, sf_dir).where(tx.contains(F.col("content"), "the") & (F.col("id") < 500)).withColumn("one", F.lit(1))
+    hits = retrieval.first_rows(hits, ["one"], [F.length("content"), "id"], 60, "rank").select("id", (F.col("rank") - 1).alias("rank"), F.lit(0.6).alias("similarity"))
+    return retrieval.rrf_fusion(near, hits)
+
+
+#: Requests against stored names; the last one matches nothing.
+REQUESTED = ("Part 12", "part  7", "PART 1 & 2", "zebra crossing")
+
+
+@query(f"""WITH r(ord, requested) AS (VALUES {values(list(enumerate(REQUESTED)))}),
+clean AS (SELECT ord, requested, lower(trim(regexp_replace(replace(replace(regexp_replace(trim(requested), '\\s+', ' ', 'g'), ' & ', ' and '), '&', ' and '), '\\s+', ' ', 'g'))) AS req FROM r),
+names AS (SELECT norm, max(name) AS name FROM (SELECT p_name AS name, lower(trim(regexp_replace(replace(replace(regexp_replace(trim(p_name), '\\s+', ' ', 'g'), ' & ', ' and '), '&', ' and '), '\\s+', ' ', 'g'))) AS norm FROM part WHERE p_name <> '') GROUP BY norm),
+hits AS (SELECT ord, requested, name, norm, CASE WHEN req = norm THEN 1 WHEN contains(norm, req) OR contains(req, norm) THEN 2
+  WHEN len(list_intersect([w FOR w IN list_distinct(string_split(req, ' ')) IF w NOT IN ('and', 'of', 'the', 'in', 'a')], [w FOR w IN list_distinct(string_split(norm, ' ')) IF w NOT IN ('and', 'of', 'the', 'in', 'a')])) >= 2 THEN 3 END AS tier FROM clean, names),
+best AS (SELECT ord, requested, name, tier, row_number() OVER (PARTITION BY ord ORDER BY tier, norm) AS rn FROM hits WHERE tier IS NOT NULL)
+SELECT ord, requested, name, tier FROM best WHERE rn = 1 UNION ALL SELECT ord, requested, requested, 0 FROM r WHERE NOT EXISTS (SELECT 1 FROM best)""")
+def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.resolve_names(read_table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), REQUESTED)
+
+
+#: Word boundaries beside accented letters differ between engines, so this query drops the accents first.
+ACCENTS = "éèêàâîïôûçäöüßñáíóúÉÈÊÑÍÓÚÁÄÖÜ"
+PLAIN = "eeeaaiioucaousnaiouEEENIOUAAOU"
+DICTIONARY = (("carbon", "Chemistry"), ("acid", "Chemistry"), ("force", "Physics"), ("eye", "Physics"), ("that", "Grammar"), ("tion", "Suffixes"), ("thing", "Grammar"))
+
+
+@query(f"""WITH d(term, chapter) AS (VALUES {values(list(DICTIONARY))}), q AS (SELECT item_id AS qid, substring(trim(translate(text, '{ACCENTS}', '{PLAIN}')), 1, 500) AS question FROM benchmark),
+hits AS (SELECT qid, list_sort(list(DISTINCT chapter))[1:5] AS chapters FROM q JOIN d ON contains(lower(question), term) GROUP BY qid)
+SELECT q.qid, array_to_string([w FOR w IN regexp_extract_all(lower(question), '[a-z0-9_]+') IF regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({", ".join(f"'{w}'" for w in tx.QUESTION_STOP_WORDS)})], ' ') AS keywords,
+coalesce(array_to_string(chapters, '|'), '') AS chapters, regexp_matches(question, '[\\x{{0900}}-\\x{{097F}}]') AS has_devanagari FROM q LEFT JOIN hits ON q.qid = hits.qid""")
+def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame(list(DICTIONARY), "term string, chapter string")
+    return retrieval.analyze_questions(read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.translate("text", ACCENTS, PLAIN).alias("question")), d)
+
+
+# ---- ingestion
+
+
+@query("""WITH w AS (SELECT doc_id AS id, [x FOR x IN regexp_split_to_array(text, '[ \\t\\n\\r\\f]+') IF x <> ''] AS ws FROM documents),
+k AS (SELECT id, ws, unnest(range(0, CASE WHEN len(ws) < 50 THEN 0 WHEN len(ws) <= 500 THEN 1 ELSE CAST(ceil((len(ws) - 500) / 425.0) AS BIGINT) + 1 END)) AS k FROM w),
+c AS (SELECT id, k, ws[k * 425 + 1 : k * 425 + 500] AS part FROM k)
+SELECT id, CAST(k AS INTEGER) AS k, md5(array_to_string(part, ' ')) AS digest, CAST(len(part) AS INTEGER) AS words FROM c WHERE len(part) >= 50""")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.chunk_rows(corpus(spark, sf_dir).select("id", F.col("content").alias("text")))
+    return rows.select("id", "k", F.md5("chunk").alias("digest"), F.size(F.split("chunk", " ")).alias("words"))
+
+
+@query("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), chr(0), ''), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'))) AS digest FROM pages""")
+def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages").select("page_id", F.md5(tx.clean_text(tx.strip_tags(F.col("html")))).alias("digest"))
+
+
+@query("""SELECT min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY trim(regexp_replace(regexp_replace(lower(text), '\\$[^$]*\\$', '', 'g'), '\\s+', ' ', 'g'))""")
+def dedup_exact_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_texts(corpus(spark, sf_dir), tx.comparison_text(F.col("content")))
+
+
+# ---- duplicates within requests of fifty vectors
+
+ITEMS = "items AS (SELECT vec_id // 50 AS grp, vec_id % 50 AS idx, (label * 7 % 5)::DOUBLE AS score, embedding::DOUBLE[] AS e FROM embeddings)"
+PAIRS = "pairs AS (SELECT a.grp, a.idx AS i, b.idx AS j, a.score AS si, b.score AS sj, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM items AS a JOIN items AS b ON a.grp = b.grp AND a.idx < b.idx)"
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 50").alias("grp"), (F.col("vec_id") % 50).alias("idx"), (F.col("label") * 7 % 5).cast("double").alias("score"), "embedding")
+
+
+@query(f"WITH {ITEMS}, {PAIRS} SELECT grp, i, j, similarity FROM pairs WHERE similarity >= 0.3")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.similar_pairs(items(spark, sf_dir), 0.3)
+
+
+@query(f"""WITH RECURSIVE {ITEMS}, {PAIRS}, near AS (SELECT grp, i, list({{'j': j, 'sj': sj}} ORDER BY j) AS js FROM pairs WHERE similarity >= 0.2 GROUP BY grp, i),
+step AS (SELECT grp, -1::BIGINT AS i, []::BIGINT[] AS gone FROM (SELECT DISTINCT grp FROM items) UNION ALL
+  SELECT s.grp, s.i + 1, CASE WHEN n.js IS NULL OR list_contains(s.gone, s.i + 1) THEN s.gone ELSE list_concat(s.gone,
+    [x.j FOR x IN n.js IF NOT list_contains(s.gone, x.j) AND x.j < coalesce(list_min([y.j FOR y IN n.js IF NOT list_contains(s.gone, y.j) AND y.sj > it.score]), 1000000)],
+    CASE WHEN list_min([y.j FOR y IN n.js IF NOT list_contains(s.gone, y.j) AND y.sj > it.score]) IS NULL THEN [] ELSE [s.i + 1] END) END
+  FROM step AS s LEFT JOIN near AS n ON n.grp = s.grp AND n.i = s.i + 1 LEFT JOIN items AS it ON it.grp = s.grp AND it.idx = s.i + 1 WHERE s.i < 49)
+SELECT items.grp, items.idx FROM items JOIN step ON step.grp = items.grp AND step.i = 49 WHERE NOT list_contains(step.gone, items.idx)""")
+def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.greedy_dedup(items(spark, sf_dir), 0.2)
+
+
+# ---- quotas
+
+SECTIONS = [(1, "Physics", "medium", "balanced", "mcq", 20, None), (2, "History", "hard", "competitive", "short_answer", 7, None), (3, "Maths", "easy", "easy_test", "mcq", 5, "apply"), (4, "English", "medium", "unknown", "mcq", 4, None), (5, "Maths", "hard", "balanced", "assertion_reason", 6, None), (6, "hindi", "easy", "balanced", "long_answer", 1, None)]
+
+
+def sections(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SECTIONS, "sec long, subject string, difficulty string, profile string, format string, quantity long, levels string")
+
+
+PROFILE_ROWS = values([(p, i, t, s) for p, shares in quota.PROFILES.items() for i, (t, s) in enumerate(shares)])
+DISTRIBUTION = f"""sections(sec, subject, difficulty, profile, format, quantity, levels) AS (VALUES {values(SECTIONS)}), profiles(profile, ord, qtype, share) AS (VALUES {PROFILE_ROWS}),
+based AS (SELECT s.sec, s.difficulty, s.quantity, s.format, lower(s.subject) IN ({", ".join(f"'{x}'" for x in quota.NOT_NUMERICAL)}) AS plain, p.ord, p.qtype, p.share::DOUBLE AS share,
+  max(CASE WHEN p.qtype = 'numerical' THEN p.share::DOUBLE END) OVER (PARTITION BY s.sec) AS num FROM sections AS s JOIN profiles AS p ON p.profile = CASE WHEN s.profile IN (SELECT profile FROM profiles) THEN s.profile ELSE 'balanced' END),
+split AS (SELECT *, CASE WHEN plain AND qtype IN ('conceptual', 'application') THEN share + num * 0.5::DOUBLE WHEN plain AND qtype = 'numerical' THEN 0::DOUBLE ELSE share END AS s FROM based),
+moved AS (SELECT *, CASE WHEN difficulty = 'hard' AND qtype = 'recall' THEN greatest(0.05::DOUBLE, s - 0.10::DOUBLE) WHEN difficulty = 'hard' AND qtype IN ('application', 'numerical') THEN s + 0.05::DOUBLE
+  WHEN difficulty = 'easy' AND qtype = 'recall' THEN s + 0.10::DOUBLE WHEN difficulty = 'easy' AND qtype IN ('application', 'numerical') THEN greatest(0.05::DOUBLE, s - 0.05::DOUBLE) ELSE s END AS m FROM split
+  WHERE NOT plain OR qtype <> 'numerical' OR difficulty IN ('hard', 'easy')),
+dist AS (SELECT sec, quantity, format, CASE WHEN plain AND qtype = 'numerical' THEN 9 ELSE ord END AS ord, qtype, m / sum(m) OVER (PARTITION BY sec) AS share FROM moved)"""
+
+
+@query(f"WITH {DISTRIBUTION} SELECT sec, CAST(ord AS INTEGER) AS ord, qtype, round(share, 9) AS share FROM dist")
+def plan_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.distributions(sections(spark)).select("sec", "ord", "qtype", F.round("share", 9).alias("share"))
+
+
+@query(f"""WITH p(ord, qtype, share) AS (VALUES {values([(i, t, s) for i, (t, s) in enumerate(quota.PROFILES["balanced"])])}),
+t AS (SELECT c_nationkey::BIGINT AS sec, count(*) AS total FROM customer GROUP BY c_nationkey),
+f AS (SELECT sec, total, qtype, floor(total * share::DOUBLE)::BIGINT AS n, row_number() OVER (PARTITION BY sec ORDER BY share DESC, ord) AS nth FROM t, p),
+g AS (SELECT *, total - sum(n) OVER (PARTITION BY sec) AS rest FROM f)
+SELECT sec, qtype, n + CASE WHEN nth <= rest THEN 1 ELSE 0 END AS n FROM g WHERE n + CASE WHEN nth <= rest THEN 1 ELSE 0 END > 0""")
+def apportion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question types shared out over the customers of each nation, as totals large enough that no type has to take one."""
+    totals = read_table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("sec")).agg(F.count("*").alias("total"))
+    shares = totals.select("sec").crossJoin(F.broadcast(quota.profile_rows(totals).where("profile = 'balanced'").drop("profile")))  # five rows
+    return quota.apportioned(shares, totals)
+
+
+@query(None)
+def generation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.generation_plan(sections(spark))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS req, CAST(o_orderkey % 61 AS BIGINT) AS total FROM orders), w AS (SELECT req, least(ceil(total * 1.30::DOUBLE)::BIGINT, total + 15) AS n FROM r),
+b AS (SELECT req, n, unnest(range(1, CAST(ceil(n / 12.0) AS BIGINT) + 1)) AS batch FROM w WHERE n > 0) SELECT req, batch, least(12, n - 12 * (batch - 1)) AS size FROM b""")
+def batch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.batches(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("req"), (F.col("o_orderkey") % 61).alias("total")))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS req, l_partkey * 10 + l_linenumber AS batch, CAST(12 AS BIGINT) AS requested, CAST(l_quantity AS BIGINT) AS n, l_extendedprice AS x FROM lineitem),
+u AS (SELECT req, batch, requested, sum(n)::BIGINT AS n FROM r GROUP BY req, batch, requested),
+s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY req ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM u) SELECT * FROM s WHERE before < requested + 5""")
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("req"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("batch"), F.lit(12).cast("long").alias("requested"), F.col("l_quantity").cast("long").alias("n"))
+    return quota.batches_needed(rows.groupBy("req", "batch", "requested").agg(F.sum("n").alias("n")))
+
+
+@query("""SELECT doc_id AS id, least(CAST(doc_id % 15 AS BIGINT), CASE doc_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 7 ELSE 5 END) AS quantity FROM documents""")
+def chapter_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.get(F.array(*[F.lit(x) for x in quota.CAPS]), (F.col("doc_id") % 4).cast("int"))
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), quota.capped(F.col("doc_id") % 15, level).cast("long").alias("quantity"))
+
+
+# ---- gates and answers
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as generated questions, four words of each as options."""
+    words = F.split("text", " ")
+    pick = F.array(*[F.concat(F.lit(f"{c}) "), F.coalesce(F.get(words, F.lit(i)), F.lit("none"))) for i, c in enumerate("ABCD")])
+    return read_table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("req"), F.col("turn").alias("pos"), "text", F.when(F.col("role") == "assistant", "mcq").when(F.col("role") == "user", "essay").otherwise("short_answer").alias("format"),
+        F.when(F.col("turn") % 5 != 4, pick).alias("options"), F.when(F.col("turn") % 3 == 0, "b").when(F.col("turn") % 3 == 1, "B) x").otherwise("C)").alias("correct_answer"), F.reverse("text").alias("explanation"),
+        F.lit("2").alias("marks"), F.lit("apply").alias("bloom_level"), F.col("role").alias("chapter"),
+    )
+
+
+@query("""WITH q AS (SELECT conv_id AS req, turn AS pos, trim(text) AS text, CASE WHEN role = 'system' THEN 'short_answer' ELSE 'mcq' END AS format, turn % 5 <> 4 AS has, turn % 3 AS a, trim(reverse(text)) AS explanation FROM conversations),
+n AS (SELECT *, length(text) < 15 AS short, trim(regexp_replace(regexp_replace(lower(text), '\\$[^$]*\\$', '', 'g'), '\\s+', ' ', 'g')) AS norm FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY req, short, norm ORDER BY pos) AS nth FROM n)
+SELECT coalesce(CASE WHEN short THEN 'short' WHEN nth > 1 THEN 'duplicate' WHEN length(explanation) < 30 THEN 'vague' WHEN format = 'mcq' AND NOT has THEN 'options' WHEN format = 'mcq' AND a = 0 THEN 'answer' END, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.quality_gate(questions(spark, sf_dir), "physics").groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id AS id, round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN length(text) > 80 AND length(text) < 400 THEN 0.2::DOUBLE ELSE 0::DOUBLE END + 0.3::DOUBLE * (doc_id % 10 / 10.0::DOUBLE))), 9) AS confidence FROM documents""")
+def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.round(gate.confidence(F.col("text"), F.col("doc_id") % 10 / F.lit(10.0)), 9).alias("confidence"))
+
+
+@query("""WITH s AS (SELECT doc_id AS id, text, [x FOR x IN string_split(text, '. ') IF length(x) > 20] AS ss FROM documents)
+SELECT id, md5(CASE WHEN len(ss) >= 2 THEN array_to_string([trim(x) FOR x IN ss[1:2]], '. ') || '.' ELSE substring(text, 1, 250) END) AS digest FROM s""")
+def fallback_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5(gate.fallback_answer(F.col("text"))).alias("digest"))
+
+
+@query(f"""WITH {CORPUS}, hits AS (SELECT item_id AS qid, id, chapter, content, row_number() OVER (PARTITION BY item_id ORDER BY id) AS pos FROM corpus JOIN benchmark ON contains(lower(content), lower(benchmark.text)))
+SELECT qid, string_agg('[' || pos || '] ' || chapter || ': ' || substring(content, 1, 400), chr(10) || chr(10) ORDER BY pos) AS context FROM hits WHERE pos <= 5 GROUP BY qid""")
+def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus(spark, sf_dir)
+    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    hits = retrieval.matches(rows, asked, tx.contains(F.col("content"), F.col("question")))
+    return gate.build_context(retrieval.first_rows(hits, ["qid"], ["id"], 5, "pos"))
+
+
+@query(f"""WITH {CORPUS}, h AS (SELECT item_id AS qid, count(*) AS hits FROM corpus JOIN benchmark ON contains(lower(content), lower(benchmark.text)) GROUP BY item_id)
+SELECT item_id AS qid, coalesce(hits, 0) AS hits, CASE WHEN hits IS NULL THEN 'no matching text' END AS message, CASE WHEN hits IS NULL THEN 0.1::DOUBLE END AS confidence FROM benchmark LEFT JOIN h ON h.qid = item_id""")
+def no_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    hits = retrieval.matches(corpus(spark, sf_dir), asked, tx.contains(F.col("content"), F.col("question")))
+    return gate.with_no_results(asked, hits)
+
+
+@query("""SELECT conv_id AS req, turn AS pos, CASE WHEN turn % 4 = 1 AND role <> 'user' THEN 'fixed' ELSE text END AS correct_answer, role AS explanation, CASE WHEN turn % 4 = 1 THEN 'needs_review' ELSE 'verified' END AS validation_status,
+CASE WHEN turn % 4 = 1 THEN 'wrong' END AS validation_notes FROM conversations""")
+def apply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("req"), F.col("turn").alias("pos"), F.col("text").alias("correct_answer"), F.col("role").alias("explanation"))
+    verdicts = rows.select("req", (F.col("pos") + 1).alias("index"), (F.col("pos") % 4 != 1).alias("valid"), F.when(F.col("explanation") == "user", "").otherwise("fixed").alias("fixed_correct_answer"), F.lit(None).cast("string").alias("fixed_explanation"), F.lit("wrong").alias("notes"))
+    return gate.apply_verdicts(rows, verdicts)
+
+
+@query("""SELECT item_id AS qid, CASE WHEN length(trim(text)) < 3 THEN 'too_short' WHEN length(trim(text)) > 200 THEN 'too_long' ELSE 'ok' END AS status FROM benchmark""")
+def question_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), gate.question_status(F.col("text"), 3, 200, False).alias("status"))
+
+
+@query("""SELECT item_id, substring(md5(lower(text)), 1, 12) AS short_key, substring(sha256(lower(trim(text))), 1, 16) AS long_key FROM benchmark""")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "benchmark").select("item_id", tx.short_key(F.col("text")).alias("short_key"), tx.long_key(F.col("text")).alias("long_key"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AND json_valid(props) AS valid FROM events""")
+def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.try_parse_json("props").isNotNull(), F.lit(False)).alias("valid"))
+
+
+FORMULAS = ("x^2 + y_1 = $z^{10}$", r"$\frac{a}{b}$ & \sqrt{x} < 3", r"\alpha \times \sin{x} \text{cm}", "plain <b>bold</b> > text", r"\frac{\sqrt{2}}{3}", "")
+
+
+@query(None)
+def formula_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(FORMULAS)], "id int, f string")
+    return rows.select("id", tx.formula_markup(F.col("f")).alias("markup"), tx.formula_plain(F.col("f")).alias("plain"))
+
+
+@query("""WITH q AS (SELECT conv_id AS req, turn, turn % 3 AS a, string_split(text, ' ') AS w FROM conversations WHERE turn % 5 <> 4), o AS (SELECT req, turn + 1 AS number, a, w, unnest([1, 2, 3, 4]) AS k FROM q)
+SELECT req, number, substring('ABCD', k, 1) AS label, k = CASE a WHEN 2 THEN 3 ELSE 2 END AS correct FROM o""")
+def option_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.option_rows(questions(spark, sf_dir)).select("req", "number", "label", "correct")
+
+
+@query("""WITH c AS (SELECT conv_id AS req, turn // 5 AS line, turn % 5 AS c, (turn + 1) || '. ' || CASE turn % 3 WHEN 2 THEN 'C' ELSE 'B' END AS cell FROM conversations)
+SELECT req, line, max(cell) FILTER (c = 0) AS c0, max(cell) FILTER (c = 1) AS c1, max(cell) FILTER (c = 2) AS c2, max(cell) FILTER (c = 3) AS c3, max(cell) FILTER (c = 4) AS c4 FROM c GROUP BY req, line""")
+def answer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.answer_grid(questions(spark, sf_dir))
+
+
+# ---- the store: orders as tests, line items as their questions
+
+
+@query("""WITH k AS (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS positions, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey AS id, coalesce(positions, '') AS positions, coalesce(n, 0) AS n FROM orders LEFT JOIN k ON l_orderkey = o_orderkey""")
+def parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    out = store.with_children(tests, read_table(spark, sf_dir, "lineitem"), "id", "l_orderkey", "l_linenumber")
+    return out.select("id", F.array_join(F.transform("children", lambda c: c.cast("string")), ",").alias("positions"), F.size("children").cast("long").alias("n"))
+
+
+@query("SELECT l_orderkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS marks FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey % 50 = 7) GROUP BY l_orderkey")
+def owner_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.owned_by(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders"), "l_orderkey", "o_orderkey", F.col("o_custkey") % 50 == 7)
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("marks"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 50 = 7 THEN 'saved' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def update_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return store.updated(rows, F.col("o_custkey") % 50 == 7, "o_orderstatus", "saved").drop("o_custkey")
+
+
+@query(f"WITH {CORPUS} SELECT id, chapter FROM corpus WHERE NOT coalesce(contains(lower(subject), 'e') AND grade = '1', false)")
+def delete_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.without_subject(corpus(spark, sf_dir), "E", "1").select("id", "chapter")
+
+
+@query("""SELECT conv_id AS test_id, count(*) AS total_questions, CAST(sum(CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS total_marks FROM conversations GROUP BY conv_id""")
+def save_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parents of drafts made of conversations, a turn a question."""
+    q = F.struct("turn", "text", F.when(F.col("turn") % 2 == 0, 2).alias("marks"))
+    rows = read_table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("test_id")).agg(F.array_sort(F.collect_list(q)).alias("questions"))
+    parents, _ = store.drafts(rows.withColumns({"owner": F.lit("x"), "title": F.lit("t")}))
+    return parents.select("test_id", F.col("total_questions").cast("long").alias("total_questions"), F.col("total_marks").cast("long").alias("total_marks"))
+
+
+@query("""SELECT o_orderkey AS test_id, sha256('quiz|' || o_orderkey) AS quiz_id, '/quiz/' || sha256('quiz|' || o_orderkey) AS link, 60 AS duration_minutes, 3 AS tab_switch_limit FROM orders""")
+def quiz_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.quiz_links(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("test_id"), F.lit(10).alias("total_marks")))
+    return rows.select("test_id", "quiz_id", "link", "duration_minutes", "tab_switch_limit")
+
+
+@query("""SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'purchase')""")
+def rejected_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    action = F.when(F.col("event_type") == "click", "reject").when(F.col("event_type") == "purchase", "edit").otherwise("approve")
+    return store.rejected(read_table(spark, sf_dir, "events").select("event_id", "event_type", action.alias("action"))).drop("action")
+
+
+@query("""SELECT CASE WHEN o_orderkey % 5 >= 3 THEN 'limit_reached' ELSE 'ok' END AS status, count(*) AS n FROM orders GROUP BY 1""")
+def feedback_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("test_id"), (F.col("o_orderkey") % 5).alias("iteration"))
+    return store.feedback_status(rows).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# ---- time
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id || '|' || event_type AS key, CAST(epoch(ts) AS BIGINT) AS t FROM events), n AS (SELECT key, t, row_number() OVER (PARTITION BY key ORDER BY t) AS k FROM e),
+r AS (SELECT key, k, t AS stored, 0::BIGINT AS hits, 1::BIGINT AS misses FROM n WHERE k = 1 UNION ALL
+SELECT n.key, n.k, CASE WHEN n.t - r.stored < 86400 THEN r.stored ELSE n.t END, r.hits + CASE WHEN n.t - r.stored < 86400 THEN 1 ELSE 0 END, r.misses + CASE WHEN n.t - r.stored < 86400 THEN 0 ELSE 1 END FROM r JOIN n ON n.key = r.key AND n.k = r.k + 1)
+SELECT key, max(hits) AS hits, max(misses) AS misses FROM r GROUP BY key""")
+def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    return ev.cache_replay(rows, 86_400)
+
+
+@query("""SELECT user_id AS "user", time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1""")
+def over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.over_limit(read_table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), "ts"), 1, "1 day")
