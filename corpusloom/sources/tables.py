@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +75,6 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
 
 def decoded(files: DataFrame, decode: Callable[[bytes], list[str]]) -> DataFrame:
     """files with text: decode gives a file's pages, joined by blank lines. A file that fails has an empty text."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(content: pd.Series) -> pd.Series:
         def one(data: bytes) -> str:
