@@ -13,15 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Has Spark delete the shuffle files of a query once it has ended; what a checkpoint has written no longer needs them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written to spark.checkpoint.dir, which survives the loss of executors.
 
-    The folder is the one that the session names; only where none is named (tests) a local one is set.
+    The folder is the one that the session names; only where none is named (tests) a local one is set. The shuffle files
+    behind df go at once, so a job of several cuts needs the disk of its largest part only.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def even_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:

@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytesfast import BASE, INVERSE, mix, power, prefix_sums, text_blocks
+from .bytesfast import INVERSE, mix, power, prefix_sums, text_blocks
+from .common import cut
 
 LENGTH = 50
 #: How many of the strings around one sampled position share a rank, round by round: all, then fewer, then one.
-#: Their common part, which the rank names, grows from 16 to 42 to all 50 bytes.
-ROUNDS = (35, 9, 1)
+#: Their common part, which the rank names, grows from 16 to 39 to 47 to all 50 bytes.
+ROUNDS = (35, 12, 4, 1)
 BLOCK_BYTES, FLUSH_RUNS = 1_000_000, 300_000
 NONE = -(1 << 63)
 #: A place: 14 bits of the text's hash, whether it is covered, how many further strings it spans, where it begins.
@@ -63,7 +64,7 @@ def groups(data: np.ndarray, starts: np.ndarray, sums: np.ndarray, at: np.ndarra
     return core.view(np.int64), whole.view(np.int64), lo, hi
 
 
-RANKS = "core long, whole long, doc long, place long"
+RANKS = "doc long, place long, core long, whole long"
 
 
 def settled(core: np.ndarray, whole: np.ndarray, doc: np.ndarray, where: np.ndarray) -> pa.RecordBatch:
@@ -77,7 +78,7 @@ def settled(core: np.ndarray, whole: np.ndarray, doc: np.ndarray, where: np.ndar
         later = doc > least
         where = np.where(later, where | (1 << COVER), where)
         core = np.where(where >> COVER & 1, mix((doc * 1_000_003 + where).view(np.uint64)).view(np.int64), core)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (core, whole, doc, where)], ["core", "whole", "doc", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, where, core, whole)], ["doc", "place", "core", "whole"])
 
 
 def ranked(width: int, length: int):
@@ -200,6 +201,8 @@ def dedup_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     for width in ROUNDS:
         source = own if left is None else own.join(left, "doc")
         left = reranked(source.mapInArrow(ranked(width, length), RANKS))
+        if width == ROUNDS[0]:
+            left = cut(left)  # the first round shuffles every run, the others a fraction
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
