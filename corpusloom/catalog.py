@@ -380,7 +380,26 @@ def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 FORMULAS = ("x^2 + y_1 = $z^{10}$", r"$\frac{a}{b}$ & \sqrt{x} < 3", r"\alpha \times \sin{x} \text{cm}", "plain <b>bold</b> > text", r"\frac{\sqrt{2}}{3}", "")
 
 
-@query(None)
+def formula_sql(up: str, down: str, single: bool) -> str:
+    """The steps of formula_markup and formula_plain as nested DuckDB calls."""
+    out = "f"
+    for command, symbol in tx.SYMBOLS:
+        out = f"replace({out}, '{command}', '{symbol}')"
+    for name in tx.NAMED_FUNCTIONS:
+        out = f"replace({out}, '\\{name}', '{name}')"
+    steps = [(r"\$([^$]+)\$", r"\1"), (r"\\frac\{([^}]*)\}\{([^}]*)\}", r"(\1/\2)"), (r"\\sqrt\{([^}]*)\}", r"√(\1)"), (r"\^\{([^}]*)\}", up)]
+    steps += ([(r"\^([a-zA-Z0-9])", up)] if single else []) + [(r"_\{([^}]*)\}", down)] + ([(r"_([a-zA-Z0-9])", down)] if single else [])
+    steps += [(r"\\(?:text|mathrm|mathbf)\{([^}]*)\}", r"\1"), (r"\\([a-zA-Z]+)", r"\1"), (r"[{}]", "")]
+    for pattern, to in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return out
+
+
+TAGS = f"regexp_replace(replace({formula_sql('<super>' + chr(92) + '1</super>', '<sub>' + chr(92) + '1</sub>', True)}, '&', '&amp;'), '<(/?(?:super|sub|b|i))>', chr(1) || '{chr(92)}1' || chr(2), 'g')"
+
+
+@query(f"""WITH r(id, f) AS (VALUES {values(list(enumerate(FORMULAS)))}) SELECT CAST(id AS INTEGER) AS id, translate(replace(replace({TAGS}, '<', '&lt;'), '>', '&gt;'), chr(1) || chr(2), '<>') AS markup,
+trim({formula_sql("^" + chr(92) + "1", "_" + chr(92) + "1", False)}) AS plain FROM r""")
 def formula_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, f) for i, f in enumerate(FORMULAS)], "id int, f string")
     return rows.select("id", tx.formula_markup(F.col("f")).alias("markup"), tx.formula_plain(F.col("f")).alias("plain"))
