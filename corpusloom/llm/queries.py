@@ -13,7 +13,7 @@ from .linededup import dedup_lines
 from .ngramjoin import ngram_components
 from .packing import pack_documents
 from .quality import quality_report
-from .secrets import secret_report
+from .secrets import BASE, KINDS, SCOPE, secret_report
 from .sharding import shard_documents
 from .suffixdedup import dedup_spans
 from .vectors import near_vectors, voronoi_top_k
@@ -65,7 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op7_top_k": OP7, "op8_near_vectors": OP8}
+    return {"op1_sharding": OP1, "op2_line_dedup": OP2, "op6_ngram_join": OP6, "op7_top_k": OP7, "op8_near_vectors": OP8, "op10_secrets": op10_sql()}
 
 
 OP2 = """
@@ -122,3 +122,72 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings AS e LEFT JOIN counts ON counts.a = e.vec_id JOIN parts ON parts.node = e.vec_id
 """
+
+OP1 = """
+WITH steps AS (
+  SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) FOR n IN range(256)] AS t
+), d AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS b,
+         CAST('0x' || substring(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents
+), summed AS (
+  SELECT doc_id, source, size, h, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM d, steps
+), ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, text_crc32) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS at_share FROM summed
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY at_share, source NULLS FIRST, h, doc_id, size, text_crc32) - 1 AS place, count(*) OVER () AS total FROM ranked
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 16 // total AS INTEGER) AS shard, CAST(place - (place * 16 // total * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM placed
+"""
+
+OP6 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM w
+), rows AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM rows AS a JOIN rows AS b ON a.t = b.t AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT pairs.b, reach.root FROM reach JOIN pairs ON pairs.a = reach.node
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM sets JOIN (SELECT node, min(root) AS c FROM reach GROUP BY node) ON node = doc_id
+"""
+
+
+def op10_sql() -> str:
+    """Places add up from the pieces between matches, as in find_secrets; the rest are window functions."""
+    number = {k[0]: i for i, k in enumerate(KINDS)}
+    parts = []
+    for i, (name, pattern, least, group) in enumerate(KINDS):
+        p = pattern.replace("'", "''")
+        value = f"regexp_extract_all(text, '{p}', {group})"
+        counts = "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')" if name == "token" else f"length(v) >= {least}"
+        parts.append(f"SELECT doc_id, {i} AS kind, i, length(m) AS size, length(between_) AS skip, {counts} AS counts FROM (SELECT doc_id, unnest(range(1, len(regexp_extract_all(text, '{p}')) + 1)) AS i, unnest(regexp_extract_all(text, '{p}')) AS m, unnest({value}) AS v, unnest(string_split_regex(text, '{p}')[1:len(regexp_extract_all(text, '{p}'))]) AS between_ FROM documents WHERE regexp_matches(text, '{p}'))")
+    k = lambda *names: ", ".join(str(number[n]) for n in names)
+    near = f"OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)"
+    has = lambda *names: f"coalesce(bool_or(kind IN ({k(*names)})) {near}, false)"
+    solid = f"kind IN ({k('assign', 'access', 'hex', 'endpoint')})"
+    shown = "[" + ", ".join(f"'{x[0]}'" for x in KINDS) + "][kind + 1] || ':' || s || ':' || e"
+    return f"""
+WITH steps AS ({" UNION ALL ".join(parts)}), placed AS (
+  SELECT doc_id, kind, counts, size, CAST(sum(skip + size) OVER (PARTITION BY doc_id, kind ORDER BY i) - size AS BIGINT) AS s FROM steps
+), open AS (
+  SELECT doc_id, kind, s, s + size AS e FROM placed WHERE counts
+), bounds AS (
+  SELECT *, max(CASE WHEN {solid} THEN e END) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach,
+         min(CASE WHEN {solid} THEN s END) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_ FROM open
+), free AS (
+  SELECT doc_id, kind, s, e FROM bounds WHERE NOT (kind = {number["token"]} AND (coalesce(reach > s, false) OR coalesce(next_ < e, false)))
+), near AS (
+  SELECT *, {has("access")} AS access, {has("ident")} AS ident, {has("assign", "hex")} AS secret, {has("token")} AS token, {has("endpoint")} AS endpoint FROM free
+), linked AS (
+  SELECT * FROM near WHERE kind < {BASE} OR (kind = {number["token"]} AND (access OR (ident AND endpoint))) OR (kind = {number["ident"]} AND (secret OR (token AND endpoint)))
+  OR (kind = {number["endpoint"]} AND (access OR ident) AND (secret OR token))
+), sums AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg({shown}, ',' ORDER BY s, kind) FILTER (kind < {BASE}) AS base, string_agg({shown}, ',' ORDER BY s, kind) AS spans FROM linked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents AS d LEFT JOIN sums ON sums.doc_id = d.doc_id
+"""
