@@ -11,7 +11,7 @@ from .functions import text as tx
 from .functions.vectors import cosine
 from .operators import chunking, dedup, gate, render, retrieval, stats, store
 from .plans import quota
-from .sources.tables import corpus, read_table
+from .sources.tables import as_json, corpus, read_table
 from .streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,3 +487,70 @@ def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id AS "user", time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1""")
 def over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.over_limit(read_table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), "ts"), 1, "1 day")
+
+
+# ---- further surfaces
+
+
+@query(f"""WITH {VECTORS}, s AS (SELECT id, CAST(chapter AS VARCHAR) AS chapter, round(list_cosine_similarity(e, {PROBE_SQL}), 6) AS similarity FROM v WHERE contains(lower(subject), 'hist') AND grade = '0' AND chapter IN (1, 3, 5))
+SELECT id, chapter, similarity FROM s WHERE similarity > 0.02 ORDER BY similarity DESC, id LIMIT 7""")
+def match_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL table function over the vectors."""
+    vectors(spark, sf_dir).createOrReplaceTempView("match_rows")
+    retrieval.register_match_function(spark, "match_rows")
+    vector = "array(" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in PROBE) + ")"
+    return spark.sql(f"SELECT * FROM match_chunks({vector}, 'Hist', '0', array('1', '3', '5'), 0.02D, 7)")
+
+
+@query("""SELECT conv_id AS req, turn AS pos, round(least(length(text) / 200.0::DOUBLE, 1.0::DOUBLE) * 2 + CASE WHEN length(text) > 20 THEN 2 ELSE 0 END + CASE WHEN turn % 5 <> 4 THEN 1 ELSE 0 END
++ CASE WHEN turn % 3 = 1 THEN 1 ELSE 0 END + 1.0::DOUBLE, 9) AS score FROM conversations""")
+def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = dedup.item_score(F.col("text"), F.col("explanation"), F.col("options"), F.col("correct_answer"), F.col("bloom_level"), F.col("chapter"), F.col("format"))
+    return questions(spark, sf_dir).select("req", "pos", F.round(score, 9).alias("score"))
+
+
+@query("""SELECT user_id AS qid, count(*) AS n, round(avg(event_id % 10 / 10.0::DOUBLE), 3) AS mean, round(avg(event_id % 10 / 10.0::DOUBLE) FILTER (event_id % 7 <= 3), 6) AS top FROM events GROUP BY user_id""")
+def relevance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("qid"), (F.col("event_id") % 7).alias("pos"), (F.col("event_id") % 10 / F.lit(10.0)).alias("similarity"))
+    return stats.relevance_summary(rows)
+
+
+@query("SELECT doc_id AS id, " + " OR ".join(f"contains(upper(text), upper('{k}'))" for k in tx.RETRYABLE) + " AS again FROM documents")
+def retryable_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("id", tx.retryable(F.col("content")).alias("again"))
+
+
+@query("SELECT count(*) AS deleted FROM documents WHERE contains(lower(lang), 'e') AND doc_id % 3 = 1")
+def deleted_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.deleted_count(corpus(spark, sf_dir), "E", "1")
+
+
+@query("""SELECT CAST(json_object('custKey', c_custkey, 'cName', c_name, 'nationKey', c_nationkey) AS VARCHAR) AS json FROM customer""")
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_json(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust_key"), "c_name", F.col("c_nationkey").alias("nation_key")))
+
+
+@query("""SELECT c_custkey AS req, 'Write ' || (c_custkey % 9) || ' mcq questions on ' || c_mktsegment || '. Difficulty: hard.' || chr(10) || chr(10) || 'Use only this text:' || chr(10) ||
+CASE WHEN c_custkey % 2 = 0 THEN substring(c_name, 1, 1000) ELSE 'No text is given.' END || chr(10) || chr(10) || 'Answer with one JSON object that has the key questions.' AS prompt FROM customer""")
+def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "customer")
+    asked = rows.select(F.col("c_custkey").alias("req"), F.col("c_mktsegment").alias("subject"), F.lit("hard").alias("difficulty"), (F.col("c_custkey") % 9).alias("n"), F.lit("mcq").alias("form"))
+    return gate.build_prompts(asked, rows.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("req"), F.col("c_name").alias("context")))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.orphans(read_table(spark, sf_dir, "customer").select("c_custkey"), read_table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+
+
+@query("""SELECT conv_id AS test_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INTEGER) AS position, text, CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END AS marks FROM conversations""")
+def draft_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The children of the drafts in save_draft."""
+    q = F.struct("turn", "text", F.when(F.col("turn") % 2 == 0, 2).alias("marks"))
+    rows = read_table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("test_id")).agg(F.array_sort(F.collect_list(q)).alias("questions"))
+    return store.drafts(rows.withColumns({"owner": F.lit("x"), "title": F.lit("t")}))[1]
+
+
+@query(f"""WITH {CORPUS} SELECT DISTINCT chapter AS name FROM corpus WHERE grade = '1' AND chapter IS NOT NULL AND contains(lower(subject), 'en')""")
+def candidate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.candidate_names(corpus(spark, sf_dir), ["src1"], "en", "1")

@@ -113,3 +113,11 @@ def with_no_results(questions: DataFrame, hits: DataFrame) -> DataFrame:
     n = hits.groupBy("qid").agg(F.count("*").alias("hits"))
     out = questions.join(n, "qid", "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
     return out.select("qid", "hits", F.when(F.col("hits") == 0, "no matching text").alias("message"), F.when(F.col("hits") == 0, 0.1).alias("confidence"))
+
+
+def build_prompts(requests: DataFrame, contexts: DataFrame, prefix: int = 1000) -> DataFrame:
+    """req and prompt for requests(req, subject, difficulty, n, form) with contexts(req, context), cut to prefix characters."""
+    rows = requests.join(contexts, "req", "left")
+    head = F.format_string("Write %d %s questions on %s. Difficulty: %s.", F.col("n").cast("int"), F.col("form"), F.col("subject"), F.col("difficulty"))
+    body = F.coalesce(F.nullif(F.substring("context", 1, prefix), F.lit("")), F.lit("No text is given."))
+    return rows.select("req", F.concat_ws("\n\n", head, F.concat(F.lit("Use only this text:\n"), body), F.lit("Answer with one JSON object that has the key questions.")).alias("prompt"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains, has_devanagari, normalize_name, question_words, significant_words, word_pattern
@@ -188,3 +188,29 @@ def retrieve_context(corpus: DataFrame, query: Sequence[float], chapters: Sequen
     words = [p.strip() for t in topics for p in t.split(",") if len(p.strip()) >= 3] + list(chapters)
     found = keyword_search(corpus, words, subject, grade, names).select("id", (F.col("pos") - 1).alias("rank"), "similarity")
     return rrf_fusion(near, found).where(F.col("pos") <= most)
+
+
+def register_match_function(spark: SparkSession, view: str, name: str = "match_chunks") -> None:
+    """A SQL table function over a view (id, chapter, subject, grade, embedding): name(vector, subject, grade, chapters, threshold, k).
+
+    Subjects are compared in lower case by containment; null or no chapters mean all; the threshold is strict; the k most
+    similar come back, ties by id.
+    """
+    dot = "aggregate(zip_with(c.embedding, match_vector, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x)"
+    length = lambda v: f"sqrt(aggregate(transform({v}, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), 0D, (s, x) -> s + x))"
+    spark.sql(f"""
+CREATE OR REPLACE TEMPORARY FUNCTION {name}(match_vector ARRAY<DOUBLE>, match_subject STRING, match_grade STRING, match_chapters ARRAY<STRING>, match_threshold DOUBLE, match_count INT)
+RETURNS TABLE (id BIGINT, chapter STRING, similarity DOUBLE)
+RETURN SELECT id, chapter, similarity FROM (
+  SELECT id, chapter, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS rn FROM (
+    SELECT CAST(c.id AS BIGINT) AS id, CAST(c.chapter AS STRING) AS chapter, round(try_divide({dot}, {length("c.embedding")} * {length("match_vector")}), 6) AS similarity
+    FROM {view} AS c
+    WHERE lower(c.subject) LIKE concat('%', lower(match_subject), '%') AND c.grade = match_grade
+      AND (coalesce(size(match_chapters), 0) = 0 OR array_contains(match_chapters, CAST(c.chapter AS STRING))))
+  WHERE similarity > match_threshold)
+WHERE rn <= match_count""")
+
+
+def suggestions(like: DataFrame, values: Sequence[str], n: int = 3, seed: int = 0) -> DataFrame:
+    """n of the given questions, drawn by a seed."""
+    return like.sparkSession.createDataFrame([(list(values),)], "v array<string>").select(F.explode(F.slice(F.shuffle("v", F.lit(seed)), 1, n)).alias("suggestion"))
