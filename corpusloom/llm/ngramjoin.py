@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesfast import BASE, INVERSE, mix, power, prefix_sums, text_blocks
@@ -16,6 +16,8 @@ from .common import connected_components, cut, even_join
 #: Two sets link when PER_CENT / 100 of their union is common.
 WORDS, PER_CENT = 3, 90
 ORDERS = 2
+#: Members of a posting list that all its members are compared to before pairs are listed.
+LEADERS = 24
 BLOCK_BYTES = 2_000_000
 #: Counters of the frequency sketch, a fixed size. It only orders tokens; any order gives the same links.
 COUNTERS, SLICES = 1 << 21, 64
@@ -115,9 +117,10 @@ def ngram_components(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CE
     sets that link share one of the first prefix_length tokens under every order. All orders put tokens that fill their
     sketch counter last and differ in the rest, so a pair must meet under each of them before it is verified.
 
-    Large groups of near copies would give all their pairs, so links are sought in two turns. First every posting list
-    links its members to its least member only; what is verified merges into components. Then only pairs of different
-    components are listed, counted over the orders, and verified. A pair that is never listed lies within a component,
+    Their first common token must come early in both (early), and how many prefix tokens they share is bounded from below
+    (shared_at_least); both drop most chance meetings. Large groups of near copies would give all their pairs, so links are sought in two turns. First
+    every posting list links its members to its LEADERS least members only; what is verified merges into components. Then only
+    pairs of different components are listed, counted under each order, and verified. A pair that is never listed lies within a component,
     so the components are those of all links. Verification compares whole sets.
 
     A text without words, empty or null has no shingles, links with nothing and is its own component; rows that repeat a
@@ -157,7 +160,8 @@ def verified_links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, word
                     late = fuller[(t >> np.uint64(43)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
                     for order in range(ORDERS):
                         key = late | (mix(t ^ TURNS[8 + order]) >> np.uint64(8))
-                        first = t[np.argpartition(key, p - 1)[:p]]
+                        first = np.argpartition(key, p - 1)[:p]
+                        first = t[first[np.argsort(key[first])]]
                         rows.append((order, s1, len(t), mix(first + np.uint64(order)).view(np.int64)))
                 if len(rows) >= 4000:
                     yield as_batch(rows)
@@ -172,27 +176,55 @@ def verified_links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, word
         return pa.RecordBatch.from_arrays([pa.array(order, pa.int32()), pa.array(s1, pa.int64()), pa.array(n, pa.int32()), tokens], ["ord", "s1", "n", "tokens"])
 
     rows = docs.select("text").mapInArrow(prefixes, "ord int, s1 long, n int, tokens array<long>")
-    rows = rows.select("ord", "s1", "n", F.explode("tokens").alias("token"))
+    rows = rows.select("ord", "s1", "n", F.posexplode("tokens").alias("pos", "token"))
     own = Window.partitionBy("token", "ord")
-    rows = rows.withColumns({"least": F.min("s1").over(own), "most": F.max("s1").over(own)}).where("least <> most")
-    live = cut(rows.groupBy("token", "ord", "s1", "n").agg(F.first("least").alias("least")))
-    fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * per_cent) & (F.col(b) * 100 >= F.col(a) * per_cent)
-    first = live.where("s1 = least").groupBy("token", "ord").agg(F.min("n").alias("least_n"))
-    stars = even_join(live.where("s1 <> least").withColumn("k", F.struct("token", "ord")), first.select(F.struct("token", "ord").alias("k"), "least_n"), "k").where(fits("n", "least_n"))
-    stars = cut(stars.select(F.col("least").alias("x"), F.col("s1").alias("y")).distinct())
+    rows = rows.withColumn("nth", F.dense_rank().over(own.orderBy("s1"))).withColumn("members", F.max("nth").over(own)).where("members > 1")
+    live = cut(rows.groupBy("token", "ord", "s1", "n", "pos").agg(F.min("nth").alias("nth")).withColumn("k", F.struct("token", "ord")).drop("token", "ord"))
+    leaders = live.where(F.col("nth") <= LEADERS).select("k", F.col("s1").alias("x"), F.col("n").alias("nx"), F.col("nth").alias("mth"))
+    stars = live.select("k", F.col("s1").alias("y"), F.col("n").alias("ny"), "nth").join(leaders, "k").where((F.col("mth") < F.col("nth")) & sized(per_cent))
+    stars = stars.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"))
+    stars = cut(stars.where(F.col("c") >= shared_at_least(per_cent)).select("x", "y").distinct())
     known = cut(links(docs, classes, stars, words, per_cent))
     parts = connected_components(known.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    joined = live.join(parts.withColumnRenamed("node", "s1"), "s1", "left").select("token", "ord", "s1", "n", F.coalesce("component", "s1").alias("part"))
-    mixed = joined.groupBy("token", "ord").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select(F.struct("token", "ord").alias("k"))
-    open_rows = even_join(joined.withColumn("k", F.struct("token", "ord")), mixed, "k").select("k", "s1", "n", "part")
-    left, right = open_rows.toDF("k", "x", "nx", "px"), open_rows.toDF("k", "y", "ny", "py")
-    pairs = left.join(right, "k").where((F.col("x") < F.col("y")) & (F.col("px") != F.col("py")) & fits("nx", "ny"))
-    pairs = pairs.groupBy("x", "y").agg(F.min("k.ord").alias("o"), F.max("k.ord").alias("p")).where(f"o = 0 and p = {ORDERS - 1}").select("x", "y")
+    joined = live.join(parts.withColumnRenamed("node", "s1"), "s1", "left").select("k", "s1", "n", "pos", F.coalesce("component", "s1").alias("part"))
+    mixed = joined.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("k")
+    open_rows = even_join(joined, mixed, "k").select("k", "s1", "n", "pos", "part")
+    left, right = open_rows.toDF("k", "x", "nx", "ix", "px"), open_rows.toDF("k", "y", "ny", "iy", "py")
+    pairs = left.join(right, "k").where((F.col("x") < F.col("y")) & (F.col("px") != F.col("py")) & sized(per_cent) & early(per_cent))
+    pairs = pairs.groupBy("x", "y").agg(F.countDistinct("k.ord").alias("orders")).where(F.col("orders") == ORDERS).select("x", "y")
     pairs = cut(pairs.join(stars, ["x", "y"], "left_anti"))
     more = links(docs, classes, pairs, words, per_cent)
     return known.unionByName(more).select("a", "b")
 
 
+def sized(per_cent: int) -> Column:
+    """Whether sets of nx and ny tokens can link at all."""
+    return (F.col("nx") * 100 >= F.col("ny") * per_cent) & (F.col("ny") * 100 >= F.col("nx") * per_cent)
+
+
+def least_common(per_cent: int) -> Column:
+    """How many tokens linked sets of nx and ny tokens have in common at least."""
+    return F.expr(f"({per_cent} * (nx + ny) + {99 + per_cent}) div {100 + per_cent}")
+
+
+def early(per_cent: int) -> Column:
+    """Whether a shared token, ix-th and iy-th from 0 under an order, is early enough to be the first one of linked sets.
+
+    If the first common token were later in either set, less than least_common would be left from there on.
+    """
+    return (F.col("ix") <= F.col("nx") - least_common(per_cent)) & (F.col("iy") <= F.col("ny") - least_common(per_cent))
+
+
+def shared_at_least(per_cent: int) -> Column:
+    """How many prefix tokens sets of nx and ny tokens share if they link, under any order.
+
+    Up to the smaller of the two last prefix tokens both prefixes hold all there is, and that is the whole prefix of one
+    set. What comes after it in that set can be common too, nothing else: common <= shared + n - prefix_length(n).
+    """
+    rest = lambda n: F.expr(f"({per_cent} * {n} + 99) div 100 - 1")  # noqa: E731  n - prefix_length(n)
+    return F.greatest(F.lit(1), least_common(per_cent) - F.greatest(rest("nx"), rest("ny")))
+
+
 def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, per_cent: int) -> DataFrame:
     """(x, y, a, b) for the pairs (x, y) of set names whose whole sets link; a and b are the least documents of both."""
     names = pairs.select(F.col("x").alias("s1")).unionByName(pairs.select(F.col("y").alias("s1"))).distinct()
