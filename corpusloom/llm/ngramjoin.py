@@ -237,8 +237,10 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, per
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                held = [t.astype("<u8").tobytes() for t in shingle_sets(part["text"], words)]
-                yield pa.RecordBatch.from_arrays([part["s1"], part["doc_id"], pa.array(held, pa.binary())], ["s1", "rep", "t"])
+                sets = list(shingle_sets(part["text"], words))
+                # a doc_id that repeats may carry other texts too
+                own = pa.array([set_names(t)[0] == s for t, s in zip(sets, part["s1"].to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part["s1"], part["doc_id"], pa.array([t.astype("<u8").tobytes() for t in sets], pa.binary())], ["s1", "rep", "t"]).filter(own)
 
     held = texts.select("s1", "doc_id", "text").mapInArrow(tokens, "s1 long, rep long, t binary")
     held = cut(held.groupBy("s1", "rep").agg(F.first("t").alias("t")))
