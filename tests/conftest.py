@@ -3,6 +3,7 @@ import sys
 import tempfile
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
@@ -44,6 +45,6 @@ def duck(data):
 def same_rows(got, want) -> None:
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    clean = lambda v: None if v is None or v != v else float(v) if isinstance(v, float) else str(v)
+    clean = lambda v: None if pd.isna(v) else float(v) if isinstance(v, float) else str(v)
     rows = lambda df: sorted([tuple(map(clean, r)) for r in df[columns].itertuples(index=False)], key=str)
     assert rows(got) == rows(want)
