@@ -268,13 +268,13 @@ def plan_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH p(ord, qtype, share) AS (VALUES {values([(i, t, s) for i, (t, s) in enumerate(quota.PROFILES["balanced"])])}),
-t AS (SELECT c_nationkey::BIGINT AS sec, count(*) AS total FROM customer GROUP BY c_nationkey),
+t AS (SELECT c_nationkey::BIGINT AS sec, 10 * count(*) AS total FROM customer GROUP BY c_nationkey),
 f AS (SELECT sec, total, qtype, floor(total * share::DOUBLE)::BIGINT AS n, row_number() OVER (PARTITION BY sec ORDER BY share DESC, ord) AS nth FROM t, p),
 g AS (SELECT *, total - sum(n) OVER (PARTITION BY sec) AS rest FROM f)
 SELECT sec, qtype, n + CASE WHEN nth <= rest THEN 1 ELSE 0 END AS n FROM g WHERE n + CASE WHEN nth <= rest THEN 1 ELSE 0 END > 0""")
 def apportion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question types shared out over the customers of each nation, as totals large enough that no type has to take one."""
-    totals = read_table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("sec")).agg(F.count("*").alias("total"))
+    """Question types shared out over ten times the customers of each nation: totals so large that no type has to take one."""
+    totals = read_table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("sec")).agg((10 * F.count("*")).alias("total"))
     shares = totals.select("sec").crossJoin(F.broadcast(quota.profile_rows(totals).where("profile = 'balanced'").drop("profile")))  # five rows
     return quota.apportioned(shares, totals)
 
