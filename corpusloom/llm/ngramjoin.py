@@ -21,6 +21,10 @@ LEADERS = 24
 BLOCK_BYTES = 2_000_000
 #: Counters of the frequency sketch, a fixed size. It only orders tokens; any order gives the same links.
 COUNTERS, SLICES = 1 << 21, 64
+#: Bits of a set's parity map, in longs of 64.
+LONGS = 8
+#: Names of sets that a task remembers, so that it hands on copies of a text once; the rest are merged later.
+REMEMBERED = 200_000
 #: Ids of documents to fetch are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 200_000
 
@@ -65,6 +69,15 @@ def set_names(tokens: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(a).astype(np.int64)), int(np.bitwise_xor.reduce(mix(a)).astype(np.int64))
 
 
+def parity_map(tokens: np.ndarray) -> np.ndarray:
+    """LONGS longs whose bits say for each of 64 * LONGS cells whether it holds an odd number of tokens.
+
+    Common tokens cancel out, so the maps of two sets differ in at most as many bits as the sets have tokens not common.
+    """
+    cells = (mix(tokens ^ TURNS[20]) % np.uint64(64 * LONGS)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=64 * LONGS) & 1).astype(np.uint8)).view("<i8")
+
+
 def prefix_length(n: int, per_cent: int) -> int:
     """So many of n tokens, by any order, hold a common one with every partner that can link."""
     return n - -(-per_cent * n // 100) + 1
@@ -118,10 +131,15 @@ def ngram_components(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CE
     sketch counter last and differ in the rest, so a pair must meet under each of them before it is verified.
 
     Their first common token must come early in both (early), and how many prefix tokens they share is bounded from below
-    (shared_at_least); both drop most chance meetings. Large groups of near copies would give all their pairs, so links are sought in two turns. First
-    every posting list links its members to its LEADERS least members only; what is verified merges into components. Then only
-    pairs of different components are listed, counted under each order, and verified. A pair that is never listed lies within a component,
-    so the components are those of all links. Verification compares whole sets.
+    (shared_at_least); both drop most chance meetings. Parity maps bound from
+    below how many tokens are not common (close), which drops most pairs just under the threshold before they are verified.
+
+    Large groups of near copies would give all their pairs, so links are sought in two turns. First every posting list
+    links its members to its LEADERS least members only; what is verified merges into components. That takes every pair of
+    a list with few members, and of a longer list every pair with a leader, so a pair shares at most as many more tokens
+    as either member has places beyond the leaders of such lists. Then, in those, members outside a list's largest component meet those of other components, and only pairs that
+    meet under each order are verified. A pair that is never listed lies within a component, so the components are those
+    of all links. Verification compares whole sets.
 
     A text without words, empty or null has no shingles, links with nothing and is its own component; rows that repeat a
     doc_id are one node; a null doc_id keeps its count and links through its class, and is never a component's id unless
@@ -131,17 +149,19 @@ def ngram_components(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CE
 
     def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(t), *set_names(t)) for t in shingle_sets(batch["text"], words)]
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "n", "s1", "s2"])
-
-    sets = cut(docs.mapInArrow(slim, "doc_id long, n long, s1 long, s2 long"))
-    classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
+            rows = [(len(t), *set_names(t), parity_map(t)) for t in shingle_sets(batch["text"], words)]
+            n, a, b, maps = zip(*rows, strict=True) if rows else ((), (), (), ())
+            bits = np.array(maps, np.int64).reshape(len(rows), LONGS)
+            columns = [pa.array(x, pa.int64()) for x in (n, a, b, *bits.T)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n", "s1", "s2", *maps_of()])
+
+    sets = cut(docs.mapInArrow(slim, ", ".join(f"{c} long" for c in ("doc_id", "n", "s1", "s2", *maps_of()))))
+    classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in maps_of()))
     edges = verified_links(docs, classes, frequency_classes(docs, words), words, per_cent)
     parts = connected_components(edges.unionByName(classes.where("rep is not null").select(F.col("rep").alias("a"), F.col("rep").alias("b"))))
     # a component's id is its least document, and a class's least document is in the class
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select(F.col("s1").bitwiseXOR(F.col("s2")).alias("x"), "s2", F.col("n").alias("_n"), "component")
-    every = sets.withColumn("x", F.col("s1").bitwiseXOR(F.col("s2")))
+    every = sets.select("doc_id", "n", "s2", F.col("s1").bitwiseXOR(F.col("s2")).alias("x"))
     out = every.join(named, (every["x"] == named["x"]) & (every["s2"] == named["s2"]) & (every["n"] == named["_n"]), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -151,12 +171,16 @@ def verified_links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, word
     frequent = docs.sparkSession.sparkContext.broadcast(sketch)  # COUNTERS bytes
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fuller = frequent.value
+        fuller, seen = frequent.value, set()
         for batch in batches:
             rows: list[tuple] = []
             for t in shingle_sets(batch["text"], words):
-                if len(t):
-                    p, s1 = prefix_length(len(t), per_cent), set_names(t)[0]
+                name = set_names(t)
+                if len(t) and name not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(name)
+                    p, s1 = prefix_length(len(t), per_cent), name[0]
                     late = fuller[(t >> np.uint64(43)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
                     for order in range(ORDERS):
                         key = late | (mix(t ^ TURNS[8 + order]) >> np.uint64(8))
@@ -178,21 +202,40 @@ def verified_links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, word
     rows = docs.select("text").mapInArrow(prefixes, "ord int, s1 long, n int, tokens array<long>")
     rows = rows.select("ord", "s1", "n", F.posexplode("tokens").alias("pos", "token"))
     own = Window.partitionBy("token", "ord")
+    size = lambda step: F.lag("n", step).over(own.orderBy("n"))
+    rows = rows.withColumn("under", size(1)).withColumn("over", size(-1))
+    # the members next in size cannot link with it, so none of this list can
+    rows = rows.where(f"under * 100 >= n * {per_cent} or n * 100 >= over * {per_cent}").drop("under", "over")
     rows = rows.withColumn("nth", F.dense_rank().over(own.orderBy("s1"))).withColumn("members", F.max("nth").over(own)).where("members > 1")
-    live = cut(rows.groupBy("token", "ord", "s1", "n", "pos").agg(F.min("nth").alias("nth")).withColumn("k", F.struct("token", "ord")).drop("token", "ord"))
-    leaders = live.where(F.col("nth") <= LEADERS).select("k", F.col("s1").alias("x"), F.col("n").alias("nx"), F.col("nth").alias("mth"))
-    stars = live.select("k", F.col("s1").alias("y"), F.col("n").alias("ny"), "nth").join(leaders, "k").where((F.col("mth") < F.col("nth")) & sized(per_cent))
-    stars = stars.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"))
-    stars = cut(stars.where(F.col("c") >= shared_at_least(per_cent)).select("x", "y").distinct())
+    live = rows.groupBy("token", "ord", "s1", "n", "pos").agg(F.min("nth").alias("nth"), (F.max("members") > LEADERS + 1).alias("long"))
+    live = cut(live.withColumn("k", F.struct("token", "ord")).drop("token", "ord"))
+    leaders = live.where(F.col("nth") <= LEADERS).select("k", F.col("s1").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("ix"), F.col("nth").alias("mth"))
+    stars = live.select("k", F.col("s1").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("iy"), "nth").join(leaders, "k").where((F.col("mth") < F.col("nth")) & sized(per_cent))
+    orders = range(ORDERS)
+    stars = stars.groupBy("x", "y", "nx", "ny").agg(F.max(early(per_cent)).alias("soon"), *(F.count_if(F.col("k.ord") == o).alias(f"c{o}") for o in orders)).where("soon")
+    inside = cut(live.where(F.col("long") & (F.col("nth") > LEADERS)).groupBy("s1").agg(*(F.count_if(F.col("k.ord") == o).alias(f"in{o}") for o in orders)))
+    few = inside.count() <= BROADCAST_IDS
+    for s in "xy":
+        own = inside.toDF(s, *(f"{s}in{o}" for o in orders))
+        stars = stars.join(F.broadcast(own) if few else own, s, "left")
+    for o in orders:  # a list that both are in is missing here only if both are in it beyond its leaders
+        stars = stars.where(F.col(f"c{o}") + F.expr(f"least(coalesce(xin{o}, 0), coalesce(yin{o}, 0))") >= shared_at_least(per_cent))
+    maps = classes.select("s1", *maps_of())
+    stars = stars.select("x", "y", "nx", "ny").join(maps.toDF("x", *maps_of("x")), "x").join(maps.toDF("y", *maps_of("y")), "y").where(close(per_cent))
+    stars = cut(stars.select("x", "y").distinct())
     known = cut(links(docs, classes, stars, words, per_cent))
     parts = connected_components(known.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    joined = live.join(parts.withColumnRenamed("node", "s1"), "s1", "left").select("k", "s1", "n", "pos", F.coalesce("component", "s1").alias("part"))
-    mixed = joined.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("k")
-    open_rows = even_join(joined, mixed, "k").select("k", "s1", "n", "pos", "part")
-    left, right = open_rows.toDF("k", "x", "nx", "ix", "px"), open_rows.toDF("k", "y", "ny", "iy", "py")
-    pairs = left.join(right, "k").where((F.col("x") < F.col("y")) & (F.col("px") != F.col("py")) & sized(per_cent) & early(per_cent))
-    pairs = pairs.groupBy("x", "y").agg(F.countDistinct("k.ord").alias("orders")).where(F.col("orders") == ORDERS).select("x", "y")
-    pairs = cut(pairs.join(stars, ["x", "y"], "left_anti"))
+    joined = live.where(F.col("long") & (F.col("nth") > LEADERS)).join(parts.withColumnRenamed("node", "s1"), "s1", "left").select("k", "s1", "n", "pos", F.coalesce("component", "s1").alias("part"))
+    sizes = joined.groupBy("k", "part").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("k").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    open_rows = even_join(joined, mixed, "k").join(maps, "s1").select("k", "s1", "n", "pos", "part", "main", *maps_of())
+    left = open_rows.where("part <> main").drop("main").toDF("k", "x", "nx", "ix", "px", *maps_of("x"))
+    right = open_rows.toDF("k", "y", "ny", "iy", "py", "main", *maps_of("y"))
+    once = (F.col("py") == F.col("main")) | (F.col("x") < F.col("y"))
+    pairs = left.join(right, "k").where((F.col("px") != F.col("py")) & once & sized(per_cent) & early(per_cent) & close(per_cent))
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "k.ord")
+    pairs = pairs.groupBy("x", "y").agg(F.countDistinct("ord").alias("orders")).where(F.col("orders") == ORDERS).select("x", "y")
+    pairs = cut(pairs.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
     more = links(docs, classes, pairs, words, per_cent)
     return known.unionByName(more).select("a", "b")
 
@@ -207,6 +250,16 @@ def least_common(per_cent: int) -> Column:
     return F.expr(f"({per_cent} * (nx + ny) + {99 + per_cent}) div {100 + per_cent}")
 
 
+def maps_of(side: str = "") -> list[str]:
+    return [f"{side}map{i}" for i in range(LONGS)]
+
+
+def close(per_cent: int) -> Column:
+    """Whether the parity maps differ in no more bits than linked sets of nx and ny tokens have tokens not common."""
+    differ = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(maps_of("x"), maps_of("y"), strict=True)), F.lit(0))
+    return differ <= F.col("nx") + F.col("ny") - 2 * least_common(per_cent)
+
+
 def early(per_cent: int) -> Column:
     """Whether a shared token, ix-th and iy-th from 0 under an order, is early enough to be the first one of linked sets.
 
