@@ -13,6 +13,10 @@ from corpusloom.llm.quality import quality_scores, train
 from corpusloom.llm.secrets import mask_secrets
 
 
+#: Near copies, apart from op6's contract: two documents link when this share of their shingles of so many words is common.
+NEAR_WORDS, NEAR_PER_CENT = 5, 80
+
+
 def recounted(docs: DataFrame) -> DataFrame:
     """n_chars, where there is one, follows the text."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -32,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; documents without an id stay."""
-    others = ngram_components(docs).where("component_id < doc_id").select("doc_id").distinct()
+    others = ngram_components(docs, words=NEAR_WORDS, per_cent=NEAR_PER_CENT).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -268,6 +268,42 @@ def test_ngram_join(docs, empty):
     assert [g[:2] for g in got if g[0] is None] == [(None, 1)] and ngramjoin.ngram_components(empty).count() == 0
 
 
+def test_near_duplicates_stage(spark):
+    """Near copies by five words at 0.8, against all pairs; some of them do not link by three words at 0.9."""
+    import corpus_pipeline as cp
+
+    rnd = random.Random(11)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(12):
+        text = fresh(400)
+        rows.append((10 * g, text))
+        for j, k in enumerate((7, 8, 12), 1):
+            other = list(text)
+            for at in rnd.sample(range(0, 400, 6), k):
+                other[at] = "zz%d" % rnd.randrange(10**6)
+            rows.append((10 * g + j, other))
+        rows += [(10 * g + 4 + j, text + fresh(k)) for j, k in enumerate((50, 80, 130))]
+    rows += [(1000 + i, t.split()) for i, t in enumerate(["", "a", "a b c d", "A b c d", "a b c d e", "a b c d e f"])] + [(None, rows[0][1])]
+    sets = [(i, frozenset(zip(*(x[k:] for k in range(5)), strict=False)) if len(x) > 4 else frozenset([tuple(x)] if x else [])) for i, x in ((i, [w.lower() for w in x]) for i, x in rows)]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if x and y and None not in (i, j) and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id for r in cp.near_duplicates(spark, d, "").collect()), key=lambda i: (i is not None, i or 0))
+    kept = [i for i in root if find(i) == i]
+    assert got == sorted(kept, key=lambda i: (i is not None, i or 0)) and 20 < len(kept) < len(rows) - 40
+
+
 # ---- 7, 8
 
 
