@@ -10,42 +10,48 @@ def lines_of(text: str = "text"):
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
+def hash_of(text: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def repeated_windows(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, pos) of every window of width lines whose text also starts at a smaller (doc_id, pos).
+    """(doc_id, text_hash, pos) of every window of width lines whose text also starts at a smaller such place.
 
     Windows are named by two 64-bit hashes. A name's first place comes from an aggregation with partial results, so a
     window that very many documents share arrives as one row a task; the join back is between two plain shuffles, which
     adaptive execution can split where one name is frequent.
     """
-    lines = docs.select("doc_id", lines_of().alias("lines"))
+    place = ["doc_id", "text_hash", "pos"]
+    lines = docs.select("doc_id", hash_of().alias("text_hash"), lines_of().alias("lines"))
     at = F.transform(
         F.sequence(F.lit(0), F.size("lines") - width),
         lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("lines", i + 1, width), "\n").alias("s")),
     )
-    windows = lines.where(F.size("lines") >= width).select("doc_id", F.inline(at)).where(F.trim(F.translate("s", "\n\r\t", "   ")) != "")
-    windows = windows.select("doc_id", "pos", F.xxhash64(F.lit(1), "s").alias("h1"), F.xxhash64(F.lit(2), "s").alias("h2"))
-    seen = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    windows = lines.where(F.size("lines") >= width).select("doc_id", "text_hash", F.inline(at)).where(F.trim(F.translate("s", "\n\r\t", "   ")) != "")
+    windows = windows.select(*place, F.xxhash64(F.lit(1), "s").alias("h1"), F.xxhash64(F.lit(2), "s").alias("h2"))
+    seen = windows.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1")
     seen = seen.select(F.col("h1").bitwiseXOR(F.col("h2")).alias("x"), "h2", "first")
-    windows = windows.select("doc_id", "pos", F.col("h1").bitwiseXOR(F.col("h2")).alias("x"), "h2")
-    return windows.join(seen, ["x", "h2"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
+    windows = windows.select(*place, F.col("h1").bitwiseXOR(F.col("h2")).alias("x"), "h2")
+    return windows.join(seen, ["x", "h2"]).where(F.struct(*place) > F.col("first")).select(*place)
 
 
 def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     """docs with text replaced by what is left, plus n_lines, n_removed and n_spans.
 
-    Every run of width consecutive lines is a window; a window that occurs again at a larger (doc_id, position) is
-    removed there. Windows overlap, so the covered positions of a document are merged into spans of lines first. Each
+    Every run of width consecutive lines is a window; a window that occurs again at a larger (doc_id, text hash,
+    position) is removed there. Windows overlap, so the covered positions of a document are merged into spans of lines first. Each
     line that goes also stands at a smaller place, hence the first copy of every line's text stays.
 
     Lines end at a line feed and are compared exactly. Windows of blank lines only are left alone, as are documents of
     fewer than width lines; a null text stays null with n_lines 0 and an empty one has one empty line; rows that repeat
-    a doc_id count as the same document; a null doc_id sorts first. Other columns pass through; columns named n_lines,
+    doc_id and text count as the same document, and rows of one doc_id (or of none) with different texts as different
+    ones in the order of their texts' hashes; a null doc_id sorts first. Other columns pass through; columns named n_lines,
     n_removed or n_spans are replaced.
     """
-    later = repeated_windows(docs, width).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("pos")).alias("_ps"))
+    later = repeated_windows(docs, width).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_set("pos")).alias("_ps"))
     out = docs.drop("n_lines", "n_removed", "n_spans")
     kept_columns = out.columns
-    out = out.join(later, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    out = out.withColumn("_text_hash", hash_of()).join(later, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     before = F.filter("_ps", lambda p, i: (i == 0) | (F.get("_ps", i - 1) + width < p))
     after = F.filter("_ps", lambda p, i: (i == F.size("_ps") - 1) | (F.get("_ps", i + 1) > p + width))
     out = out.withColumn("_lines", F.when(F.col("text").isNotNull(), lines_of())).withColumns({"_starts": before, "_ends": F.transform(after, lambda p: p + width)})

@@ -131,6 +131,26 @@ def test_line_dedup(docs, empty):
     assert any(w[3] for w in want) and linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """Rows of one id, or of none, with different texts of different lengths are different documents."""
+    ls = lambda *names: "\n".join(f"line {x}" for x in names)
+    rows = [(None, ls(*"abcdefghij")), (None, ls(*"uvwxyzdef")), (None, ls("u")), (None, ls(*"klmnopqrst")), (None, ls(*"klmno")), (5, ls(*"ABCDEFGHIJabc")), (5, ls(*"KLMABC")), (5, ls(1, 2, 3)), (5, None), (9, ls(*"uvwAB")), (9, ls(*"uvwAB"))]
+    name = {r.text: r.h for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    place = lambda i, t: (i is not None, i or 0, name[t])
+    windows = lambda t: [tuple(t.split("\n")[p : p + 3]) for p in range(t.count("\n") - 1)]
+    first = {}
+    for i, t in rows:
+        for p, w in enumerate(windows(t) if t else []):
+            first[w] = min(first.get(w, (*place(i, t), p)), (*place(i, t), p))
+    want = []
+    for i, t in rows:
+        gone = {p + k for p, w in enumerate(windows(t) if t else []) if first[w] < (*place(i, t), p) for k in range(3)}
+        want.append((i, None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone), len(gone)))
+    got = [(r.doc_id, r.text, r.n_removed) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert sum(w[2] for w in want) == 20 and {x for _, t in rows for x in (t or "").split("\n")} == {x for _, t, _ in got for x in (t or "").split("\n")} | {""}
+
+
 # ---- 3
 
 
