@@ -53,7 +53,7 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     """query_id, rank, vec_id, score: the k highest inner products of each query's vector with all other vectors.
 
     Components become floor(scale * x), so scores are whole numbers and exact. Every vector joins the group of its
-    nearest pivot. From a group's summary (size, radius) follow bounds of what its members can score with a query: those
+    nearest pivot. From a group's summary (distinct ids, radius) follow bounds of what its members can score with a query: those
     of the best groups give a score that k vectors reach for sure, and groups that cannot reach it get no copy of the
     query. Queries and data travel in packs of bounded size, a pack of queries to every pack of the groups it needs, and
     each pair is solved by one product of matrices; of its results only k a query go on.
@@ -87,7 +87,9 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     placed = rows.mapInArrow(assigned, "vec_id long, is_query boolean, cell int, far double, v binary")
     sums = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.sum(F.col("is_query").cast("int")).alias("q")).collect()}  # one row a pivot
     cells = np.array(sorted(sums))
-    size, radius = np.array([sums[c].n for c in cells]), np.array([sums[c].radius for c in cells]) * (1 + 1e-9) + 1e-6
+    # a repeated vec_id is one vector, counted in one of its groups
+    ids = {r.cell: r.n for r in placed.groupBy("vec_id").agg(F.min("cell").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    size, radius = np.array([ids.get(c, 0) for c in cells]), np.array([sums[c].radius for c in cells]) * (1 + 1e-9) + 1e-6
 
     def slot(counts: dict[int, int], most: int) -> Column:
         parts = F.create_map(*[F.lit(int(x)) for c in cells for x in (c, -(-counts[c] // most) or 1)])
@@ -120,7 +122,8 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
         for batch in batches:
             for q_ids, qs, ids, vs in zip(*(batch[c] for c in ("q_ids", "qs", "ids", "vs")), strict=True):
                 a, b = np.frombuffer(q_ids.as_py(), "<i8"), np.frombuffer(ids.as_py(), "<i8")
-                row, col, score = best(fixed(qs.as_py(), len(a)), a, fixed(vs.as_py(), len(b)), b, k)
+                most = int(np.unique(b, return_counts=True)[1].max())  # so many rows can be one vec_id
+                row, col, score = best(fixed(qs.as_py(), len(a)), a, fixed(vs.as_py(), len(b)), b, k * most)
                 yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[col]), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
 
     pairs = asked.join(data, "cell").select("q_ids", "qs", "ids", "vs")

@@ -359,6 +359,25 @@ def test_top_k(embeddings, spark):
     assert [r.vec_id for r in vectors.voronoi_top_k(big.select("vec_id", (F.transform("embedding", lambda x: x / 1e6)).alias("embedding")), F.col("vec_id") == 2).orderBy("rank").collect()] == [0, 1]
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_top_k_of_repeated_ids(spark, same):
+    """Every vec_id has several rows, alike or not; each counts once with its best score."""
+    rnd = np.random.default_rng(9)
+    base = rnd.normal(size=(60, 8))
+    rows = [(i, (base[i] * (1 if same else 1 + r / 50)).astype("f4").tolist()) for i in range(60) for r in range(7)]
+    whole = [(i, np.floor(256 * np.array(v, "f4").astype(float)).astype(int)) for i, v in rows]
+    want = []
+    for q in range(0, 60, 10):
+        score = collections.defaultdict(lambda: -(10**18))
+        for _, x in (w for w in whole if w[0] == q):
+            for i, y in whole:
+                if i != q:
+                    score[i] = max(score[i], int(x @ y))
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted((-s, i) for i, s in score.items())[:5])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, vectors.voronoi_top_k(d, F.col("vec_id") % 10 == 0).collect())) == sorted(want)
+
+
 def test_near_vectors(embeddings):
     rows = [(i, np.array(v, "f4").astype(float), c) for i, v, c in vector_rows() if sound(v) and any(v) and c is not None]
     links, root = collections.Counter(), {i: i for i, _, _ in vector_rows()}
