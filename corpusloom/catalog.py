@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.vectors import cosine
-from .operators import chunking, dedup, gate, render, retrieval, stats, store
+from .operators import assembly, chunking, dedup, gate, render, retrieval, stats, store
 from .plans import quota
 from .sources.tables import as_json, corpus, read_table
 from .streaming import events as ev
@@ -102,7 +102,8 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.substring_search(corpus(spark, sf_dir), items)
 
 
-@query(f"""WITH {CORPUS}, c(ord, term) AS (VALUES {values(list(enumerate(CHAPTERS)))}), k(ord, term) AS (VALUES {values(list(enumerate(KEYWORDS)))}),
+def tiered_sql(chapters: tuple, keywords: tuple) -> str:
+    return f"""WITH {CORPUS}, c(ord, term) AS (VALUES {values(list(enumerate(chapters)))}), k(ord, term) AS (VALUES {values(list(enumerate(keywords)))}),
 t1 AS (SELECT id, chapter, 0.9::DOUBLE AS relevance, ord, row_number() OVER (PARTITION BY ord ORDER BY length(content), id) AS rn FROM corpus JOIN c ON contains(lower(chapter), lower(term))),
 t2 AS (SELECT id, chapter, 0.8::DOUBLE AS relevance, ord, row_number() OVER (PARTITION BY ord ORDER BY length(content), id) AS rn FROM corpus JOIN k ON contains(lower(content), lower(term))),
 main AS (SELECT id, arg_min(chapter, seq) AS chapter, arg_min(relevance, seq) AS relevance, min(seq) AS seq FROM (
@@ -112,11 +113,20 @@ spare AS (SELECT id, chapter, 0.4::DOUBLE AS relevance, 200 + row_number() OVER
 found AS (SELECT id, arg_min(chapter, seq) AS chapter, arg_min(relevance, seq) AS relevance, min(seq) AS seq FROM (SELECT * FROM main UNION ALL SELECT * FROM spare) GROUP BY id),
 diverse AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY relevance DESC, seq) AS rn FROM found),
 kept AS (SELECT id, chapter, relevance, row_number() OVER (ORDER BY relevance DESC, seq) AS pos FROM diverse WHERE rn = 1 OR relevance > 0.8)
-SELECT CAST(pos AS INTEGER) AS pos, id, chapter, relevance FROM kept WHERE pos <= 8""")
+SELECT CAST(pos AS INTEGER) AS pos, id, chapter, relevance FROM kept WHERE pos <= 8"""
+
+
+@query(tiered_sql(CHAPTERS, KEYWORDS))
 def tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.tiered_search(corpus(spark, sf_dir), KEYWORDS, CHAPTERS, "en")
 
 
+@query(tiered_sql(("no such chapter",), ("no such word anywhere",)))
+def tiered_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing matches, so that three texts of the subject stand in."""
+    return retrieval.tiered_search(corpus(spark, sf_dir), ["no such word anywhere"], ["no such chapter"], "en")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("chapter"), F.when(F.col("label") % 2 == 0, "Science").otherwise("History").alias("subject"), (F.col("vec_id") % 2).cast("string").alias("grade"), "embedding")
 
@@ -151,16 +161,16 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {VECTORS}, {CORPUS}, a AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 AS r1, s AS s1 FROM (SELECT id, round(list_cosine_similarity(e, {PROBE_SQL}), 6) AS s FROM v) QUALIFY r1 < 60),
-b AS (SELECT id, row_number() OVER (ORDER BY length(content), id) - 1 AS r2 FROM corpus WHERE contains(lower(content), 'the') AND id < 500 QUALIFY r2 < 60),
+b AS (SELECT id, row_number() OVER (ORDER BY length(content), id) - 1 AS r2 FROM corpus WHERE contains(lower(content), 'the') QUALIFY r2 < 60),
 f AS (SELECT coalesce(a.id, b.id) AS id, r1, r2, round(coalesce(1.0::DOUBLE / (61 + r1), 0) + coalesce(1.0::DOUBLE / (61 + r2), 0), 9) AS rrf_score, CASE WHEN r2 IS NOT NULL THEN 0.6::DOUBLE ELSE s1 END AS similarity,
 CASE WHEN r2 IS NOT NULL THEN 'keyword' ELSE 'vector' END AS source FROM a FULL JOIN b ON a.id = b.id)
 SELECT id, rrf_score, similarity, source, CAST(row_number() OVER (ORDER BY rrf_score DESC, r1 NULLS LAST, r2 NULLS LAST) AS INTEGER) AS pos FROM f""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lists of 60: nearest vectors, and the shortest texts with a word among the ids that vectors have at every size."""
+    """Two lists of 60: nearest vectors, and the shortest texts of all that have a word."""
     near = vectors(spark, sf_dir).select("id", F.round(cosine("embedding", F.array(*map(F.lit, PROBE))), 6).alias("similarity"), F.lit(1).alias("one"))
     near = retrieval.first_rows(near, ["one"], [F.desc("similarity"), "id"], 60, "rank").select("id", (F.col("rank") - 1).alias("rank"), "similarity")
-    hits = corpus(spark, sf_dir).where(tx.contains(F.col("content"), "the") & (F.col("id") < 500)).withColumn("one", F.lit(1))
-    hits = retrieval.first_rows(hits, ["one"], [F.length("content"), "id"], 60, "rank").select("id", (F.col("rank") - 1).alias("rank"), F.lit(0.6).alias("similarity"))
+    hits = corpus(spark, sf_dir).where(tx.contains(F.col("content"), "the")).select("id", F.length("content").alias("chars"), F.lit(1).alias("one"))
+    hits = retrieval.first_rows(hits, ["one"], ["chars", "id"], 60, "rank").select("id", (F.col("rank") - 1).alias("rank"), F.lit(0.6).alias("similarity"))
     return retrieval.rrf_fusion(near, hits)
 
 
@@ -179,19 +189,16 @@ def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.resolve_names(read_table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), REQUESTED)
 
 
-#: Word boundaries beside accented letters differ between engines, so this query drops the accents first.
-ACCENTS = "éèêàâîïôûçäöüßñáíóúÉÈÊÑÍÓÚÁÄÖÜ"
-PLAIN = "eeeaaiioucaousnaiouEEENIOUAAOU"
 DICTIONARY = (("carbon", "Chemistry"), ("acid", "Chemistry"), ("force", "Physics"), ("eye", "Physics"), ("that", "Grammar"), ("tion", "Suffixes"), ("thing", "Grammar"))
 
 
-@query(f"""WITH d(term, chapter) AS (VALUES {values(list(DICTIONARY))}), q AS (SELECT item_id AS qid, substring(trim(translate(text, '{ACCENTS}', '{PLAIN}')), 1, 500) AS question FROM benchmark),
+@query(f"""WITH d(term, chapter) AS (VALUES {values(list(DICTIONARY))}), q AS (SELECT item_id AS qid, substring(trim(text), 1, 500) AS question FROM benchmark),
 hits AS (SELECT qid, list_sort(list(DISTINCT chapter))[1:5] AS chapters FROM q JOIN d ON contains(lower(question), term) GROUP BY qid)
-SELECT q.qid, array_to_string([w FOR w IN regexp_extract_all(lower(question), '[a-z0-9_]+') IF regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({", ".join(f"'{w}'" for w in tx.QUESTION_STOP_WORDS)})], ' ') AS keywords,
+SELECT q.qid, array_to_string([w FOR w IN regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+') IF regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({", ".join(f"'{w}'" for w in tx.QUESTION_STOP_WORDS)})], ' ') AS keywords,
 coalesce(array_to_string(chapters, '|'), '') AS chapters, regexp_matches(question, '[\\x{{0900}}-\\x{{097F}}]') AS has_devanagari FROM q LEFT JOIN hits ON q.qid = hits.qid""")
 def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.createDataFrame(list(DICTIONARY), "term string, chapter string")
-    return retrieval.analyze_questions(read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.translate("text", ACCENTS, PLAIN).alias("question")), d)
+    return retrieval.analyze_questions(read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")), d)
 
 
 # ---- ingestion
@@ -206,7 +213,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "k", F.md5("chunk").alias("digest"), F.size(F.split("chunk", " ")).alias("words"))
 
 
-@query("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), chr(0), ''), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'))) AS digest FROM pages""")
+@query("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), chr(0), ''), '\\n\\s*\\n\\s*\\n\\s*', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'))) AS digest FROM pages""")
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", F.md5(tx.clean_text(tx.strip_tags(F.col("html")))).alias("digest"))
 
@@ -267,23 +274,43 @@ def plan_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.distributions(sections(spark)).select("sec", "ord", "qtype", F.round("share", 9).alias("share"))
 
 
-@query(f"""WITH p(ord, qtype, share) AS (VALUES {values([(i, t, s) for i, (t, s) in enumerate(quota.PROFILES["balanced"])])}),
-t AS (SELECT c_nationkey::BIGINT AS sec, 10 * count(*) AS total FROM customer GROUP BY c_nationkey),
-f AS (SELECT sec, total, qtype, floor(total * share::DOUBLE)::BIGINT AS n, row_number() OVER (PARTITION BY sec ORDER BY share DESC, ord) AS nth FROM t, p),
-g AS (SELECT *, total - sum(n) OVER (PARTITION BY sec) AS rest FROM f)
-SELECT sec, qtype, n + CASE WHEN nth <= rest THEN 1 ELSE 0 END AS n FROM g WHERE n + CASE WHEN nth <= rest THEN 1 ELSE 0 END > 0""")
+#: Shares of a section in order of share, floors and one more each, and then, type by type, what an empty one takes from the
+#: fullest: the steps of apportionment after shares(sec, ord, qtype, share) and totals(sec, total).
+APPORTION = """floors AS (SELECT s.sec, total, qtype, floor(total * share)::BIGINT AS n, row_number() OVER (PARTITION BY s.sec ORDER BY share DESC, ord) AS nth FROM shares AS s JOIN totals AS t ON t.sec = s.sec),
+ones AS (SELECT sec, total, qtype, nth, n + CASE WHEN nth <= total - sum(n) OVER (PARTITION BY sec) THEN 1 ELSE 0 END AS n FROM floors),
+lists AS (SELECT sec, total, list(qtype ORDER BY nth) AS types, list(CAST(n AS BIGINT) ORDER BY nth) AS ns FROM ones GROUP BY sec, total),
+steps AS (SELECT sec, types, ns, 1 AS k, total >= len(types) AS fair FROM lists UNION ALL SELECT sec, types, CASE WHEN fair AND ns[k] = 0 AND list_max(ns) > 1 THEN
+  [CASE WHEN i = list_position(ns, list_max(ns)) THEN ns[i] - 1 WHEN i = k THEN 1 ELSE ns[i] END FOR i IN range(1, len(ns) + 1)] ELSE ns END, k + 1, fair FROM steps WHERE k <= len(ns)),
+counts AS (SELECT sec, unnest(types) AS qtype, unnest(ns) AS n FROM steps WHERE k = len(ns) + 1)"""
+
+
+@query(f"""WITH RECURSIVE p(ord, qtype, share) AS (VALUES {values([(i, t, s) for i, (t, s) in enumerate(quota.PROFILES["balanced"])])}),
+totals AS (SELECT c_nationkey::BIGINT AS sec, count(*) % 9 AS total FROM customer GROUP BY c_nationkey), shares AS (SELECT sec, ord, qtype, share::DOUBLE AS share FROM totals, p), {APPORTION}
+SELECT sec, qtype, n FROM counts WHERE n > 0""")
 def apportion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question types shared out over ten times the customers of each nation: totals so large that no type has to take one."""
-    totals = read_table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("sec")).agg((10 * F.count("*")).alias("total"))
+    """Question types shared out over totals of 0 to 8, so that types without a question take one."""
+    totals = read_table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("sec")).agg((F.count("*") % 9).alias("total"))
     shares = totals.select("sec").crossJoin(F.broadcast(quota.profile_rows(totals).where("profile = 'balanced'").drop("profile")))  # five rows
     return quota.apportioned(shares, totals)
 
 
-@query(None)
+PLAN = f"""{DISTRIBUTION}, totals AS (SELECT DISTINCT sec, quantity::BIGINT AS total FROM dist WHERE format <> 'assertion_reason'), shares AS (SELECT sec, ord, qtype, share FROM dist WHERE format <> 'assertion_reason'), {APPORTION},
+own AS (SELECT sec, format, nullif(levels, '') AS levels, quantity::BIGINT AS quantity FROM sections), named(qtype, levels) AS (VALUES {values(list(quota.LEVELS.items()))}),
+plan AS (SELECT sec, 'assertion_reason' AS qtype, quantity AS n, 'assertion_reason' AS format, coalesce(levels, '{quota.LEVELS["assertion_reason"]}') AS levels FROM own WHERE format = 'assertion_reason' UNION ALL
+  SELECT c.sec, c.qtype, c.n, CASE WHEN c.qtype = 'assertion_reason' THEN 'assertion_reason' WHEN c.qtype = 'numerical' AND own.format <> 'mcq' THEN 'short_answer' ELSE own.format END, coalesce(own.levels, named.levels)
+  FROM counts AS c JOIN own ON own.sec = c.sec JOIN named ON named.qtype = c.qtype WHERE c.n > 0)"""
+
+
+@query(f"WITH RECURSIVE {PLAN} SELECT sec, qtype, n, format, levels FROM plan")
 def generation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.generation_plan(sections(spark))
 
 
+@query(f"WITH RECURSIVE {PLAN} SELECT qtype, sum(n)::BIGINT AS n FROM plan GROUP BY qtype")
+def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.plan_summary(quota.generation_plan(sections(spark)))
+
+
 @query("""WITH r AS (SELECT o_orderkey AS req, CAST(o_orderkey % 61 AS BIGINT) AS total FROM orders), w AS (SELECT req, least(ceil(total * 1.30::DOUBLE)::BIGINT, total + 15) AS n FROM r),
 b AS (SELECT req, n, unnest(range(1, CAST(ceil(n / 12.0) AS BIGINT) + 1)) AS batch FROM w WHERE n > 0) SELECT req, batch, least(12, n - 12 * (batch - 1)) AS size FROM b""")
 def batch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,9 +348,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH q AS (SELECT conv_id AS req, turn AS pos, trim(text) AS text, CASE WHEN role = 'system' THEN 'short_answer' ELSE 'mcq' END AS format, turn % 5 <> 4 AS has, turn % 3 AS a, trim(reverse(text)) AS explanation FROM conversations),
 n AS (SELECT *, length(text) < 15 AS short, trim(regexp_replace(regexp_replace(lower(text), '\\$[^$]*\\$', '', 'g'), '\\s+', ' ', 'g')) AS norm FROM q),
 r AS (SELECT *, row_number() OVER (PARTITION BY req, short, norm ORDER BY pos) AS nth FROM n)
-SELECT coalesce(CASE WHEN short THEN 'short' WHEN nth > 1 THEN 'duplicate' WHEN length(explanation) < 30 THEN 'vague' WHEN format = 'mcq' AND NOT has THEN 'options' WHEN format = 'mcq' AND a = 0 THEN 'answer' END, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
+SELECT coalesce(CASE WHEN short THEN 'short' WHEN nth > 1 THEN 'duplicate' WHEN length(explanation) < 30 THEN 'vague' WHEN format = 'mcq' AND NOT has THEN 'options' WHEN format = 'mcq' AND a = 0 THEN 'answer' END, 'kept') AS reason, format, 'apply' AS bloom_level, 'medium' AS difficulty, 1 AS marks, count(*) AS n FROM r GROUP BY 1, 2""")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.quality_gate(questions(spark, sf_dir), "physics").groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return gate.quality_gate(questions(spark, sf_dir), "physics").groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason"), "format", "bloom_level", "difficulty", "marks").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id AS id, round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN length(text) > 80 AND length(text) < 400 THEN 0.2::DOUBLE ELSE 0::DOUBLE END + 0.3::DOUBLE * (doc_id % 10 / 10.0::DOUBLE))), 9) AS confidence FROM documents""")
@@ -340,9 +367,9 @@ def fallback_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CORPUS}, hits AS (SELECT item_id AS qid, id, chapter, content, row_number() OVER (PARTITION BY item_id ORDER BY id) AS pos FROM corpus JOIN benchmark ON contains(lower(content), lower(benchmark.text)))
 SELECT qid, string_agg('[' || pos || '] ' || chapter || ': ' || substring(content, 1, 400), chr(10) || chr(10) ORDER BY pos) AS context FROM hits WHERE pos <= 5 GROUP BY qid""")
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus(spark, sf_dir)
     asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    hits = retrieval.matches(rows, asked, tx.contains(F.col("content"), F.col("question")))
+    hits = retrieval.containing(corpus(spark, sf_dir).select("id", "chapter", "content"), "content", asked, "question")
+    hits = hits.select("qid", "id", "chapter", F.substring("content", 1, 400).alias("content"))
     return gate.build_context(retrieval.first_rows(hits, ["qid"], ["id"], 5, "pos"))
 
 
@@ -350,16 +377,16 @@ def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT item_id AS qid, coalesce(hits, 0) AS hits, CASE WHEN hits IS NULL THEN 'no matching text' END AS message, CASE WHEN hits IS NULL THEN 0.1::DOUBLE END AS confidence FROM benchmark LEFT JOIN h ON h.qid = item_id""")
 def no_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    hits = retrieval.matches(corpus(spark, sf_dir), asked, tx.contains(F.col("content"), F.col("question")))
+    hits = retrieval.containing(corpus(spark, sf_dir).select("id", "content"), "content", asked, "question")
     return gate.with_no_results(asked, hits)
 
 
-@query("""SELECT conv_id AS req, turn AS pos, CASE WHEN turn % 4 = 1 AND role <> 'user' THEN 'fixed' ELSE text END AS correct_answer, role AS explanation, CASE WHEN turn % 4 = 1 THEN 'needs_review' ELSE 'verified' END AS validation_status,
-CASE WHEN turn % 4 = 1 THEN 'wrong' END AS validation_notes FROM conversations""")
+@query("""SELECT conv_id AS req, turn AS pos, CASE WHEN turn % 4 = 1 AND role <> 'user' AND conv_id % 7 <> 3 THEN 'fixed' ELSE text END AS correct_answer, role AS explanation, CASE WHEN conv_id % 7 = 3 THEN 'needs_review' ELSE 'verified' END AS validation_status,
+CASE WHEN turn % 4 = 1 AND conv_id % 7 <> 3 THEN 'wrong' END AS validation_notes FROM conversations""")
 def apply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("req"), F.col("turn").alias("pos"), F.col("text").alias("correct_answer"), F.col("role").alias("explanation"))
     verdicts = rows.select("req", (F.col("pos") + 1).alias("index"), (F.col("pos") % 4 != 1).alias("valid"), F.when(F.col("explanation") == "user", "").otherwise("fixed").alias("fixed_correct_answer"), F.lit(None).cast("string").alias("fixed_explanation"), F.lit("wrong").alias("notes"))
-    return gate.apply_verdicts(rows, verdicts)
+    return gate.apply_verdicts(rows, verdicts, rows.where("req % 7 = 3").select("req"))
 
 
 @query("""SELECT item_id AS qid, CASE WHEN length(trim(text)) < 3 THEN 'too_short' WHEN length(trim(text)) > 200 THEN 'too_long' ELSE 'ok' END AS status FROM benchmark""")
@@ -380,26 +407,18 @@ def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 FORMULAS = ("x^2 + y_1 = $z^{10}$", r"$\frac{a}{b}$ & \sqrt{x} < 3", r"\alpha \times \sin{x} \text{cm}", "plain <b>bold</b> > text", r"\frac{\sqrt{2}}{3}", "")
 
 
-def formula_sql(up: str, down: str, single: bool) -> str:
-    """The steps of formula_markup and formula_plain as nested DuckDB calls."""
-    out = "f"
-    for command, symbol in tx.SYMBOLS:
-        out = f"replace({out}, '{command}', '{symbol}')"
-    for name in tx.NAMED_FUNCTIONS:
-        out = f"replace({out}, '\\{name}', '{name}')"
-    steps = [(r"\$([^$]+)\$", r"\1"), (r"\\frac\{([^}]*)\}\{([^}]*)\}", r"(\1/\2)"), (r"\\sqrt\{([^}]*)\}", r"√(\1)"), (r"\^\{([^}]*)\}", up)]
-    steps += ([(r"\^([a-zA-Z0-9])", up)] if single else []) + [(r"_\{([^}]*)\}", down)] + ([(r"_([a-zA-Z0-9])", down)] if single else [])
-    steps += [(r"\\(?:text|mathrm|mathbf)\{([^}]*)\}", r"\1"), (r"\\([a-zA-Z]+)", r"\1"), (r"[{}]", "")]
-    for pattern, to in steps:
-        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return out
-
-
-TAGS = f"regexp_replace(replace({formula_sql('<super>' + chr(92) + '1</super>', '<sub>' + chr(92) + '1</sub>', True)}, '&', '&amp;'), '<(/?(?:super|sub|b|i))>', chr(1) || '{chr(92)}1' || chr(2), 'g')"
+#: What they become, written down by hand.
+FORMULA_ROWS = (
+    ("x<super>2</super> + y<sub>1</sub> = z<super>10</super>", "x^2 + y_1 = z^10"),
+    ("(a/b) &amp; √(x) &lt; 3", "(a/b) & √(x) < 3"),
+    ("α × sinx cm", "α × sinx cm"),
+    ("plain <b>bold</b> &gt; text", "plain <b>bold</b> > text"),
+    ("frac√(2)3", "frac√(2)3"),
+    ("", ""),
+)
 
 
-@query(f"""WITH r(id, f) AS (VALUES {values(list(enumerate(FORMULAS)))}) SELECT CAST(id AS INTEGER) AS id, translate(replace(replace({TAGS}, '<', '&lt;'), '>', '&gt;'), chr(1) || chr(2), '<>') AS markup,
-trim({formula_sql("^" + chr(92) + "1", "_" + chr(92) + "1", False)}) AS plain FROM r""")
+@query(f"""SELECT * FROM (VALUES {values([(i, *r) for i, r in enumerate(FORMULA_ROWS)])}) AS r(id, markup, plain)""")
 def formula_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, f) for i, f in enumerate(FORMULAS)], "id int, f string")
     return rows.select("id", tx.formula_markup(F.col("f")).alias("markup"), tx.formula_plain(F.col("f")).alias("plain"))
@@ -411,8 +430,8 @@ def option_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.option_rows(questions(spark, sf_dir)).select("req", "number", "label", "correct")
 
 
-@query("""WITH c AS (SELECT conv_id AS req, turn // 5 AS line, turn % 5 AS c, (turn + 1) || '. ' || CASE turn % 3 WHEN 2 THEN 'C' ELSE 'B' END AS cell FROM conversations)
-SELECT req, line, max(cell) FILTER (c = 0) AS c0, max(cell) FILTER (c = 1) AS c1, max(cell) FILTER (c = 2) AS c2, max(cell) FILTER (c = 3) AS c3, max(cell) FILTER (c = 4) AS c4 FROM c GROUP BY req, line""")
+@query("""WITH c AS (SELECT conv_id AS req, turn // 5 AS line, turn % 5 AS c, 'Q' || (turn + 1) || '. ' || CASE turn % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'B) x' ELSE 'C)' END AS cell FROM conversations)
+SELECT req, line, """ + ", ".join(f"coalesce(max(cell) FILTER (c = {i}), '') AS c{i}" for i in range(5)) + " FROM c GROUP BY req, line")
 def answer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.answer_grid(questions(spark, sf_dir))
 
@@ -428,16 +447,16 @@ def parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.array_join(F.transform("children", lambda c: c.cast("string")), ",").alias("positions"), F.size("children").cast("long").alias("n"))
 
 
-@query("SELECT l_orderkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS marks FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey % 50 = 7) GROUP BY l_orderkey")
+@query("SELECT l_orderkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS marks FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey = 7) GROUP BY l_orderkey")
 def owner_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.owned_by(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders"), "l_orderkey", "o_orderkey", F.col("o_custkey") % 50 == 7)
+    rows = store.owned_by(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders"), "l_orderkey", "o_orderkey", F.col("o_custkey") == 7)
     return rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("marks"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 50 = 7 THEN 'saved' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_custkey = 7 THEN 'saved' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def update_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return store.updated(rows, F.col("o_custkey") % 50 == 7, "o_orderstatus", "saved").drop("o_custkey")
+    return store.updated(rows, F.col("o_custkey") == 7, "o_orderstatus", "saved").drop("o_custkey")
 
 
 @query(f"WITH {CORPUS} SELECT id, chapter FROM corpus WHERE NOT coalesce(contains(lower(subject), 'e') AND grade = '1', false)")
@@ -445,13 +464,14 @@ def delete_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.without_subject(corpus(spark, sf_dir), "E", "1").select("id", "chapter")
 
 
-@query("""SELECT conv_id AS test_id, count(*) AS total_questions, CAST(sum(CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS total_marks FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id AS test_id, count(*) AS total_questions, CAST(sum(CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS total_marks,
+CASE WHEN conv_id % 2 = 0 THEN '01234567-89ab-cdef-0123-456789abcdef' ELSE '00000000-0000-0000-0000-000000000000' END AS owner FROM conversations GROUP BY conv_id""")
 def save_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parents of drafts made of conversations, a turn a question."""
     q = F.struct("turn", "text", F.when(F.col("turn") % 2 == 0, 2).alias("marks"))
     rows = read_table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("test_id")).agg(F.array_sort(F.collect_list(q)).alias("questions"))
-    parents, _ = store.drafts(rows.withColumns({"owner": F.lit("x"), "title": F.lit("t")}))
-    return parents.select("test_id", F.col("total_questions").cast("long").alias("total_questions"), F.col("total_marks").cast("long").alias("total_marks"))
+    parents, _ = store.drafts(rows.withColumns({"owner": F.when(F.col("test_id") % 2 == 0, "01234567-89ab-cdef-0123-456789abcdef").otherwise("x"), "title": F.lit("t")}))
+    return parents.select("test_id", "owner", F.col("total_questions").cast("long").alias("total_questions"), F.col("total_marks").cast("long").alias("total_marks"))
 
 
 @query("""SELECT o_orderkey AS test_id, sha256('quiz|' || o_orderkey) AS quiz_id, '/quiz/' || sha256('quiz|' || o_orderkey) AS link, 60 AS duration_minutes, 3 AS tab_switch_limit FROM orders""")
@@ -530,11 +550,11 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_json(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust_key"), "c_name", F.col("c_nationkey").alias("nation_key")))
 
 
-@query("""SELECT c_custkey AS req, 'Write ' || (c_custkey % 9) || ' mcq questions on ' || c_mktsegment || '. Difficulty: hard.' || chr(10) || chr(10) || 'Use only this text:' || chr(10) ||
+@query(f"""SELECT c_custkey AS req, 'Write ' || (c_custkey % 9) || ' mcq questions on ' || c_mktsegment || '. Difficulty: hard.' || chr(10) || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '{gate.TYPE_RULES['numerical']}' || chr(10) ELSE '' END || '{gate.DIFFICULTY_RULES['hard']}' || chr(10) || '{gate.FORMAT_RULES['mcq']}' || CASE WHEN c_custkey % 5 = 0 THEN chr(10) || 'The teacher asks: fewer' ELSE '' END || chr(10) || chr(10) || 'Use only this text:' || chr(10) ||
 CASE WHEN c_custkey % 2 = 0 THEN substring(c_name, 1, 1000) ELSE 'No text is given.' END || chr(10) || chr(10) || 'Answer with one JSON object that has the key questions.' AS prompt FROM customer""")
 def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "customer")
-    asked = rows.select(F.col("c_custkey").alias("req"), F.col("c_mktsegment").alias("subject"), F.lit("hard").alias("difficulty"), (F.col("c_custkey") % 9).alias("n"), F.lit("mcq").alias("form"))
+    asked = rows.select(F.col("c_custkey").alias("req"), F.col("c_mktsegment").alias("subject"), F.lit("hard").alias("difficulty"), (F.col("c_custkey") % 9).alias("n"), F.lit("mcq").alias("form"), F.when(F.col("c_custkey") % 3 == 0, "numerical").alias("qtype"), F.when(F.col("c_custkey") % 5 == 0, "fewer").otherwise("string").alias("feedback"))
     return gate.build_prompts(asked, rows.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("req"), F.col("c_name").alias("context")))
 
 
@@ -554,3 +574,158 @@ def draft_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CORPUS} SELECT DISTINCT chapter AS name FROM corpus WHERE grade = '1' AND chapter IS NOT NULL AND contains(lower(subject), 'en')""")
 def candidate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.candidate_names(corpus(spark, sf_dir), ["src1"], "en", "1")
+
+
+@query(f"""WITH {CORPUS} SELECT DISTINCT 'part ' || chapter AS name FROM corpus WHERE grade = '1' AND contains(chapter, 'src1')""")
+def candidate_names_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No name is stored for the subject, so names of the grade count that hold the long words of the request in order."""
+    return retrieval.candidate_names(corpus(spark, sf_dir).withColumn("chapter", F.concat(F.lit("part "), "chapter")), ["Part of SRC1"], "no such subject", "1")
+
+
+#: Texts and vectors of one id together, for searches that use both.
+BOTH = f"both_ AS (SELECT c.id, c.chapter, c.subject, c.grade, c.content, v.e FROM corpus AS c JOIN v ON v.id = c.id)"
+
+
+def texts_and_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).join(read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+
+
+@query(f"""WITH {CORPUS}, {VECTORS}, {BOTH}, own AS (SELECT * FROM both_ WHERE grade = '1'), r(ord, requested) AS (VALUES (0, 'SRC1'), (1, 'src 7')),
+bulk AS (SELECT DISTINCT chapter AS name FROM own WHERE contains(lower(subject), 'en') AND chapter IS NOT NULL),
+cand AS (SELECT name FROM bulk UNION SELECT chapter FROM own, r WHERE chapter ILIKE CASE ord WHEN 0 THEN '%SRC1%' ELSE '%src%' END AND (SELECT count(*) FROM bulk) < 3),
+hits AS (SELECT ord, requested, name, CASE WHEN lower(requested) = lower(name) THEN 1 WHEN contains(lower(name), lower(requested)) OR contains(lower(requested), lower(name)) THEN 2 END AS tier FROM r, cand),
+best AS (SELECT ord, name FROM hits WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ord ORDER BY tier, lower(name)) = 1),
+names AS (SELECT DISTINCT name FROM (SELECT name FROM best UNION ALL SELECT requested FROM r WHERE NOT EXISTS (SELECT 1 FROM best))),
+sims AS (SELECT id, lower(subject) AS subject, round(list_cosine_similarity(e, {PROBE_SQL}), 6) AS similarity FROM own WHERE chapter IN (SELECT name FROM names)),
+staged AS (SELECT id, similarity, CASE WHEN contains(subject, 'en') AND similarity > 0.65 THEN 1 WHEN contains(subject, 'en') AND similarity > 0.3 THEN 3 END AS stage FROM sims),
+a AS (SELECT id, similarity AS s1, row_number() OVER (ORDER BY similarity DESC, id) - 1 AS r1 FROM staged WHERE stage = (SELECT min(stage) FROM staged) QUALIFY r1 < 8),
+k(ord, keyword) AS (VALUES (0, 'the'), (1, 'ment'), (2, 'SRC1'), (3, 'src 7')),
+found AS (SELECT ord, keyword, id, coalesce(contains(lower(subject), 'en') AND chapter IN (SELECT name FROM names), false) AS strict FROM own JOIN k ON contains(lower(content), lower(keyword))),
+open_ AS (SELECT *, bool_or(strict) OVER (PARTITION BY ord) AS any_strict FROM found), ranked AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY id) AS rn FROM open_ WHERE strict OR NOT any_strict),
+once AS (SELECT id, min(ord * 100 + rn) AS seq FROM ranked WHERE rn <= 6 GROUP BY id), b AS (SELECT id, row_number() OVER (ORDER BY seq) - 1 AS r2 FROM once QUALIFY r2 < 6),
+f AS (SELECT coalesce(a.id, b.id) AS id, r1, r2, round(coalesce(1.0::DOUBLE / (61 + r1), 0) + coalesce(1.0::DOUBLE / (61 + r2), 0), 9) AS rrf_score, CASE WHEN r2 IS NOT NULL THEN 0.6::DOUBLE ELSE s1 END AS similarity,
+CASE WHEN r2 IS NOT NULL THEN 'keyword' ELSE 'vector' END AS source FROM a FULL JOIN b ON a.id = b.id)
+SELECT id, rrf_score, similarity, source, CAST(row_number() OVER (ORDER BY rrf_score DESC, r1 NULLS LAST, r2 NULLS LAST) AS INTEGER) AS pos FROM f QUALIFY pos <= 10""")
+def retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.retrieve_context(texts_and_vectors(spark, sf_dir), PROBE, ["SRC1", "src 7"], ["the, ment", "of"], "en", "1")
+
+
+@query("""SELECT conv_id AS req, CAST(turn AS INTEGER) AS pos, md5(text) AS digest, CASE WHEN role = 'user' THEN NULL ELSE turn::DOUBLE END AS marks, chr(92) || 'alpha' AS topic FROM conversations WHERE conv_id % 3 <> 2""")
+def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with fences, commas too many, lone backslashes and marks as text; those of every third are cut off and unreadable."""
+    one = F.concat(F.lit("{"), F.regexp_replace(F.to_json(F.struct("text")), r"^\{|\}$", ""), F.lit(', "marks": '), F.when(F.col("role") == "user", F.concat(F.lit('"'), F.col("turn").cast("string"), F.lit('"'))).otherwise(F.col("turn").cast("string")), F.lit(', "topic": "\\alpha",}'))
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", one.alias("one")).alias("q"))
+    text = F.concat(F.lit('```json\n{"questions": [\n'), F.array_join(F.transform(F.array_sort(F.collect_list("q")), lambda q: q["one"]), ",\n"), F.lit(",]}\n```"))
+    raw = rows.groupBy(F.col("conv_id").alias("req")).agg(text.alias("answer"))
+    raw = raw.withColumn("answer", F.when(F.col("req") % 3 == 2, F.expr("substring(answer, 1, length(answer) - 7)")).otherwise(F.col("answer")))
+    return gate.parse_answers(raw).select("req", "pos", F.md5("text").alias("digest"), "marks", "topic")
+
+
+@query("""SELECT doc_id AS id, md5(CASE WHEN length(coalesce(trim(substring(text, 1, doc_id % 20)), '')) < 10 THEN substring(text, 1, 200) ELSE substring(text, 1, doc_id % 20) END) AS digest FROM documents""")
+def answer_or_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "documents").withColumn("answer", F.expr("substring(text, 1, int(doc_id % 20))"))
+    return rows.select(F.col("doc_id").alias("id"), F.md5(gate.answer_or_prefix(F.col("answer"), F.col("text"))).alias("digest"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '10' ELSE CAST(c_custkey % 12 AS VARCHAR) END AS grade, replace(c_name || ' ' || c_mktsegment, ' ', '_') || '.pdf' AS file FROM customer""")
+def names_of_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grade = F.when(F.col("c_custkey") % 3 == 0, "Class none").otherwise(F.concat(F.lit("Class "), (F.col("c_custkey") % 12).cast("string"), F.lit("A 7")))
+    return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), tx.class_number(grade).alias("grade"), tx.file_name(F.concat_ws(" ", "c_name", "c_mktsegment"), "pdf").alias("file"))
+
+
+@query("""WITH f AS (SELECT c_custkey AS form_id, c_custkey % 13 AS a, c_custkey % 7 AS b FROM customer), r AS (SELECT form_id, 0 AS i, 'Force' AS topic, 'x' AS sub, a * 5 AS q, 'Hard' AS d FROM f UNION ALL
+  SELECT form_id, 1, CASE WHEN b = 0 THEN '' ELSE c END, '', b, 'Mixed' FROM f, (SELECT 'Light' AS c) UNION ALL SELECT form_id, 2, 'Sound', 'y', 3, 'odd' FROM f WHERE a > 6), kept AS (SELECT * FROM r WHERE topic <> ''),
+t AS (SELECT form_id, sum(q)::BIGINT AS total FROM kept GROUP BY form_id)
+SELECT kept.form_id, CAST(kept.form_id % 12 AS VARCHAR) AS grade, total, CASE WHEN total > 50 THEN 'too_many' ELSE 'ok' END AS status, kept.topic AS chapter, nullif(sub, '') AS topic, q::BIGINT AS quantity,
+CASE d WHEN 'Hard' THEN 'hard' ELSE 'medium' END AS difficulty, 'mcq' AS format, 1 AS marks FROM kept JOIN t ON t.form_id = kept.form_id""")
+def form_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("c_custkey") % 13, F.col("c_custkey") % 7
+    row = lambda topic, sub, n, d: F.struct(topic.alias("topic"), F.lit(sub).alias("subtopic"), n.cast("int").alias("quantity"), F.lit(d).alias("difficulty"))
+    more = F.when(a > 6, F.array(row(F.lit("Sound"), "y", F.lit(3), "odd"))).otherwise(F.array().cast("array<struct<topic:string,subtopic:string,quantity:int,difficulty:string>>"))
+    rows = F.concat(F.array(row(F.lit("Force"), "x", a * 5, "Hard"), row(F.when(b == 0, "").otherwise("Light"), "", b, "Mixed")), more)
+    forms = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("form_id"), F.concat(F.lit("Class "), (F.col("c_custkey") % 12).cast("string")).alias("class_grade"), rows.alias("rows"))
+    return render.form_requests(forms)
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN extract(microsecond FROM ts) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(extract(microsecond FROM ts) % 1000000 AS VARCHAR), 6, '0') END AS iso, strftime(ts, '%d/%m/%Y') AS printed,
+CASE d WHEN 0 THEN '' WHEN 1 THEN '1 day, ' ELSE d || ' days, ' END || (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS up
+FROM (SELECT *, u // 86400 AS d, u % 86400 AS s FROM (SELECT event_id, ts, CAST(floor(epoch(ts)) - floor(epoch((SELECT min(ts) FROM events))) AS BIGINT) AS u FROM events))""")
+def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows = rows.join(F.broadcast(rows.agg(F.min("ts").alias("first"))))  # one row
+    return rows.select("event_id", tx.iso_time(F.col("ts")).alias("iso"), tx.printed_date(F.col("ts")).alias("printed"), tx.uptime(F.col("first"), F.col("ts")).alias("up"))
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE md5(text) END AS digest FROM documents""")
+def data_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as data URIs, as bare base64 and as neither, and back."""
+    code = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")
+    uri = F.when(F.col("doc_id") % 5 == 4, "data:x;base64,?*").when(F.col("doc_id") % 2 == 0, code).otherwise(F.concat(F.lit("data:text/plain;base64,"), code))
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5(tx.data_uri_bytes(uri)).alias("digest"))
+
+
+CACHE_SQL = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS instance, event_type AS key, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT, event_id) AS k FROM events),
+r AS (SELECT instance, k, [key] AS recent, [key] AS first_, 0::BIGINT AS rh, 0::BIGINT AS re, 0::BIGINT AS fh, 0::BIGINT AS fe FROM e WHERE k = 1 UNION ALL
+SELECT e.instance, e.k, CASE WHEN list_contains(recent, key) THEN list_append(list_filter(recent, lambda x: x <> key), key) WHEN len(recent) >= 2 THEN list_append(recent[2:], key) ELSE list_append(recent, key) END,
+  CASE WHEN list_contains(first_, key) THEN first_ WHEN len(first_) >= 2 THEN list_append(first_[2:], key) ELSE list_append(first_, key) END,
+  rh + CASE WHEN list_contains(recent, key) THEN 1 ELSE 0 END, re + CASE WHEN NOT list_contains(recent, key) AND len(recent) >= 2 THEN 1 ELSE 0 END,
+  fh + CASE WHEN list_contains(first_, key) THEN 1 ELSE 0 END, fe + CASE WHEN NOT list_contains(first_, key) AND len(first_) >= 2 THEN 1 ELSE 0 END FROM r JOIN e ON e.instance = r.instance AND e.k = r.k + 1)
+"""
+
+
+@query(CACHE_SQL + """SELECT instance, max(rh) AS recent_hits, max(k) - max(rh) AS recent_misses, max(re) AS recent_evicted, max(fh) AS first_hits, max(k) - max(fh) AS first_misses, max(fe) AS first_evicted FROM r GROUP BY instance""")
+def bounded_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of two answers for each user, under both rules; nothing grows too old."""
+    rows = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("instance"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("key"))
+    named = lambda kind: [F.col(c).alias(f"{kind}_{c}") for c in ("hits", "misses", "evicted")]
+    return ev.bounded_cache(rows, 2, 1 << 40).select("instance", *named("recent")).join(ev.bounded_cache(rows, 2, 1 << 40, recent=False).select("instance", *named("first")), "instance")
+
+
+# ---- tests of questions, from request to draft
+
+
+def stand_in_generator(prompt: str) -> str:
+    """Seven questions whatever is asked: two are dropped by the gate, one repeats another, one nearly does."""
+    long = "because the text says so in so many words"
+    one = lambda text, marks, why=long: f'{{"text": "{text}", "format": "mcq", "options": ["A) one", "B) two", "C) three", "D) four"], "correct_answer": "b) x", "explanation": "{why}", "marks": {marks}, "bloom_level": "apply", "chapter": "c", "topic": "t"}}'
+    texts = [("Which gas do green leaves take in during sunlight?", "1"), ("How many planets circle the nearest star of ours", "5"), ("too short", "1"), ("which gas do  green leaves take in during sunlight?", "1"), ("How many planets circle the nearest star of ours now", '"2"')]
+    return "```json\n" + '{"questions": [' + ", ".join(one(*t) for t in texts) + ", " + one("What makes the tides rise and fall twice each day?", "1", "brief") + ", " + one("Why does iron rust faster in salty than pure water?", "3") + ",]}\n```"
+
+
+def stand_in_validator(prompt: str) -> str:
+    """The second answer is wrong; a single question can't be validated."""
+    return '{"validations": [{"index": 1, "valid": true}, {"index": 2, "valid": false, "fixed_correct_answer": "C) three", "fixed_explanation": "", "notes": "wrong"}]}' if "2. " in prompt else "sorry"
+
+
+@query("""WITH r AS (SELECT c_custkey AS req, c_custkey % 6 + 1 AS n, CASE WHEN c_custkey % 5 >= 3 THEN 'limit_reached' WHEN c_custkey % 4 = 0 THEN 'no_content' ELSE 'preview' END AS status FROM customer)
+SELECT req, status, CASE WHEN status = 'preview' THEN least(3, n) ELSE 0 END::BIGINT AS total_questions, CASE WHEN status = 'preview' THEN least(3, n) + CASE WHEN n >= 3 THEN 2 ELSE 0 END ELSE 0 END::BIGINT AS total_marks,
+CASE WHEN status <> 'preview' THEN '' WHEN n = 1 THEN 'B) two:needs_review' WHEN n = 2 THEN 'B) two:verified,C) three:verified' ELSE 'B) two:verified,C) three:verified,B) two:verified' END AS answers FROM r""")
+def build_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "customer")
+    asked = rows.select(F.col("c_custkey").alias("req"), F.col("c_name").alias("title"), F.lit("x").alias("owner"), F.col("c_mktsegment").alias("subject"), F.lit("medium").alias("difficulty"), F.lit("mcq").alias("form"), (F.col("c_custkey") % 6 + 1).alias("n"), (F.col("c_custkey") % 5).alias("iteration"))
+    contexts = rows.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("req"), F.col("c_name").alias("context"))
+    outcomes, tests, made = assembly.build_test(asked, contexts, [stand_in_generator], [stand_in_validator])
+    answers = made.groupBy(F.col("test_id").alias("req")).agg(F.array_sort(F.collect_list(F.struct("position", F.concat_ws(":", "correct_answer", "validation_status").alias("a")))).alias("l"))
+    tests = tests.select(F.col("test_id").alias("req"), F.col("total_questions").cast("long").alias("total_questions"), F.col("total_marks").cast("long").alias("total_marks"))
+    return outcomes.join(tests, "req", "left").join(answers, "req", "left").select("req", "status", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total_questions", "total_marks")], F.coalesce(F.array_join("l.a", ","), F.lit("")).alias("answers"))
+
+
+@query("""SELECT conv_id AS id, 'owner' || conv_id AS teacher_id, string_agg(turn || ':' || text, '|' ORDER BY turn) AS questions FROM conversations WHERE conv_id = 1 GROUP BY conv_id""")
+def get_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    tests = rows.select(F.col("conv_id").alias("id"), F.concat(F.lit("owner"), F.col("conv_id").cast("string")).alias("teacher_id")).distinct()
+    found = store.get_test(tests, rows.select(F.col("conv_id").alias("test_id"), F.col("turn").alias("position"), "text"), 1, "owner1")
+    return found.select("id", "teacher_id", F.array_join(F.transform("questions", lambda q: F.concat_ws(":", q["position"].cast("string"), q["text"])), "|").alias("questions"))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS test_id, l_linenumber AS q, l_linenumber % 3 AS a FROM lineitem), o AS (SELECT o_orderkey AS test_id, o_orderkey % 5 AS iteration FROM orders WHERE o_orderkey % 5 < 3 AND EXISTS (SELECT 1 FROM f WHERE f.test_id = o_orderkey)),
+t AS (SELECT test_id, count(*) AS training FROM f WHERE a < 2 GROUP BY test_id), r AS (SELECT test_id, string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) AS rejected FROM (SELECT DISTINCT test_id, q FROM f WHERE a = 0) GROUP BY test_id)
+SELECT o.test_id, o.iteration + 1 AS iteration, o.test_id AS previous_test_id, coalesce(training, 0) AS training, coalesce(rejected, '') AS rejected FROM o LEFT JOIN t ON t.test_id = o.test_id LEFT JOIN r ON r.test_id = o.test_id""")
+def apply_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("test_id"), F.col("o_custkey").alias("owner"), (F.col("o_orderkey") % 5).alias("iteration"))
+    action = F.when(F.col("l_linenumber") % 3 == 0, "reject").when(F.col("l_linenumber") % 3 == 1, "edit").otherwise("approve")
+    told = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("test_id"), F.col("l_linenumber").alias("question_id"), action.alias("action"), F.col("l_returnflag").alias("comment"))
+    training, ids, again = store.apply_feedback(asked, told)
+    out = again.join(training.groupBy("test_id").agg(F.count("*").alias("training")), "test_id", "left").join(ids, "test_id", "left")
+    rejected = F.coalesce(F.array_join(F.transform("rejected", lambda q: q.cast("string")), ","), F.lit(""))
+    return out.select("test_id", "iteration", "previous_test_id", F.coalesce("training", F.lit(0)).cast("long").alias("training"), rejected.alias("rejected"))

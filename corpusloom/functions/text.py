@@ -37,9 +37,9 @@ def word_pattern(name: Column, words: int = 3) -> Column:
 
 
 def clean_text(text: Column, banner: str | None = None, page_mark: str | None = None) -> Column:
-    """NUL goes; three and more line feeds become two; runs of spaces and tabs become one space; a page number before page_mark
+    """NUL goes; three and more line feeds, with white space between them or not, become two; runs of spaces and tabs become one space; a page number before page_mark
     goes with it, and so does a banner from its first to its last word on one line; ends are trimmed. Markers are regular expressions."""
-    steps = [(r"\x00", ""), (r"\n{3,}", "\n\n"), (r"[ \t]+", " ")]
+    steps = [(r"\x00", ""), (r"\n\s*\n\s*\n\s*", "\n\n"), (r"[ \t]+", " ")]
     steps += [(r"(?U)\d+\s*" + page_mark, "")] if page_mark else []
     steps += [("(?i)" + banner, "")] if banner else []
     return F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), steps, text))
@@ -95,17 +95,25 @@ def is_correct(option: Column, label: Column, answer: Column, text_too: bool = T
     return F.coalesce((F.trim(answer) != "") & (letter | (F.trim(option) == F.trim(answer)) if text_too else letter), F.lit(False))
 
 
-def _plain_symbols(text: Column) -> Column:
-    out = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), SYMBOLS, text)
-    return reduce(lambda c, f: F.replace(c, F.lit("\\" + f), F.lit(f)), NAMED_FUNCTIONS, out)
+# The forms of markup in the order of their replacement, and what they become; UP and DOWN stand for raised
+# and lowered parts.
+FORMS = (
+    (r"\$([^$]+)\$", "$1"), (r"\\frac\{([^}]*)\}\{([^}]*)\}", "($1/$2)"), (r"\\sqrt\{([^}]*)\}", "√($1)"),
+    (r"\^\{([^}]*)\}", "UP"), (r"\^([a-zA-Z0-9])", "UP"), (r"_\{([^}]*)\}", "DOWN"), (r"_([a-zA-Z0-9])", "DOWN"),
+    (r"\\(?:text|mathrm|mathbf)\{([^}]*)\}", "$1"), (r"\\([a-zA-Z]+)", "$1"), (r"[{}]", ""),
+)
 
 
 def _formula(text: Column, up: str, down: str, single: bool) -> Column:
-    steps = [(r"\$([^$]+)\$", "$1"), (r"\\frac\{([^}]*)\}\{([^}]*)\}", "($1/$2)"), (r"\\sqrt\{([^}]*)\}", "√($1)")]
-    steps += [(r"\^\{([^}]*)\}", up)] + ([(r"\^([a-zA-Z0-9])", up)] if single else [])
-    steps += [(r"_\{([^}]*)\}", down)] + ([(r"_([a-zA-Z0-9])", down)] if single else [])
-    steps += [(r"\\(?:text|mathrm|mathbf)\{([^}]*)\}", "$1"), (r"\\([a-zA-Z]+)", "$1"), (r"[{}]", "")]
-    return reduce(lambda c, s: F.regexp_replace(c, *s), steps, _plain_symbols(F.coalesce(text, F.lit(""))))
+    """One table of what is replaced by what, folded over the text; without `single`, marks before one letter stay."""
+    named = [*SYMBOLS, *(("\\" + f, f) for f in NAMED_FUNCTIONS)]
+    forms = [(form, {"UP": up, "DOWN": down}.get(to, to)) for form, to in FORMS if single or not form.endswith("([a-zA-Z0-9])")]
+    out = F.coalesce(text, F.lit(""))
+    for command, symbol in named:
+        out = F.replace(out, F.lit(command), F.lit(symbol))
+    for form, to in forms:
+        out = F.regexp_replace(out, form, to)
+    return out
 
 
 def formula_markup(text: Column) -> Column:
@@ -138,21 +146,43 @@ def retryable(message: Column) -> Column:
 
 
 def repaired_json(raw: Column) -> Column:
-    """The first reading of an answer that is JSON, or null: as it is, without a fence, from the first to the last brace, without
-    trailing commas, with lone backslashes doubled."""
-    bare = F.regexp_replace(F.trim(raw), "^[\\ufeff\\u200b]+", "")
-    fence = F.regexp_extract(bare, r"```(?:json)?\s*([\s\S]*?)```", 1)
-    text = F.when(bare.rlike(r"```(?:json)?\s*([\s\S]*?)```"), F.trim(fence)).otherwise(bare)
-    brace = F.regexp_extract(text, r"(\{[\s\S]*\})", 1)
-    commas = F.regexp_replace(brace, r",\s*([}\]])", "$1")
-    slashes = F.regexp_replace(commas, r"(?<!\\)\\(?![\\\"/bfnrtu])", r"\\\\\\\\")
+    """The first reading of an answer that is JSON, or null: as it is, between its outermost braces, and with that mended.
+
+    Mending reads the text as strings and what stands between them. Between strings, a comma before a closing bracket
+    goes; in strings, a backslash that begins no escape is doubled. Fences and byte-order marks lie outside the braces.
+    """
+    braces = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    pieces = F.regexp_extract_all(braces, F.lit(r'"(?:[^"\\]|\\[\s\S])*"|[^"]+|"'), F.lit(0))
+    mended = F.transform(pieces, lambda p: F.when(p.startswith('"'), _doubled(p)).otherwise(F.regexp_replace(p, r",(\s*[\]}])", "$1")))
     valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(*[valid(c) for c in (text, brace, commas, slashes)])
+    return F.coalesce(*[valid(c) for c in (F.trim(raw), braces, F.array_join(mended, ""))])
+
+
+def _doubled(string: Column) -> Column:
+    """Backslashes that begin no escape are doubled; one that follows another backslash does not begin any."""
+    return F.regexp_replace(string, r'(?<!\\)((?:\\\\)*)\\(?![\\"/bfnrtu])', r"$1\\\\")
+
+
+def iso_time(at: Column) -> Column:
+    """A timestamp as text in ISO form, with fractions of a second only where there are any."""
+    fraction = F.when(F.date_format(at, "SSSSSS") == "000000", F.lit("")).otherwise(F.date_format(at, ".SSSSSS"))
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), fraction)
+
+
+def printed_date(at: Column) -> Column:
+    """Day, month and year as a paper shows them: 31/12/2024."""
+    return F.date_format(at, "dd/MM/yyyy")
 
 
-def context_prefix(text: Column, n: int) -> Column:
-    return F.substring(text, 1, n)
+def uptime(since: Column, now: Column) -> Column:
+    """The time between two timestamps as "2 days, 3:04:05", without the days if there are none."""
+    seconds = F.unix_timestamp(now) - F.unix_timestamp(since)
+    days = F.expr("0L") + F.floor(seconds / 86_400)
+    rest = seconds - days * 86_400
+    clock = F.format_string("%d:%02d:%02d", F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)
+    return F.concat(F.when(days == 0, "").when(days == 1, "1 day, ").otherwise(F.concat(days.cast("string"), F.lit(" days, "))), clock)
 
 
-def or_unknown(column: Column, other: str = "Unknown") -> Column:
-    return F.coalesce(F.nullif(column, F.lit("")), F.lit(other))
+def data_uri_bytes(uri: Column) -> Column:
+    """The bytes of a data URI, or of bare base64; null if it is neither."""
+    return F.try_to_binary(F.when(uri.contains(","), F.regexp_extract(uri, r"(?s)^[^,]*,(.*)$", 1)).otherwise(uri), F.lit("base64"))

@@ -23,4 +23,6 @@ def hashed_words(text: Column, dimension: int = 64) -> Column:
     """A stand-in for an embedding model: word counts in hash buckets, of unit length."""
     buckets = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm(counts)), F.lit(0.0)))
+    # arrays of one, so that the counts and their length are computed once and not for every component
+    known = F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), norm(c).alias("n")))
+    return F.get(F.transform(known, lambda k: F.transform(k["c"], lambda x: F.coalesce(F.try_divide(x, k["n"]), F.lit(0.0)))), F.lit(0))

@@ -20,7 +20,7 @@ ASSERTION_OPTIONS = (
     "D) A is false but R is true",
 )
 
-ANSWER = "struct<questions:array<struct<text:string,format:string,options:array<string>,correct_answer:string,explanation:string,marks:string,difficulty:string,bloom_level:string,chapter:string,topic:string>>>"
+ANSWER = "struct<questions:array<struct<text:string,format:string,options:array<string>,correct_answer:string,explanation:string,marks:double,difficulty:string,bloom_level:string,chapter:string,topic:string>>>"
 
 
 def parse_answers(raw: DataFrame) -> DataFrame:
@@ -36,9 +36,16 @@ def matched_option(options: Column, answer: Column) -> Column:
     return F.when(F.array_contains(options, answer), answer).when((F.length(answer) >= 2) & (F.size(alike) > 0), F.get(alike, F.lit(0)))
 
 
-def quality_gate(questions: DataFrame, subject: str, difficulty: str = "medium") -> DataFrame:
+def by_difficulty(difficulty: Column, values: dict[str, Column]) -> Column:
+    """The value of a difficulty; the medium one for what is none."""
+    table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+    return F.coalesce(F.try_element_at(table, difficulty), values["medium"])
+
+
+def quality_gate(questions: DataFrame, subject: str | Column, difficulty: str | Column = "medium") -> DataFrame:
     """questions(req, pos, text, format, options, correct_answer, explanation, marks, bloom_level, chapter) with their columns
-    repaired and drop_reason, null for those that pass.
+    repaired and drop_reason, null for those that pass. Marks that are not a number of at least 1 become 1, as does a number
+    given as text. Subject and difficulty are the same for all questions, or columns.
 
     In order: short (under 15 characters), duplicate of an earlier one of the request that was not short, vague (explanation
     under 30 characters), hedged (in mathematics), options (multiple choice without four), answer (none of the options).
@@ -48,18 +55,20 @@ def quality_gate(questions: DataFrame, subject: str, difficulty: str = "medium")
     rows = rows.withColumn("_short", F.length("text") < 15)
     again = Window.partitionBy("req", "_short", "_norm").orderBy("pos")
     rows = rows.withColumn("_norm", comparison_text(F.col("text"))).withColumn("_nth", F.row_number().over(again))
+    subject, difficulty = (F.lit(x) if isinstance(x, str) else x for x in (subject, difficulty))
     form = F.when(F.col("format").isin(*FORMATS), F.col("format")).otherwise("mcq")
     level = F.lower(F.trim(F.coalesce("bloom_level", F.lit(""))))
-    level = F.when(level.isin(*LEVELS[difficulty]), level).otherwise(DEFAULT_LEVEL[difficulty])
-    marks = F.try_to_number(F.col("marks").cast("string"), F.lit("99999.99")).cast("double")
-    rows = rows.withColumns({"format": form, "difficulty": F.lit(difficulty), "bloom_level": level, "marks": F.when(marks >= 1, marks.cast("int")).otherwise(1)})
+    fits = F.array_contains(by_difficulty(difficulty, {k: F.array(*map(F.lit, v)) for k, v in LEVELS.items()}), level)
+    level = F.when(fits, level).otherwise(by_difficulty(difficulty, {k: F.lit(v) for k, v in DEFAULT_LEVEL.items()}))
+    marks = F.lit(None).cast("double") if dict(questions.dtypes)["marks"] == "string" else F.col("marks").cast("double")
+    rows = rows.withColumns({"format": form, "difficulty": difficulty, "bloom_level": level, "marks": F.when(marks >= 1, marks.cast("int")).otherwise(1)})
     four = F.coalesce(F.size("options") == 4, F.lit(False))
     defaults = F.array(*map(F.lit, ASSERTION_OPTIONS))
     options = F.when((F.col("format") == "assertion_reason") & ~four, defaults).otherwise(F.col("options"))
     rows = rows.withColumn("options", options)
     found = matched_option(F.col("options"), F.col("correct_answer"))
     answer = F.when(F.col("format") == "assertion_reason", F.coalesce(found, F.get("options", F.lit(0)))).when(F.col("format") == "mcq", F.coalesce(found, F.col("correct_answer"))).otherwise(F.col("correct_answer"))
-    hedged = F.lit(subject.lower() in MATHS) & F.lower("explanation").rlike("|".join(HEDGES))
+    hedged = F.lower(subject).isin(*MATHS) & F.lower("explanation").rlike("|".join(HEDGES))
     reason = (
         F.when(F.col("_short"), "short").when(F.col("_nth") > 1, "duplicate").when(F.length("explanation") < 30, "vague").when(hedged, "hedged")
         .when((F.col("format") == "mcq") & ~F.coalesce(F.size("options") == 4, F.lit(False)), "options").when((F.col("format") == "mcq") & found.isNull(), "answer")
@@ -69,14 +78,35 @@ def quality_gate(questions: DataFrame, subject: str, difficulty: str = "medium")
     return rows.withColumn("id", F.sha2(F.concat_ws("|", F.col("req").cast("string"), F.col("pos").cast("string"), "text"), 256)).drop("_short", "_norm", "_nth")
 
 
-def apply_verdicts(questions: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """questions(req, pos, correct_answer, explanation) with verdicts(req, index from 1, valid, fixed_correct_answer,
-    fixed_explanation, notes): what is not valid takes the fixes that are not empty. Verdicts beyond the list go unused."""
-    v = verdicts.select("req", (F.col("index") - 1).alias("pos"), "valid", "fixed_correct_answer", "fixed_explanation", "notes")
-    bad = F.coalesce(~F.col("valid"), F.lit(False))
-    fix = lambda new, old: F.when(bad, F.coalesce(F.nullif(F.col(new), F.lit("")), F.col(old))).otherwise(F.col(old)).alias(old)
+VERDICT = "struct<validations:array<struct<index:int,valid:boolean,fixed_correct_answer:string,fixed_explanation:string,notes:string>>>"
+
+
+def parse_verdicts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """verdicts(req, index, valid, fixed_correct_answer, fixed_explanation, notes) of raw(req, answer), and the requests whose
+    answer can't be read."""
+    parsed = raw.select("req", F.from_json(repaired_json(F.col("answer")), VERDICT)["validations"].alias("v"))
+    return parsed.select("req", F.inline("v")), parsed.where("v is null").select("req")
+
+
+def apply_verdicts(questions: DataFrame, verdicts: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """questions(req, pos, correct_answer, explanation, ...) with verdicts(req, index from 1, valid, fixed_correct_answer,
+    fixed_explanation, notes): what is not valid takes the fixes that are not empty, and its notes.
+
+    Every question of a request that was validated is verified, the fixed ones too; those of the requests in failed(req),
+    whose validation failed, stay as they are and need review. Verdicts beyond the list go unused; of several on one
+    question one counts.
+    """
+    v = verdicts.select("req", (F.col("index") - 1).alias("pos"), F.coalesce("valid", F.lit(True)).alias("valid"), "fixed_correct_answer", "fixed_explanation", "notes").dropDuplicates(["req", "pos"])
     out = questions.join(v, ["req", "pos"], "left")
-    return out.select("req", "pos", fix("fixed_correct_answer", "correct_answer"), fix("fixed_explanation", "explanation"), F.when(bad, "needs_review").otherwise("verified").alias("validation_status"), F.when(bad, F.col("notes")).alias("validation_notes"))
+    if failed is None:
+        out = out.withColumn("failed", F.lit(False))
+    else:
+        out = out.join(failed.select("req").distinct().withColumn("failed", F.lit(True)), "req", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+    bad = F.coalesce(~F.col("valid"), F.lit(False)) & ~F.col("failed")
+    fix = lambda new, old: F.when(bad, F.coalesce(F.nullif(F.col(new), F.lit("")), F.col(old))).otherwise(F.col(old))
+    fixed = {"correct_answer": fix("fixed_correct_answer", "correct_answer"), "explanation": fix("fixed_explanation", "explanation")}
+    own = [fixed[c].alias(c) if c in fixed else F.col(c) for c in questions.columns if c not in ("validation_status", "validation_notes")]
+    return out.select(*own, F.when(F.col("failed"), "needs_review").otherwise("verified").alias("validation_status"), F.when(bad, F.col("notes")).alias("validation_notes"))
 
 
 def confidence(answer: Column, top: Column) -> Column:
@@ -115,9 +145,40 @@ def with_no_results(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return out.select("qid", "hits", F.when(F.col("hits") == 0, "no matching text").alias("message"), F.when(F.col("hits") == 0, 0.1).alias("confidence"))
 
 
+# What a prompt asks for by type of question, by difficulty and by format.
+TYPE_RULES = {
+    "recall": "Ask for facts that the text states: a definition, a name, a list.",
+    "conceptual": "Ask for reasons, differences or consequences; no question may be a bare definition.",
+    "application": "Put each question into a situation of daily life to which an idea of the text applies.",
+    "numerical": "Each question must be calculated from given values; the explanation shows every step.",
+    "assertion_reason": "Each text is an assertion (A) and a reason (R); the options are the four standard ones.",
+}
+DIFFICULTY_RULES = {
+    "easy": "One idea of the text, no reasoning in steps.",
+    "medium": "Understanding is needed, and up to two ideas together.",
+    "hard": "Several steps or ideas in an unfamiliar setting; wrong options must be tempting.",
+}
+FORMAT_RULES = {"mcq": "Give exactly four options; the answer repeats one of them.", "assertion_reason": "Use the four standard options; vary the right one."}
+
+
+def rule(column: Column, rules: dict[str, str], other: str | None = None) -> Column:
+    """The rule for a column's value; without one that of `other`, or nothing."""
+    table = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, column), F.lit(rules[other]) if other else F.lit(None).cast("string"))
+
+
 def build_prompts(requests: DataFrame, contexts: DataFrame, prefix: int = 1000) -> DataFrame:
-    """req and prompt for requests(req, subject, difficulty, n, form) with contexts(req, context), cut to prefix characters."""
+    """req and prompt for requests(req, subject, difficulty, n, form) with contexts(req, context), cut to prefix characters.
+
+    Columns qtype, feedback, batch and batches may follow; what they ask for, and the rules of the difficulty and the
+    form, stand in the prompt as lines of their own. The feedback "string" is none.
+    """
     rows = requests.join(contexts, "req", "left")
+    has = lambda c: F.col(c) if c in requests.columns else F.lit(None)
     head = F.format_string("Write %d %s questions on %s. Difficulty: %s.", F.col("n").cast("int"), F.col("form"), F.col("subject"), F.col("difficulty"))
+    feedback = F.nullif(F.nullif(has("feedback").cast("string"), F.lit("string")), F.lit(""))
+    maths = F.when(F.lower("subject").isin(*MATHS), "Set formulas between dollar signs.")
+    again = F.when(has("batch").cast("int") > 1, F.format_string("This is batch %d of %d: repeat nothing of those before.", has("batch").cast("int"), has("batches").cast("int")))
+    rules = F.concat_ws("\n", rule(has("qtype").cast("string"), TYPE_RULES), rule(F.col("difficulty"), DIFFICULTY_RULES, "medium"), rule(F.col("form"), FORMAT_RULES), maths, F.concat(F.lit("The teacher asks: "), feedback), again)
     body = F.coalesce(F.nullif(F.substring("context", 1, prefix), F.lit("")), F.lit("No text is given."))
-    return rows.select("req", F.concat_ws("\n\n", head, F.concat(F.lit("Use only this text:\n"), body), F.lit("Answer with one JSON object that has the key questions.")).alias("prompt"))
+    return rows.select("req", F.concat_ws("\n\n", head, rules, F.concat(F.lit("Use only this text:\n"), body), F.lit("Answer with one JSON object that has the key questions.")).alias("prompt"))

@@ -23,10 +23,11 @@ def question_rows(questions: DataFrame) -> DataFrame:
 
 
 def answer_grid(questions: DataFrame, columns: int = 5) -> DataFrame:
-    """req, line and cells c0, c1, ... with "number. first letter" of questions(req, pos, correct_answer)."""
-    cell = F.concat((F.col("pos") + 1).cast("string"), F.lit(". "), F.upper(F.substring(F.trim("correct_answer"), 1, 1)))
+    """req, line and cells c0, c1, ... with "Q" number ". " and the whole answer of questions(req, pos, correct_answer); cells
+    of a line that no question fills are empty."""
+    cell = F.concat(F.lit("Q"), (F.col("pos") + 1).cast("string"), F.lit(". "), formula_markup(F.col("correct_answer")))
     rows = questions.select("req", F.expr(f"pos div {columns}").cast("long").alias("line"), (F.col("pos") % columns).alias("c"), cell.alias("cell"))
-    return rows.groupBy("req", "line").agg(*[F.max(F.when(F.col("c") == i, F.col("cell"))).alias(f"c{i}") for i in range(columns)])
+    return rows.groupBy("req", "line").agg(*[F.coalesce(F.max(F.when(F.col("c") == i, F.col("cell"))), F.lit("")).alias(f"c{i}") for i in range(columns)])
 
 
 def form_requests(forms: DataFrame) -> DataFrame:

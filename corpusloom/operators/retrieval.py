@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.text import contains, has_devanagari, normalize_name, question_words, significant_words, word_pattern
 from ..functions.vectors import cosine
 
-#: Question batches up to this many rows are copied to every task; larger ones are joined in blocks of this size.
+#: Term tables up to this many rows are copied to every task; larger ones are joined by their anchors in a shuffle, and
+#: terms without an anchor in blocks of this size.
 BATCH_ROWS = 5_000
+#: Literals up to this many are searched in one pass over the texts, without a join.
+LITERALS = 64
+#: Words of an anchor, at most.
+ANCHOR = 3
 
 
 def literals(like: DataFrame, values: Sequence, column: str) -> DataFrame:
@@ -33,23 +38,81 @@ def matches(rows: DataFrame, terms: DataFrame, on: Column) -> DataFrame:
     return out
 
 
+def with_literals(rows: DataFrame, text: str, values: Sequence[str], column: str) -> DataFrame:
+    """rows without text, once for each of the values that the text contains, whatever the case, plus ord and the value.
+
+    The text is lowered once and searched for all values in one pass; more than LITERALS values are a table of terms.
+    """
+    if len(values) > LITERALS:
+        return containing(rows, text, literals(rows, values, column), column).drop(text)
+    others = [c for c in rows.columns if c != text]
+    terms = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(v).alias(column), F.lit(v.lower()).alias("low")) for i, v in enumerate(values)])
+    if not values:
+        return rows.select(*others, F.lit(0).alias("ord"), F.lit("").alias(column)).limit(0)
+    low = rows.select(*others, F.lower(text).alias("_low"))
+    return low.select(*others, F.inline(F.filter(terms, lambda t: F.col("_low").contains(t["low"])))).drop("low")
+
+
+def anchor(low: Column) -> Column:
+    """(words, name) of the longest run of at most ANCHOR words that lie whole within a term, null if none does.
+
+    A text that contains the term has the same words next to each other, as white space bounds them in the term itself.
+    """
+    words = F.split(low, r"\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    n = F.least(F.size(inner), F.lit(ANCHOR))
+    runs = F.transform(F.sequence(F.lit(0), F.size(inner) - n), lambda i: F.array_join(F.slice(inner, i + 1, n), " "))
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("size"), r.alias("run"))))["run"]
+    return F.when(n > 0, F.struct(n.alias("words"), F.xxhash64(n, longest).alias("name")))
+
+
+def containing(rows: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """rows joined to the terms (a table with a column `term`) that the text contains, whatever the case.
+
+    Each term is looked up by an anchor, a run of its own whole words: the distinct runs of a text and the anchors meet in
+    an equi-join of 64-bit names, and only pairs that share one are compared. Terms of fewer than three words have no
+    anchor and are compared with every text. Texts and terms are lowered once, and only keys travel with the runs.
+    """
+    asked = terms.withColumn("_term", F.lower(term)).withColumn("_anchor", anchor(F.col("_term")))
+    asked = asked.withColumns({"_words": F.coalesce("_anchor.words", F.lit(0)), "_name": F.col("_anchor.name")}).drop("_anchor")
+    sizes = {r["_words"]: r["count"] for r in asked.groupBy("_words").count().collect()}  # at most ANCHOR + 1 rows
+    low = rows.withColumn("_low", F.lower(text))
+    loose = matches(low, asked.where("_words = 0"), F.col("_low").contains(F.col("_term"))) if sizes.get(0) else None
+    widths = sorted(w for w in sizes if w)
+    found = None
+    if widths:
+        own = [c for c, t in rows.dtypes if t != "map"]
+        keyed = low.withColumn("_key", F.xxhash64(*own))
+        words = keyed.select("_key", F.split("_low", r"\s+").alias("_ws"))
+        run = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size("_ws") - w, F.lit(0))), lambda i: F.xxhash64(F.lit(w), F.array_join(F.slice("_ws", i + 1, w), " ")))
+        names = words.select("_key", F.explode(F.array_distinct(F.concat(*[run(w) for w in widths]))).alias("_name"))
+        anchors = asked.where("_words > 0")
+        few = sum(n for w, n in sizes.items() if w) <= BATCH_ROWS
+        near = names.join(F.broadcast(anchors) if few else anchors, "_name").select("_key", *terms.columns, "_term").distinct()
+        found = keyed.join(near, "_key").where(F.col("_low").contains(F.col("_term"))).drop("_key")
+    columns = [*rows.columns, *terms.columns]
+    parts = [p.select(*columns) for p in (found, loose) if p is not None]
+    if not parts:
+        return rows.join(terms, F.lit(False)).select(*columns)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def first_rows(rows: DataFrame, by: Sequence[str], order: Sequence, n: int, rank: str = "rn") -> DataFrame:
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
 
 
 def keyword_topk(corpus: DataFrame, keywords: Sequence[str], n: int = 2) -> DataFrame:
     """The n shortest texts that contain each keyword: keyword, id, chars, rn."""
-    hits = matches(corpus.select("id", "content"), literals(corpus, keywords, "keyword"), contains(F.col("content"), F.col("keyword")))
-    hits = hits.select("keyword", "id", F.length("content").alias("chars"))
+    hits = with_literals(corpus.select("id", "content", F.length("content").alias("chars")), "content", keywords, "keyword")
     return first_rows(hits, ["keyword"], ["chars", "id"], n).select("keyword", "id", "chars", "rn")
 
 
 def substring_search(corpus: DataFrame, questions: DataFrame, n: int = 3, prefix: int = 500) -> DataFrame:
     """For questions(qid, question) the first n texts by id that contain the whole question; empty names become Unknown."""
-    hits = matches(corpus, questions.select("qid", "question"), contains(F.col("content"), F.col("question")))
-    hits = first_rows(hits, ["qid"], ["id"], n)
+    hits = containing(corpus.select("id", "chapter", "subject", "content"), "content", questions.select("qid", "question"), "question")
+    hits = first_rows(hits.select("qid", "id", "chapter", "subject", F.substring("content", 1, prefix).alias("excerpt")), ["qid"], ["id"], n)
     name = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("Unknown"))
-    return hits.select("qid", "id", name("chapter").alias("chapter"), name("subject").alias("subject"), F.substring("content", 1, prefix).alias("excerpt"), F.lit(0.7).alias("similarity"), "rn")
+    return hits.select("qid", "id", name("chapter").alias("chapter"), name("subject").alias("subject"), "excerpt", F.lit(0.7).alias("similarity"), "rn")
 
 
 def tiered_search(corpus: DataFrame, keywords: Sequence[str], chapters: Sequence[str], fallback_subject: str, most: int = 8, seed: str = "0") -> DataFrame:
@@ -59,16 +122,16 @@ def tiered_search(corpus: DataFrame, keywords: Sequence[str], chapters: Sequence
     found it; a chapter keeps its best text and any above 0.8; the best `most` remain. All tiers come from one plan: the
     fallback joins a count of one row instead of a second job.
     """
-    base = corpus.select("id", "chapter", "subject", "content")
-    short = lambda hits: first_rows(hits, ["ord"], [F.length("content"), "id"], 2)
+    base = corpus.select("id", "chapter", F.length("content").alias("chars"))
+    short = lambda hits: first_rows(hits, ["ord"], ["chars", "id"], 2)
     columns = ["id", "chapter", "relevance", "seq"]
-    tier1 = short(matches(base, literals(corpus, chapters[:3], "term"), contains(F.col("chapter"), F.col("term"))))
+    tier1 = short(with_literals(base.withColumn("name", F.col("chapter")), "name", chapters[:3], "term"))
     tier1 = tier1.select("id", "chapter", F.lit(0.9).alias("relevance"), (F.col("ord") * 2 + F.col("rn")).alias("seq"))
-    tier2 = short(matches(base, literals(corpus, keywords[:5], "term"), contains(F.col("content"), F.col("term"))))
-    tier2 = tier2.select("id", "chapter", F.when(contains(F.col("content"), F.col("term")), 0.8).otherwise(0.7).alias("relevance"), (100 + F.col("ord") * 2 + F.col("rn")).alias("seq"))
+    tier2 = short(with_literals(corpus.select("id", "chapter", F.length("content").alias("chars"), "content"), "content", keywords[:5], "term"))
+    tier2 = tier2.select("id", "chapter", F.lit(0.8).alias("relevance"), (100 + F.col("ord") * 2 + F.col("rn")).alias("seq"))
     once = lambda rows: rows.groupBy("id").agg(F.min_by(F.struct("chapter", "relevance", "seq"), "seq").alias("s")).select("id", "s.*")
     main = once(tier1.unionByName(tier2))
-    spare = base.where(contains(F.col("subject"), fallback_subject)).select("id", "chapter").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(seed))), "id").limit(3)
+    spare = corpus.where(contains(F.col("subject"), fallback_subject)).select("id", "chapter").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(seed))), "id").limit(3)
     spare = first_rows(spare.withColumn("one", F.lit(1)), ["one"], [F.md5(F.concat(F.col("id").cast("string"), F.lit(seed))), "id"], 3)
     spare = spare.join(F.broadcast(main.agg(F.count("*").alias("n"))), F.col("n") < 3).select("id", "chapter", F.lit(0.4).alias("relevance"), (200 + F.col("rn")).alias("seq"))
     found = once(main.unionByName(spare)).select(*columns)  # some twenty rows, whatever the corpus
@@ -104,17 +167,19 @@ def staged_vector_search(corpus: DataFrame, query: Sequence[float], subject: str
     return staged.join(first, F.col("stage") == F.col("first")).orderBy(F.desc("similarity"), "id").limit(k).select("id", "chapter", "similarity", "stage")
 
 
-def keyword_search(corpus: DataFrame, keywords: Sequence[str], subject: str, grade: str, chapters: Sequence[str] | None = None, n: int = 6) -> DataFrame:
+def keyword_search(corpus: DataFrame, keywords: Sequence[str], subject: str, grade: str, chapters: Sequence[str] | None = None, n: int = 6, within: Column | None = None) -> DataFrame:
     """id, keyword, similarity 0.6, pos: per keyword n texts of the subject, grade and chapters, or of the grade alone if there are none.
+    `within` may say instead of a list of chapters which rows are in them.
 
     The first six keywords of two characters and more count; a text keeps its first keyword; n texts remain.
     """
     words = [w.strip() for w in keywords if len(w.strip()) >= 2][:6]
     if not words:
         return corpus.sparkSession.createDataFrame([], "pos int, id long, keyword string, similarity double")
-    hits = matches(corpus.where(F.col("grade") == grade), literals(corpus, words, "keyword"), contains(F.col("content"), F.col("keyword")))
-    strict = contains(F.col("subject"), subject) & (F.col("chapter").isin(*chapters) if chapters else F.lit(True))
-    hits = hits.select("ord", "keyword", "id", F.coalesce(strict, F.lit(False)).alias("strict"))
+    within = within if within is not None else F.col("chapter").isin(*chapters) if chapters else F.lit(True)
+    strict = contains(F.col("subject"), subject) & within
+    own = corpus.where(F.col("grade") == grade).select("id", "content", F.coalesce(strict, F.lit(False)).alias("strict"))
+    hits = with_literals(own, "content", words, "keyword")
     hits = hits.withColumn("any_strict", F.max("strict").over(Window.partitionBy("ord"))).where("strict or not any_strict")
     hits = first_rows(hits, ["ord"], ["id"], n)
     hits = hits.groupBy("id").agg(F.min(F.struct("ord", "rn", "keyword")).alias("s")).select("id", "s.*").orderBy("ord", "rn").limit(n)
@@ -171,7 +236,8 @@ def analyze_questions(questions: DataFrame, dictionary: DataFrame, most: int = 5
     A chapter counts if its term is one of the keywords or stands anywhere in the question; the first `most` by name stay.
     """
     asked = questions.select("qid", F.substring(F.trim("question"), 1, 500).alias("question"))
-    hits = matches(asked, dictionary, F.lower("question").contains(F.col("term")) | F.array_contains(question_words(F.col("question")), F.col("term")))
+    low = asked.withColumns({"low": F.lower("question"), "words": question_words(F.col("question"))})
+    hits = matches(low, dictionary, F.col("low").contains(F.col("term")) | F.array_contains("words", F.col("term")))
     chapters = hits.groupBy("qid").agg(F.slice(F.array_sort(F.collect_set("chapter")), 1, most).alias("chapters"))
     out = asked.join(chapters, "qid", "left")
     return out.select("qid", F.array_join(question_words(F.col("question")), " ").alias("keywords"), F.coalesce(F.array_join("chapters", "|"), F.lit("")).alias("chapters"), has_devanagari(F.col("question")).alias("has_devanagari"))
@@ -182,11 +248,13 @@ def retrieve_context(corpus: DataFrame, query: Sequence[float], chapters: Sequen
 
     Keywords are the parts of topics between commas of three characters and more, then the chapters.
     """
-    names = [r["name"] for r in resolve_names(candidate_names(corpus, chapters, subject, grade), chapters).orderBy("ord").collect()]  # one row a request
-    near = staged_vector_search(corpus, query, subject, grade, names)
+    names = resolve_names(candidate_names(corpus, chapters, subject, grade), chapters).select("name")  # one row a request
+    within = lambda rows: rows.join(F.broadcast(names.distinct()), F.col("chapter") == F.col("name"), "left_semi") if chapters else rows
+    near = staged_vector_search(within(corpus), query, subject, grade)
     near = near.select("id", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("similarity"), "id")) - 1).alias("rank"), "similarity")
     words = [p.strip() for t in topics for p in t.split(",") if len(p.strip()) >= 3] + list(chapters)
-    found = keyword_search(corpus, words, subject, grade, names).select("id", (F.col("pos") - 1).alias("rank"), "similarity")
+    marked = corpus.join(F.broadcast(names.distinct().withColumn("named", F.lit(True))), F.col("chapter") == F.col("name"), "left").drop("name") if chapters else corpus.withColumn("named", F.lit(True))
+    found = keyword_search(marked, words, subject, grade, within=F.coalesce("named", F.lit(False))).select("id", (F.col("pos") - 1).alias("rank"), "similarity")
     return rrf_fusion(near, found).where(F.col("pos") <= most)
 
 

@@ -56,6 +56,30 @@ def quiz_links(tests: DataFrame, minutes: int = 60, tab_limit: int = 3) -> DataF
     return tests.select(quiz.alias("quiz_id"), "test_id", F.lit(minutes).alias("duration_minutes"), F.col("total_marks").alias("max_marks"), F.lit(tab_limit).alias("tab_switch_limit"), F.lit("active").alias("status"), F.concat(F.lit("/quiz/"), quiz).alias("link"))
 
 
+def get_test(tests: DataFrame, questions: DataFrame, test_id, owner: str) -> DataFrame:
+    """The test of an id and owner with its questions in order as one array; none, or several, are an error."""
+    found = exactly_one(tests, (F.col("id") == test_id) & (F.col("teacher_id") == owner))
+    own = questions.where(F.col("test_id") == test_id).withColumnRenamed("test_id", "_test")
+    fields = [c for c in own.columns if c not in ("_test", "position")]
+    lists = own.groupBy("_test").agg(F.array_sort(F.collect_list(F.struct("position", *fields))).alias("questions"))
+    empty = F.array().cast(lists.schema["questions"].dataType)
+    return found.join(lists, F.col("id") == F.col("_test"), "left").drop("_test").withColumn("questions", F.coalesce("questions", empty))
+
+
+def apply_feedback(requests: DataFrame, feedback: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What teachers' feedback(test_id, question_id, action, comment) on requests(test_id, owner, iteration, ...) leads to.
+
+    Training rows for what was rejected or edited; the rejected ids by test; and the requests again, one iteration on, with
+    the test they follow as previous_test_id. Tests at `most` iterations, and those without feedback, take no part.
+    """
+    open_tests = requests.where(F.col("iteration") < most).join(feedback.select("test_id").distinct(), "test_id", "left_semi")
+    chosen = rejected(feedback).join(open_tests.select("test_id", "owner"), "test_id")
+    training = chosen.select("test_id", "owner", "question_id", F.coalesce("comment", F.lit("")).alias("teacher_feedback"), "action")
+    ids = chosen.where("action = 'reject'").groupBy("test_id").agg(F.array_sort(F.collect_set("question_id")).alias("rejected"))
+    again = open_tests.withColumn("iteration", F.col("iteration") + 1).withColumn("previous_test_id", F.col("test_id"))
+    return training, ids, again
+
+
 def rejected(feedback: DataFrame) -> DataFrame:
     """Feedback that rejects or edits a question."""
     return feedback.where(F.col("action").isin("reject", "edit"))

@@ -116,7 +116,3 @@ def batches_needed(produced: DataFrame) -> DataFrame:
     """Batches of produced(req, batch, requested, n) that run: those before which fewer than requested + 5 came out."""
     before = F.coalesce(F.sum("n").over(Window.partitionBy("req").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return produced.withColumn("before", before).where("before < requested + 5")
-
-
-def backoff_seconds(attempt: Column, jitter: Column) -> Column:
-    return F.least(F.pow(F.lit(2.0), attempt + 1), F.lit(16.0)) * jitter

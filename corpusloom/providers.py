@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .functions.text import RETRYABLE
 from .functions.vectors import hashed_words
 
 
@@ -16,34 +20,50 @@ def embedded(rows: DataFrame, text: str, encode: Callable[[Sequence[str]], Seque
     if encode is None:
         return rows.withColumn("embedding", hashed_words(F.col(text)))
 
-    @F.pandas_udf("array<float>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        out: list = []
-        for at in range(0, len(texts), batch):
-            part = texts.iloc[at : at + batch].fillna("").tolist()
-            try:
-                out += [list(map(float, v)) for v in encode(part)]
-            except Exception:  # whatever a model raises
-                out += [None] * len(part)
-        return pd.Series(out)
+    names = [*rows.columns, "embedding"]
 
-    return rows.withColumn("embedding", vectors(text))
+    def vectors(texts: list[str]) -> list:
+        try:
+            return [list(map(float, v)) for v in encode(texts)]
+        except Exception:  # whatever a model raises
+            return [None] * len(texts)
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                found = vectors([t or "" for t in part[text].to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.float32()))], names)
 
-def generated(prompts: DataFrame, generators: Sequence[Callable[[str], str]], attempts: int = 4) -> DataFrame:
-    """req and answer for prompts(req, prompt): the generators in order, each tried `attempts` times. The last failure leaves null."""
+    return rows.mapInArrow(of, T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
-    def answer(prompt: str) -> str | None:
-        for generate in generators:
-            for _ in range(attempts):
-                try:
-                    return generate(prompt)
-                except Exception:  # whatever a service raises
-                    continue
+
+# Attempts, seconds of the first and longest pause, and the factors between which chance draws.
+ATTEMPTS, FIRST_PAUSE, LONGEST_PAUSE, JITTER = 4, 2.0, 16.0, (0.5, 1.5)
+
+
+def generated(prompts: DataFrame, generators: Sequence[Callable[[str], str]], attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """req and answer for prompts(req, prompt): the generators in order; null if all fail.
+
+    An error whose message says that another try may help is tried again up to `attempts` times, after a pause that doubles
+    and that chance stretches or shortens; after any other error, and after an empty answer, the next generator follows.
+    """
+
+    def once(generate: Callable[[str], str], prompt: str) -> str | None:
+        for n in range(attempts):
+            try:
+                return generate(prompt) or None
+            except Exception as e:  # whatever a service raises
+                if n == attempts - 1 or not any(k in str(e).lower() for k in RETRYABLE):
+                    return None
+                wait(min(FIRST_PAUSE ** (n + 1), LONGEST_PAUSE) * random.uniform(*JITTER))
         return None
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"req": f["req"], "answer": f["prompt"].map(answer)})
+    def answer(prompt: str) -> str | None:
+        return next((a for a in (once(g, prompt) for g in generators) if a is not None), None)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["req"], pa.array([answer(p) for p in batch["prompt"].to_pylist()], pa.string())], ["req", "answer"])
 
-    return prompts.select("req", "prompt").mapInPandas(of, f"req {prompts.schema['req'].dataType.simpleString()}, answer string")
+    return prompts.select("req", "prompt").mapInArrow(of, f"req {prompts.schema['req'].dataType.simpleString()}, answer string")

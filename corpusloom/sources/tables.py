@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMAS = {
     "chunks": "id int, class_grade string, subject string, chapter string, content string, embedding array<float>, created_at timestamp",
@@ -75,17 +76,19 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
 
 def decoded(files: DataFrame, decode: Callable[[bytes], list[str]]) -> DataFrame:
     """files with text: decode gives a file's pages, joined by blank lines. A file that fails has an empty text."""
-    @F.pandas_udf("string")
-    def text(content: pd.Series) -> pd.Series:
-        def one(data: bytes) -> str:
-            try:
-                return "\n\n".join(decode(data))
-            except Exception:  # whatever a broken file makes a decoder raise
-                return ""
+    names = [c for c in files.columns if c != "content"]
 
-        return content.map(one)
+    def one(data: bytes) -> str:
+        try:
+            return "\n\n".join(decode(data))
+        except Exception:  # whatever a broken file makes a decoder raise
+            return ""
 
-    return files.withColumn("text", text("content")).drop("content")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array([one(x.as_py()) for x in batch["content"]], pa.string())], [*names, "text"])
+
+    return files.mapInArrow(of, T.StructType([*(files.schema[c] for c in names), T.StructField("text", T.StringType())]))
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:

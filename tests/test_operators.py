@@ -181,29 +181,34 @@ def test_plan_and_batches(spark):
     for r in quota.batches(spark.createDataFrame([(t, t) for t in (1, 10, 12, 13, 50, 60)], "req long, total long")).collect():
         got.setdefault(r.req, []).append(r["size"])
     assert {t: sum(x) for t, x in got.items()} == {t: min(math.ceil(t * 1.30), t + 15) for t in (1, 10, 12, 13, 50, 60)}
-    assert one(spark, quota.backoff_seconds(F.lit(5), F.lit(1.0)), t="") == 16.0
 
 
 def test_quality_gate(spark):
     long = "a long enough explanation of it all"
-    q = lambda pos, text, form="mcq", options=("A) a", "B) b", "C) c", "D) d"), answer="A) a", why=long, marks="1", level="apply": (1, pos, text, form, list(options) if options else None, answer, why, marks, level, " ch ")
+    q = lambda pos, text, form="mcq", options=("A) a", "B) b", "C) c", "D) d"), answer="A) a", why=long, marks=1.0, level="apply": (1, pos, text, form, list(options) if options else None, answer, why, marks, level, " ch ")
     rows = [
         q(0, "too short"), q(1, "What is $x$ the value here?"), q(2, "what is the  value here?"), q(3, "Another fine question one", why="brief"), q(4, "Another fine question one"),
         q(5, "A question with hedging in it", why=long + " probably"), q(6, "Three options are not enough", options=("a", "b", "c")), q(7, "Its answer is lower case here", answer="b) whatever"),
-        q(8, "Its answer fits no option here", answer="zz"), q(9, "Assertion without its options", "assertion_reason", None, "c)", marks="x", level="create"), q(10, "Unknown format becomes choice", "essay", marks="2.9"),
+        q(8, "Its answer fits no option here", answer="zz"), q(9, "Assertion without its options", "assertion_reason", None, "c)", marks=0.5, level="create"), q(10, "Unknown format becomes choice", "essay", marks=2.9),
     ]
-    d = spark.createDataFrame(rows, "req int, pos int, text string, format string, options array<string>, correct_answer string, explanation string, marks string, bloom_level string, chapter string")
+    d = spark.createDataFrame(rows, "req int, pos int, text string, format string, options array<string>, correct_answer string, explanation string, marks double, bloom_level string, chapter string")
     got = {r.pos: r for r in gate.quality_gate(d, "Maths").collect()}
     assert {p: r.drop_reason for p, r in got.items()} == {0: "short", 1: None, 2: "duplicate", 3: "vague", 4: "duplicate", 5: "hedged", 6: "options", 7: None, 8: "answer", 9: None, 10: None}
     assert got[7].correct_answer == "B) b" and got[9].correct_answer == gate.ASSERTION_OPTIONS[2] and got[9].marks == 1 and got[9].bloom_level == "apply" and got[10].format == "mcq" and got[10].marks == 2 and got[1].chapter == "ch"
+    as_text = gate.quality_gate(d.withColumn("marks", F.lit("3")), "Maths").select("marks").distinct().collect()
+    assert [r.marks for r in as_text] == [1]
 
 
 def test_parse_answers_and_verdicts(spark):
     raw = spark.createDataFrame([(1, 'x {"questions":[{"text":"t","options":["a"],"marks":2},]} y'), (2, "broken")], "req int, answer string")
-    assert [(r.req, r.pos, r.text, r.marks) for r in gate.parse_answers(raw).collect()] == [(1, 0, "t", "2")]
+    assert [(r.req, r.pos, r.text, r.marks) for r in gate.parse_answers(raw).collect()] == [(1, 0, "t", 2.0)]
+    text = spark.createDataFrame([(1, '{"questions":[{"text":"t","marks":"2"}]}')], "req int, answer string")
+    assert [(r.text, r.marks) for r in gate.parse_answers(text).collect()] == [("t", None)]
     q = spark.createDataFrame([(1, 0, "a", "e"), (1, 1, "b", "f")], "req int, pos int, correct_answer string, explanation string")
     v = spark.createDataFrame([(1, 2, False, "c", "", "n"), (1, 9, False, "z", "z", "z")], "req int, index int, valid boolean, fixed_correct_answer string, fixed_explanation string, notes string")
-    assert sorted(tuple(r) for r in gate.apply_verdicts(q, v).collect()) == [(1, 0, "a", "e", "verified", None), (1, 1, "c", "f", "needs_review", "n")]
+    assert sorted(tuple(r) for r in gate.apply_verdicts(q, v).collect()) == [(1, 0, "a", "e", "verified", None), (1, 1, "c", "f", "verified", "n")]
+    failed = spark.createDataFrame([(1,)], "req int")
+    assert sorted(tuple(r) for r in gate.apply_verdicts(q, v, failed).collect()) == [(1, 0, "a", "e", "needs_review", None), (1, 1, "b", "f", "needs_review", None)]
 
 
 @pytest.mark.parametrize("n,top,want", [(80, None, 0.5), (81, 0.0, 0.7), (399, 1.0, 1.0), (400, 1.0, 0.8)])
@@ -253,7 +258,18 @@ def test_files_and_models(spark, tmp_path):
     def broken(prompt):
         raise ValueError
 
-    assert [r.answer for r in generated(rows, [broken, str.upper]).orderBy("req").collect()] == ["A B A", ""]
+    assert [r.answer for r in generated(rows, [broken, str.upper]).orderBy("req").collect()] == ["A B A", None]
+
+    def busy(prompt, tries=[]):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("HTTP 503")
+        return f"{len(tries)} tries"
+
+    waits = str(tmp_path / "waits")
+    assert [r.answer for r in generated(rows.where("req = 1"), [busy], wait=lambda s: open(waits, "a").write(f"{s}\n")).collect()] == ["3 tries"]
+    first, second = map(float, open(waits).read().split())
+    assert 1 <= first <= 3 and 2 <= second <= 6
     assert tables.as_json(spark.createDataFrame([("x", None)], "exam_title string, tags array<string>")).first().json == '{"examTitle":"x","tags":[]}'
     assert tables.Settings.from_conf(spark).issues() == [] and len(tables.Settings(overlap_words=900, dedup_threshold=2).issues()) == 2
     assert tables.with_defaults(rows, "tests").first().board == "CBSE"
@@ -262,6 +278,9 @@ def test_files_and_models(spark, tmp_path):
 def test_cache_and_limits(spark, tmp_path):
     e = spark.createDataFrame([("k", 0), ("k", 5), ("k", 10), ("k", 12), ("j", 1)], "key string, at long")
     assert sorted(tuple(r) for r in ev.cache_replay(e, 10).collect()) == [("j", 0, 1), ("k", 2, 2)]
+    b = spark.createDataFrame([("i", t, t, k) for t, k in enumerate("abacbabca")], "instance string, at long, seq long, key string")
+    assert tuple(ev.bounded_cache(b, 2, 100).first()) == ("i", 2, 7, 5) and tuple(ev.bounded_cache(b, 2, 100, recent=False).first()) == ("i", 2, 7, 5)
+    assert tuple(ev.bounded_cache(b, 9, 0).first()) == ("i", 0, 9, 0)
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:01"), (1, "2024-01-01 00:01:00"), (2, "2024-01-01 00:00:01"), (3, "2024-01-01 02:00:00")], "user int, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert [(r.user, r.n) for r in ev.over_limit(rows, 1).collect()] == [(1, 2)]
     rows.write.parquet(str(tmp_path / "e"))
@@ -275,3 +294,36 @@ def test_cache_and_limits(spark, tmp_path):
 def test_stats(spark):
     h = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (1, 4, 0.1)], "qid int, pos int, similarity double")
     assert tuple(stats.relevance_summary(h).first()) == (1, 3, 0.6, 0.85)
+
+
+def test_substrings_by_anchors(spark, monkeypatch):
+    """Terms of any number of words, with odd spaces and cases, against plain containment, however many terms there are."""
+    rnd = random.Random(8)
+    words = "the Cat sat on_a MAT élan İstanbul x 100% a.b".split()
+    text = lambda n: "".join(rnd.choice(words) + rnd.choice([" ", " ", "  ", "\n", "\t"]) for _ in range(n))
+    rows = [(i if i % 9 else None, text(rnd.randrange(40))) for i in range(80)] + [(500, None), (501, "")]
+    terms = [(q, (t := rnd.choice(rows)[1] or "x")[(a := rnd.randrange(len(t) + 1)) : a + rnd.randrange(30)]) for q in range(60)] + [(900, "zzz yyy xxx www"), (901, " cat "), (902, "CAT")]
+    low = {c: c for _, c in rows if c}
+    lowered = {r.c: r.l for r in spark.createDataFrame([(c,) for c in {*low, *(t for _, t in terms)}], "c string").select("c", F.lower("c").alias("l")).collect()}
+    want = sorted((str(i), q) for i, c in rows if c is not None for q, t in terms if lowered.get(t, t) in lowered.get(c, c))
+    c = spark.createDataFrame(rows, "id long, content string").repartition(3)
+    t = spark.createDataFrame(terms, "qid int, term string")
+    for most in (5_000, 10):
+        monkeypatch.setattr(retrieval, "BATCH_ROWS", most)
+        assert sorted((str(r.id), r.qid) for r in retrieval.containing(c, "content", t, "term").collect()) == want
+    for most in (64, 0):
+        monkeypatch.setattr(retrieval, "LITERALS", most)
+        assert sorted((str(r.id), r.ord) for r in retrieval.with_literals(c, "content", [t for _, t in terms], "term").collect()) == sorted((i, n) for i, q in want for n, (p, _) in enumerate(terms) if p == q)
+
+
+def test_suggestions(spark):
+    got = [r.suggestion for r in retrieval.suggestions(spark.range(1), list("abcdef"), 3, 1).collect()]
+    assert len(got) == len(set(got)) == 3 and set(got) <= set("abcdef")
+
+
+def test_clean_text_and_dates(spark):
+    assert one(spark, tx.clean_text(F.col("t")), t="a\n \n\t\nb\n\nc") == "a\n\nb\n\nc"
+    at = lambda t: F.to_timestamp(F.lit(t))
+    assert one(spark, tx.uptime(at("2024-01-01 00:00:00"), at("2024-01-03 03:04:05")), t="") == "2 days, 3:04:05"
+    assert one(spark, tx.iso_time(at("2024-01-01 10:00:00.25")), t="") == "2024-01-01T10:00:00.250000" and one(spark, tx.printed_date(at("2024-02-01 10:00:00")), t="") == "01/02/2024"
+    assert one(spark, tx.repaired_json(F.col("t")), t='{"a": "\\alpha, ]", "b": [1,],}') == '{"a": "\\\\alpha, ]", "b": [1]}'
