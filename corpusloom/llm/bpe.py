@@ -1,4 +1,4 @@
-"""Byte pair encoding by a deterministic automaton over tokens."""
+"""Byte pair encoding by a deterministic automaton over tokens, compiled merge by merge."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,102 +29,130 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Automaton:
-    """Accepts exactly the token sequences that merging yields; its state is the last token.
+def intervals(parent: list[int], used: set[int]) -> tuple[list[list[int]], list[int], list[int], dict[int, int]]:
+    """Of a tree of classes: children, and in preorder the used classes below each class, from lo to hi, and their places."""
+    kids: list[list[int]] = [[] for _ in parent]
+    for i, p in enumerate(parent):
+        if p >= 0:
+            kids[p].append(i)
+    lo, hi, place = [0] * len(parent), [0] * len(parent), {}
+    stack = [(0, False)]
+    while stack:
+        i, left = stack.pop()
+        if left:
+            hi[i] = len(place)
+            continue
+        lo[i] = len(place)
+        if i in used:
+            place[i] = len(place)
+        stack.append((i, True))
+        stack.extend((k, False) for k in kids[i])
+    return kids, lo, hi, place
+
 
-    It begins with one letter per symbol, all of which may follow each other. Each merge (a, b) -> c in turn is a gadget:
-    the arc from a to b goes, and the new token c takes the arcs into a and the arcs out of b as they are at that time;
-    if a to b has gone already, no sequence holds it and c gets no arcs. As c only copies, the arcs need not be stored:
-    `arc` follows the copies back to the merge that decides, and `table` keeps what has been asked.
+class Automaton:
+    """Deterministic and compiled; it accepts exactly the token sequences that merging yields. Its state is the last token.
+
+    It begins with one state per symbol, and every token may follow every state. Then come the merges, one gadget each:
+    for (a, b) -> c the transition from a by b goes, and the new token c gets the transitions into a and those out of b
+    as they are at that time (of three equal tokens the first two merge, so into a a there is none from a). States with
+    the same transitions out are one row and tokens with the same transitions in one column, and c shares b's row and a's
+    column. A gadget gives a and b a row and a column of their own below the ones they had, so rows and columns form two
+    trees, and the transitions that a gadget removes are one rectangle: all rows below a's and all columns below b's, which
+    are intervals in preorder. Painting one rectangle a merge gives the table of bits, rows by columns.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
         self.end = end
         self.labels = {i: t for t, i in vocab.items()}
-        self.born = dict.fromkeys(self.labels, -1)
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.rank: dict[tuple[int, int], int] = {}
-        self.table: dict[int, bool] = {}
-        dead = set()
+        merges = list(merges)
+        while (gone := self._compile(vocab, merges)) is not None:  # merges whose transition had gone already make nothing
+            merges = [m for k, m in enumerate(merges) if k not in gone]
+        made = {vocab[a + b] for a, b in merges}
+        parts = {a + b for a, b in self.given}
+        live = {t: i for t, i in vocab.items() if i in made or t not in parts}
+        self.final = {t.removesuffix(end): i for t, i in live.items() if t.endswith(end)}
+        inner = {t: i for t, i in live.items() if not t.endswith(end)}
+        #: Letters of tokens: a token, or -1 for what only begins one.
+        self.spelled = {t[:k]: -1 for t in inner for k in range(1, len(t))} | inner
+
+    def _compile(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> set[int] | None:
+        """Fills table, row_of and column_of; or else returns the merges that can't happen."""
+        if not hasattr(self, "given"):
+            self.given = merges
+        size = max(vocab.values(), default=-1) + 1
+        row, column = [0] * size, [0] * size
+        above, before = [-1], [-1]
+        made: set[int] = set()
+        gone: set[int] = set()
         for k, (a, b) in enumerate(merges):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            if x in dead or y in dead or z in self.parts or not self.arc(x, y, k):
-                if z not in self.parts:
-                    dead.add(z)
+            if z in made:
+                gone.add(k)
                 continue
-            self.rank[x, y] = self.born[z] = k
-            self.parts[z] = (x, y)
-            dead.discard(z)
-        live = {t: i for t, i in vocab.items() if i not in dead}
-        self.final = {t.removesuffix(end): i for t, i in live.items() if t.endswith(end)}
-        inner = {t: i for t, i in live.items() if not t.endswith(end)}
-        #: A token, or -1 for what only begins one.
-        self.arcs = {t[:k]: -1 for t in inner for k in range(1, len(t))} | inner
-
-    def arc(self, x: int, y: int, before: int = 1 << 60) -> bool:
-        """Whether y may follow x after the merges up to `before`."""
-        rank, born, parts = self.rank, self.born, self.parts
-        while True:
-            if rank.get((x, y), before) < before:
-                return False
-            at, other = born[x], born[y]
-            if at < 0 and other < 0:
-                return True
-            if x == y:
-                (a, b), before = parts[x], min(before, at)
-                x, y = b, a
-            elif other > at:
-                (a, b), before = parts[y], min(before, other)
-                if x == a == b:
-                    return False  # of three equal tokens the first two merge
-                y = a
-            else:
-                x, before = parts[x][1], min(before, at)
+            made.add(z)
+            out = row[y]
+            above.append(row[x])
+            before.append(column[y])
+            row[x] = column[y] = len(above) - 1
+            row[z], column[z] = out, column[x]
+        if gone:
+            return gone
+        kids, lo, hi, place = intervals(above, set(row))
+        _, first, last, _ = columns = intervals(before, set(range(len(before))))
+        used = sorted(set(column), key=columns[3].__getitem__)
+        keep = np.array([columns[3][c] for c in used], int)
+        table: list[bytes] = [b""] * len(place)
+        stack = [(0, np.ones(len(before), bool))]
+        while stack:
+            i, bits = stack.pop()
+            if i:
+                bits[first[i] : last[i]] = False
+            gone |= {k - 1 for k in kids[i] if not bits[first[before[k]]]}
+            if i in place:
+                table[place[i]] = np.packbits(bits[keep], bitorder="little").tobytes()
+            for n, k in enumerate(kids[i]):
+                stack.append((k, bits if n == len(kids[i]) - 1 else bits.copy()))
+        if gone:
+            return gone
+        self.table = table
+        self.row_of = [place[r] for r in row]
+        at = {c: n for n, c in enumerate(used)}
+        self.column_of = [at[c] for c in column]
+        return None
+
+    def allows(self, state: int, token: int) -> bool:
+        column = self.column_of[token]
+        return bool(self.table[self.row_of[state]][column >> 3] >> (column & 7) & 1)
 
     def encode_word(self, symbols: str) -> tuple[int, ...]:
         """The one accepted sequence over a word's letters.
 
-        A run takes the longest token whose arc leaves the state, and steps back where it gets stuck. What is accepted
-        up to a position is unique, so a position that led nowhere is never tried again.
+        What is accepted up to a position is unique, so each position has one state. From left to right, every token
+        that begins at a position leads from its state, if the table allows it, to the state of the position where the
+        token ends; the sequence is read off backwards from the end.
         """
-        arcs, table, final, n = self.arcs, self.table, self.final, len(symbols)
-        out: list[int] = []
-        begins: list[int] = []
-        stuck: set[int] = set()
-        i = 0
-        top = n
-        while i < n:
-            found = []
-            if top == n and (token := final.get(symbols[i:])) is not None:
-                found.append((n, token))
+        spelled, table, row_of, column_of, n = self.spelled, self.table, self.row_of, self.column_of, len(symbols)
+        state, begin = [-1] * (n + 1), [0] * (n + 1)
+        for i in range(n):
+            row = table[row_of[state[i]]] if i else None
+            token = self.final.get(symbols[i:])
+            if token is not None and state[n] < 0:
+                column = column_of[token]
+                if row is None or row[column >> 3] >> (column & 7) & 1:
+                    state[n], begin[n] = token, i
             j = i + 1
-            while j < n and (token := arcs.get(symbols[i:j])) is not None:
-                if token >= 0 and j <= top and j not in stuck:
-                    found.append((j, token))
+            while j < n and (token := spelled.get(symbols[i:j])) is not None:
+                if token >= 0 and state[j] < 0:
+                    column = column_of[token]
+                    if row is None or row[column >> 3] >> (column & 7) & 1:
+                        state[j], begin[j] = token, i
                 j += 1
-            if len(found) > 1 and found[0][0] == n:
-                found.append(found.pop(0))
-            state = out[-1] if out else -1
-            while found:
-                j, token = found.pop()
-                if state >= 0:
-                    key = state << 20 | token
-                    go = table.get(key)
-                    if go is None:
-                        if len(table) > 1_000_000:
-                            table.clear()
-                        go = table[key] = self.arc(state, token)
-                    if not go:
-                        continue
-                out.append(token)
-                begins.append(i)
-                i, top = j, n
-                break
-            else:
-                stuck.add(i)
-                out.pop()
-                i, top = begins.pop(), i - 1
-        return tuple(out)
+        out, at = [], n
+        while at:
+            out.append(state[at])
+            at = begin[at]
+        return tuple(reversed(out))
 
 
 class Codec:
@@ -146,12 +175,13 @@ class Codec:
         self.label = [labels.get(i, "") for i in range(max(labels) + 1)]
         self.digits = [str(i) for i in range(len(self.label))]
         self.words = Words(lambda w: self.automaton.encode_word("".join(map(self.letters.__getitem__, w.encode()))), CACHE_WORDS)
+        self.spelled = Words(self.automaton.encode_word, CACHE_WORDS)
 
     def encode(self, text: str) -> list[int]:
         if "<|" in text and len(parts := self.cut_special.split(text)) > 1:
             return [i for p in parts if p for i in ([self.special[p]] if p in self.special else self.encode(p))]
         if OUTSIDE.search(text):
-            return [i for w, _ in self.split(self.normalize(text)) for i in self.automaton.encode_word(w)]
+            return [i for w, _ in self.split(self.normalize(text)) for i in self.spelled[w]]
         return list(chain.from_iterable(map(self.words.__getitem__, LATIN_SPLIT.findall(text.lower()))))
 
     def decode(self, ids: list[int]) -> str:

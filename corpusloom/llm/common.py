@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,55 +16,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Has Spark delete the shuffle files of a query once it has ended; what a checkpoint has written no longer needs them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SWITCH = threading.Lock()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written to spark.checkpoint.dir, which survives the loss of executors.
 
-    The folder is the one that the session names; only where none is named (tests) a local one is set. The shuffle files
-    behind df go at once, so a job of several cuts needs the disk of its largest part only.
+    The folder is the one that the session names; only where none is named and one machine runs everything (tests) a
+    local one is set. The shuffle files behind df go at once, so a job of several cuts needs the disk of its largest
+    part only. Spark reads that switch as a query is made, so it is on for that moment and not while the job runs.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint()
-    finally:
-        spark.conf.set(CLEANUP, before)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoint"))
+    with SWITCH:
+        before = spark.conf.get(CLEANUP, "false")
+        spark.conf.set(CLEANUP, "true")
+        try:
+            made = df.select("*")
+        finally:
+            spark.conf.set(CLEANUP, before)
+    return made.checkpoint()
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, whatever dots and quotes are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def beside(docs: DataFrame, *names: str) -> Column:
+    """The columns of docs other than these in one struct, row, so that none can clash with a column that an operator makes."""
+    others = [named(c) for c in docs.columns if c not in names]
+    return (F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))).alias("row")
+
+
+def restored(docs: DataFrame, **own: Column) -> list[Column]:
+    """The columns of docs in their order: those named in own as given, the others out of row."""
+    return [own[c].alias(c) if c in own else F.col("row").getField(c).alias(c) for c in docs.columns]
 
 
 def even_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """rows joined with facts, which has one row for each key.
 
     A second key keeps Spark from reusing the layout of the aggregation behind facts, so both sides are plain shuffles
-    and adaptive execution can split the partition of a key that very many rows carry.
+    and adaptive execution can split the partition of a key that very many rows carry. The hint keeps small facts from
+    being broadcast: rounds of joins would leave a table of each on the driver.
     """
     second = F.xxhash64(F.lit("even"), key)
-    return rows.withColumn("_second", second).join(facts.withColumn("_second", second), [key, "_second"]).drop("_second")
+    return rows.withColumn("_second", second).join(facts.withColumn("_second", second).hint("merge"), [key, "_second"]).drop("_second")
+
+
+def in_stars(edges: DataFrame) -> bool:
+    """Whether every node of edges(a, b), b not above a, has one smaller neighbour at most, and none if it is one itself."""
+    up = edges.where("a <> b")
+    nodes = up.select(F.col("a").alias("node"), F.col("b").alias("up")).unionByName(up.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("up")))
+    nodes = nodes.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.max(F.col("up").isNull()).alias("root"))
+    return nodes.where("low < high or (root and low is not null)").agg(F.count("*")).first()[0] == 0
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a long, b long); component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each node hands its smallest neighbour on, so stars merge in a number
-    of rounds that grows with the logarithm of the longest path. Rounds end when nothing changes; each ends with a
+    of rounds that grows with the logarithm of the longest path. Rounds end when only stars are left; each ends with a
     checkpoint. Loops (a = b) give their node; no edges give no rows.
     """
     tidy = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, mark = cut(tidy), None
-    while True:
+    now = cut(tidy)
+    while not in_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = even_join(both, least, "a").where("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = even_join(large, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if found == mark:
-            break
-        mark = found
     ends = now.unionByName(now.select(F.col("b").alias("a"), "b"))
     return ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside, cut, restored
+
 
 def lines_of(text: str = "text"):
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
@@ -28,7 +30,7 @@ def repeated_windows(docs: DataFrame, width: int = 3) -> DataFrame:
         lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("lines", i + 1, width), "\n").alias("s")),
     )
     windows = lines.where(F.size("lines") >= width).select("doc_id", "text_hash", F.inline(at)).where(F.trim(F.translate("s", "\n\r\t", "   ")) != "")
-    windows = windows.select(*place, F.xxhash64(F.lit(1), "s").alias("h1"), F.xxhash64(F.lit(2), "s").alias("h2"))
+    windows = cut(windows.select(*place, F.xxhash64(F.lit(1), "s").alias("h1"), F.xxhash64(F.lit(2), "s").alias("h2")))  # read twice
     seen = windows.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1")
     seen = seen.select(F.col("h1").bitwiseXOR(F.col("h2")).alias("x"), "h2", "first")
     windows = windows.select(*place, F.col("h1").bitwiseXOR(F.col("h2")).alias("x"), "h2")
@@ -48,20 +50,22 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     ones in the order of their texts' hashes; a null doc_id sorts first. Other columns pass through; columns named n_lines,
     n_removed or n_spans are replaced.
     """
-    later = repeated_windows(docs, width).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_set("pos")).alias("_ps"))
+    later = repeated_windows(docs, width).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
+    later = later.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "ps")
     out = docs.drop("n_lines", "n_removed", "n_spans")
-    kept_columns = out.columns
-    out = out.withColumn("_text_hash", hash_of()).join(later, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    before = F.filter("_ps", lambda p, i: (i == 0) | (F.get("_ps", i - 1) + width < p))
-    after = F.filter("_ps", lambda p, i: (i == F.size("_ps") - 1) | (F.get("_ps", i + 1) > p + width))
-    out = out.withColumn("_lines", F.when(F.col("text").isNotNull(), lines_of())).withColumns({"_starts": before, "_ends": F.transform(after, lambda p: p + width)})
-    gaps = F.arrays_zip(F.concat(F.array(F.lit(0)), "_ends").alias("s"), F.concat("_starts", F.array(F.size("_lines"))).alias("e"))
-    kept = F.flatten(F.transform(gaps, lambda g: F.slice("_lines", g["s"] + 1, g["e"] - g["s"])))
-    out = out.withColumn("_kept", F.when(F.col("_ps").isNotNull(), kept).otherwise(F.col("_lines")))
-    n = F.coalesce(F.when(F.col("_lines").isNotNull(), F.size("_lines")), F.lit(0)).cast("long")
-    return out.select(
-        *[F.when(F.col("_ps").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in kept_columns],
+    rows = out.select("doc_id", "text", hash_of().alias("text_hash"), beside(out, "doc_id", "text"))
+    rows = rows.join(later, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    before = F.filter("ps", lambda p, i: (i == 0) | (F.get("ps", i - 1) + width < p))
+    after = F.filter("ps", lambda p, i: (i == F.size("ps") - 1) | (F.get("ps", i + 1) > p + width))
+    rows = rows.withColumn("lines", F.when(F.col("text").isNotNull(), lines_of())).withColumns({"starts": before, "ends": F.transform(after, lambda p: p + width)})
+    gaps = F.arrays_zip(F.concat(F.array(F.lit(0)), "ends").alias("s"), F.concat("starts", F.array(F.size("lines"))).alias("e"))
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice("lines", g["s"] + 1, g["e"] - g["s"])))
+    rows = rows.withColumn("kept", F.when(F.col("ps").isNotNull(), kept).otherwise(F.col("lines")))
+    n = F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long")
+    text = F.when(F.col("ps").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
+    return rows.select(
+        *restored(out, doc_id=F.col("doc_id"), text=text),
         n.alias("n_lines"),
-        F.coalesce(n - F.when(F.col("_kept").isNotNull(), F.size("_kept")), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.when(F.col("_starts").isNotNull(), F.size("_starts")), F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce(n - F.when(F.col("kept").isNotNull(), F.size("kept")), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.when(F.col("starts").isNotNull(), F.size("starts")), F.lit(0)).cast("long").alias("n_spans"),
     )

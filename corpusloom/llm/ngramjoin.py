@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +18,12 @@ ORDERS = 2
 #: Members of a posting list that all its members are compared to before pairs are listed.
 LEADERS = 24
 BLOCK_BYTES = 2_000_000
-#: Counters of the frequency sketch, a fixed size. It only orders tokens; any order gives the same links.
-COUNTERS, SLICES = 1 << 21, 64
+#: Bits of the number of counters in the frequency sketch, between these by how many tokens there are, TOKENS a counter. The
+#: sketch only orders tokens; any order gives the same links.
+LEAST_BITS, MOST_BITS, TOKENS = 21, 23, 8
+#: Counters of one slice, which one group adds up; a count reaches the driver as its binary logarithm, in so many steps an
+#: octave: one byte a counter.
+SLICE, STEPS = 1 << 15, 6
 #: Bits of a set's parity map, in longs of 64.
 LONGS = 8
 #: Names of sets that a task remembers, so that it hands on copies of a text once; the rest are merged later.
@@ -83,48 +86,53 @@ def prefix_length(n: int, per_cent: int) -> int:
     return n - -(-per_cent * n // 100) + 1
 
 
-def frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
-    """For each counter of the sketch how much fuller it is than the mean, in powers of two: 0 for the usual ones.
+def frequency_classes(docs: DataFrame, words: int, bits: int) -> np.ndarray:
+    """For each of the 2^bits counters of the sketch how much fuller it is than the mean, in half octaves: 0 for the usual ones.
 
-    Every task counts the tokens of its documents into a fixed number of counters; slices of counters are added up by
-    Spark, and COUNTERS bytes reach the driver, whatever the input.
+    Every task counts the tokens of its documents, by their first bits; slices of counters are added up by Spark, and
+    2^bits bytes reach the driver.
     """
-    size = COUNTERS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
+
+        def add(held: list[np.ndarray]) -> None:
+            at, n = np.unique((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+            counts[at] += n.astype(np.uint32)
+
         for batch in batches:
             held, n = [], 0
             for t in shingle_sets(batch["text"], words):
                 held.append(t)
                 n += len(t)
                 if n > 500_000:
-                    counts += np.bincount((np.concatenate(held) >> np.uint64(43)).astype(np.int64), minlength=COUNTERS)
+                    add(held)
                     held, n = [], 0
             if held:
-                counts += np.bincount((np.concatenate(held) >> np.uint64(43)).astype(np.int64), minlength=COUNTERS)
-        for s in range(SLICES):
-            own = counts[s * size : (s + 1) * size]
-            at = np.flatnonzero(own)
+                add(held)
+        for s in range(0, 1 << bits, SLICE):
+            at = np.flatnonzero(counts[s : s + SLICE])
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype("<u4").tobytes()], pa.binary())], ["slice", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([counts[s + at].astype("<u4").tobytes()], pa.binary())], ["slice", "at", "n"])
 
-    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, np.int64)
+    def added(part: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE, np.int64)
         for at, n in zip(part["at"], part["n"], strict=True):
-            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
-        return pd.DataFrame({"slice": [key[0]], "n": [total.astype("<i8").tobytes()]})
+            total[np.frombuffer(at.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<u4")
+        steps = np.log2(np.maximum(total, 1)) * STEPS
+        return pa.table({"slice": pa.array([part["slice"][0].as_py()], pa.int32()), "total": pa.array([int(total.sum())], pa.int64()), "steps": pa.array([steps.astype("u1").tobytes()], pa.binary())})
 
-    sums = docs.select("text").mapInArrow(count, "slice int, at binary, n binary").groupBy("slice").applyInPandas(add, "slice int, n binary").collect()
-    total = np.zeros(COUNTERS, np.int64)
+    sums = docs.select("text").mapInArrow(count, "slice int, at binary, n binary").groupBy("slice").applyInArrow(added, "slice int, total long, steps binary").collect()
+    steps = np.zeros(1 << bits, np.uint8)
     for r in sums:
-        total[r.slice * size : (r.slice + 1) * size] = np.frombuffer(r.n, "<i8")
-    mean = max(1.0, total.mean())
-    return np.maximum(np.floor(np.log2(np.maximum(total / mean, 1) * 0.75)), 0).astype(np.uint8)
+        steps[r.slice : r.slice + SLICE] = np.frombuffer(r.steps, "u1")
+    usual = np.log2(max(1.0, sum(r.total for r in sums) / (1 << bits)) / 0.75)
+    classes = np.clip(np.floor(2 * (np.arange(256) / STEPS - usual)), 0, 255).astype(np.uint8)
+    return classes[steps]
 
 
-def ngram_components(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs(doc_id, text).
+def ngram_components(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT, leaders: int = LEADERS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id for each row of docs(doc_id, text).
 
     Sets that are equal are one class, found by their names. For different sets, a token order ranks a set's tokens; two
     sets that link share one of the first prefix_length tokens under every order. All orders put tokens that fill their
@@ -135,17 +143,18 @@ def ngram_components(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CE
     below how many tokens are not common (close), which drops most pairs just under the threshold before they are verified.
 
     Large groups of near copies would give all their pairs, so links are sought in two turns. First every posting list
-    links its members to its LEADERS least members only; what is verified merges into components. That takes every pair of
+    links its members to its `leaders` least members only; what is verified merges into components. That takes every pair of
     a list with few members, and of a longer list every pair with a leader, so a pair shares at most as many more tokens
     as either member has places beyond the leaders of such lists. Then, in those, members outside a list's largest component meet those of other components, and only pairs that
     meet under each order are verified. A pair that is never listed lies within a component, so the components are those
-    of all links. Verification compares whole sets.
+    of all links. Verification compares whole sets. Neither `leaders` nor broadcast_ids, which says up to how many ids of
+    documents to verify are broadcast, changes the result.
 
-    A text without words, empty or null has no shingles, links with nothing and is its own component; rows that repeat a
-    doc_id are one node; a null doc_id keeps its count and links through its class, and is never a component's id unless
+    A text without words, empty or null has no shingles, links with nothing and is its own component; rows of one
+    doc_id with different texts link each by their own sets, and text_hash (xxhash64 of the text) tells them apart; a null doc_id keeps its count and links through its class, and is never a component's id unless
     it is alone; no rows give none; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
     def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,22 +162,26 @@ def ngram_components(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CE
             n, a, b, maps = zip(*rows, strict=True) if rows else ((), (), (), ())
             bits = np.array(maps, np.int64).reshape(len(rows), LONGS)
             columns = [pa.array(x, pa.int64()) for x in (n, a, b, *bits.T)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n", "s1", "s2", *maps_of()])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *columns], ["doc_id", "text_hash", "n", "s1", "s2", *maps_of()])
 
-    sets = cut(docs.mapInArrow(slim, ", ".join(f"{c} long" for c in ("doc_id", "n", "s1", "s2", *maps_of()))))
+    sets = cut(docs.mapInArrow(slim, ", ".join(f"{c} long" for c in ("doc_id", "text_hash", "n", "s1", "s2", *maps_of()))))
+    docs = docs.drop("text_hash")
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in maps_of()))
-    edges = verified_links(docs, classes, frequency_classes(docs, words), words, per_cent)
-    parts = connected_components(edges.unionByName(classes.where("rep is not null").select(F.col("rep").alias("a"), F.col("rep").alias("b"))))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (total // TOKENS).bit_length()))
+    edges = verified_links(docs, classes, frequency_classes(docs, words, bits), words, per_cent, leaders, broadcast_ids)
+    parts = connected_components(edges)
     # a component's id is its least document, and a class's least document is in the class
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select(F.col("s1").bitwiseXOR(F.col("s2")).alias("x"), "s2", F.col("n").alias("_n"), "component")
-    every = sets.select("doc_id", "n", "s2", F.col("s1").bitwiseXOR(F.col("s2")).alias("x"))
-    out = every.join(named, (every["x"] == named["x"]) & (every["s2"] == named["s2"]) & (every["n"] == named["_n"]), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = classes.join(parts.hint("merge"), classes["rep"] == parts["node"], "left").select(F.col("s1").bitwiseXOR(F.col("s2")).alias("x"), "s2", F.col("n").alias("_n"), F.coalesce("component", "rep").alias("component"))
+    every = sets.select("doc_id", "text_hash", "n", "s2", F.col("s1").bitwiseXOR(F.col("s2")).alias("x"))
+    out = every.join(named.hint("merge"), (every["x"] == named["x"]) & (every["s2"] == named["s2"]) & (every["n"] == named["_n"]), "left")
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def verified_links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, words: int, per_cent: int) -> DataFrame:
+def verified_links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, words: int, per_cent: int, most: int, broadcast_ids: int) -> DataFrame:
     """(a, b): enough links between classes, by their least documents, to connect all that any link connects."""
-    frequent = docs.sparkSession.sparkContext.broadcast(sketch)  # COUNTERS bytes
+    frequent = docs.sparkSession.sparkContext.broadcast(sketch)  # a byte a counter, 2^MOST_BITS at most
+    shift = np.uint64(64 - (len(sketch) - 1).bit_length())
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fuller, seen = frequent.value, set()
@@ -181,7 +194,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, word
                         seen.clear()
                     seen.add(name)
                     p, s1 = prefix_length(len(t), per_cent), name[0]
-                    late = fuller[(t >> np.uint64(43)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+                    late = fuller[(t >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)
                     for order in range(ORDERS):
                         key = late | (mix(t ^ TURNS[8 + order]) >> np.uint64(8))
                         first = np.argpartition(key, p - 1)[:p]
@@ -207,37 +220,36 @@ def verified_links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, word
     # the members next in size cannot link with it, so none of this list can
     rows = rows.where(f"under * 100 >= n * {per_cent} or n * 100 >= over * {per_cent}").drop("under", "over")
     rows = rows.withColumn("nth", F.dense_rank().over(own.orderBy("s1"))).withColumn("members", F.max("nth").over(own)).where("members > 1")
-    live = rows.groupBy("token", "ord", "s1", "n", "pos").agg(F.min("nth").alias("nth"), (F.max("members") > LEADERS + 1).alias("long"))
+    live = rows.groupBy("token", "ord", "s1", "n", "pos").agg(F.min("nth").alias("nth"), (F.max("members") > most + 1).alias("long"))
     live = cut(live.withColumn("k", F.struct("token", "ord")).drop("token", "ord"))
-    leaders = live.where(F.col("nth") <= LEADERS).select("k", F.col("s1").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("ix"), F.col("nth").alias("mth"))
-    stars = live.select("k", F.col("s1").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("iy"), "nth").join(leaders, "k").where((F.col("mth") < F.col("nth")) & sized(per_cent))
+    leaders = live.where(F.col("nth") <= most).select("k", F.col("s1").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("ix"), F.col("nth").alias("mth"))
+    stars = live.select("k", F.col("s1").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("iy"), "nth").join(leaders.hint("merge"), "k").where((F.col("mth") < F.col("nth")) & sized(per_cent))
     orders = range(ORDERS)
     stars = stars.groupBy("x", "y", "nx", "ny").agg(F.max(early(per_cent)).alias("soon"), *(F.count_if(F.col("k.ord") == o).alias(f"c{o}") for o in orders)).where("soon")
-    inside = cut(live.where(F.col("long") & (F.col("nth") > LEADERS)).groupBy("s1").agg(*(F.count_if(F.col("k.ord") == o).alias(f"in{o}") for o in orders)))
-    few = inside.count() <= BROADCAST_IDS
+    inside = cut(live.where(F.col("long") & (F.col("nth") > most)).groupBy("s1").agg(*(F.count_if(F.col("k.ord") == o).alias(f"in{o}") for o in orders)))
     for s in "xy":
-        own = inside.toDF(s, *(f"{s}in{o}" for o in orders))
-        stars = stars.join(F.broadcast(own) if few else own, s, "left")
+        stars = stars.join(inside.toDF(s, *(f"{s}in{o}" for o in orders)).hint("merge"), s, "left")
     for o in orders:  # a list that both are in is missing here only if both are in it beyond its leaders
         stars = stars.where(F.col(f"c{o}") + F.expr(f"least(coalesce(xin{o}, 0), coalesce(yin{o}, 0))") >= shared_at_least(per_cent))
     maps = classes.select("s1", *maps_of())
-    stars = stars.select("x", "y", "nx", "ny").join(maps.toDF("x", *maps_of("x")), "x").join(maps.toDF("y", *maps_of("y")), "y").where(close(per_cent))
+    stars = stars.select("x", "y", "nx", "ny").join(maps.toDF("x", *maps_of("x")).hint("merge"), "x").join(maps.toDF("y", *maps_of("y")).hint("merge"), "y").where(close(per_cent))
     stars = cut(stars.select("x", "y").distinct())
-    known = cut(links(docs, classes, stars, words, per_cent))
+    known = cut(links(docs, classes, stars, words, per_cent, broadcast_ids))
     parts = connected_components(known.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    joined = live.where(F.col("long") & (F.col("nth") > LEADERS)).join(parts.withColumnRenamed("node", "s1"), "s1", "left").select("k", "s1", "n", "pos", F.coalesce("component", "s1").alias("part"))
+    joined = live.where(F.col("long") & (F.col("nth") > most)).join(parts.withColumnRenamed("node", "s1").hint("merge"), "s1", "left").select("k", "s1", "n", "pos", F.coalesce("component", "s1").alias("part"))
     sizes = joined.groupBy("k", "part").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("k").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_rows = even_join(joined, mixed, "k").join(maps, "s1").select("k", "s1", "n", "pos", "part", "main", *maps_of())
+    open_rows = even_join(joined, mixed, "k").join(maps.hint("merge"), "s1").select("k", "s1", "n", "pos", "part", "main", *maps_of())
     left = open_rows.where("part <> main").drop("main").toDF("k", "x", "nx", "ix", "px", *maps_of("x"))
     right = open_rows.toDF("k", "y", "ny", "iy", "py", "main", *maps_of("y"))
     once = (F.col("py") == F.col("main")) | (F.col("x") < F.col("y"))
-    pairs = left.join(right, "k").where((F.col("px") != F.col("py")) & once & sized(per_cent) & early(per_cent) & close(per_cent))
+    pairs = left.join(right.hint("merge"), "k").where((F.col("px") != F.col("py")) & once & sized(per_cent) & early(per_cent) & close(per_cent))
     pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "k.ord")
     pairs = pairs.groupBy("x", "y").agg(F.countDistinct("ord").alias("orders")).where(F.col("orders") == ORDERS).select("x", "y")
-    pairs = cut(pairs.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
-    more = links(docs, classes, pairs, words, per_cent)
-    return known.unionByName(more).select("a", "b")
+    pairs = cut(pairs.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).hint("merge"), ["x", "y"], "left_anti"))
+    if pairs.agg(F.count("*")).first()[0] == 0:
+        return known.select("a", "b")
+    return known.select("a", "b").unionByName(links(docs, classes, pairs, words, per_cent, broadcast_ids).select("a", "b"))
 
 
 def sized(per_cent: int) -> Column:
@@ -278,13 +290,13 @@ def shared_at_least(per_cent: int) -> Column:
     return F.greatest(F.lit(1), least_common(per_cent) - F.greatest(rest("nx"), rest("ny")))
 
 
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, per_cent: int) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, per_cent: int, broadcast_ids: int) -> DataFrame:
     """(x, y, a, b) for the pairs (x, y) of set names whose whole sets link; a and b are the least documents of both."""
     names = pairs.select(F.col("x").alias("s1")).unionByName(pairs.select(F.col("y").alias("s1"))).distinct()
-    wanted = cut(classes.where("rep is not null").join(names, "s1").select("s1", "rep"))
-    few = wanted.count() <= BROADCAST_IDS
+    wanted = cut(classes.where("rep is not null").join(names.hint("merge"), "s1").select("s1", "rep"))
+    few = wanted.count() <= broadcast_ids
     ids = wanted.select(F.col("rep").alias("doc_id"), "s1")
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id")
+    texts = docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +309,7 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, per
 
     held = texts.select("s1", "doc_id", "text").mapInArrow(tokens, "s1 long, rep long, t binary")
     held = cut(held.groupBy("s1", "rep").agg(F.first("t").alias("t")))
-    both = pairs.join(held.toDF("x", "a", "tx"), "x").join(held.toDF("y", "b", "ty"), "y")
+    both = pairs.join(held.toDF("x", "a", "tx").hint("merge"), "x").join(held.toDF("y", "b", "ty").hint("merge"), "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,9 +9,9 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapreplace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +56,8 @@ class ByteEncoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.word = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.words = Words(lambda w: as_bytes(self.word(w.encode())), CACHE_WORDS)
+        self.word = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary  # a word is one piece
+        self.words = Words(lambda w: as_bytes(self.word(w)), CACHE_WORDS)
 
     def __call__(self, text: str) -> bytes:
         if OUTSIDE.search(text) or any(s in text for s in self.special):
@@ -102,51 +102,56 @@ def arrow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in TOKENS.split(", ")])
 
 
-def fill(lengths: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIERS, min_fill: int = MIN_FILL) -> list[list[tuple[int, int, int]]]:
-    """Windows as lists of (piece, from, to) over pieces of 1 to window - 1 tokens.
+def fill(lengths: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIERS, min_fill: int = MIN_FILL) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(tier, [(piece, from, to)]) for each sequence of pieces of 1 to window - 1 tokens; tiers are halves of the window.
 
-    Pieces of the longest tier open a window each, and its gap takes the longest pieces of shorter tiers that fit. What
-    is left of each tier, from the longest down, is packed in the same way. Then gaps of min_fill tokens and more are
-    filled by cutting the pieces of the emptiest windows, and the last open window is cut to the sizes of the tiers.
+    A piece is routed to the smallest tier that holds it. Each tier, from the longest down, is packed in windows of its own
+    size: a piece of the tier opens one, and the gap takes the longest pieces that fit, which come from the shorter tiers.
+    Then gaps that whole pieces left are filled by cutting the pieces of the emptiest windows, the shortest tier first. A
+    window of the longest tier may keep a gap below min_fill; a shorter one is full or dissolved, as only full ones need
+    no padding. What the last open window holds is cut to the sizes of the tiers.
     """
-    tier = {i: min(t for t in tiers if t >= n) for i, n in enumerate(lengths)}
+    sizes = sorted({window, *(t for t in tiers if t < window)})
     pool = sorted((n, i) for i, n in enumerate(lengths))
-    windows: list[tuple[int, list[tuple[int, int, int]]]] = []
-    for size in sorted(tiers, reverse=True):
-        for n, i in [x for x in reversed(pool) if tier[x[1]] == size]:
-            at = bisect_right(pool, (n, i)) - 1
-            if at < 0 or pool[at] != (n, i):
-                continue  # it fills a gap already
-            pool.pop(at)
-            gap, now = window - n, [(i, 0, n)]
+    done: list[tuple[int, list[tuple[int, int, int]]]] = []
+    loose: list[tuple[int, int, list[tuple[int, int, int]]]] = []
+    for size, below in zip(reversed(sizes), [*reversed(sizes[:-1]), 0], strict=True):
+        while pool and pool[-1][0] > below:
+            n, i = pool.pop()
+            gap, now = size - n, [(i, 0, n)]
             while gap and (at := bisect_right(pool, (gap, len(lengths)))):
                 m, j = pool.pop(at - 1)
                 now.append((j, 0, m))
                 gap -= m
-            windows.append((gap, now))
-    windows.sort(key=lambda w: w[0])
-    full, cuttable = [], [w for w in windows if w[0] >= min_fill]
-    full = [now for gap, now in windows if gap < min_fill]
-    while cuttable:
-        gap, now = cuttable.pop(0)
-        while gap >= min_fill and cuttable:
-            rest, donor = cuttable[-1]
+            if gap == 0 or (size == window and gap < min_fill):
+                done.append((size, now))
+            else:
+                loose.append((gap, size, now))
+    # the fullest windows are filled first; at the end stand those that give: the shortest and emptiest
+    loose.sort(key=lambda w: (-w[1], w[0]))
+    at, end = 0, len(loose) - 1
+    while at < end:
+        gap, size, now = loose[at]
+        while gap and at < end and not (size == window and gap < min_fill):
+            spare, tier, donor = loose[end]
             i, a, b = donor.pop()
             take = min(gap, b - a)
             now.append((i, a, a + take))
             gap -= take
             if a + take < b:
                 donor.append((i, a + take, b))
-            cuttable[-1] = (rest + take, donor)
-            if not donor:
-                cuttable.pop()
-        if gap < min_fill:
-            full.append(now)
-            continue
-        left = window - gap
-        for size in [t for t in sorted(tiers, reverse=True) if t < window]:
-            while left >= size:
-                part, need = [], size
+            loose[end] = (spare + take, tier, donor)
+            end -= not donor
+        loose[at] = (gap, size, now)
+        if at < end or gap == 0 or (size == window and gap < min_fill):
+            done.append((size, now))
+            at += 1
+    if at == end and loose[at][2]:
+        gap, size, now = loose[at]
+        left = size - gap
+        for tier in reversed(sizes):
+            while left >= tier:
+                part, need = [], tier
                 while need:
                     i, a, b = now.pop(0)
                     take = min(need, b - a)
@@ -154,11 +159,22 @@ def fill(lengths: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIER
                     need -= take
                     if a + take < b:
                         now.insert(0, (i, a + take, b))
-                full.append(part)
-                left -= size
+                done.append((tier, part))
+                left -= tier
         if now:
-            full.append(now)
-    return full
+            done.append((sizes[0], now))
+    return done
+
+
+def step_groups(costs: list[float], groups: int) -> list[int]:
+    """The group of each sequence: the costliest first, each to the group that has cost least so far."""
+    heap = [(0.0, g) for g in range(groups)]
+    out = [0] * len(costs)
+    for i in sorted(range(len(costs)), key=lambda i: -costs[i]):
+        cost, g = heap[0]
+        heapreplace(heap, (cost + costs[i], g))
+        out[i] = g
+    return out
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -167,26 +183,25 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def packed(window: int, tiers: tuple[int, ...], step: int, span: int):
     """For applyInPandas over a group of documents."""
 
-    def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def of(key, rows):  # frames of pandas, which only tasks import
+        import pandas as pd
+
         rows = rows.sort_values(["doc_id", "start", "length", "ids_crc32"], kind="stable", na_position="first").reset_index(drop=True)
         loose = np.flatnonzero(rows["length"].to_numpy() < window)
         ids = [np.frombuffer(x, "<u4") for x in rows["ids"].to_numpy()[loose]]
-        sequences = [[(int(i), 0, window)] for i in np.flatnonzero(rows["length"].to_numpy() == window)]
-        sequences += [[(int(loose[i]), a, b) for i, a, b in s] for s in fill([len(x) for x in ids], window, tiers)]
+        sequences = [(window, [(int(i), 0, window)]) for i in np.flatnonzero(rows["length"].to_numpy() == window)]
+        sequences += [(tier, [(int(loose[i]), a, b) for i, a, b in s]) for tier, s in fill([len(x) for x in ids], window, tiers)]
         where = {int(r): x for r, x in zip(loose, ids, strict=True)}
-        # dealt to step groups to and fro by cost, so that every group of steps takes about as long
-        cost = np.array([sum((b - a) ** 2 for _, a, b in s) for s in sequences])
-        groups = -(-len(sequences) // step)
-        turn = np.empty(len(sequences), int)
-        k = np.arange(len(sequences))
-        turn[np.argsort(-cost, kind="stable")] = np.where(k // groups % 2, groups - 1 - k % groups, k % groups)
+        # a step takes as many tokens as `step` long windows, or more shorter ones; attention costs by squares
+        tokens = sum(b - a for _, s in sequences for _, a, b in s)
+        turn = step_groups([sum(b - a for _, a, b in s) ** 2 for _, s in sequences], max(1, -(-tokens // (step * window))))
         doc, start, crc, total = (rows[c].to_numpy() for c in ("doc_id", "start", "ids_crc32", "doc_tokens"))
         out: list[tuple] = []
-        for n, s in enumerate(sequences):
-            at, size = 0, sum(b - a for _, a, b in s)
+        for n, (tier, s) in enumerate(sequences):
+            at = 0
             for r, a, b in s:
                 whole = r not in where or b - a == len(where[r])
-                out.append((doc[r], int(start[r]) + a, b - a, int(crc[r]) if whole else zlib.crc32(where[r][a:b].tobytes()), int(total[r]), key[0] * span + n, at, min(t for t in tiers if t >= size), key[0] * span + int(turn[n])))
+                out.append((doc[r], int(start[r]) + a, b - a, int(crc[r]) if whole else zlib.crc32(where[r][a:b].tobytes()), int(total[r]), key[0] * span + n, at, tier, key[0] * span + turn[n]))
                 at += b - a
         return pd.DataFrame(out, columns=[x.split()[0] for x in PIECES.split(", ")])
 
@@ -197,9 +212,10 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WI
     """The tokens of docs(doc_id, text) in sequences of at most window tokens; one row for each piece of a document.
 
     A document is its ids and then END_ID. It is cut into full windows, sequences of their own, and a rest, which its
-    length routes to a tier. Groups of about group_docs documents, dealt by a hash, are packed apart from each other:
+    length routes to a tier, and each tier is packed in windows of its own size. Groups of about group_docs documents, dealt by a hash, are packed apart from each other:
     only the rests' ids and one row for each full window are shuffled. See fill() for how gaps of long windows are
-    filled from shorter tiers; step_group numbers groups of about `step` sequences of balanced cost.
+    filled from shorter tiers; tier is a sequence's window; step_group numbers groups of sequences of balanced cost, each of
+    about the tokens of `step` long windows.
 
     A null or empty text is the end id alone; rows that repeat a doc_id are packed each; a null doc_id stays null; an
     empty table gives no rows; other columns are ignored.
@@ -208,5 +224,5 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WI
     groups = max(1, -(-rows.count() // group_docs))
     tokens = rows.mapInArrow(tokenized(tokenizer, window), TOKENS)
     # the sequences of a group stay far below 2^40
-    grouped = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups))).groupBy("part")
+    grouped = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_tokens", "start", "ids_crc32"), F.lit(groups))).groupBy("part")
     return grouped.applyInPandas(packed(window, tiers, step, 1 << 40), PIECES)

@@ -7,12 +7,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The most labelled documents that the fit sees, chosen by a hash of their ids; their lines' features go to the driver.
-FIT_DOCS = 4000
+from .common import beside, restored
+
+#: The most labelled documents that the fit sees, in the order of a hash of their ids, and the most lines in all of them and
+#: in one; their lines' features go to the driver. A document of more lines is not drawn, and drawing ends at the bound.
+FIT_DOCS, FIT_LINES, FIT_DOC_LINES = 4000, 200_000, 20_000
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-4
 KEEP = 0.3
 BLOCK_BYTES = 4_000_000
@@ -190,10 +193,10 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Chain:
-    """The chain for labels(doc_id, quality): at most fit_docs labelled documents, none that is held out.
+def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES, fit_doc_lines: int = FIT_DOC_LINES) -> Chain:
+    """The chain for labels(doc_id, quality): at most fit_docs labelled documents of at most fit_lines lines, none held out.
 
-    Only features of lines come to the driver, from that bounded sample. Labels other than 0 and 1 and null ids are left
+    Only features of lines come to the driver, from that bounded sample of whole documents. Labels other than 0 and 1 and null ids are left
     out; without labels, or with one class only, the chain follows what there is (a constant).
     """
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
@@ -206,12 +209,16 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Chain
                 n = len(b.count)
                 x = [b.x[a : a + c] for a, c in zip(b.at, b.count, strict=True)]
                 size = [b.size[a : a + c].astype("<i8").tobytes() for a, c in zip(b.at, b.count, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["quality"].slice(done, n), pa.array([p.astype("<f4").tobytes() for p in x], pa.binary()), pa.array(size, pa.binary())], ["quality", "x", "size"])
+                own = batch.slice(done, n)
+                yield pa.RecordBatch.from_arrays([own["doc_id"], own["quality"], own["lines"], pa.array([p.astype("<f4").tobytes() for p in x], pa.binary()), pa.array(size, pa.binary())], ["doc_id", "quality", "lines", "x", "size"])
                 done += n
 
     # fit_docs rows at most, so the broadcast is bounded
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
-    rows = texts.mapInArrow(of, "quality int, x binary, size binary").collect()
+    lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", lines.cast("long").alias("lines"))
+    rows = texts.where(F.col("lines") <= fit_doc_lines).mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, lines long, x binary, size binary")
+    drawn = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id")
+    rows = rows.withColumn("upto", F.sum("lines").over(drawn)).where(F.col("upto") <= fit_lines).select("quality", "x", "size").collect()
     rows.sort(key=lambda r: (r.quality, r.size, r.x))  # sums of floats don't depend on the order of arrival
     width = 3 * WIDTH + 1
     x = [np.frombuffer(r.x, "<f4").reshape(-1, width).astype(float) for r in rows]
@@ -228,15 +235,15 @@ def quality_scores(docs: DataFrame, chain: Chain, keep: float = KEEP) -> DataFra
     Only the text counts. A null text scores as an empty one, one empty line; rows that repeat score alike; no rows give none.
     """
     own = docs.drop("held_out", "score", "predicted")
-    names = own.columns
+    rows = own.select("doc_id", "text", beside(own, "doc_id", "text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.concatenate([scores(chain, b) for b in blocks(batch["text"])]) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(found, 0, 1), pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(found, 0, 1), pa.float64())], ["doc_id", "text", "row", "score"])
 
-    scored = own.mapInArrow(of, T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())]))
-    return scored.select(*names, held_out().alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(of, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scored.select(*restored(own, doc_id=F.col("doc_id"), text=F.col("text")), held_out().alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

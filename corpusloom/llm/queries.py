@@ -41,7 +41,7 @@ def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

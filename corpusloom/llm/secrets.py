@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import beside, restored
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind, expression, least length of the value, group of the value. The first three stand alone, in the order of their
 #: report; the others are weak and count only beside complementary parts. A run of `{n,}` equals a run of `+` of which
@@ -96,22 +98,26 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
-    """docs with every span in text replaced by mask; spans that overlap or touch are one. All rows and columns stay."""
-    hits = find_secrets(docs, scope).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("spans").alias("_spans"))
-    columns = docs.columns
-    out = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    out = out.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    """docs with every span in text replaced by mask; spans that overlap or touch are one. All rows and columns stay.
+
+    Null and empty texts stay as they are; rows that repeat doc_id and text, null ids among them, are masked alike; no rows
+    give none.
+    """
+    hits = find_secrets(docs, scope).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
+    hits = hits.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "spans")
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), beside(docs, "doc_id", "text"))
+    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
     span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
     nothing = F.array().cast("array<struct<s:bigint,e:bigint>>")
     merged = F.aggregate(
-        "_spans",
+        "spans",
         F.struct(nothing.alias("done"), F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("e")),
         lambda a, x: F.when(x["start"] <= a["e"], F.struct(a["done"].alias("done"), a["s"].alias("s"), F.greatest(a["e"], x["end"]).alias("e"))).otherwise(
             F.struct(F.when(a["e"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(span(a["s"], a["e"])))).alias("done"), x["start"].alias("s"), x["end"].alias("e"))
         ),
         lambda a: F.concat(a["done"], F.array(span(a["s"], a["e"]))),
     )
-    out = out.withColumn("_merged", merged)
-    gaps = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.transform("_merged", lambda m: m["e"])).alias("s"), F.concat(F.transform("_merged", lambda m: m["s"]), F.array(F.length("text").cast("long"))).alias("e"))
+    rows = rows.withColumn("merged", merged)
+    gaps = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.transform("merged", lambda m: m["e"])).alias("s"), F.concat(F.transform("merged", lambda m: m["s"]), F.array(F.length("text").cast("long"))).alias("e"))
     masked = F.array_join(F.transform(gaps, lambda g: F.substring(F.col("text"), (g["s"] + 1).cast("int"), (g["e"] - g["s"]).cast("int"))), mask)
-    return out.select(*[F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns])
+    return rows.select(*restored(docs, doc_id=F.col("doc_id"), text=F.when(F.col("spans").isNotNull(), masked).otherwise(F.col("text"))))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut
 
-#: Pivots are this many vectors, chosen by a hash of their ids; they steer the work, not the result.
-PIVOTS = 64
+#: Pivots are about the square root of all vectors, chosen by a hash of their ids, in these bounds; they steer the work,
+#: not the result, and come to the driver.
+PIVOTS, MOST_PIVOTS = 64, 2048
 PACK, QUERY_PACK = 4096, 512
 #: The rotation is fitted on so many vectors at most, chosen by a hash of their ids; it orders the work, not the result.
 PCA_ROWS = 4096
@@ -49,7 +49,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.n
     return row, col, score
 
 
-def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, n_pivots: int = PIVOTS) -> DataFrame:
+def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, n_pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query's vector with all other vectors.
 
     Components become floor(scale * x), so scores are whole numbers and exact. Every vector joins the group of its
@@ -58,38 +58,48 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     query. Queries and data travel in packs of bounded size, a pack of queries to every pack of the groups it needs, and
     each pair is solved by one product of matrices; of its results only k a query go on.
 
-    Vectors that are null or hold null or non-finite components, and null ids, take no part; vectors of another length
-    than the pivots' take no part either; fewer than k others give all; a repeated (query_id, vec_id) counts once with its best
+    Vectors that are null or hold null or non-finite components, and null ids, take no part; vectors of different lengths
+    don't meet, and lengths without a pivot are groups of their own; fewer than k others give all; a repeated (query_id, vec_id) counts once with its best
     score; ties go to the smaller vec_id; no rows give none; other columns are ignored.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (F.size("embedding") > 0)
     rows = rows.where(finite)
+    if n_pivots is None:
+        n_pivots = min(MOST_PIVOTS, max(PIVOTS, int(rows.count() ** 0.5)))
     chosen = [np.floor(scale * np.array(r.embedding)) for r in rows.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(n_pivots).collect()]
     result = "query_id long, rank int, vec_id long, score long"
     if not chosen:
         return vectors.sparkSession.createDataFrame([], result)
-    pivots = np.array([p for p in chosen if len(p) == len(chosen[0])])
-    square = (pivots**2).sum(1)
+    # pivots by length; a cell is the place of its pivot among all, or minus a length that has none
+    pivots = {d: (np.array([i for i, p in enumerate(chosen) if len(p) == d]), np.array([p for p in chosen if len(p) == d])) for d in {len(p) for p in chosen}}
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(x) for x in batch["embedding"]])
-            batch = batch.filter(pa.array(lengths == pivots.shape[1]))
-            v = np.floor(scale * batch["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, pivots.shape[1]))
-            far = np.maximum((v**2).sum(1)[:, None] - 2 * v @ pivots.T + square, 0)
-            own = far.argmin(1) if len(v) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays(
-                [batch["vec_id"], batch["is_query"], pa.array(own, pa.int32()), pa.array(np.sqrt(far[np.arange(len(v)), own]), pa.float64()), pa.array([x.tobytes() for x in v.astype("<f8")], pa.binary())],
-                ["vec_id", "is_query", "cell", "far", "v"],
-            )
-
-    placed = rows.mapInArrow(assigned, "vec_id long, is_query boolean, cell int, far double, v binary")
-    sums = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.sum(F.col("is_query").cast("int")).alias("q")).collect()}  # one row a pivot
-    cells = np.array(sorted(sums))
+            lengths = np.array([len(x) for x in batch["embedding"]], int)
+            for d in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == d))
+                v = np.floor(scale * part["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+                own, far = np.full(len(v), -d), np.zeros(len(v))
+                if d in pivots:
+                    at, p = pivots[d]
+                    all_far = np.maximum((v**2).sum(1)[:, None] - 2 * v @ p.T + (p**2).sum(1), 0)
+                    near = all_far.argmin(1)
+                    own, far = at[near], np.sqrt(all_far[np.arange(len(v)), near])
+                yield pa.RecordBatch.from_arrays(
+                    [part["vec_id"], part["is_query"], pa.array(own, pa.int32()), pa.array(far, pa.float64()), pa.array([x.tobytes() for x in v.astype("<f8")], pa.binary())],
+                    ["vec_id", "is_query", "cell", "far", "v"],
+                )
+
+    placed = cut(rows.mapInArrow(assigned, "vec_id long, is_query boolean, cell int, far double, v binary"))  # read four times
+    sums = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.sum(F.col("is_query").cast("int")).alias("q")).collect()}  # one row a pivot or length
+    cells = sorted(sums)
     # a repeated vec_id is one vector, counted in one of its groups
     ids = {r.cell: r.n for r in placed.groupBy("vec_id").agg(F.min("cell").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    size, radius = np.array([ids.get(c, 0) for c in cells]), np.array([sums[c].radius for c in cells]) * (1 + 1e-9) + 1e-6
+    groups = {}
+    for d, (at, p) in pivots.items():
+        own = np.array([c for c in cells if c in set(at.tolist())], int)
+        groups[d] = own, p[np.searchsorted(at, own)], np.array([ids.get(c, 0) for c in own]), np.array([sums[c].radius for c in own]) * (1 + 1e-9) + 1e-6
 
     def slot(counts: dict[int, int], most: int) -> Column:
         parts = F.create_map(*[F.lit(int(x)) for c in cells for x in (c, -(-counts[c] // most) or 1)])
@@ -97,20 +107,27 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
 
     def needed(v: np.ndarray) -> list[int]:
         """Groups that some of these queries need."""
-        middle, spread = v @ pivots[cells].T, np.sqrt((v**2).sum(1))[:, None] * radius
+        if v.shape[1] not in groups:
+            return [-v.shape[1]]
+        own, p, size, radius = groups[v.shape[1]]
+        middle, spread = v @ p.T, np.sqrt((v**2).sum(1))[:, None] * radius
         low, high = middle - spread, middle + spread
         order = np.argsort(-low, axis=1)
         sure = np.cumsum(size[order], axis=1) >= k + 1  # one of them may be the query itself
-        at = np.where(sure.any(1), sure.argmax(1), len(cells) - 1)
+        at = np.where(sure.any(1), sure.argmax(1), len(own) - 1)
         floor = low[np.arange(len(v)), order[np.arange(len(v)), at]]
         floor = np.where(sure.any(1), floor, -np.inf)
-        return [int(c) for c in cells[(high >= floor[:, None] - 1e-6).any(0)]]
+        return [int(c) for c in own[(high >= floor[:, None] - 1e-6).any(0)]]
+
+    def pack(key, part):  # frames of pandas, which only tasks import
+        import pandas as pd
 
-    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["vec_id", "v"], kind="stable").drop_duplicates(["vec_id", "v"])
         return pd.DataFrame({"cell": [key[0]], "ids": [part["vec_id"].to_numpy("<i8").tobytes()], "vs": [b"".join(part["v"])]})
 
-    def pack_queries(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    def pack_queries(key, part):
+        import pandas as pd
+
         one = pack(key, part)
         to = needed(fixed(one["vs"][0], len(one["ids"][0]) // 8))
         return pd.DataFrame({"cell": to, "q_ids": [one["ids"][0]] * len(to), "qs": [one["vs"][0]] * len(to)})
@@ -224,7 +241,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     )
     met = dealt.select("label", "dim", "vec_id", "v", F.inline(meetings))
 
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    def compare(key, part):  # frames of pandas, which only tasks import
+        import pandas as pd
+
         same = key[2] == key[4] and key[3] == key[5]
         side = part["side"].to_numpy()
         ids = part["vec_id"].to_numpy(np.int64)
