@@ -8,15 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..providers import embedded, generated
+from ..sources.tables import once
 from . import dedup, gate, store
 
 MOST_ITERATIONS, SIMILAR = 3, 0.82
 
 
-def written(rows: DataFrame) -> DataFrame:
-    return rows if rows.sparkSession.sparkContext.getCheckpointDir() is None else rows.checkpoint()
-
-
 def verdict_prompts(questions: DataFrame) -> DataFrame:
     """req and prompt that asks for a verdict on each of questions(req, pos, text, options, correct_answer, explanation)."""
     one = F.concat_ws("\n", F.concat((F.col("pos") + 1).cast("string"), F.lit(". "), F.col("text")), F.array_join(F.coalesce("options", F.array().cast("array<string>")), "\n"), F.concat(F.lit("Answer: "), "correct_answer"), F.concat(F.lit("Why: "), "explanation"))
@@ -36,7 +33,7 @@ def build_test(requests: DataFrame, contexts: DataFrame, generators: Sequence[Ca
     side, and nothing of a request is in another's plan. Answers are kept by `keep`, so that the three tables come of the
     same ones and a lost executor does not ask again: by a checkpoint where the session names a folder for them.
     """
-    keep = keep or written
+    keep = keep or once
     with_text = contexts.where("context is not null and context <> ''").select("req", F.lit(True).alias("has_text")).distinct()
     state = requests.join(with_text, "req", "left").select("*", F.when(F.col("iteration") >= most, "limit_reached").when(F.col("has_text").isNull(), "no_content").alias("refused"))
     going = state.where("refused is null").drop("refused", "has_text")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, fields
+import os
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, fields, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,28 +29,79 @@ DEFAULTS = {
 
 @dataclass(frozen=True)
 class Settings:
-    """Options of the library with their defaults; from_conf reads corpus.<name> from the session."""
+    """Options of the library with their defaults; from_conf reads corpus.<name> from the session, from_env CORPUS_<NAME>."""
 
     chunk_words: int = 500
     overlap_words: int = 75
     least_words: int = 50
     dimension: int = 384
+    embedding_batch: int = 32
     per_query: int = 8
+    most_chunks: int = 15
     dedup_threshold: float = 0.82
     similarity_threshold: float = 0.65
+    relaxed_threshold: float = 0.3
+    least_question: int = 3
+    most_question: int = 500
+    most_questions: int = 50
+    most_iterations: int = 3
+    cache_entries: int = 500
+    cache_seconds: int = 1800
+    limit_enabled: bool = True
+    limit_requests: int = 100
+    limit_seconds: int = 900
+    concurrent_requests: int = 10
+    attempts: int = 4
+    batch_size: int = 12
+    overshoot: float = 1.30
+    port: int = 5432
+    environment: str = "production"
+
+    @classmethod
+    def of(cls, found: dict[str, str | None]) -> Settings:
+        """From texts by name; an empty text is none."""
+        def as_kind(kind: type, v: str):
+            return v.strip().lower() in ("true", "1", "yes") if kind is bool else kind(v)
+
+        return cls(**{k: as_kind(type(getattr(cls, k)), v) for k, v in found.items() if v not in (None, "")})
 
     @classmethod
     def from_conf(cls, spark: SparkSession) -> Settings:
-        found = {f.name: spark.conf.get(f"corpus.{f.name}", None) for f in fields(cls)}
-        return cls(**{k: type(getattr(cls, k))(v) for k, v in found.items() if v is not None})
+        return cls.of({f.name: spark.conf.get(f"corpus.{f.name}", None) for f in fields(cls)})
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] = os.environ) -> Settings:
+        """Environments are production, staging (preview, staging, test) or development."""
+        own = cls.of({f.name: env.get(f"CORPUS_{f.name.upper()}") for f in fields(cls)})
+        kind = {"production": "production", "prod": "production", "preview": "staging", "staging": "staging", "test": "staging"}
+        return replace(own, environment=kind.get(own.environment, "development"))
 
     def issues(self) -> list[str]:
+        """What makes the settings unusable."""
         out = []
         if self.overlap_words >= self.chunk_words:
             out.append("overlap_words must be smaller than chunk_words")
         if self.least_words > self.chunk_words:
             out.append("least_words must not exceed chunk_words")
-        out += [f"{f} must lie between 0 and 1" for f in ("dedup_threshold", "similarity_threshold") if not 0 <= getattr(self, f) <= 1]
+        if self.least_question > self.most_question:
+            out.append("least_question must not exceed most_question")
+        if not 1 <= self.port <= 65_535:
+            out.append("port must lie between 1 and 65535")
+        out += [f"{f} must lie between 0 and 1" for f in ("dedup_threshold", "similarity_threshold", "relaxed_threshold") if not 0 <= getattr(self, f) <= 1]
+        positive = ("chunk_words", "dimension", "embedding_batch", "per_query", "cache_entries", "cache_seconds", "limit_requests", "limit_seconds", "attempts", "batch_size")
+        return out + [f"{f} must be positive" for f in positive if getattr(self, f) <= 0]
+
+    def warnings(self) -> list[str]:
+        """What is allowed but rarely meant."""
+        out = []
+        if self.per_query > 10:
+            out.append("per_query above 10 slows answers down")
+        if self.concurrent_requests > 20:
+            out.append("concurrent_requests above 20 may exceed what a small deployment allows")
+        if self.relaxed_threshold > self.similarity_threshold:
+            out.append("relaxed_threshold is stricter than similarity_threshold")
+        if self.environment == "production" and not self.limit_enabled:
+            out.append("requests have no limit in production")
         return out
 
 
@@ -107,11 +159,27 @@ def with_defaults(rows: DataFrame, table: str) -> DataFrame:
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in DEFAULTS.get(table, {}).items()})
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """rows computed once and written where the session keeps checkpoints; as they are where it names no folder for them."""
+    return rows if rows.sparkSession.sparkContext.getCheckpointDir() is None else rows.checkpoint()
+
+
 def append(rows: DataFrame, valid: Column, path: str, rejects: str) -> DataFrame:
-    """Valid rows are appended to path, others to rejects; ok and failed counts come back."""
-    rows.where(F.coalesce(valid, F.lit(False))).write.mode("append").parquet(path)
-    rows.where(~F.coalesce(valid, F.lit(False))).write.mode("append").parquet(rejects)
-    return rows.agg(F.count_if(F.coalesce(valid, F.lit(False))).alias("ok"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("failed"))
+    """Valid rows are appended to path, others to rejects; ok and failed counts come back. The rows are computed once, and
+    rejects are written first, so what is in path has been told apart in full."""
+    flag = free_name(rows, "valid")
+    told = once(rows.withColumn(flag, F.coalesce(valid, F.lit(False))))
+    told.where(~F.col(flag)).drop(flag).write.mode("append").parquet(rejects)
+    told.where(flag).drop(flag).write.mode("append").parquet(path)
+    return told.agg(F.count_if(flag).alias("ok"), F.count_if(~F.col(flag)).alias("failed"))
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """name, with as many lines under it as make it one that rows don't have."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def replaced(spark: SparkSession, rows: DataFrame, name: str) -> None:

@@ -238,6 +238,7 @@ def test_store(spark, tmp_path):
         store.exactly_one(t, F.col("id") > 0)
     d = spark.createDataFrame([(1, "Science", "9"), (2, None, "9"), (3, "Art", "9")], "id int, subject string, grade string")
     assert sorted(r.id for r in store.without_subject(d, "SCI", "9").collect()) == [2, 3] and store.deleted_count(d, "SCI", "9").first().deleted == 1
+    assert tables.free_name(d, "Grade") == "Grade_"
     counts = tables.append(d, F.col("subject").isNotNull(), str(tmp_path / "ok"), str(tmp_path / "bad")).first()
     assert tuple(counts) == (2, 1) and spark.read.parquet(str(tmp_path / "bad")).count() == 1
     tables.replaced(spark, d, "stored")
@@ -272,6 +273,8 @@ def test_files_and_models(spark, tmp_path):
     assert 1 <= first <= 3 and 2 <= second <= 6
     assert tables.as_json(spark.createDataFrame([("x", None)], "exam_title string, tags array<string>")).first().json == '{"examTitle":"x","tags":[]}'
     assert tables.Settings.from_conf(spark).issues() == [] and len(tables.Settings(overlap_words=900, dedup_threshold=2).issues()) == 2
+    env = tables.Settings.from_env({"CORPUS_PER_QUERY": "12", "CORPUS_ENVIRONMENT": "preview", "CORPUS_LIMIT_ENABLED": "false", "CORPUS_PORT": ""})
+    assert (env.per_query, env.environment, env.limit_enabled, env.port) == (12, "staging", False, 5432) and len(env.warnings()) == 1 and tables.Settings.from_env({}).warnings() == []
     assert tables.with_defaults(rows, "tests").first().board == "CBSE"
 
 
