@@ -20,43 +20,63 @@ from .vectors import near_vectors, voronoi_top_k
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 15, law `rows`. A null text has size 1 and checksum 0; null ids sort first, null sources are one; repeated rows
+    each have a place; no rows give none. See shard_documents."""
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the lines that go with repeated windows of three, and the hash of what is left. A null text has no lines and hashes as an
+    empty one; ids that repeat or are null count by their texts; no rows give none. See dedup_lines."""
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and their decoding, as digests. A null text is empty: no ids; ids of documents, null or repeated, pass through;
+    no rows give none. See round_trip."""
     return round_trip(table(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens. A null or empty text is its end id; repeated ids are packed each, null ones
+    stay null; no rows give none. See pack_documents."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the bytes that a 50-byte string of an earlier document covers. A null text is empty; rows of one id are one document, each
+    with its own text; null ids are one document before all others; no rows give none. See dedup_spans."""
     return dedup_spans(table(spark, sf_dir, "documents"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its number of shingles and its component. A null, empty or blank text has none and is alone; a null id keeps its count; of
+    ties the smallest id names a component; no rows give none. See ngram_components."""
     return ngram_components(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest scores of every fiftieth vector against all. Null, empty and non-finite vectors and null ids take no part; lengths meet
+    their own; ties go to the smaller id; repeated ids count once; no rows give none. See voronoi_top_k."""
     return voronoi_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector its links and component within its label. Null, zero and non-finite vectors and null labels link with nothing; repeated ids
+    share one result; a null id has no component; no rows give none. See near_vectors."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document a score by whole text. A null text scores as an empty one; null ids are never learnt from; repeated rows score alike; without
+    labels all score 0.5; no rows give none. See quality_report."""
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the secrets in its whole text. A null or empty text has none; repeated rows each have theirs and null ids are kept; no rows
+    give none. See find_secrets."""
     return secret_report(table(spark, sf_dir, "documents"))
 
 

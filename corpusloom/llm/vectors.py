@@ -18,6 +18,10 @@ PACK, QUERY_PACK = 4096, 512
 #: The rotation is fitted on so many vectors at most, chosen by a hash of their ids; it orders the work, not the result.
 PCA_ROWS = 4096
 TILE, THRESHOLD = 1024, 0.93
+#: Numbers of the vectors of surviving pairs that are gathered at once, on either side.
+SLICE = 2_000_000
+#: Numbers of the vectors of one tile, at most, beyond TILE vectors.
+TILE_NUMBERS = 4_000_000
 
 
 def fixed(pack: bytes, n: int) -> np.ndarray:
@@ -163,24 +167,30 @@ def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, ste
     """Rows i of a and j of b whose cosine is at least threshold.
 
     Products over the leading axes come first; what the other axes can add is bounded by the product of the norms that
-    are left there. Pairs that cannot reach the threshold stop; the rest get their cosine from the vectors as given.
+    are left there. Pairs that cannot reach the threshold stop; the rest get their cosine from the vectors as given, some at a time.
     """
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     ra, rb = a / na[:, None], b / nb[:, None]
     if len(axes) == a.shape[1]:
         ra, rb = ra @ axes, rb @ axes
     steps = [s for s in steps if s < a.shape[1]] or [a.shape[1]]
-    left = lambda r, s: np.sqrt(np.maximum((r[:, s:] ** 2).sum(1), 0))
+    rest = {(k, s): np.sqrt(np.maximum((r[:, s:] ** 2).sum(1), 0)) for k, r in enumerate((ra, rb)) for s in steps}
     s = steps[0]
     part = ra[:, :s] @ rb[:, :s].T
-    i, j = np.nonzero(part + np.outer(left(ra, s), left(rb, s)) >= threshold - 1e-9)
+    i, j = np.nonzero(part + np.outer(rest[0, s], rest[1, s]) >= threshold - 1e-9)
     part = part[i, j]
-    for s, t in zip(steps, steps[1:], strict=False):
-        part = part + np.einsum("nd,nd->n", ra[i, s:t], rb[j, s:t])
-        go = part + left(ra, t)[i] * left(rb, t)[j] >= threshold - 1e-9
-        i, j, part = i[go], j[go], part[go]
-    cosine = np.einsum("nd,nd->n", a[i], b[j]) / (na[i] * nb[j])
-    return i[cosine >= threshold], j[cosine >= threshold]
+    found_i, found_j = [], []
+    for at in range(0, len(i), slice_ := max(256, SLICE // a.shape[1])):  # pairs whose vectors are gathered at once
+        p, q, x = i[at : at + slice_], j[at : at + slice_], part[at : at + slice_]
+        for s, t in zip(steps, steps[1:], strict=False):
+            x = x + np.einsum("nd,nd->n", ra[p, s:t], rb[q, s:t])
+            go = x + rest[0, t][p] * rest[1, t][q] >= threshold - 1e-9
+            p, q, x = p[go], q[go], x[go]
+        ok = np.einsum("nd,nd->n", a[p], b[q]) / (na[p] * nb[q]) >= threshold
+        found_i.append(p[ok])
+        found_j.append(q[ok])
+    none = np.zeros(0, int)
+    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
 
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -201,7 +211,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     """vec_id, n_links, component_id, kept for each row: links join vectors of one label with cosine >= threshold.
 
     Within a label, vectors are cut into cells along the first principal axis, so wide that links only join the same or
-    neighbouring cells, and cells into tiles of about `tile` vectors by a hash. Every two tiles that can hold links meet
+    neighbouring cells, and cells into tiles by a hash, of about `tile` vectors, or 8 times the square root of a cell if that is
+    more; blocks of `tile` vectors are compared at once. Every two tiles that can hold links meet
     in one task, whatever the size of their label; see linked() for the early stop. A task reports for each vector how
     many links it has there and the smallest vector it is connected to, never the pairs, so a group of n copies gives
     rows in proportion to n. Components then follow from those stars.
@@ -224,7 +235,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
             yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"].cast(pa.string()), pa.array([len(v) for v in vs], pa.int32()), pa.array(cell, pa.int32()), pa.array([v.astype("<f8").tobytes() for v in vs], pa.binary())], ["vec_id", "label", "dim", "cell", "v"])
 
     cells = rows.mapInArrow(placed, "vec_id long, label string, dim int, cell int, v binary")
-    tiles = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    # a tile grows with the square root of its cell, so copies of vectors grow slower than pairs of tiles
+    most = F.greatest(F.lit(float(tile)), F.least(tile / 128 * F.sqrt(F.count("*").cast("double")), TILE_NUMBERS / F.col("dim")))
+    tiles = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / most).cast("int").alias("tiles"))
     after = tiles.select("label", "dim", (F.col("cell") - 1).alias("cell"), F.col("tiles").alias("next_tiles"))
     tiles = tiles.join(after, ["label", "dim", "cell"], "left").select("label", "dim", "cell", "tiles", F.coalesce("next_tiles", F.lit(0)).alias("next_tiles"))
     before = tiles.select("label", "dim", (F.col("cell") + 1).alias("cell"), F.col("tiles").alias("last_tiles"))
@@ -252,15 +265,20 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
         b = a if same else np.flatnonzero(side == 1)
         if not len(a) or not len(b):
             return pd.DataFrame({"vec_id": [], "n": [], "root": []})
-        i, j = linked(v[a], v[b], axes, threshold)
-        i, j = a[i], b[j]
-        go = (i < j) & (ids[i] != ids[j]) if same else ids[i] != ids[j]
-        i, j = i[go], j[go]
-        n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), int)
         place[order] = np.arange(len(ids))
-        root = ids[order[local_roots(len(ids), place[i], place[j])[place]]]
+        n, root = np.zeros(len(ids), int), np.arange(len(ids))
+        for p in range(0, len(a), tile):
+            for q in range(p if same else 0, len(b), tile):
+                i, j = linked(v[a[p : p + tile]], v[b[q : q + tile]], axes, threshold)
+                i, j = a[p + i], b[q + j]
+                go = (i < j) & (ids[i] != ids[j]) if same else ids[i] != ids[j]
+                i, j = i[go], j[go]
+                n += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+                if len(i):
+                    root = local_roots(len(ids), np.concatenate([place[i], np.arange(len(ids))]), np.concatenate([place[j], root]))
+        root = ids[order[root[place]]]
         at = np.flatnonzero(n)
         return pd.DataFrame({"vec_id": ids[at], "n": n[at], "root": root[at]})
 

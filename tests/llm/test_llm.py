@@ -533,6 +533,18 @@ def test_near_vectors(embeddings):
     assert len(pairs) > 100 and vectors.near_vectors(embeddings).count() == len(vector_rows()) and vectors.near_vectors(embeddings.limit(0)).count() == 0
 
 
+def test_tiles_of_equal_vectors_need_little_memory():
+    """A tile of 1024 equal vectors of 768 dimensions, all pairs of which survive every bound."""
+    import tracemalloc
+
+    v = np.random.default_rng(2).normal(size=(1, 768)).repeat(1024, 0)
+    tracemalloc.start()
+    i, j = vectors.linked(v, v, np.eye(768), 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == len(j) == 1024 * 1024 and peak < 500_000_000
+
+
 # ---- 9
 
 
