@@ -65,21 +65,19 @@ class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
         self.end = end
         self.labels = {i: t for t, i in vocab.items()}
-        merges = list(merges)
-        while (gone := self._compile(vocab, merges)) is not None:  # merges whose transition had gone already make nothing
-            merges = [m for k, m in enumerate(merges) if k not in gone]
-        made = {vocab[a + b] for a, b in merges}
-        parts = {a + b for a, b in self.given}
-        live = {t: i for t, i in vocab.items() if i in made or t not in parts}
+        happen = list(merges)
+        while gone := self._compile(vocab, happen):  # merges whose transition had gone already make nothing
+            happen = [m for k, m in enumerate(happen) if k not in gone]
+        made = {a + b for a, b in happen}
+        never = {a + b for a, b in merges} - made
+        live = {t: i for t, i in vocab.items() if t not in never}
         self.final = {t.removesuffix(end): i for t, i in live.items() if t.endswith(end)}
         inner = {t: i for t, i in live.items() if not t.endswith(end)}
         #: Letters of tokens: a token, or -1 for what only begins one.
         self.spelled = {t[:k]: -1 for t in inner for k in range(1, len(t))} | inner
 
-    def _compile(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> set[int] | None:
-        """Fills table, row_of and column_of; or else returns the merges that can't happen."""
-        if not hasattr(self, "given"):
-            self.given = merges
+    def _compile(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> set[int]:
+        """Fills table, row_of and column_of; or else returns the places of merges that can't happen."""
         size = max(vocab.values(), default=-1) + 1
         row, column = [0] * size, [0] * size
         above, before = [-1], [-1]
@@ -98,10 +96,10 @@ class Automaton:
             row[z], column[z] = out, column[x]
         if gone:
             return gone
-        kids, lo, hi, place = intervals(above, set(row))
-        _, first, last, _ = columns = intervals(before, set(range(len(before))))
-        used = sorted(set(column), key=columns[3].__getitem__)
-        keep = np.array([columns[3][c] for c in used], int)
+        kids, _, _, place = intervals(above, set(row))
+        _, first, last, at = intervals(before, set(range(len(before))))
+        used = sorted(set(column), key=at.__getitem__)
+        keep = np.array([at[c] for c in used], int)
         table: list[bytes] = [b""] * len(place)
         stack = [(0, np.ones(len(before), bool))]
         while stack:
@@ -117,9 +115,9 @@ class Automaton:
             return gone
         self.table = table
         self.row_of = [place[r] for r in row]
-        at = {c: n for n, c in enumerate(used)}
-        self.column_of = [at[c] for c in column]
-        return None
+        number = {c: n for n, c in enumerate(used)}
+        self.column_of = [number[c] for c in column]
+        return gone
 
     def allows(self, state: int, token: int) -> bool:
         column = self.column_of[token]
