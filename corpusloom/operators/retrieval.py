@@ -81,7 +81,7 @@ def containing(rows: DataFrame, text: str, terms: DataFrame, term: str) -> DataF
     widths = sorted(w for w in sizes if w)
     found = None
     if widths:
-        own = [c for c, t in rows.dtypes if t != "map"]
+        own = [c for c, t in rows.dtypes if "map<" not in t]
         keyed = low.withColumn("_key", F.xxhash64(*own))
         words = keyed.select("_key", F.split("_low", r"\s+").alias("_ws"))
         run = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size("_ws") - w, F.lit(0))), lambda i: F.xxhash64(F.lit(w), F.array_join(F.slice("_ws", i + 1, w), " ")))
