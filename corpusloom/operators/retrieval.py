@@ -46,7 +46,7 @@ def with_literals(rows: DataFrame, text: str, values: Sequence[str], column: str
     if len(values) > LITERALS:
         return containing(rows, text, literals(rows, values, column), column).drop(text)
     others = [c for c in rows.columns if c != text]
-    terms = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(v).alias(column), F.lit(v.lower()).alias("low")) for i, v in enumerate(values)])
+    terms = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(v).alias(column), F.lower(F.lit(v)).alias("low")) for i, v in enumerate(values)])
     if not values:
         return rows.select(*others, F.lit(0).alias("ord"), F.lit("").alias(column)).limit(0)
     low = rows.select(*others, F.lower(text).alias("_low"))
