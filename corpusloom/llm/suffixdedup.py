@@ -249,18 +249,19 @@ def dedup_spans(docs: DataFrame, length: int = LENGTH, shared_ids: int = SHARED_
 
     Rows of a task that have one text in common are settled in the task, so a passage in very many documents is
     shuffled once a task; of a rank that very many different runs of a task share, four are shuffled under it. Texts meet
-    the results by doc_id in one shuffle that all rounds use.
+    the results by doc_id in a shuffle for each round but the first; the last one also serves the report.
 
     A null or empty text has no bytes; texts shorter than length stay whole; rows that repeat a doc_id are the same
     document, each with its own text; null ids are one document before all others; no rows give none; other columns are ignored.
     """
     own = tagged(docs, shared_ids)
     left = None
-    for k in range(len(rounds(length))):
+    last = len(rounds(length)) - 1
+    for k in range(last + 1):
         source = own if left is None else own.join(left, ["doc", "tag"])
         left = reranked(source.mapInArrow(ranked(k, length), RANKS))
-        if k == 0:
-            left = cut(left)  # the first round shuffles every run, the others a fraction
+        if k < last:
+            left = cut(left)  # a round's shuffles are gone before the next one's
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
