@@ -20,14 +20,14 @@ LEADERS = 24
 BLOCK_BYTES = 2_000_000
 #: Bits of the number of counters in the frequency sketch, between these by how many tokens there are, TOKENS a counter. The
 #: sketch only orders tokens; any order gives the same links.
-LEAST_BITS, MOST_BITS, TOKENS = 21, 23, 8
+LEAST_BITS, MOST_BITS, TOKENS = 21, 22, 8
 #: Counters of one slice, which one group adds up; a count reaches the driver as its binary logarithm, in so many steps an
 #: octave: one byte a counter.
 SLICE, STEPS = 1 << 15, 6
 #: Bits of a set's parity map, in longs of 64.
 LONGS = 8
 #: Names of sets that a task remembers, so that it hands on copies of a text once; the rest are merged later.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Ids of documents to fetch are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 200_000
 

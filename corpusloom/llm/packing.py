@@ -28,7 +28,7 @@ GROUP_DOCS = 2048
 #: The tokenizer's own splitting pattern, for texts of these characters only, where it needs no Unicode tables.
 LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+|\s+(?!\S)|\s+")
 OUTSIDE = re.compile("[^\t-\r\x20-\x7e\xa1-\xff]")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 def as_bytes(ids: list[int]) -> bytes:
