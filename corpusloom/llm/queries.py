@@ -12,6 +12,7 @@ from .common import table
 from .linededup import dedup_lines
 from .ngramjoin import ngram_components
 from .packing import pack_documents
+from .pieces import pieces_round_trip
 from .quality import quality_report
 from .secrets import BASE, KINDS, SCOPE, secret_report
 from .sharding import shard_documents
@@ -80,8 +81,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and their decoding, as digests. A null text is empty: no ids; ids of documents, null or repeated, pass through;
+    no rows give none. See pieces_round_trip."""
+    return pieces_round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bpe, op4_packing, op5_repeated_spans, op6_ngram_join, op7_top_k, op8_near_vectors, op9_quality, op10_secrets)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bpe, op4_packing, op5_repeated_spans, op6_ngram_join, op7_top_k, op8_near_vectors, op9_quality, op10_secrets, op11_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
