@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,28 +20,51 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SWITCH = threading.Lock()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written to spark.checkpoint.dir, which survives the loss of executors.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this session in spark.checkpoint.dir, which survives the loss of executors.
 
-    The folder is the one that the session names; only where none is named and one machine runs everything (tests) a
-    local one is set. The shuffle files behind df go at once, so a job of several cuts needs the disk of its largest
-    part only. Spark reads that switch as a query is made, so it is on for that moment and not while the job runs.
+    It is the one that the session names; only where none is named and one machine runs everything (tests) a local one is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoint"))
+    return context.getCheckpointDir()
+
+
+def freeing(df: DataFrame) -> DataFrame:
+    """df as a query whose shuffle files go once it has ended. Spark reads that switch as a query is made, so it is on for
+    that moment and not while the job runs."""
+    spark = df.sparkSession
     with SWITCH:
         before = spark.conf.get(CLEANUP, "false")
         spark.conf.set(CLEANUP, "true")
         try:
-            made = df.select("*")
+            return df.select("*")
         finally:
             spark.conf.set(CLEANUP, before)
-    return made.checkpoint()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: written to the shared folder. The shuffle files behind df go at once, so a job of several cuts
+    needs the disk of its largest part only."""
+    shared_folder(df.sparkSession)
+    return freeing(df).checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as a table of its own in the shared folder, and its path; reading it again reads the columns used."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    freeing(df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes what stored() has written and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def named(column: str) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import round_trip
+from .centroids import CLUSTERS, DIMENSION, ROUNDS, elkan_clusters
 from .common import table
 from .linededup import dedup_lines
 from .ngramjoin import ngram_components
@@ -87,12 +88,21 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector its cluster and squared distance after ten rounds, the sums of distances and the hash of its centroid. Null, shorter, longer
+    and non-finite vectors have no row, nor has one beyond the range of long distances; null ids stay null; repeated rows each have one; no
+    rows give none. See elkan_clusters."""
+    members, centroids = elkan_clusters(table(spark, sf_dir, "embeddings"))
+    whole = centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), F.sum("inertia").over(Window.partitionBy()).alias("inertia"), F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256).alias("centroid_sha256"))
+    return members.join(F.broadcast(whole), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # a row a cluster
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bpe, op4_packing, op5_repeated_spans, op6_ngram_join, op7_top_k, op8_near_vectors, op9_quality, op10_secrets, op11_sentencepiece)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bpe, op4_packing, op5_repeated_spans, op6_ngram_join, op7_top_k, op8_near_vectors, op9_quality, op10_secrets, op11_sentencepiece, op12_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1, "op2_line_dedup": OP2, "op6_ngram_join": OP6, "op7_top_k": OP7, "op8_near_vectors": OP8, "op10_secrets": op10_sql()}
+    return {"op1_sharding": OP1, "op2_line_dedup": OP2, "op6_ngram_join": OP6, "op7_top_k": OP7, "op8_near_vectors": OP8, "op10_secrets": op10_sql(), "op12_centroids": op12_sql()}
 
 
 OP2 = """
@@ -218,3 +228,20 @@ WITH steps AS ({" UNION ALL ".join(parts)}), placed AS (
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents AS d LEFT JOIN sums ON sums.doc_id = d.doc_id
 """
+
+
+def op12_sql() -> str:
+    """Every distance in every round; whole numbers in doubles are exact at this size, and distance * 8 + number tells nearest and tie at once."""
+    d = DIMENSION
+    parts = [
+        f"v AS MATERIALIZED (SELECT vec_id, [floor({1024} * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings WHERE len(embedding) = {d} AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]))",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, e AS c FROM v QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id)) <= {CLUSTERS})",
+    ]
+    for r in range(ROUNDS + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, e, key % {CLUSTERS} AS k, key // {CLUSTERS} AS distance FROM (SELECT v.vec_id, v.e, min(CAST(list_inner_product(e, e) - 2 * list_inner_product(e, c) + list_inner_product(c, c) AS BIGINT) * {CLUSTERS} + k) AS key FROM v, c{r} GROUP BY v.vec_id, v.e))")
+        if r < ROUNDS:
+            parts.append(f"s{r} AS (SELECT k, i, count(*) AS n, CAST(sum(e[i]) AS BIGINT) AS s FROM a{r}, range(1, {d + 1}) AS t(i) GROUP BY k, i)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT k, list(CAST((s - (s % n + n) % n) // n AS DOUBLE) ORDER BY i) AS c FROM s{r} GROUP BY k) AS m ON m.k = c{r}.k)")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string([CAST(x AS BIGINT) FOR x IN c], ',')) AS centroid_sha256 FROM a{ROUNDS} AS a JOIN c{ROUNDS} AS c ON c.k = a.k"""
