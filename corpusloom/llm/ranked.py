@@ -103,23 +103,18 @@ class Treaps:
         ends = np.cumsum(sizes)
         self.doc, self.impact = docs.astype(np.int64), np.append(impacts, 0)  # node -1 is none, and adds nothing
         self.key = np.repeat(np.arange(len(sizes)), sizes) << 32 | self.doc
-        self.left, self.right, self.root = np.full(n, -1, np.int32), np.full(n, -1, np.int32), np.full(len(sizes), -1, np.int32)
         by = np.lexsort((np.random.default_rng(n).permutation(n), impacts))
         rank = np.empty(n + 1, np.int64)
         rank[by], rank[n] = np.arange(n), 0
+        child, self.root = np.full(2 * n, -1, np.int32), np.full(len(sizes), -1, np.int32)
         lo, hi, to, at = ends - sizes, ends, self.root, np.arange(len(sizes))
-        sides = [(lo, hi, to, at)]
-        while sides:
-            later = []
-            for lo, hi, to, at in sides:
-                some = hi > lo
-                lo, hi, at = lo[some], hi[some], at[some]
-                if not len(lo):
-                    continue
-                top = by[np.maximum.reduceat(rank, np.stack([lo, hi], 1).ravel())[::2]]
-                to[at] = top
-                later += [(lo, top, self.left, top), (top + 1, hi, self.right, top)]
-            sides = later if len(later) < 3 else [tuple(np.concatenate([x[i] for x in later[s::2]]) if i != 2 else later[s][2] for i in range(4)) for s in (0, 1)]
+        while len(lo):  # parts stay in order, so that a level reads the ranks once
+            top = by[np.maximum.reduceat(rank, np.stack([lo, hi], 1).ravel())[::2]]
+            to[at] = top
+            lo, hi, at = (np.stack(x, 1).ravel() for x in ((lo, top + 1), (top, hi), (2 * top, 2 * top + 1)))
+            some = hi > lo
+            lo, hi, at, to = lo[some], hi[some], at[some], child
+        self.left, self.right = child[::2].copy(), child[1::2].copy()
 
     def split(self, nodes: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of treaps that hold the documents from lo to hi (and maybe others), the highest nodes before `at` and after it."""
