@@ -151,7 +151,7 @@ def staged_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CORPUS}, k(ord, keyword) AS (VALUES {values(list(enumerate(KEYWORDS)))}), hits AS (
-  SELECT ord, keyword, id, contains(lower(subject), 'en') AND chapter IN ('src1', 'src2', 'src3') AS strict FROM corpus JOIN k ON contains(lower(content), lower(keyword)) WHERE grade = '1'),
+  SELECT ord, keyword, id, chapter IN ('src1', 'src2', 'src3') AS strict FROM corpus JOIN k ON contains(lower(content), lower(keyword)) WHERE grade = '1' AND contains(lower(subject), 'en')),
 open AS (SELECT *, bool_or(strict) OVER (PARTITION BY ord) AS any_strict FROM hits),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY id) AS rn FROM open WHERE strict OR NOT any_strict),
 once AS (SELECT id, arg_min(keyword, ord) AS keyword, min(ord * 100 + rn) AS seq FROM ranked WHERE rn <= 6 GROUP BY id)
@@ -583,11 +583,11 @@ def candidate_names_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Texts and vectors of one id together, for searches that use both.
-BOTH = f"both_ AS (SELECT c.id, c.chapter, c.subject, c.grade, c.content, v.e FROM corpus AS c JOIN v ON v.id = c.id)"
+BOTH = "both_ AS (SELECT c.id, c.chapter, c.subject, c.grade, c.content, v.e FROM corpus AS c LEFT JOIN v ON v.id = c.id)"
 
 
 def texts_and_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).join(read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    return corpus(spark, sf_dir).join(read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
 
 
 @query(f"""WITH {CORPUS}, {VECTORS}, {BOTH}, own AS (SELECT * FROM both_ WHERE grade = '1'), r(ord, requested) AS (VALUES (0, 'SRC1'), (1, 'src 7')),
@@ -599,8 +599,8 @@ names AS (SELECT DISTINCT name FROM (SELECT name FROM best UNION ALL SELECT requ
 sims AS (SELECT id, lower(subject) AS subject, round(list_cosine_similarity(e, {PROBE_SQL}), 6) AS similarity FROM own WHERE chapter IN (SELECT name FROM names)),
 staged AS (SELECT id, similarity, CASE WHEN contains(subject, 'en') AND similarity > 0.65 THEN 1 WHEN contains(subject, 'en') AND similarity > 0.3 THEN 3 END AS stage FROM sims),
 a AS (SELECT id, similarity AS s1, row_number() OVER (ORDER BY similarity DESC, id) - 1 AS r1 FROM staged WHERE stage = (SELECT min(stage) FROM staged) QUALIFY r1 < 8),
-k(ord, keyword) AS (VALUES (0, 'the'), (1, 'ment'), (2, 'SRC1'), (3, 'src 7')),
-found AS (SELECT ord, keyword, id, coalesce(contains(lower(subject), 'en') AND chapter IN (SELECT name FROM names), false) AS strict FROM own JOIN k ON contains(lower(content), lower(keyword))),
+k(ord, keyword) AS (SELECT 0, 'the' UNION ALL SELECT 1, 'ment' UNION ALL SELECT 1 + row_number() OVER (ORDER BY name), name FROM names),
+found AS (SELECT ord, keyword, id, coalesce(chapter IN (SELECT name FROM names), false) AS strict FROM own JOIN k ON contains(lower(content), lower(keyword)) WHERE contains(lower(subject), 'en')),
 open_ AS (SELECT *, bool_or(strict) OVER (PARTITION BY ord) AS any_strict FROM found), ranked AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY id) AS rn FROM open_ WHERE strict OR NOT any_strict),
 once AS (SELECT id, min(ord * 100 + rn) AS seq FROM ranked WHERE rn <= 6 GROUP BY id), b AS (SELECT id, row_number() OVER (ORDER BY seq) - 1 AS r2 FROM once QUALIFY r2 < 6),
 f AS (SELECT coalesce(a.id, b.id) AS id, r1, r2, round(coalesce(1.0::DOUBLE / (61 + r1), 0) + coalesce(1.0::DOUBLE / (61 + r2), 0), 9) AS rrf_score, CASE WHEN r2 IS NOT NULL THEN 0.6::DOUBLE ELSE s1 END AS similarity,

@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains, has_devanagari, normalize_name, question_words, significant_words, word_pattern
+from ..functions.text import contains, has_devanagari, normalize_name, question_words, word_pattern
 from ..functions.vectors import cosine
+from ..sources.tables import Workspace
+from .many import retrieve_contexts
+from .names import best_names, name_matches
+from .patterns import matched_terms
 
-#: Term tables up to this many rows are copied to every task; larger ones are joined by their anchors in a shuffle, and
-#: terms without an anchor in blocks of this size.
+#: Term tables up to this many rows are copied to every task; larger ones are joined by their anchors in a shuffle.
 BATCH_ROWS = 5_000
 #: Literals up to this many are searched in one pass over the texts, without a join.
 LITERALS = 64
@@ -24,20 +27,6 @@ def literals(like: DataFrame, values: Sequence, column: str) -> DataFrame:
     return like.sparkSession.createDataFrame([(i, v) for i, v in enumerate(values)], f"ord int, {column} string")
 
 
-def matches(rows: DataFrame, terms: DataFrame, on: Column) -> DataFrame:
-    """rows joined to the terms that `on` matches; terms, counted first, are copied in blocks of bounded size."""
-    n = terms.count()
-    if n <= BATCH_ROWS:
-        return rows.join(F.broadcast(terms), on)
-    blocks = -(-n // BATCH_ROWS)
-    key = F.pmod(F.xxhash64(*terms.columns), F.lit(blocks))
-    out = None
-    for b in range(blocks):
-        found = rows.join(F.broadcast(terms.where(key == b)), on)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 def with_literals(rows: DataFrame, text: str, values: Sequence[str], column: str) -> DataFrame:
     """rows without text, once for each of the values that the text contains, whatever the case, plus ord and the value.
 
@@ -71,13 +60,14 @@ def containing(rows: DataFrame, text: str, terms: DataFrame, term: str) -> DataF
 
     Each term is looked up by an anchor, a run of its own whole words: the distinct runs of a text and the anchors meet in
     an equi-join of 64-bit names, and only pairs that share one are compared. Terms of fewer than three words have no
-    anchor and are compared with every text. Texts and terms are lowered once, and only keys travel with the runs.
+    anchor; they are found together, by one automaton. Texts and terms are lowered once, and only keys travel with the runs.
     """
     asked = terms.withColumn("_term", F.lower(term)).withColumn("_anchor", anchor(F.col("_term")))
     asked = asked.withColumns({"_words": F.coalesce("_anchor.words", F.lit(0)), "_name": F.col("_anchor.name")}).drop("_anchor")
     sizes = {r["_words"]: r["count"] for r in asked.groupBy("_words").count().collect()}  # at most ANCHOR + 1 rows
     low = rows.withColumn("_low", F.lower(text))
-    loose = matches(low, asked.where("_words = 0"), F.col("_low").contains(F.col("_term"))) if sizes.get(0) else None
+    loose = asked.where("_words = 0")
+    loose = matched_terms(low, "_low", loose, "_term").join(loose, "_term") if sizes.get(0) else None
     widths = sorted(w for w in sizes if w)
     found = None
     if widths:
@@ -167,21 +157,18 @@ def staged_vector_search(corpus: DataFrame, query: Sequence[float], subject: str
     return staged.join(first, F.col("stage") == F.col("first")).orderBy(F.desc("similarity"), "id").limit(k).select("id", "chapter", "similarity", "stage")
 
 
-def keyword_search(corpus: DataFrame, keywords: Sequence[str], subject: str, grade: str, chapters: Sequence[str] | None = None, n: int = 6, within: Column | None = None) -> DataFrame:
-    """id, keyword, similarity 0.6, pos: per keyword n texts of the subject, grade and chapters, or of the grade alone if there are none.
-    `within` may say instead of a list of chapters which rows are in them.
+def keyword_search(corpus: DataFrame, keywords: Sequence[str], subject: str, grade: str, chapters: Sequence[str] | None = None, n: int = 6) -> DataFrame:
+    """id, keyword, similarity 0.6, pos: per keyword n texts of the subject, grade and chapters, or of all chapters if there are none.
 
-    The first six keywords of two characters and more count; a text keeps its first keyword; n texts remain.
+    Of the first six keywords those of two characters and more count; a text keeps its first keyword; n texts remain.
     """
-    words = [w.strip() for w in keywords if len(w.strip()) >= 2][:6]
+    words = [w.strip() for w in keywords[:6] if len(w.strip()) >= 2]
     if not words:
         return corpus.sparkSession.createDataFrame([], "pos int, id long, keyword string, similarity double")
-    within = within if within is not None else F.col("chapter").isin(*chapters) if chapters else F.lit(True)
-    strict = contains(F.col("subject"), subject) & within
-    own = corpus.where(F.col("grade") == grade).select("id", "content", F.coalesce(strict, F.lit(False)).alias("strict"))
-    hits = with_literals(own, "content", words, "keyword")
+    strict = F.col("chapter").isin(*chapters) if chapters else F.lit(True)
+    own = corpus.where((F.col("grade") == grade) & contains(F.col("subject"), subject)).select("id", "content", F.coalesce(strict, F.lit(False)).alias("strict"))
+    hits = first_rows(with_literals(own, "content", words, "keyword"), ["ord", "strict"], ["id"], n)  # at most 2 n a keyword
     hits = hits.withColumn("any_strict", F.max("strict").over(Window.partitionBy("ord"))).where("strict or not any_strict")
-    hits = first_rows(hits, ["ord"], ["id"], n)
     hits = hits.groupBy("id").agg(F.min(F.struct("ord", "rn", "keyword")).alias("s")).select("id", "s.*").orderBy("ord", "rn").limit(n)
     out = first_rows(hits.withColumn("one", F.lit(1)), ["one"], ["ord", "rn"], n, "pos")
     return out.select("pos", "id", "keyword", F.lit(0.6).alias("similarity"))
@@ -205,19 +192,17 @@ def resolve_names(stored: DataFrame, requested: Sequence[str]) -> DataFrame:
     """requested, name, tier for names(name): equal once normalized (1), one within the other (2), two significant words shared (3).
 
     Per request the best tier wins, then the least normalized name. Requests without a match go, unless none has one:
-    then all come back as they are, with tier 0.
+    then all come back as they are, with tier 0. Requests and names meet by inverted indexes, see names.name_matches.
     """
-    names = stored.where("name is not null and name <> ''").select("name", F.lower(normalize_name(F.col("name"))).alias("norm"))
-    names = names.groupBy("norm").agg(F.max("name").alias("name"))
-    asked = literals(stored, requested, "requested").withColumn("req", F.lower(normalize_name(F.col("requested"))))
-    tier = (
-        F.when(F.col("req") == F.col("norm"), 1)
-        .when(F.col("norm").contains(F.col("req")) | F.col("req").contains(F.col("norm")), 2)
-        .when(F.size(F.array_intersect(significant_words(F.col("req")), significant_words(F.col("norm")))) >= 2, 3)
-    )
-    hits = matches(names, asked, tier.isNotNull()).withColumn("tier", tier)
-    best = hits.groupBy("ord", "requested").agg(F.min(F.struct("tier", "norm", "name")).alias("s")).select("ord", "requested", "s.name", "s.tier")
-    none = asked.join(F.broadcast(best.agg(F.count("*").alias("n"))), F.col("n") == 0).select("ord", "requested", F.col("requested").alias("name"), F.lit(0).alias("tier"))
+    return resolved(stored, literals(stored, requested, "requested"))
+
+
+def resolved(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same for a table asked(ord, requested); ord must be unique."""
+    asks = asked.select(F.col("ord").alias("_ask"), F.lit(0).alias("scope"), "requested")
+    best = best_names(name_matches(stored.select(F.lit(0).alias("scope"), "name"), asks))
+    best = best.join(asked, F.col("_ask") == F.col("ord")).select("ord", "requested", "name", "tier")
+    none = asked.join(F.broadcast(best.agg(F.count("*").alias("n"))), F.col("n") == 0).select("ord", "requested", F.col("requested").alias("name"), F.lit(0).alias("tier"))  # one row
     return best.unionByName(none)
 
 
@@ -225,37 +210,28 @@ def candidate_names(corpus: DataFrame, requested: Sequence[str], subject: str, g
     """Names stored for a subject and grade; if fewer than three, also names of the grade that a request's words match in order."""
     own = corpus.where((F.col("grade") == grade) & F.col("chapter").isNotNull())
     bulk = own.where(contains(F.col("subject"), subject)).select(F.col("chapter").alias("name")).distinct()
-    asked = literals(corpus, requested, "requested").withColumn("pattern", word_pattern(normalize_name(F.col("requested"))))
-    wide = matches(own.select(F.col("chapter").alias("name")).distinct(), asked, F.expr("name ilike pattern")).select("name")
+    patterns = F.array(*[word_pattern(normalize_name(F.lit(r))) for r in requested]).cast("array<string>")
+    wide = own.select(F.col("chapter").alias("name")).distinct().withColumn("patterns", patterns).where("exists(patterns, p -> name ilike p)").select("name")
     return bulk.unionByName(wide.join(F.broadcast(bulk.agg(F.count("*").alias("n"))), F.col("n") < 3).select("name")).distinct()
 
 
 def analyze_questions(questions: DataFrame, dictionary: DataFrame, most: int = 5) -> DataFrame:
     """qid, keywords, chapters and has_devanagari for questions(qid, question), with a dictionary(term, chapter).
 
-    A chapter counts if its term is one of the keywords or stands anywhere in the question; the first `most` by name stay.
+    A chapter counts if its term stands anywhere in the lowered question, as a keyword or not; the first `most` by name
+    stay. All terms are found in one pass.
     """
     asked = questions.select("qid", F.substring(F.trim("question"), 1, 500).alias("question"))
-    low = asked.withColumns({"low": F.lower("question"), "words": question_words(F.col("question"))})
-    hits = matches(low, dictionary, F.col("low").contains(F.col("term")) | F.array_contains("words", F.col("term")))
-    chapters = hits.groupBy("qid").agg(F.slice(F.array_sort(F.collect_set("chapter")), 1, most).alias("chapters"))
+    hits = matched_terms(asked.select("qid", F.lower("question").alias("low")), "low", dictionary, "term")
+    chapters = hits.join(dictionary, F.col("_term") == F.col("term")).groupBy("qid").agg(F.slice(F.array_sort(F.collect_set("chapter")), 1, most).alias("chapters"))
     out = asked.join(chapters, "qid", "left")
     return out.select("qid", F.array_join(question_words(F.col("question")), " ").alias("keywords"), F.coalesce(F.array_join("chapters", "|"), F.lit("")).alias("chapters"), has_devanagari(F.col("question")).alias("has_devanagari"))
 
 
 def retrieve_context(corpus: DataFrame, query: Sequence[float], chapters: Sequence[str], topics: Sequence[str], subject: str, grade: str, most: int = 10) -> DataFrame:
-    """Names resolved, a vector and a keyword list, fused: id, rrf_score, similarity, source, pos of the first `most`.
-
-    Keywords are the parts of topics between commas of three characters and more, then the chapters.
-    """
-    names = resolve_names(candidate_names(corpus, chapters, subject, grade), chapters).select("name")  # one row a request
-    within = lambda rows: rows.join(F.broadcast(names.distinct()), F.col("chapter") == F.col("name"), "left_semi") if chapters else rows
-    near = staged_vector_search(within(corpus), query, subject, grade)
-    near = near.select("id", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("similarity"), "id")) - 1).alias("rank"), "similarity")
-    words = [p.strip() for t in topics for p in t.split(",") if len(p.strip()) >= 3] + list(chapters)
-    marked = corpus.join(F.broadcast(names.distinct().withColumn("named", F.lit(True))), F.col("chapter") == F.col("name"), "left").drop("name") if chapters else corpus.withColumn("named", F.lit(True))
-    found = keyword_search(marked, words, subject, grade, within=F.coalesce("named", F.lit(False))).select("id", (F.col("pos") - 1).alias("rank"), "similarity")
-    return rrf_fusion(near, found).where(F.col("pos") <= most)
+    """Names resolved, a vector and a keyword list, fused: id, rrf_score, similarity, source, pos of the first `most`; see many.retrieve_contexts."""
+    one = corpus.sparkSession.createDataFrame([(0, subject, grade, list(chapters), list(topics), [float(x) for x in query])], "req int, subject string, grade string, chapters array<string>, topics array<string>, vector array<double>")
+    return retrieve_contexts(corpus, one, Workspace(corpus.sparkSession, "retrieve"), most=most).drop("req")
 
 
 def register_match_function(spark: SparkSession, view: str, name: str = "match_chunks") -> None:

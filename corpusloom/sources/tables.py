@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, fields, replace
 
@@ -159,9 +161,51 @@ def with_defaults(rows: DataFrame, table: str) -> DataFrame:
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in DEFAULTS.get(table, {}).items()})
 
 
+class Workspace:
+    """Tables that a job of several steps writes and reads again, in a folder of their own in spark.checkpoint.dir.
+
+    A step that is written is computed once, whatever is lost or read later. Tables go by drop() when nothing reads them any
+    more, and all of them with close() or at the end of a with block.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "work"):
+        folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = folder or tempfile.mkdtemp("-work")  # one machine runs everything, as in tests
+        self.spark, self.path, self.written = spark, f"{folder}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """rows, written and read again; the table can be dropped by what comes back."""
+        path = f"{self.path}/{self.written}"
+        self.written += 1
+        rows.write.parquet(path)
+        out = self.spark.read.schema(rows.schema).parquet(path)
+        out._workspace_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self._delete(t._workspace_path)
+
+    def close(self) -> None:
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def once(rows: DataFrame) -> DataFrame:
-    """rows computed once and written where the session keeps checkpoints; as they are where it names no folder for them."""
-    return rows if rows.sparkSession.sparkContext.getCheckpointDir() is None else rows.checkpoint()
+    """rows computed once and written to a folder of their own in spark.checkpoint.dir, see Workspace: computed again, a model
+    may give other answers."""
+    return Workspace(rows.sparkSession, "once").keep(rows)
 
 
 def append(rows: DataFrame, valid: Column, path: str, rejects: str) -> DataFrame:
