@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.vectors import cosine
-from .operators import assembly, chunking, dedup, gate, render, retrieval, stats, store
+from .operators import assembly, chunking, dedup, gate, generation, many, render, retrieval, stats, store
 from .plans import quota
-from .sources.tables import as_json, corpus, read_table
+from .sources.tables import Workspace, as_json, corpus, read_table
 from .streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -710,6 +711,85 @@ def build_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.join(tests, "req", "left").join(answers, "req", "left").select("req", "status", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total_questions", "total_marks")], F.coalesce(F.array_join("l.a", ","), F.lit("")).alias("answers"))
 
 
+#: Requests made of the items of benchmark: a subject, a grade, two chapters or none, two words as topics and a vector.
+ASKED = f"""{CORPUS}, {VECTORS}, {BOTH},
+asked AS (SELECT item_id AS req, CASE item_id % 3 WHEN 0 THEN 'EN' WHEN 1 THEN 'fr' ELSE 'e' END AS subject, CAST(item_id % 3 AS VARCHAR) AS grade, CASE WHEN item_id % 5 = 0 THEN [] ELSE ['SRC' || (item_id % 25), 'src ' || (item_id % 7)] END AS chapters,
+  [trim(x) FOR x IN string_split(array_to_string(string_split(text, ' ')[1:2], ', '), ',') IF length(trim(x)) >= 3] AS topics, e AS q FROM benchmark LEFT JOIN v ON v.id = item_id),
+names AS (SELECT DISTINCT grade, lower(subject) AS subject, chapter FROM corpus WHERE chapter IS NOT NULL),
+each AS (SELECT req, subject, grade, unnest(chapters) AS c, unnest(range(len(chapters))) AS ord FROM asked),
+named AS (SELECT req, ord, chapter, CASE WHEN lower(c) = lower(chapter) THEN 1 ELSE 2 END AS tier FROM each JOIN names ON names.grade = each.grade AND contains(names.subject, lower(each.subject)) AND (contains(lower(chapter), lower(c)) OR contains(lower(c), lower(chapter)))),
+best AS (SELECT req, ord, chapter FROM named QUALIFY row_number() OVER (PARTITION BY req, ord ORDER BY tier, lower(chapter)) = 1),
+lists AS (SELECT req, list_sort(list(DISTINCT chapter)) AS cs FROM best GROUP BY req),
+r AS (SELECT a.req, lower(a.subject) AS subject, grade, topics, q, coalesce(cs, chapters) AS cs FROM asked AS a LEFT JOIN lists ON lists.req = a.req),
+sims AS (SELECT r.req, b.id, round(list_cosine_similarity(b.e, r.q), 6) AS s FROM r JOIN both_ AS b ON b.grade = r.grade AND contains(lower(b.subject), r.subject) AND (len(cs) = 0 OR list_contains(cs, b.chapter)) WHERE b.e IS NOT NULL AND r.q IS NOT NULL),
+staged AS (SELECT *, max(s) OVER (PARTITION BY req) AS top FROM sims WHERE s > 0.3),
+a AS (SELECT req, id, s AS s1, row_number() OVER (PARTITION BY req ORDER BY s DESC, id) - 1 AS r1 FROM staged WHERE top <= 0.65 OR s > 0.65 QUALIFY r1 < 8),
+words AS (SELECT req, unnest(list_concat(topics, cs)[1:6]) AS w, unnest(range(least(6, len(topics) + len(cs)))) AS ord FROM r),
+found AS (SELECT r.req, ord, b.id, len(cs) = 0 OR list_contains(cs, b.chapter) AS strict FROM r JOIN words ON words.req = r.req JOIN corpus AS b ON b.grade = r.grade AND contains(lower(b.subject), r.subject) AND contains(lower(b.content), lower(w)) WHERE length(w) >= 2),
+opened AS (SELECT *, bool_or(coalesce(strict, false)) OVER (PARTITION BY req, ord) AS any_strict FROM found),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY req, ord ORDER BY id) AS rn FROM opened WHERE strict OR NOT any_strict),
+once AS (SELECT req, id, min(ord * 100 + rn) AS seq FROM ranked WHERE rn <= 6 GROUP BY req, id),
+b AS (SELECT req, id, row_number() OVER (PARTITION BY req ORDER BY seq) - 1 AS r2 FROM once QUALIFY r2 < 6),
+f AS (SELECT coalesce(a.req, b.req) AS req, coalesce(a.id, b.id) AS id, r1, r2, round(coalesce(1.0::DOUBLE / (61 + r1), 0) + coalesce(1.0::DOUBLE / (61 + r2), 0), 9) AS rrf_score, CASE WHEN r2 IS NOT NULL THEN 0.6::DOUBLE ELSE s1 END AS similarity,
+  CASE WHEN r2 IS NOT NULL THEN 'keyword' ELSE 'vector' END AS source FROM a FULL JOIN b ON a.id = b.id AND a.req = b.req),
+hits AS (SELECT req, id, rrf_score, similarity, source, CAST(row_number() OVER (PARTITION BY req ORDER BY rrf_score DESC, r1 NULLS LAST, r2 NULLS LAST) AS INTEGER) AS pos FROM f)"""
+
+
+def asked_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("req"), F.col("embedding").alias("vector"))
+    k, words = F.col("item_id"), F.slice(F.split("text", " "), 1, 2)
+    chapters = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("SRC"), (k % 25).cast("string")), F.concat(F.lit("src "), (k % 7).cast("string"))))
+    rows = read_table(spark, sf_dir, "benchmark").select(k.alias("req"), F.when(k % 3 == 0, "EN").when(k % 3 == 1, "fr").otherwise("e").alias("subject"), (k % 3).cast("string").alias("grade"), chapters.alias("chapters"), F.array(F.array_join(words, ", ")).alias("topics"))
+    return rows.join(near, "req", "left")
+
+
+@query(f"WITH {ASKED} SELECT * FROM hits WHERE pos <= 10")
+def retrieve_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items at once: names, vectors and keywords of each, in one scan of the texts."""
+    return many.retrieve_contexts(texts_and_vectors(spark, sf_dir), asked_of_items(spark, sf_dir), Workspace(spark, "retrieve"))
+
+
+def stand_in_batch(prompt: str, of_second: bool = False) -> str:
+    """As many questions as follow from the topic and the batch in the prompt; sometimes none, and for some topics an error."""
+    topic, batch = int(re.search(r"topic (\d+)", prompt)[1]), re.search(r"batch (\d+) of", prompt)
+    b = int(batch[1]) if batch else 1
+    n = (topic + b) % 5 if of_second else (topic * 7 + b * 3) % 13 - 2
+    if topic % 10 == 0 and not of_second:
+        raise ValueError("no such model")
+    one = '{{"text": "What is number {} of batch {} of topic {}?", "format": "mcq", "options": ["A) 1", "B) 2", "C) 3", "D) 4"], "correct_answer": "A) 1", "explanation": "it is the first one in the list of the text"}}'
+    return '{"questions": [' + ", ".join(one.format(i, b, topic) for i in range(n)) + "]}"
+
+
+def stand_in_batch_again(prompt: str) -> str:
+    return stand_in_batch(prompt, True)
+
+
+@query("""WITH RECURSIVE r AS (SELECT c_custkey AS req, (c_custkey % 4 + 1) * least(c_custkey % 11 + 1, CASE WHEN c_custkey % 2 = 0 THEN 8 ELSE 10 END) AS requested FROM customer),
+t AS (SELECT req, requested, CAST(ceil(least(ceil(requested * 1.30::DOUBLE)::BIGINT, requested + 15) / 12.0) AS BIGINT) AS batches FROM r),
+s AS (SELECT req, requested, batches, 0::BIGINT AS rounds, 0::BIGINT AS first_, 0::BIGINT AS second_ FROM t UNION ALL SELECT req, requested, batches, rounds + 1, first_ + got, second_ + CASE WHEN got = 0 THEN (req + rounds + 1) % 5 ELSE 0 END FROM (
+  SELECT *, CASE WHEN req % 10 = 0 THEN 0 ELSE greatest(0, (req * 7 + (rounds + 1) * 3) % 13 - 2) END AS got FROM s WHERE rounds < batches AND first_ + second_ < requested + 5))
+SELECT req, max(first_) AS of_first, max(second_) AS of_second, max(rounds) FILTER (first_ + second_ > 0) IS NOT NULL AS some FROM s GROUP BY req""")
+def generation_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A test for each customer, of one to four sections: how many questions came of either generator."""
+    k, level = F.col("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, "medium").otherwise("easy")
+    rows = read_table(spark, sf_dir, "customer").select(k.alias("req"), F.concat(F.lit("topic "), k.cast("string")).alias("subject"), level.alias("difficulty"), F.lit("mcq").alias("form"), (k % 11 + 1).alias("quantity"), F.explode(F.sequence(F.lit(0).cast("long"), k % 4)).alias("sec"))
+    asked = rows.where("sec = 0").drop("sec", "quantity").join(generation.targets(rows), "req")
+    made = generation.in_rounds(asked, asked.select("req", F.col("subject").alias("context")), [stand_in_batch, stand_in_batch_again], Workspace(spark, "rounds"))
+    n = made.groupBy("req").agg(F.count_if(F.col("source") == 0).alias("of_first"), F.count_if(F.col("source") == 1).alias("of_second"))
+    return asked.select("req").join(n, "req", "left").select("req", F.coalesce("of_first", F.lit(0)).alias("of_first"), F.coalesce("of_second", F.lit(0)).alias("of_second"), F.col("of_first").isNotNull().alias("some"))
+
+
+@query(f"""WITH {ASKED}, n AS (SELECT DISTINCT req FROM hits)
+SELECT r.req, CASE WHEN r.req % 7 >= 3 THEN 'limit_reached' WHEN n.req IS NULL THEN 'no_content' ELSE 'preview' END AS status, CASE WHEN r.req % 7 < 3 AND n.req IS NOT NULL THEN least(3, r.req % 4 + 1) ELSE 0 END::BIGINT AS total_questions FROM r LEFT JOIN n ON n.req = r.req""")
+def build_test_from_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests for the items of benchmark whose texts are retrieved; two sections each, one of them capped."""
+    asked = asked_of_items(spark, sf_dir).withColumns({"title": F.lit("t"), "owner": F.lit("x"), "difficulty": F.lit("medium"), "form": F.lit("mcq"), "iteration": F.col("req") % 7})
+    one = lambda sec, n: F.struct(F.lit(sec).alias("sec"), F.lit("medium").alias("difficulty"), F.lit("balanced").alias("profile"), F.lit("mcq").alias("format"), n.cast("long").alias("quantity"), F.lit(None).cast("string").alias("levels"))
+    parts = asked.select("req", F.inline(F.array(one(0, F.col("req") % 4), one(1, F.lit(1)))))
+    outcomes, tests, _ = assembly.build_test(asked, None, [stand_in_generator], [stand_in_validator], parts, texts_and_vectors(spark, sf_dir))
+    return outcomes.join(tests.select(F.col("test_id").alias("req"), "total_questions"), "req", "left").select("req", "status", F.coalesce("total_questions", F.lit(0)).cast("long").alias("total_questions"))
+
+
 @query("""SELECT conv_id AS id, 'owner' || conv_id AS teacher_id, string_agg(turn || ':' || text, '|' ORDER BY turn) AS questions FROM conversations WHERE conv_id = 1 GROUP BY conv_id""")
 def get_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")

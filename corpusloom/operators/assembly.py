@@ -1,4 +1,4 @@
-"""A whole test as one plan: prompts, answers, gate, duplicates, verdicts and the draft, for a batch of requests at once."""
+"""Whole tests, from request to draft, for a table of requests at once: texts, prompts in rounds, gate, duplicates, verdicts."""
 
 from __future__ import annotations
 
@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..providers import embedded, generated
-from ..sources.tables import once
-from . import dedup, gate, store
+from ..sources.tables import Workspace
+from . import dedup, gate, generation, store
+from .many import retrieve_contexts
 
 MOST_ITERATIONS, SIMILAR = 3, 0.82
+#: Texts of a request's context, and characters of each.
+TEXTS, PREFIX = 15, 400
+
+Model = Callable[[str], str]
 
 
 def verdict_prompts(questions: DataFrame) -> DataFrame:
@@ -21,36 +26,55 @@ def verdict_prompts(questions: DataFrame) -> DataFrame:
     return lists.select("req", F.concat(F.lit("Check each answer. Reply with one JSON object that has the key validations.\n\n"), F.array_join(F.col("all.one"), "\n\n")).alias("prompt"))
 
 
-def build_test(requests: DataFrame, contexts: DataFrame, generators: Sequence[Callable[[str], str]], validators: Sequence[Callable[[str], str]], most: int = MOST_ITERATIONS, similar: float = SIMILAR, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tests for requests(req, title, owner, subject, difficulty, form, n, iteration) with contexts(req, context).
+def found_contexts(corpus: DataFrame, requests: DataFrame, work: Workspace, texts: int = TEXTS, prefix: int = PREFIX, **how) -> DataFrame:
+    """req and context for requests(req, subject, grade, chapters, topics): the beginnings of the texts that retrieval finds."""
+    hits = work.keep(retrieve_contexts(corpus, requests, work, most=texts, **how).select("req", "id", "pos"))
+    parts = corpus.select(F.col("id").cast("long").alias("id"), "chapter", F.substring("content", 1, prefix).alias("content")).join(hits, "id")
+    return gate.build_context(parts.withColumnRenamed("req", "qid"), texts, prefix).withColumnRenamed("qid", "req")
+
+
+def sections_of(requests: DataFrame, sections: DataFrame | None) -> DataFrame:
+    """The sections of requests, or one for each of n questions."""
+    if sections is not None:
+        return sections.join(requests.select("req", "subject"), "req")
+    return requests.select("req", F.lit(0).alias("sec"), "subject", "difficulty", F.lit("balanced").alias("profile"), F.col("form").alias("format"), F.col("n").alias("quantity"), F.lit(None).cast("string").alias("levels"))
+
+
+def build_test(requests: DataFrame, contexts: DataFrame | None, generators: Sequence[Model], validators: Sequence[Model], sections: DataFrame | None = None, corpus: DataFrame | None = None, most: int = MOST_ITERATIONS, similar: float = SIMILAR, work: Workspace | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tests for requests(req, title, owner, subject, difficulty, form, n, iteration and maybe feedback), whose parts are
+    sections(req, sec, difficulty, profile, format, quantity, levels) or else one of n questions, with contexts(req, context).
+    Without contexts they are found in a corpus, for requests that also have grade, chapters and topics.
 
     Three tables come back. outcomes(req, status): limit_reached at `most` iterations, no_content without a context,
     failed if no question came of it, else preview. tests and questions as in store.drafts, whose test_id is req; questions
     also carry their id, options, answer, explanation, level, chapter, format and validation status.
 
-    One prompt a request goes to the generators. What can be read of the answers passes the gate; of near duplicates
-    the better one stays; the first n of each request are validated, take the fixes, and make the draft. Requests run side by
-    side, and nothing of a request is in another's plan. Answers are kept by `keep`, so that the three tables come of the
-    same ones and a lost executor does not ask again: by a checkpoint where the session names a folder for them.
+    Quantities are capped by difficulty; with some to spare they are generated in rounds, see generation.in_rounds. Of near
+    duplicates the better one stays; the first questions of each request, as many as asked for, are validated, take the
+    fixes, and make the draft. Requests run side by side, and nothing of a request is in another's plan. Answers, the
+    questions chosen and those checked are written to `work`, so each is computed once; it can be closed when the three
+    tables have been read.
     """
-    keep = keep or once
+    work = work or Workspace(requests.sparkSession, "tests")
+    open_ = requests.where(F.coalesce(F.col("iteration") < most, F.lit(True)))
+    contexts = work.keep(found_contexts(corpus, open_, work) if contexts is None else contexts.select("req", "context"))
     with_text = contexts.where("context is not null and context <> ''").select("req", F.lit(True).alias("has_text")).distinct()
-    state = requests.join(with_text, "req", "left").select("*", F.when(F.col("iteration") >= most, "limit_reached").when(F.col("has_text").isNull(), "no_content").alias("refused"))
-    going = state.where("refused is null").drop("refused", "has_text")
-    asked = gate.build_prompts(going, contexts)
-    parsed = gate.parse_answers(keep(generated(asked, generators))).drop("difficulty")
-    gated = gate.quality_gate(parsed.join(going.select("req", "subject", F.col("difficulty").alias("wanted")), "req"), F.col("subject"), F.col("wanted")).where("drop_reason is null").drop("subject", "wanted", "drop_reason")
+    parts = sections_of(requests, sections)
+    state = requests.join(generation.targets(parts), "req", "left").join(generation.plan_texts(parts), "req", "left").join(with_text, "req", "left")
+    state = work.keep(state.select("*", F.when(F.col("iteration") >= most, "limit_reached").when(F.col("has_text").isNull(), "no_content").alias("refused")))
+    going = state.where("refused is null")
+    made = work.keep(generation.numbered(generation.in_rounds(going, contexts, generators, work)))
     score = dedup.item_score(F.col("text"), F.col("explanation"), F.col("options"), F.col("correct_answer"), F.col("bloom_level"), F.col("chapter"), F.col("format"))
-    # written as well, as the embeddings would be computed again for every pair
-    items = keep(embedded(gated.select(F.col("req").alias("grp"), F.col("pos").cast("long").alias("idx"), score.alias("score"), "text"), "text").drop("text"))
+    items = work.keep(embedded(made.select(F.col("req").alias("grp"), F.col("pos").cast("long").alias("idx"), score.alias("score"), "text"), "text").drop("text"))
     kept = dedup.greedy_dedup(items, similar).select(F.col("grp").alias("req"), F.col("idx").cast("int").alias("pos"))
-    chosen = gated.join(kept, ["req", "pos"]).join(going.select("req", "n"), "req")
-    chosen = chosen.withColumn("pos", F.row_number().over(Window.partitionBy("req").orderBy("pos")) - 1).where("pos < n").drop("n")
-    verdicts, failed = gate.parse_verdicts(keep(generated(verdict_prompts(chosen), validators)))
-    checked = gate.apply_verdicts(chosen, verdicts, failed)
+    chosen = made.join(kept, ["req", "pos"]).join(going.select("req", "requested"), "req")
+    chosen = work.keep(chosen.withColumn("pos", F.row_number().over(Window.partitionBy("req").orderBy("pos")) - 1).where("pos < requested").drop("requested"))
+    verdicts, failed = gate.parse_verdicts(work.keep(generated(verdict_prompts(chosen), validators)))
+    checked = work.keep(gate.apply_verdicts(chosen, verdicts, failed))
     fields = ["pos", "id", "text", "options", "correct_answer", "explanation", "marks", "difficulty", "bloom_level", "chapter", "topic", "format", "validation_status", "validation_notes"]
     lists = checked.groupBy("req").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("questions"))  # the questions of one test
-    tests, _ = store.drafts(going.join(lists, "req").select(F.col("req").alias("test_id"), "owner", "title", "questions"))
+    tests, _ = store.drafts(going.select("req", "owner", "title").join(lists, "req").select(F.col("req").alias("test_id"), "owner", "title", "questions"))
     questions = checked.select(F.col("req").alias("test_id"), F.col("pos").alias("position"), *fields[1:])
-    outcomes = state.join(lists.select("req", F.lit(True).alias("made")), "req", "left").select("req", F.coalesce("refused", F.when(F.col("made"), "preview").otherwise("failed")).alias("status"))
+    some = checked.select("req", F.lit(True).alias("made")).distinct()
+    outcomes = state.join(some, "req", "left").select("req", F.coalesce("refused", F.when(F.col("made"), "preview").otherwise("failed")).alias("status"))
     return outcomes, tests, questions

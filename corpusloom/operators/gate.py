@@ -118,7 +118,7 @@ def confidence(answer: Column, top: Column) -> Column:
 def fallback_answer(content: Column) -> Column:
     """The first two sentences of more than 20 characters if there are two, else the first 250 characters."""
     sentences = F.filter(F.split(content, r"\. "), lambda s: F.length(s) > 20)
-    return F.when(F.size(sentences) >= 2, F.concat(F.array_join(F.transform(F.slice(sentences, 1, 2), F.trim), ". "), F.lit("."))).otherwise(F.substring(content, 1, 250))
+    return F.when(F.size(sentences) >= 2, F.concat(F.array_join(F.transform(F.slice(sentences, 1, 2), lambda s: F.trim(s)), ". "), F.lit("."))).otherwise(F.substring(content, 1, 250))
 
 
 def answer_or_prefix(answer: Column, content: Column, n: int = 200) -> Column:
@@ -170,7 +170,7 @@ def rule(column: Column, rules: dict[str, str], other: str | None = None) -> Col
 def build_prompts(requests: DataFrame, contexts: DataFrame, prefix: int = 1000) -> DataFrame:
     """req and prompt for requests(req, subject, difficulty, n, form) with contexts(req, context), cut to prefix characters.
 
-    Columns qtype, feedback, batch and batches may follow; what they ask for, and the rules of the difficulty and the
+    Columns qtype, plan, feedback, batch and batches may follow; what they ask for, and the rules of the difficulty and the
     form, stand in the prompt as lines of their own. The feedback "string" is none.
     """
     rows = requests.join(contexts, "req", "left")
@@ -179,6 +179,7 @@ def build_prompts(requests: DataFrame, contexts: DataFrame, prefix: int = 1000)
     feedback = F.nullif(F.nullif(has("feedback").cast("string"), F.lit("string")), F.lit(""))
     maths = F.when(F.lower("subject").isin(*MATHS), "Set formulas between dollar signs.")
     again = F.when(has("batch").cast("int") > 1, F.format_string("This is batch %d of %d: repeat nothing of those before.", has("batch").cast("int"), has("batches").cast("int")))
-    rules = F.concat_ws("\n", rule(has("qtype").cast("string"), TYPE_RULES), rule(F.col("difficulty"), DIFFICULTY_RULES, "medium"), rule(F.col("form"), FORMAT_RULES), maths, F.concat(F.lit("The teacher asks: "), feedback), again)
+    plan = F.concat(F.lit("Over the whole test:\n"), has("plan").cast("string"))
+    rules = F.concat_ws("\n", plan, rule(has("qtype").cast("string"), TYPE_RULES), rule(F.col("difficulty"), DIFFICULTY_RULES, "medium"), rule(F.col("form"), FORMAT_RULES), maths, F.concat(F.lit("The teacher asks: "), feedback), again)
     body = F.coalesce(F.nullif(F.substring("context", 1, prefix), F.lit("")), F.lit("No text is given."))
     return rows.select("req", F.concat_ws("\n\n", head, rules, F.concat(F.lit("Use only this text:\n"), body), F.lit("Answer with one JSON object that has the key questions.")).alias("prompt"))

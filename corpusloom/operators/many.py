@@ -50,8 +50,8 @@ def resolved_chapters(corpus: DataFrame, requests: DataFrame, work: Workspace) -
 
 def keywords_of(topics, chapters):
     """The parts of topics between commas of three characters and more, then the chapters: the first six, without those of one character."""
-    parts = F.filter(F.flatten(F.transform(topics, lambda t: F.transform(F.split(t, ","), F.trim))), lambda w: F.length(w) >= 3)
-    return F.filter(F.transform(F.slice(F.concat(parts, chapters), 1, KEYWORDS), F.trim), lambda w: F.length(w) >= 2)
+    parts = F.filter(F.flatten(F.transform(topics, lambda t: F.transform(F.split(t, ","), lambda p: F.trim(p)))), lambda w: F.length(w) >= 3)
+    return F.filter(F.transform(F.slice(F.concat(parts, chapters), 1, KEYWORDS), lambda w: F.trim(w)), lambda w: F.length(w) >= 2)
 
 
 class Block:
@@ -216,7 +216,7 @@ def retrieve_contexts(corpus: DataFrame, requests: DataFrame, work: Workspace, k
                 block.add(batch)
             yield block.hits()
 
-        found = fused(rows.mapInArrow(of, HITS), k, n, threshold, most)
+        found = fused(work.keep(rows.mapInArrow(of, HITS)), k, n, threshold, most)  # written, as two lists are made of it
         ids = spark.createDataFrame([(i, r.req) for i, r in enumerate(part)], f"n int, req {requests.schema['req'].dataType.simpleString()}")
         found = found.join(F.broadcast(ids), "n").drop("n")  # a row a request of the block
         out = found if out is None else out.unionByName(found)

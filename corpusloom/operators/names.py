@@ -11,16 +11,20 @@ from ..functions.text import normalize_name, significant_words
 GRAM = 3
 
 
+def runs(text: Column, size: int) -> Column:
+    """The runs of so many letters of a text, or the text itself if it is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+
+
 def grams(text: Column) -> Column:
     """The distinct runs of up to GRAM letters of a text, so that each shorter text within it is one or has them all."""
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))), lambda i, k=k: F.substring(text, i, F.lit(k))) for k in range(1, GRAM + 1)]
-    return F.array_distinct(F.filter(F.concat(*runs), lambda g: g != ""))
+    return F.array_distinct(F.filter(F.concat(*[runs(text, k) for k in range(1, GRAM + 1)]), lambda g: g != ""))
 
 
 def key_grams(text: Column) -> Column:
     """The grams by which a text is looked up in longer ones: its runs of GRAM letters, or itself if it is shorter."""
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM))))
-    return F.filter(runs, lambda g: g != "")
+    return F.array_distinct(F.filter(runs(text, GRAM), lambda g: g != ""))
 
 
 def rarest(keys: DataFrame, frequency: DataFrame, by: list[str]) -> DataFrame:
