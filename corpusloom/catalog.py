@@ -252,27 +252,33 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- quotas
 
-SECTIONS = [(1, "Physics", "medium", "balanced", "mcq", 20, None), (2, "History", "hard", "competitive", "short_answer", 7, None), (3, "Maths", "easy", "easy_test", "mcq", 5, "apply"), (4, "English", "medium", "unknown", "mcq", 4, None), (5, "Maths", "hard", "balanced", "assertion_reason", 6, None), (6, "hindi", "easy", "balanced", "long_answer", 1, None)]
+#: What a customer asks for: a subject, difficulty, profile and format by its key, up to thirteen questions, sometimes a level.
+SECTION_VALUES = {"subject": ("Physics", "History", "Maths", "English", "hindi"), "difficulty": ("easy", "medium", "hard"), "profile": ("balanced", "competitive", "easy_test", "cbse_standard", "unknown"), "format": ("mcq", "short_answer", "assertion_reason", "long_answer")}
+SECTION_STEPS = {"subject": 1, "difficulty": 1, "profile": 5, "format": 3}
+SECTIONS_SQL = "SELECT c_custkey AS sec, " + ", ".join(f"{list(v)}[c_custkey // {SECTION_STEPS[c]} % {len(v)} + 1] AS {c}" for c, v in SECTION_VALUES.items()) + ", c_custkey % 13 + 1 AS quantity, CASE WHEN c_custkey % 6 = 0 THEN 'apply' END AS levels FROM customer"
 
 
-def sections(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SECTIONS, "sec long, subject string, difficulty string, profile string, format string, quantity long, levels string")
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    pick = lambda c: F.get(F.array(*map(F.lit, SECTION_VALUES[c])), F.expr(f"int(c_custkey div {SECTION_STEPS[c]} % {len(SECTION_VALUES[c])})"))
+    return read_table(spark, sf_dir, "customer").select(k.alias("sec"), *[pick(c).alias(c) for c in SECTION_VALUES], (k % 13 + 1).alias("quantity"), F.when(k % 6 == 0, "apply").alias("levels"))
 
 
 PROFILE_ROWS = values([(p, i, t, s) for p, shares in quota.PROFILES.items() for i, (t, s) in enumerate(shares)])
-DISTRIBUTION = f"""sections(sec, subject, difficulty, profile, format, quantity, levels) AS (VALUES {values(SECTIONS)}), profiles(profile, ord, qtype, share) AS (VALUES {PROFILE_ROWS}),
+DISTRIBUTION = f"""sections AS ({SECTIONS_SQL}), profiles(profile, ord, qtype, share) AS (VALUES {PROFILE_ROWS}),
 based AS (SELECT s.sec, s.difficulty, s.quantity, s.format, lower(s.subject) IN ({", ".join(f"'{x}'" for x in quota.NOT_NUMERICAL)}) AS plain, p.ord, p.qtype, p.share::DOUBLE AS share,
   max(CASE WHEN p.qtype = 'numerical' THEN p.share::DOUBLE END) OVER (PARTITION BY s.sec) AS num FROM sections AS s JOIN profiles AS p ON p.profile = CASE WHEN s.profile IN (SELECT profile FROM profiles) THEN s.profile ELSE 'balanced' END),
 split AS (SELECT *, CASE WHEN plain AND qtype IN ('conceptual', 'application') THEN share + num * 0.5::DOUBLE WHEN plain AND qtype = 'numerical' THEN 0::DOUBLE ELSE share END AS s FROM based),
 moved AS (SELECT *, CASE WHEN difficulty = 'hard' AND qtype = 'recall' THEN greatest(0.05::DOUBLE, s - 0.10::DOUBLE) WHEN difficulty = 'hard' AND qtype IN ('application', 'numerical') THEN s + 0.05::DOUBLE
   WHEN difficulty = 'easy' AND qtype = 'recall' THEN s + 0.10::DOUBLE WHEN difficulty = 'easy' AND qtype IN ('application', 'numerical') THEN greatest(0.05::DOUBLE, s - 0.05::DOUBLE) ELSE s END AS m FROM split
   WHERE NOT plain OR qtype <> 'numerical' OR difficulty IN ('hard', 'easy')),
-dist AS (SELECT sec, quantity, format, CASE WHEN plain AND qtype = 'numerical' THEN 9 ELSE ord END AS ord, qtype, m / sum(m) OVER (PARTITION BY sec) AS share FROM moved)"""
+placed AS (SELECT sec, quantity, format, CASE WHEN plain AND qtype = 'numerical' THEN 9 ELSE ord END AS ord, qtype, m FROM moved),
+whole AS (SELECT sec, list_reduce(list(m ORDER BY ord), lambda a, x: a + x) AS whole FROM placed GROUP BY sec), dist AS (SELECT p.sec, quantity, format, ord, qtype, m / whole AS share FROM placed AS p JOIN whole ON whole.sec = p.sec)"""
 
 
 @query(f"WITH {DISTRIBUTION} SELECT sec, CAST(ord AS INTEGER) AS ord, qtype, round(share, 9) AS share FROM dist")
 def plan_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quota.distributions(sections(spark)).select("sec", "ord", "qtype", F.round("share", 9).alias("share"))
+    return quota.distributions(sections(spark, sf_dir)).select("sec", "ord", "qtype", F.round("share", 9).alias("share"))
 
 
 #: Shares of a section in order of share, floors and one more each, and then, type by type, what an empty one takes from the
@@ -304,12 +310,12 @@ plan AS (SELECT sec, 'assertion_reason' AS qtype, quantity AS n, 'assertion_reas
 
 @query(f"WITH RECURSIVE {PLAN} SELECT sec, qtype, n, format, levels FROM plan")
 def generation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quota.generation_plan(sections(spark))
+    return quota.generation_plan(sections(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {PLAN} SELECT qtype, sum(n)::BIGINT AS n FROM plan GROUP BY qtype")
 def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quota.plan_summary(quota.generation_plan(sections(spark)))
+    return quota.plan_summary(quota.generation_plan(sections(spark, sf_dir)))
 
 
 @query("""WITH r AS (SELECT o_orderkey AS req, CAST(o_orderkey % 61 AS BIGINT) AS total FROM orders), w AS (SELECT req, least(ceil(total * 1.30::DOUBLE)::BIGINT, total + 15) AS n FROM r),
@@ -405,23 +411,27 @@ def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.try_parse_json("props").isNotNull(), F.lit(False)).alias("valid"))
 
 
-FORMULAS = ("x^2 + y_1 = $z^{10}$", r"$\frac{a}{b}$ & \sqrt{x} < 3", r"\alpha \times \sin{x} \text{cm}", "plain <b>bold</b> > text", r"\frac{\sqrt{2}}{3}", "")
+#: Formulas around a word w and what they become, written down by hand.
+FORMULAS = (
+    ("x^2 + w_1 = $z^{10}$", "x<super>2</super> + w<sub>1</sub> = z<super>10</super>", "x^2 + w_1 = z^10"),
+    (r"$\frac{w}{b}$ & \sqrt{x} < 3", "(w/b) &amp; √(x) &lt; 3", "(w/b) & √(x) < 3"),
+    (r"\alpha \times \sin{w} \text{cm}", "α × sinw cm", "α × sinw cm"),
+    ("plain <b>w</b> > text", "plain <b>w</b> &gt; text", "plain <b>w</b> > text"),
+    (r"\frac{\sqrt{w}}{3}", "frac√(w)3", "frac√(w)3"),
+    (r"{w}^{a_1} \Unkno \theta_{\pi}", "w<super>a<sub>1</sub></super> Unkno θ<sub>π</sub>", "w^a_1 Unkno θ_π"),
+)
 
 
-#: What they become, written down by hand.
-FORMULA_ROWS = (
-    ("x<super>2</super> + y<sub>1</sub> = z<super>10</super>", "x^2 + y_1 = z^10"),
-    ("(a/b) &amp; √(x) &lt; 3", "(a/b) & √(x) < 3"),
-    ("α × sinx cm", "α × sinx cm"),
-    ("plain <b>bold</b> &gt; text", "plain <b>bold</b> > text"),
-    ("frac√(2)3", "frac√(2)3"),
-    ("", ""),
-)
+def formula_sql(i: int) -> str:
+    return "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN replace('{f[i]}', 'w', w)" for k, f in enumerate(FORMULAS)) + " END"
 
 
-@query(f"""SELECT * FROM (VALUES {values([(i, *r) for i, r in enumerate(FORMULA_ROWS)])}) AS r(id, markup, plain)""")
+@query(f"SELECT doc_id AS id, {formula_sql(1)} AS markup, {formula_sql(2)} AS plain FROM (SELECT doc_id, upper(substring(md5(text), 1, 5)) AS w FROM documents)")
 def formula_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, f) for i, f in enumerate(FORMULAS)], "id int, f string")
+    """Formulas that hold a word of each document's own."""
+    word = F.upper(F.substring(F.md5("text"), 1, 5))
+    kinds = F.array(*[F.lit(f[0]) for f in FORMULAS])
+    rows = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.replace(F.get(kinds, (F.col("doc_id") % 6).cast("int")), F.lit("w"), word).alias("f"))
     return rows.select("id", tx.formula_markup(F.col("f")).alias("markup"), tx.formula_plain(F.col("f")).alias("plain"))
 
 
@@ -622,6 +632,20 @@ def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.parse_answers(raw).select("req", "pos", F.md5("text").alias("digest"), "marks", "topic")
 
 
+@query("""SELECT conv_id, turn, CASE WHEN turn % 7 = 6 THEN NULL ELSE md5(text) END AS digest FROM conversations""")
+def repaired_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects behind braces that are none, in fences, before other objects, with commas too many and between braces in strings."""
+    one = F.to_json(F.struct("text", F.lit("} or {").alias("other")))
+    forms = [
+        F.concat(F.lit("Fill {this}: ```json "), one, F.lit("```")), F.concat(one, F.lit("\n``` see {x}")), F.concat(F.lit("Here: "), one, F.lit(' and {"b": 2}')), F.concat(F.expr("substring(one, 1, length(one) - 1)"), F.lit(", }")),
+        F.concat(F.lit("see {x}, then "), one), F.concat(F.lit("```\n"), one, F.lit("\n```")), F.concat(F.lit("{"), one),
+    ]
+    rows = read_table(spark, sf_dir, "conversations").withColumn("one", one)
+    kind = (F.col("turn") % 7).cast("int")
+    chosen = F.coalesce(*[F.when(kind == i, f) for i, f in enumerate(forms)])
+    return rows.select("conv_id", "turn", F.md5(F.get_json_object(tx.repaired_json(chosen), "$.text")).alias("digest"))
+
+
 @query("""SELECT doc_id AS id, md5(CASE WHEN length(coalesce(trim(substring(text, 1, doc_id % 20)), '')) < 10 THEN substring(text, 1, 200) ELSE substring(text, 1, doc_id % 20) END) AS digest FROM documents""")
 def answer_or_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "documents").withColumn("answer", F.expr("substring(text, 1, int(doc_id % 20))"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -95,37 +96,55 @@ def is_correct(option: Column, label: Column, answer: Column, text_too: bool = T
     return F.coalesce((F.trim(answer) != "") & (letter | (F.trim(option) == F.trim(answer)) if text_too else letter), F.lit(False))
 
 
-# The forms of markup in the order of their replacement, and what they become; UP and DOWN stand for raised
-# and lowered parts.
-FORMS = (
-    (r"\$([^$]+)\$", "$1"), (r"\\frac\{([^}]*)\}\{([^}]*)\}", "($1/$2)"), (r"\\sqrt\{([^}]*)\}", "√($1)"),
-    (r"\^\{([^}]*)\}", "UP"), (r"\^([a-zA-Z0-9])", "UP"), (r"_\{([^}]*)\}", "DOWN"), (r"_([a-zA-Z0-9])", "DOWN"),
-    (r"\\(?:text|mathrm|mathbf)\{([^}]*)\}", "$1"), (r"\\([a-zA-Z]+)", "$1"), (r"[{}]", ""),
-)
+def _mapped(text: Column, parts: str, use: Callable[[Column], Column]) -> Column:
+    """A text cut into parts by an expression that matches everywhere, each replaced by what `use` makes of it."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(parts), F.lit(0)), lambda p: use(p)), "")
+
+
+def _symbol(part: Column) -> Column:
+    """A command by its symbol, or by its name where it is a function; of several that it begins with the first in order."""
+    table = [*SYMBOLS, *(("\\" + f, f) for f in NAMED_FUNCTIONS)]
+    return F.coalesce(*[F.when(part.startswith(c), F.concat(F.lit(to), F.substring(part, F.lit(len(c) + 1), F.length(part)))) for c, to in table], part)
+
+
+def _grouped(part: Column) -> Column:
+    """A command with its groups: a fraction as (a/b), a root as √(a), words as they are."""
+    group = lambda i: F.get(F.split(part, "[{}]"), F.lit(2 * i - 1))
+    fraction, root = F.concat(F.lit("("), group(1), F.lit("/"), group(2), F.lit(")")), F.concat(F.lit("√("), group(1), F.lit(")"))
+    words = part.startswith("\\text{") | part.startswith("\\mathrm{") | part.startswith("\\mathbf{")
+    return F.when(part.startswith("\\frac{"), fraction).when(part.startswith("\\sqrt{"), root).when(words, group(1)).otherwise(part)
 
 
-def _formula(text: Column, up: str, down: str, single: bool) -> Column:
-    """One table of what is replaced by what, folded over the text; without `single`, marks before one letter stay."""
-    named = [*SYMBOLS, *(("\\" + f, f) for f in NAMED_FUNCTIONS)]
-    forms = [(form, {"UP": up, "DOWN": down}.get(to, to)) for form, to in FORMS if single or not form.endswith("([a-zA-Z0-9])")]
-    out = F.coalesce(text, F.lit(""))
-    for command, symbol in named:
-        out = F.replace(out, F.lit(command), F.lit(symbol))
-    for form, to in forms:
-        out = F.regexp_replace(out, form, to)
+def _formula(text: Column, up: tuple[str, str], down: tuple[str, str], single: bool) -> Column:
+    """Formulas in four passes: symbols, commands with groups, then what is raised or lowered (groups first, then what is in
+    them; without `single` not before one letter), and the names of other commands. Groups do not nest; lone braces go."""
+    group = r"\{[^}]*\}"
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\$([^$]+)\$", "$1")
+    out = _mapped(out, r"\\[a-zA-Z]+|[^\\]+|\\", _symbol)
+    out = _mapped(out, rf"\\frac{group}{group}|\\(?:sqrt|text|mathrm|mathbf){group}|[^\\]+|\\", _grouped)
+
+    def marked(part: Column) -> Column:
+        inner = F.translate(F.substring(part, F.lit(2), F.length(part)), "{}", "")
+        put = lambda ends: F.concat(F.lit(ends[0]), inner, F.lit(ends[1]))
+        raised, lowered, wide = part.startswith("^"), part.startswith("_"), F.length(part) > (1 if single else 2)
+        return F.when(raised & wide, put(up)).when(lowered & wide, put(down)).when(part.rlike(r"^\\[a-zA-Z]"), F.substring(part, F.lit(2), F.length(part))).when(part.isin("{", "}"), "").otherwise(part)
+
+    one = "[a-zA-Z0-9]"
+    for _ in range(2):
+        out = _mapped(out, rf"[\^_]{group}|[\^_]{one}|\\[a-zA-Z]+|[{{}}]|[^\\^_{{}}]+|[\s\S]", marked)
     return out
 
 
 def formula_markup(text: Column) -> Column:
-    """Formulas with <super> and <sub>; other angle brackets and ampersands are escaped. Braces do not nest."""
-    out = F.replace(_formula(text, "<super>$1</super>", "<sub>$1</sub>", True), F.lit("&"), F.lit("&amp;"))
+    """Formulas with <super> and <sub>; other angle brackets and ampersands are escaped."""
+    out = F.replace(_formula(text, ("<super>", "</super>"), ("<sub>", "</sub>"), True), F.lit("&"), F.lit("&amp;"))
     out = F.regexp_replace(out, r"<(/?(?:super|sub|b|i))>", "\u0001$1\u0002")
     out = F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return F.translate(out, "\u0001\u0002", "<>")
 
 
 def formula_plain(text: Column) -> Column:
-    return F.trim(_formula(text, r"^$1", "_$1", False))
+    return F.trim(_formula(text, ("^", ""), ("_", ""), False))
 
 
 def comparison_text(text: Column) -> Column:
@@ -145,17 +164,47 @@ def retryable(message: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.upper(message).contains(k.upper()) for k in RETRYABLE])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+#: Strings, braces, and what stands between them.
+JSON_PARTS = r'"(?:[^"\\]|\\[\s\S])*"|[{}]|[^"{}]+|"'
+
+
+def json_objects(text: Column) -> Column:
+    """The outermost objects of a text from its first brace on: from each brace to the one that closes it, outside strings."""
+
+    def step(s: Column, part: Column) -> Column:
+        depth = s["depth"] + F.when(part == "{", 1).when((part == "}") & (s["depth"] > 0), -1).otherwise(0)
+        opens, closes = (part == "{") & (s["depth"] == 0), (part == "}") & (s["depth"] == 1)
+        spans = F.when(closes, F.concat(s["spans"], F.array(F.struct(s["first"].alias("at"), (s["i"] - s["first"] + 1).alias("n"))))).otherwise(s["spans"])
+        return F.struct((s["i"] + 1).alias("i"), depth.alias("depth"), F.when(opens, s["i"]).otherwise(s["first"]).alias("first"), spans.alias("spans"))
+
+    start = F.struct(F.lit(1).alias("i"), F.lit(0).alias("depth"), F.lit(1).alias("first"), F.array().cast("array<struct<at:int,n:int>>").alias("spans"))
+    cut = lambda parts: F.transform(F.aggregate(parts, start, step, lambda s: s["spans"]), lambda x: F.array_join(F.slice(parts, x["at"], x["n"]), ""))
+    return let(F.regexp_extract_all(F.regexp_extract(text, r"(?s)\{.*", 0), F.lit(JSON_PARTS), F.lit(0)), cut)
+
+
+def mended_json(text: Column) -> Column:
+    """Between strings, a comma before a closing bracket goes; in strings, a backslash that begins no escape is doubled."""
+    parts = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\[\s\S])*"|[^"]+|"'), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"'), _doubled(p)).otherwise(F.regexp_replace(p, r",(\s*[\]}])", "$1"))), "")
+
+
 def repaired_json(raw: Column) -> Column:
-    """The first reading of an answer that is JSON, or null: as it is, between its outermost braces, and with that mended.
+    """The first object in an answer that is JSON, as it is or mended; null if there is none.
 
-    Mending reads the text as strings and what stands between them. Between strings, a comma before a closing bracket
-    goes; in strings, a backslash that begins no escape is doubled. Fences and byte-order marks lie outside the braces.
+    What stands in the first fence is read before the whole answer, and of each its outermost objects one after the
+    other, then all from its first brace to its last. What comes before and after an object is left out.
     """
-    braces = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    pieces = F.regexp_extract_all(braces, F.lit(r'"(?:[^"\\]|\\[\s\S])*"|[^"]+|"'), F.lit(0))
-    mended = F.transform(pieces, lambda p: F.when(p.startswith('"'), _doubled(p)).otherwise(F.regexp_replace(p, r",(\s*[\]}])", "$1")))
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(*[valid(c) for c in (F.trim(raw), braces, F.array_join(mended, ""))])
+    fence = F.nullif(F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
+    braces = lambda text: F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    tries = lambda text: F.coalesce(F.concat(json_objects(text), F.array(braces(text))), F.array().cast("array<string>"))
+    both = lambda objects: F.flatten(F.transform(objects, lambda o: F.array(o, mended_json(o))))
+    valid = lambda objects: F.get(F.filter(both(objects), lambda o: o.startswith("{") & F.try_parse_json(o).isNotNull()), F.lit(0))
+    return F.coalesce(valid(tries(fence)), valid(tries(raw)))
 
 
 def _doubled(string: Column) -> Column:
