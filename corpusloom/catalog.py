@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .functions import text as tx
 from .functions.vectors import cosine
 from .operators import assembly, chunking, dedup, gate, generation, many, render, retrieval, stats, store
 from .plans import quota
+from .sources import tables
 from .sources.tables import Workspace, as_json, corpus, read_table
 from .streaming import events as ev
 
@@ -735,6 +737,41 @@ def build_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.join(tests, "req", "left").join(answers, "req", "left").select("req", "status", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total_questions", "total_marks")], F.coalesce(F.array_join("l.a", ","), F.lit("")).alias("answers"))
 
 
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 3 AS b, CASE WHEN o_orderkey % 7 = 2 THEN 'saved' ELSE o_orderstatus END AS status, o_totalprice FROM orders)
+SELECT 'kept' AS part, status, 'b' || b AS batch, count(*) AS n FROM o WHERE o_totalprice >= 1000 AND NOT (b = 2 OR o_totalprice < 30000) GROUP BY ALL
+UNION ALL SELECT 'rejects', o_orderstatus, 'b' || (o_orderkey % 3), count(*) FROM orders WHERE o_totalprice < 1000 OR o_totalprice IS NULL GROUP BY ALL""")
+def repeated_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders appended in three batches, one of them twice; rows deleted, a whole batch among them, and updated, each twice."""
+    work = Workspace(spark, "writes")
+    rows = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), "o_totalprice")
+    path, rejects = f"{work.path}/orders", f"{work.path}/rejects"
+    for b in (0, 1, 2, 1):
+        tables.append(rows.where(F.col("id") % 3 == b), F.col("o_totalprice") >= 1000, path, rejects, f"b{b}")
+    for _ in range(2):
+        tables.delete_rows(spark, path, (F.col("batch") == "b2") | (F.col("o_totalprice") < 30_000))
+        tables.update_rows(spark, path, F.col("id") % 7 == 2, "status", "saved")
+    counted = lambda at, part: spark.read.schema("id long, status string, o_totalprice double, batch string").parquet(at).groupBy(F.lit(part).alias("part"), "status", "batch").agg(F.count("*").alias("n"))
+    return counted(path, "kept").unionByName(counted(rejects, "rejects"))
+
+
+@query("""WITH k AS (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS positions FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey AS id, coalesce(positions, '') AS positions FROM orders LEFT JOIN k ON l_orderkey = o_orderkey""")
+def laid_out_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parent_child over tables that lie in buckets by the key: no exchange."""
+    work = Workspace(spark, "layout")
+    lie = lambda rows, key: tables.laid_out(rows, key, f"{key}_{uuid.uuid4().hex}", f"{work.path}/{key}", 8)
+    parents = lie(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), "id").select("id")
+    children = lie(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")
+    return store.with_children(parents, children, "id", "l_orderkey", "l_linenumber").select("id", F.array_join(F.transform("children", lambda c: c.cast("string")), ",").alias("positions"))
+
+
+@query("""SELECT 'duplicate' AS kind, CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'orphan', CAST(l_partkey * 2 AS VARCHAR), count(*) FROM lineitem WHERE l_partkey * 2 NOT IN (SELECT p_partkey FROM part) GROUP BY 2""")
+def key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") * 2).alias("part"))
+    return tables.violations(rows, "id", "part", read_table(spark, sf_dir, "part"), "p_partkey")
+
+
 #: Requests made of the items of benchmark: a subject, a grade, two chapters or none, two words as topics and a vector.
 ASKED = f"""{CORPUS}, {VECTORS}, {BOTH},
 asked AS (SELECT item_id AS req, CASE item_id % 3 WHEN 0 THEN 'EN' WHEN 1 THEN 'fr' ELSE 'e' END AS subject, CAST(item_id % 3 AS VARCHAR) AS grade, CASE WHEN item_id % 5 = 0 THEN [] ELSE ['SRC' || (item_id % 25), 'src ' || (item_id % 7)] END AS chapters,

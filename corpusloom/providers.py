@@ -7,24 +7,38 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .functions.text import RETRYABLE
 from .functions.vectors import hashed_words
 
 
-def embedded(rows: DataFrame, text: str, encode: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None, batch: int = 32) -> DataFrame:
-    """rows with embedding: by encode, a few texts at once, or by hashed words. A batch that fails has null embeddings."""
-    if encode is None:
-        return rows.withColumn("embedding", hashed_words(F.col(text)))
+#: Models of this Python worker, by the pickled factory that has loaded them.
+LOADED: dict[bytes, Callable] = {}
+
+
+def loaded(factory: bytes) -> Callable:
+    """What a pickled factory makes, once a worker."""
+    if factory not in LOADED:
+        LOADED[factory] = cloudpickle.loads(factory)()
+    return LOADED[factory]
+
 
-    names = [*rows.columns, "embedding"]
+def embedded(rows: DataFrame, text: str, encode: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None, batch: int = 32, load: Callable[[], Callable] | None = None) -> DataFrame:
+    """rows with embedding: by encode, a few texts at once, or by hashed words. A batch that fails has null embeddings.
+
+    `load` may stand instead of encode: a factory without arguments, which each Python worker calls once to load its model.
+    Equal texts are encoded once, wherever they stand; a null text counts as an empty one.
+    """
+    if encode is None and load is None:
+        return rows.withColumn("embedding", hashed_words(F.col(text)))
+    factory = cloudpickle.dumps(load or (lambda: encode))
 
     def vectors(texts: list[str]) -> list:
         try:
-            return [list(map(float, v)) for v in encode(texts)]
+            return [list(map(float, v)) for v in loaded(factory)(texts)]
         except Exception:  # whatever a model raises
             return [None] * len(texts)
 
@@ -32,10 +46,11 @@ def embedded(rows: DataFrame, text: str, encode: Callable[[Sequence[str]], Seque
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
-                found = vectors([t or "" for t in part[text].to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.float32()))], names)
+                yield pa.RecordBatch.from_arrays([part["_key"], pa.array(vectors(part["_text"].to_pylist()), pa.list_(pa.float32()))], ["_key", "embedding"])
 
-    return rows.mapInArrow(of, T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+    keyed = rows.withColumn("_key", F.sha2(F.coalesce(text, F.lit("")), 256))
+    distinct = keyed.groupBy("_key").agg(F.first(F.coalesce(text, F.lit(""))).alias("_text"))
+    return keyed.join(distinct.mapInArrow(of, "_key string, embedding array<float>"), "_key").select(*rows.columns, "embedding")
 
 
 # Attempts, seconds of the first and longest pause, and the factors between which chance draws.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping
@@ -208,16 +209,85 @@ def once(rows: DataFrame) -> DataFrame:
     return Workspace(rows.sparkSession, "once").keep(rows)
 
 
-def append(rows: DataFrame, valid: Column, path: str, rejects: str) -> DataFrame:
+#: The column by which tables that are written in batches are parted.
+BATCH = "batch"
+
+
+def put_batch(rows: DataFrame, path: str, batch: str) -> None:
+    """rows become the batch of that name of the table at path; other batches stay, and a batch put twice is there once."""
+    if not re.fullmatch(r"[A-Za-z][\w-]*", batch):
+        raise ValueError("the name of a batch must begin with a letter and go on with letters, digits, _ and -")
+    rows.withColumn(BATCH, F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+
+def append(rows: DataFrame, valid: Column, path: str, rejects: str, batch: str | None = None) -> DataFrame:
     """Valid rows are appended to path, others to rejects; ok and failed counts come back. The rows are computed once, and
-    rejects are written first, so what is in path has been told apart in full."""
+    rejects are written first, so what is in path has been told apart in full.
+
+    With the name of a batch the write can be repeated: each table takes the rows as that batch in one step, in place of
+    what an earlier try has left of it.
+    """
     flag = free_name(rows, "valid")
     told = once(rows.withColumn(flag, F.coalesce(valid, F.lit(False))))
-    told.where(~F.col(flag)).drop(flag).write.mode("append").parquet(rejects)
-    told.where(flag).drop(flag).write.mode("append").parquet(path)
+    for part, where in ((told.where(~F.col(flag)).drop(flag), rejects), (told.where(flag).drop(flag), path)):
+        if batch is None:
+            part.write.mode("append").parquet(where)
+        else:
+            put_batch(part, where, batch)
     return told.agg(F.count_if(flag).alias("ok"), F.count_if(~F.col(flag)).alias("failed"))
 
 
+def rewritten(spark: SparkSession, path: str, where: Column, change: Callable[[DataFrame], DataFrame]) -> int:
+    """The batches of the table at path that hold rows which meet `where` become change(batch); their number comes back.
+
+    The new rows are written beside the table first. Batches change one by one, so a run that ends in between is
+    mended by another: batches that are done hold no such rows any more, or change to the same.
+    """
+    table = spark.read.parquet(path)
+    names = [r[BATCH] for r in table.where(where).select(BATCH).distinct().collect()]  # names of batches
+    if names:
+        with Workspace(spark, "rewrite") as work:
+            new = work.keep(change(table.where(F.col(BATCH).isin(names))))
+            left = {r[BATCH] for r in new.select(BATCH).distinct().collect()}
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+            for gone in set(names) - left:
+                work._delete(f"{path}/{BATCH}={gone}")
+    return len(names)
+
+
+def delete_rows(spark: SparkSession, path: str, where: Column) -> int:
+    """Rows of the batches at path that meet `where` go, whatever else a batch holds; where it is null they stay."""
+    met = F.coalesce(where, F.lit(False))
+    return rewritten(spark, path, met, lambda rows: rows.where(~met))
+
+
+def update_rows(spark: SparkSession, path: str, where: Column, column: str, value) -> int:
+    """column becomes value in the rows at path that meet `where`."""
+    met = F.coalesce(where, F.lit(False)) & ~F.col(column).eqNullSafe(F.lit(value))
+    return rewritten(spark, path, met, lambda rows: rows.withColumn(column, F.when(met, F.lit(value)).otherwise(F.col(column))))
+
+
+def laid_out(rows: DataFrame, key: str, name: str, path: str, buckets: int) -> DataFrame:
+    """rows as the table `name` at path, in buckets by key and sorted in each: joins and groups by that key with tables of
+    as many buckets read it as it lies, without an exchange."""
+    rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def violations(rows: DataFrame, unique: str, foreign: str | None = None, parents: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """kind, value and n: values of `unique` in several rows or in none (duplicate, missing), and of `foreign` without a parent (orphan).
+
+    Counts are added up in each task first, so a value in very many rows is one row a task; a null foreign key is none.
+    """
+    own = rows.groupBy(F.col(unique).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    bad = own.where("value is null or n > 1").select(F.when(F.col("value").isNull(), "missing").otherwise("duplicate").alias("kind"), "value", "n")
+    if foreign is None:
+        return bad
+    asked = rows.where(F.col(foreign).isNotNull()).groupBy(F.col(foreign).alias("_f")).agg(F.count("*").alias("n"))
+    lost = asked.join(parents.select(F.col(key).alias("_f")), "_f", "left_anti")
+    return bad.unionByName(lost.select(F.lit("orphan").alias("kind"), F.col("_f").cast("string").alias("value"), "n"))
+
+
 def free_name(rows: DataFrame, name: str) -> str:
     """name, with as many lines under it as make it one that rows don't have."""
     taken = {c.lower() for c in rows.columns}
