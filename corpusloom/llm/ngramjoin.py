@@ -151,8 +151,9 @@ def ngram_components(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CE
     documents to verify are broadcast, changes the result.
 
     A text without words, empty or null has no shingles, links with nothing and is its own component; rows of one
-    doc_id with different texts link each by their own sets, and text_hash (xxhash64 of the text) tells them apart; a null doc_id keeps its count and links through its class, and is never a component's id unless
-    it is alone; no rows give none; other columns are ignored.
+    doc_id with different texts link each by their own sets, and text_hash (xxhash64 of the text) tells them apart; a null doc_id keeps its count, takes the component
+    of the documents with an id that have the same set, and is never a component's id; a set that only rows without an id have
+    links with nothing, so it joins no others, and its rows have no component; no rows give none; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 

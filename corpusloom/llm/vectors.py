@@ -62,13 +62,15 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     query. Queries and data travel in packs of bounded size, a pack of queries to every pack of the groups it needs, and
     each pair is solved by one product of matrices; of its results only k a query go on.
 
-    Vectors that are null or hold null or non-finite components, and null ids, take no part; vectors of different lengths
+    Vectors that are null or hold null or non-finite components, and null ids, take no part, nor do vectors with a component
+    so large that d squares of it, once scaled, pass 2**62, as scores must fit a long; vectors of different lengths
     don't meet, and lengths without a pivot are groups of their own; fewer than k others give all; a repeated (query_id, vec_id) counts once with its best
     score; ties go to the smaller vec_id; no rows give none; other columns are ignored.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (F.size("embedding") > 0)
-    rows = rows.where(finite)
+    most = F.sqrt(F.lit(2.0**62) / F.size("embedding")) - 1
+    rows = rows.where(finite).where(~F.exists(F.transform("embedding", lambda x: F.abs(x * scale)), lambda x: x > most))
     if n_pivots is None:
         n_pivots = min(MOST_PIVOTS, max(PIVOTS, int(rows.count() ** 0.5)))
     chosen = [np.floor(scale * np.array(r.embedding)) for r in rows.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(n_pivots).collect()]
@@ -153,9 +155,14 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """A vector times the power of two that brings its largest component to about 1, so that squares neither vanish nor overflow."""
+    return np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+
+
 def rotation(vectors: DataFrame) -> np.ndarray:
     """Principal axes, the widest first, of a bounded sample of unit vectors; without vectors an empty matrix."""
-    sample = [np.array(r.embedding) for r in vectors.orderBy(F.xxhash64(F.lit("pca"), "vec_id"), "vec_id").select("embedding").limit(PCA_ROWS).collect()]
+    sample = [scaled(np.array(r.embedding)) for r in vectors.orderBy(F.xxhash64(F.lit("pca"), "vec_id"), "vec_id").select("embedding").limit(PCA_ROWS).collect()]
     if not sample:
         return np.zeros((0, 0))
     x = np.array([v / np.linalg.norm(v) for v in sample if len(v) == len(sample[0])])
@@ -218,7 +225,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     rows in proportion to n. Components then follow from those stars.
 
     Vectors that are null or zero or hold null or non-finite components, and null labels, link with nothing: n_links 0,
-    their own component. Vectors of different lengths don't link, nor do rows with the same vec_id; such rows share one result. A null
+    their own component. Vectors are scaled by powers of two, so very small and very large ones count like others. Vectors of different lengths don't link, nor do rows with the same vec_id; such rows share one result. A null
     vec_id gives n_links 0 and a null component and kept. No rows give none; other columns are ignored.
     """
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
@@ -230,7 +237,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vs = [x.values.to_numpy(zero_copy_only=False) for x in batch["embedding"]]
+            vs = [scaled(x.values.to_numpy(zero_copy_only=False)) for x in batch["embedding"]]
             cell = [int(np.floor((v @ axes[:, 0] / np.linalg.norm(v) if len(v) == len(axes) else 0.0) / width)) for v in vs]
             yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"].cast(pa.string()), pa.array([len(v) for v in vs], pa.int32()), pa.array(cell, pa.int32()), pa.array([v.astype("<f8").tobytes() for v in vs], pa.binary())], ["vec_id", "label", "dim", "cell", "v"])
 

@@ -55,7 +55,7 @@ def test_queries_agree_with_sql(spark, duck, data, name):
 
 
 def test_queries_are_complete():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_connected_components(spark):
@@ -475,6 +475,28 @@ def test_top_k(embeddings, spark):
     assert [r.vec_id for r in vectors.voronoi_top_k(big.select("vec_id", (F.transform("embedding", lambda x: x / 1e6)).alias("embedding")), F.col("vec_id") == 2).orderBy("rank").collect()] == [0, 1]
 
 
+def test_top_k_of_large_values(spark):
+    """Scores beyond what doubles hold are exact; vectors whose scores need not fit a long take no part."""
+    rnd = random.Random(5)
+    rows = [(i, [float(rnd.randrange(-(10**6), 10**6)) for _ in range(8)]) for i in range(60)] + [(100, [3e7] * 8), (101, [1e20] * 8), (102, [-1e300] + [0.0] * 7), (103, [1e6] * 8)]
+    own = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if max(map(abs, v)) * 256 <= (2.0**62 / 8) ** 0.5 - 1}
+    assert set(own) == {*range(60), 103}
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(own[q], v, strict=True)), i) for i, v in own.items() if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, vectors.voronoi_top_k(d, F.col("vec_id").isin(0, 50, 100)).collect())) == sorted(want)
+
+
+def test_near_vectors_of_any_size(spark):
+    """Vectors whose squares vanish or overflow link as their directions do; repeated ids share links and components."""
+    rows = [(1, [1e-200, 1e-200], "a"), (2, [1e200, 1.1e200], "a"), (3, [1.0, -1.0], "a"), (4, [5e-324, 0.0], "a"), (5, [1e308, 1e300], "a"), (6, [0.0, 0.0], "a"), (3, [-2e-300, 2e-300], "a"), (7, [-1e150, 1.01e150], "a")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted(map(tuple, vectors.near_vectors(d).collect()))
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 1, 3, False)])
+
+
 def test_top_k_by_length(spark):
     """Vectors of other lengths, one of which comes first as a pivot, and lengths without a pivot meet their own only."""
     rnd = np.random.default_rng(4)
