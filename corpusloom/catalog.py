@@ -85,6 +85,12 @@ def ingestion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.ingestion_summary(corpus(spark, sf_dir).select("chapter", (F.length("content") >= 300).alias("ok")))
 
 
+@query("""SELECT lang AS subject, CAST(doc_id % 3 AS VARCHAR) AS grade, count(DISTINCT source) AS files, count(*) AS chunks, count(*) FILTER (length(text) >= 300) AS uploaded, count(*) FILTER (length(text) < 300) AS failed,
+CASE WHEN count(*) FILTER (length(text) < 300) = 0 THEN 'OK' ELSE 'WARN' END AS status FROM documents GROUP BY ROLLUP (lang, CAST(doc_id % 3 AS VARCHAR))""")
+def ingestion_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.ingestion_totals(corpus(spark, sf_dir).select("subject", "grade", "chapter", (F.length("content") >= 300).alias("ok")))
+
+
 # ---- retrieval
 
 
@@ -362,6 +368,18 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.quality_gate(questions(spark, sf_dir), "physics").groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason"), "format", "bloom_level", "difficulty", "marks").agg(F.count("*").alias("n"))
 
 
+@query("""WITH q AS (SELECT conv_id AS req, turn AS pos, trim(text) AS text, string_split(text, ' ') AS w, CASE WHEN role = 'system' THEN 'short_answer' ELSE 'mcq' END AS format, turn % 5 <> 4 AS has, turn % 3 AS a, trim(reverse(text)) AS explanation FROM conversations),
+n AS (SELECT *, length(text) < 15 AS short, trim(regexp_replace(regexp_replace(lower(text), '\\$[^$]*\\$', '', 'g'), '\\s+', ' ', 'g')) AS norm FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY req, short, norm ORDER BY pos) AS nth FROM n)
+SELECT req, pos, CASE WHEN format <> 'mcq' THEN ['b', 'B) x', 'C)'][a + 1] WHEN a = 1 THEN 'B) ' || coalesce(w[2], 'none') ELSE 'C) ' || coalesce(w[3], 'none') END AS answer,
+CASE WHEN format = 'mcq' THEN 'A) ' || coalesce(w[1], 'none') || '|B) ' || coalesce(w[2], 'none') || '|C) ' || coalesce(w[3], 'none') || '|D) ' || coalesce(w[4], 'none') END AS options
+FROM r WHERE NOT short AND nth = 1 AND length(explanation) >= 30 AND (format <> 'mcq' OR (has AND a > 0))""")
+def gate_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and options of the questions that pass, as the gate has mended them."""
+    kept = gate.quality_gate(questions(spark, sf_dir), "physics").where("drop_reason is null")
+    return kept.select("req", "pos", F.col("correct_answer").alias("answer"), F.array_join("options", "|").alias("options"))
+
+
 @query("""SELECT doc_id AS id, round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN length(text) > 80 AND length(text) < 400 THEN 0.2::DOUBLE ELSE 0::DOUBLE END + 0.3::DOUBLE * (doc_id % 10 / 10.0::DOUBLE))), 9) AS confidence FROM documents""")
 def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.round(gate.confidence(F.col("text"), F.col("doc_id") % 10 / F.lit(10.0)), 9).alias("confidence"))

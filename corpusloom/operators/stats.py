@@ -33,6 +33,13 @@ def ingestion_summary(chunks: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("failed") == 0, "OK").otherwise("WARN"))
 
 
+def ingestion_totals(chunks: DataFrame) -> DataFrame:
+    """For chunks(subject, grade, chapter, ok): files, chunks, uploaded, failed and status of a run, by subject and grade, by
+    subject (grade null) and in all (both null)."""
+    out = chunks.rollup("subject", "grade").agg(F.count_distinct("chapter").alias("files"), F.count("*").alias("chunks"), F.count_if(F.col("ok")).alias("uploaded"), F.count_if(~F.col("ok")).alias("failed"))
+    return out.withColumn("status", F.when(F.col("failed") == 0, "OK").otherwise("WARN"))
+
+
 def request_counters(requests: DataFrame) -> DataFrame:
     """requests(kind, ok): count, successes and the success rate as text with one decimal, per kind."""
     out = requests.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("ok")).alias("good"))

@@ -58,6 +58,23 @@ class Settings:
     batch_size: int = 12
     overshoot: float = 1.30
     port: int = 5432
+    connect_seconds: int = 10
+    query_seconds: int = 5
+    request_seconds: int = 30
+    model: str = ""
+    fallback_model: str = ""
+    embedding_model: str = ""
+    temperature: float = 0.2
+    top_p: float = 0.95
+    top_k: int = 40
+    most_output_tokens: int = 1024
+    retries: int = 3
+    retry_seconds: float = 1.0
+    response_entries: int = 100
+    response_seconds: int = 300
+    most_response_bytes: int = 1_048_576
+    log_level: str = "INFO"
+    log_requests: bool = True
     environment: str = "production"
 
     @classmethod
@@ -90,8 +107,8 @@ class Settings:
             out.append("least_question must not exceed most_question")
         if not 1 <= self.port <= 65_535:
             out.append("port must lie between 1 and 65535")
-        out += [f"{f} must lie between 0 and 1" for f in ("dedup_threshold", "similarity_threshold", "relaxed_threshold") if not 0 <= getattr(self, f) <= 1]
-        positive = ("chunk_words", "dimension", "embedding_batch", "per_query", "cache_entries", "cache_seconds", "limit_requests", "limit_seconds", "attempts", "batch_size")
+        out += [f"{f} must lie between 0 and 1" for f in ("dedup_threshold", "similarity_threshold", "relaxed_threshold", "top_p") if not 0 <= getattr(self, f) <= 1]
+        positive = ("chunk_words", "dimension", "embedding_batch", "per_query", "cache_entries", "cache_seconds", "limit_requests", "limit_seconds", "attempts", "batch_size", "connect_seconds", "query_seconds", "request_seconds", "most_output_tokens", "top_k", "response_entries", "response_seconds", "most_response_bytes")
         return out + [f"{f} must be positive" for f in positive if getattr(self, f) <= 0]
 
     def warnings(self) -> list[str]:
