@@ -224,5 +224,6 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WI
     groups = max(1, -(-rows.count() // group_docs))
     tokens = rows.mapInArrow(tokenized(tokenizer, window), TOKENS)
     # the sequences of a group stay far below 2^40
-    grouped = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_tokens", "start", "ids_crc32"), F.lit(groups))).groupBy("part")
+    # rows that repeat are told apart by their places in what a task reads
+    grouped = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_tokens", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))).groupBy("part")
     return grouped.applyInPandas(packed(window, tiers, step, 1 << 40), PIECES)
