@@ -216,9 +216,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_line
     # fit_docs rows at most, so the broadcast is bounded
     lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", lines.cast("long").alias("lines"))
-    rows = texts.where(F.col("lines") <= fit_doc_lines).mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, lines long, x binary, size binary")
+    # lines are added up before any features are made, so one task sees a row a document drawn, fit_docs at most
     drawn = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id")
-    rows = rows.withColumn("upto", F.sum("lines").over(drawn)).where(F.col("upto") <= fit_lines).select("quality", "x", "size").collect()
+    few = texts.where(F.col("lines") <= fit_doc_lines).select("doc_id", "lines").withColumn("upto", F.sum("lines").over(drawn)).where(F.col("upto") <= fit_lines).select("doc_id").distinct()
+    used = texts.where(F.col("lines") <= fit_doc_lines).join(F.broadcast(few), "doc_id").select(*texts.columns)
+    rows = used.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, lines long, x binary, size binary")
+    rows = rows.select("quality", "x", "size").collect()
     rows.sort(key=lambda r: (r.quality, r.size, r.x))  # sums of floats don't depend on the order of arrival
     width = 3 * WIDTH + 1
     x = [np.frombuffer(r.x, "<f4").reshape(-1, width).astype(float) for r in rows]
