@@ -269,6 +269,14 @@ def test_packing(spark, docs, empty, data):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_of_rows_that_repeat(spark):
+    """Very many equal rows, of a null id and no text, are dealt to many groups."""
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    out = packing.pack_documents(rows)
+    assert out.groupBy(F.shiftright("sequence_id", 40)).count().agg(F.max("count")).first()[0] < 4_000
+    assert out.agg(F.count("*"), F.max("length")).first()[0:2] == (20_000, 1)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_fill(seed):
     rnd = random.Random(seed)
