@@ -201,10 +201,10 @@ def repaired_json(raw: Column) -> Column:
     """
     fence = F.nullif(F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
     braces = lambda text: F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    tries = lambda text: F.coalesce(F.concat(json_objects(text), F.array(braces(text))), F.array().cast("array<string>"))
-    both = lambda objects: F.flatten(F.transform(objects, lambda o: F.array(o, mended_json(o))))
-    valid = lambda objects: F.get(F.filter(both(objects), lambda o: o.startswith("{") & F.try_parse_json(o).isNotNull()), F.lit(0))
-    return F.coalesce(valid(tries(fence)), valid(tries(raw)))
+    valid = lambda o: F.when(o.startswith("{") & F.try_parse_json(o).isNotNull(), o)
+    read = lambda o: F.coalesce(valid(o), let(mended_json(o), valid))  # mended only if it must be
+    first = lambda objects: F.get(F.filter(F.transform(objects, lambda o: read(o)), lambda o: o.isNotNull()), F.lit(0))
+    return F.coalesce(*[way for text in (fence, raw) for way in (first(json_objects(text)), let(braces(text), read))])
 
 
 def _doubled(string: Column) -> Column:

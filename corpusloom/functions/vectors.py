@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -20,9 +22,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def hashed_words(text: Column, dimension: int = 64) -> Column:
-    """A stand-in for an embedding model: word counts in hash buckets, of unit length."""
+    """A stand-in for an embedding model: word counts in hash buckets, of unit length. Buckets, counts and their length are each computed once."""
     buckets = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    # arrays of one, so that the counts and their length are computed once and not for every component
-    known = F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), norm(c).alias("n")))
-    return F.get(F.transform(known, lambda k: F.transform(k["c"], lambda x: F.coalesce(F.try_divide(x, k["n"]), F.lit(0.0)))), F.lit(0))
+    counted = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double"))
+    unit = lambda c: let(norm(c), lambda n: F.transform(c, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))))
+    return let(buckets, lambda found: let(counted(found), unit))

@@ -52,12 +52,18 @@ def scored_pairs(items: DataFrame, threshold: float) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, "grp", "a", "b"):
+            run = run.combine_chunks()
             idx, score, tile = (run[c].to_numpy() for c in ("idx", "score", "tile"))
-            sizes = np.array([len(v) if v.is_valid and all(x.is_valid for x in v) else 0 for v in run["embedding"]])
+            lists = run["embedding"].chunk(0)
+            sizes = np.diff(lists.offsets.to_numpy())
+            values = lists.values.to_numpy(zero_copy_only=False)  # null components are NaN
+            if lists.null_count or lists.values.null_count:
+                sizes = np.where([v.is_valid and not any(x is None for x in v.as_py()) for v in lists], sizes, 0)
+            begins = lists.offsets.to_numpy()[:-1]
             a, b = run["a"][0].as_py(), run["b"][0].as_py()
             for d in np.unique(sizes[sizes > 0]):
                 at = np.flatnonzero(sizes == d)
-                v = np.array([run["embedding"][int(i)].as_py() for i in at], float)
+                v = values[begins[at][:, None] + np.arange(d)]
                 length = np.sqrt((v * v).sum(1))
                 at, v = at[length > 0], v[length > 0] / length[length > 0][:, None]
                 left, right = (np.flatnonzero(tile[at] == t) for t in (a, b))
