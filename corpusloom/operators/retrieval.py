@@ -12,10 +12,12 @@ from ..functions.vectors import cosine
 from ..sources.tables import Workspace
 from .many import retrieve_contexts
 from .names import best_names, name_matches
-from .patterns import matched_terms
+from .patterns import AUTOMATON_CHARS, matched_terms
 
 #: Term tables up to this many rows are copied to every task; larger ones are joined by their anchors in a shuffle.
 BATCH_ROWS = 5_000
+#: Characters of terms up to which all terms are one automaton.
+ONE_PASS = AUTOMATON_CHARS
 #: Literals up to this many are searched in one pass over the texts, without a join.
 LITERALS = 64
 #: Words of an anchor, at most.
@@ -58,13 +60,19 @@ def anchor(low: Column) -> Column:
 def containing(rows: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
     """rows joined to the terms (a table with a column `term`) that the text contains, whatever the case.
 
-    Each term is looked up by an anchor, a run of its own whole words: the distinct runs of a text and the anchors meet in
-    an equi-join of 64-bit names, and only pairs that share one are compared. Terms of fewer than three words have no
-    anchor; they are found together, by one automaton. Texts and terms are lowered once, and only keys travel with the runs.
+    Up to ONE_PASS characters of terms are compiled into one automaton, and each text is read once for all of them. Beyond
+    that, terms are looked up by anchors, runs of their own whole words: the distinct runs of a text and the anchors meet in
+    an equi-join of 64-bit names, and only pairs that share one are compared; terms of fewer than three words have no
+    anchor and stay with the automaton. Texts and terms are lowered once, and only keys travel with the runs.
     """
     asked = terms.withColumn("_term", F.lower(term)).withColumn("_anchor", anchor(F.col("_term")))
     asked = asked.withColumns({"_words": F.coalesce("_anchor.words", F.lit(0)), "_name": F.col("_anchor.name")}).drop("_anchor")
-    sizes = {r["_words"]: r["count"] for r in asked.groupBy("_words").count().collect()}  # at most ANCHOR + 1 rows
+    counts = asked.groupBy("_words").agg(F.count("*").alias("n"), F.sum(F.length("_term")).alias("chars")).collect()  # at most ANCHOR + 1 rows
+    if sum(r.chars or 0 for r in counts) <= ONE_PASS:
+        asked = asked.withColumn("_words", F.lit(0))
+        sizes = {0: sum(r.n for r in counts)} if counts else {}
+    else:
+        sizes = {r["_words"]: r.n for r in counts}
     low = rows.withColumn("_low", F.lower(text))
     loose = asked.where("_words = 0")
     loose = matched_terms(low, "_low", loose, "_term").join(loose, "_term") if sizes.get(0) else None

@@ -311,8 +311,9 @@ def test_substrings_by_anchors(spark, monkeypatch):
     want = sorted((str(i), q) for i, c in rows if c is not None for q, t in terms if lowered.get(t, t) in lowered.get(c, c))
     c = spark.createDataFrame(rows, "id long, content string").repartition(3)
     t = spark.createDataFrame(terms, "qid int, term string")
-    for most in (5_000, 10):
+    for most, chars in ((5_000, 4_000_000), (5_000, 0), (10, 0)):
         monkeypatch.setattr(retrieval, "BATCH_ROWS", most)
+        monkeypatch.setattr(retrieval, "ONE_PASS", chars)
         assert sorted((str(r.id), r.qid) for r in retrieval.containing(c, "content", t, "term").collect()) == want
     for most in (64, 0):
         monkeypatch.setattr(retrieval, "LITERALS", most)
