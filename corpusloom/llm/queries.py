@@ -109,7 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1, "op2_line_dedup": OP2, "op6_ngram_join": OP6, "op7_top_k": OP7, "op8_near_vectors": OP8, "op10_secrets": op10_sql(), "op12_centroids": op12_sql(), "op13_ranked": OP13}
+    return {"op1_sharding": OP1, "op2_line_dedup": OP2, "op5_repeated_spans": OP5, "op6_ngram_join": OP6, "op7_top_k": OP7, "op8_near_vectors": OP8, "op10_secrets": op10_sql(), "op12_centroids": op12_sql(), "op13_ranked": OP13}
 
 
 OP2 = """
@@ -183,6 +183,32 @@ WITH steps AS (
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 16 // total AS INTEGER) AS shard, CAST(place - (place * 16 // total * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM placed
 """
 
+#: Bytes as pairs of hex digits; blocks of a thousand keep each cut short.
+OP5 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), blocks AS (
+  SELECT doc_id, c, substring(h, CAST(2000 * c + 1 AS BIGINT), 2098) AS part FROM (SELECT doc_id, h, unnest(range(0, CAST(ceil(n / 1000) AS BIGINT))) AS c FROM d)
+), places AS (
+  SELECT doc_id, 1000 * c + i AS p, md5(substring(part, CAST(2 * i + 1 AS BIGINT), 100)) AS s FROM (SELECT doc_id, c, part, unnest(range(0, least(1000, length(part) // 2 - 49))) AS i FROM blocks)
+), firsts AS (
+  SELECT s, min(doc_id) AS first_id FROM places GROUP BY s
+), hits AS (
+  SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS opens FROM places JOIN firsts USING (s) WHERE first_id < doc_id
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS e FROM (SELECT doc_id, p, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits) GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_, a AS to_ FROM runs
+), kept AS (
+  SELECT g.doc_id, string_agg(substring(h, CAST(2 * from_ + 1 AS BIGINT), CAST(2 * (to_ - from_) AS BIGINT)), '' ORDER BY from_) AS before FROM gaps AS g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id
+), sums AS (
+  SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans, max(e) AS last FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(before, '') || substring(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 OP6 = """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
