@@ -232,7 +232,7 @@ BATCH = "batch"
 
 def put_batch(rows: DataFrame, path: str, batch: str) -> None:
     """rows become the batch of that name of the table at path; other batches stay, and a batch put twice is there once."""
-    if not re.fullmatch(r"[A-Za-z][\w-]*", batch):
+    if not re.match(r"[A-Za-z][\w-]*\Z", batch):
         raise ValueError("the name of a batch must begin with a letter and go on with letters, digits, _ and -")
     rows.withColumn(BATCH, F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
 
