@@ -94,11 +94,15 @@ def even_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_second", second).join(facts.withColumn("_second", second).hint("merge"), [key, "_second"]).drop("_second")
 
 
-def in_stars(edges: DataFrame) -> bool:
+#: Edges of a partition in rounds over edges: few edges run on few partitions, as each task costs the driver memory.
+EDGES = 50_000
+
+
+def in_stars(edges: DataFrame, parts: int = 1 << 20) -> bool:
     """Whether every node of edges(a, b), b not above a, has one smaller neighbour at most, and none if it is one itself."""
     up = edges.where("a <> b")
     nodes = up.select(F.col("a").alias("node"), F.col("b").alias("up")).unionByName(up.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("up")))
-    nodes = nodes.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.max(F.col("up").isNull()).alias("root"))
+    nodes = nodes.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.max(F.col("up").isNull()).alias("root")).coalesce(parts)
     return nodes.where("low < high or (root and low is not null)").agg(F.count("*")).first()[0] == 0
 
 
@@ -111,13 +115,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     tidy = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = cut(tidy)
-    while not in_stars(now):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = even_join(both, least, "a").where("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = even_join(large, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+    parts = max(1, -(-now.count() // EDGES))  # rounds only lose edges
+    while not in_stars(now, parts):
+        both = now.coalesce(parts).unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")).coalesce(parts))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts).select("a", F.least("a", "m").alias("m"))
+        large = even_join(both, least, "a").where("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts).distinct().coalesce(parts)
+        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts)
+        small = even_join(large, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts)
+        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(parts))
     ends = now.unionByName(now.select(F.col("b").alias("a"), "b"))
     return ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
