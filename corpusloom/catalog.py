@@ -531,7 +531,7 @@ r AS (SELECT key, k, t AS stored, 0::BIGINT AS hits, 1::BIGINT AS misses FROM n
 SELECT n.key, n.k, CASE WHEN n.t - r.stored < 86400 THEN r.stored ELSE n.t END, r.hits + CASE WHEN n.t - r.stored < 86400 THEN 1 ELSE 0 END, r.misses + CASE WHEN n.t - r.stored < 86400 THEN 0 ELSE 1 END FROM r JOIN n ON n.key = r.key AND n.k = r.k + 1)
 SELECT key, max(hits) AS hits, max(misses) AS misses FROM r GROUP BY key""")
 def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    rows = read_table(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), ev.whole_seconds(F.col("ts")).alias("at"))
     return ev.cache_replay(rows, 86_400)
 
 
@@ -721,7 +721,7 @@ SELECT e.instance, e.k, CASE WHEN list_contains(recent, key) THEN list_append(li
 @query(CACHE_SQL + """SELECT instance, max(rh) AS recent_hits, max(k) - max(rh) AS recent_misses, max(re) AS recent_evicted, max(fh) AS first_hits, max(k) - max(fh) AS first_misses, max(fe) AS first_evicted FROM r GROUP BY instance""")
 def bounded_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of two answers for each user, under both rules; nothing grows too old."""
-    rows = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("instance"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("key"))
+    rows = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("instance"), ev.whole_seconds(F.col("ts")).alias("at"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("key"))
     named = lambda kind: [F.col(c).alias(f"{kind}_{c}") for c in ("hits", "misses", "evicted")]
     return ev.bounded_cache(rows, 2, 1 << 40).select("instance", *named("recent")).join(ev.bounded_cache(rows, 2, 1 << 40, recent=False).select("instance", *named("first")), "instance")
 

@@ -7,10 +7,15 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def whole_seconds(ts: Column) -> Column:
+    """Seconds since 1970, rounded to the nearest whole one, halves to the even one, as SQL casts a fraction to BIGINT."""
+    return F.rint(F.unix_micros(ts.cast("timestamp")) / 1e6).cast("long")
+
+
 def in_order(events: DataFrame, key: str, order: list[str], fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """fold over the rows (key, *order columns) of one key after the other, each in order.
 
