@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesfast import BASE, INVERSE, mix, power, prefix_sums, text_blocks
-from .common import connected_components, cut, even_join
+from .common import connected_components, cut, even_join, giving_back
 
 #: Two sets link when PER_CENT / 100 of their union is common.
 WORDS, PER_CENT = 3, 90
@@ -122,7 +122,7 @@ def frequency_classes(docs: DataFrame, words: int, bits: int) -> np.ndarray:
         steps = np.log2(np.maximum(total, 1)) * STEPS
         return pa.table({"slice": pa.array([part["slice"][0].as_py()], pa.int32()), "total": pa.array([int(total.sum())], pa.int64()), "steps": pa.array([steps.astype("u1").tobytes()], pa.binary())})
 
-    sums = docs.select("text").mapInArrow(count, "slice int, at binary, n binary").groupBy("slice").applyInArrow(added, "slice int, total long, steps binary").collect()
+    sums = docs.select("text").mapInArrow(giving_back(count), "slice int, at binary, n binary").groupBy("slice").applyInArrow(added, "slice int, total long, steps binary").collect()
     steps = np.zeros(1 << bits, np.uint8)
     for r in sums:
         steps[r.slice : r.slice + SLICE] = np.frombuffer(r.steps, "u1")
@@ -165,7 +165,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CE
             columns = [pa.array(x, pa.int64()) for x in (n, a, b, *bits.T)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *columns], ["doc_id", "text_hash", "n", "s1", "s2", *maps_of()])
 
-    sets = cut(docs.mapInArrow(slim, ", ".join(f"{c} long" for c in ("doc_id", "text_hash", "n", "s1", "s2", *maps_of()))))
+    sets = cut(docs.mapInArrow(giving_back(slim), ", ".join(f"{c} long" for c in ("doc_id", "text_hash", "n", "s1", "s2", *maps_of()))))
     docs = docs.drop("text_hash")
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in maps_of()))
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -213,7 +213,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, word
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
         return pa.RecordBatch.from_arrays([pa.array(order, pa.int32()), pa.array(s1, pa.int64()), pa.array(n, pa.int32()), tokens], ["ord", "s1", "n", "tokens"])
 
-    rows = docs.select("text").mapInArrow(prefixes, "ord int, s1 long, n int, tokens array<long>")
+    rows = docs.select("text").mapInArrow(giving_back(prefixes), "ord int, s1 long, n int, tokens array<long>")
     rows = rows.select("ord", "s1", "n", F.posexplode("tokens").alias("pos", "token"))
     own = Window.partitionBy("token", "ord")
     size = lambda step: F.lag("n", step).over(own.orderBy("n"))
@@ -308,7 +308,7 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, per
                 own = pa.array([set_names(t)[0] == s for t, s in zip(sets, part["s1"].to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part["s1"], part["doc_id"], pa.array([t.astype("<u8").tobytes() for t in sets], pa.binary())], ["s1", "rep", "t"]).filter(own)
 
-    held = texts.select("s1", "doc_id", "text").mapInArrow(tokens, "s1 long, rep long, t binary")
+    held = texts.select("s1", "doc_id", "text").mapInArrow(giving_back(tokens), "s1 long, rep long, t binary")
     held = cut(held.groupBy("s1", "rep").agg(F.first("t").alias("t")))
     both = pairs.join(held.toDF("x", "a", "tx").hint("merge"), "x").join(held.toDF("y", "b", "ty").hint("merge"), "y")
 
@@ -322,4 +322,4 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, per
                 ok.append(100 * common >= per_cent * (len(s) + len(t) - common))
             yield batch.select(["x", "y", "a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("x", "y", "a", "b", "tx", "ty").mapInArrow(verify, "x long, y long, a long, b long")
+    return both.select("x", "y", "a", "b", "tx", "ty").mapInArrow(giving_back(verify), "x long, y long, a long, b long")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words
+from .common import Words, give_back, giving_back
 
 TOKENIZER = "byte_bpe_50k.json"
 WINDOW, TIERS, END_ID = 2048, (2048, 1024, 512, 256), 1
@@ -29,6 +29,8 @@ GROUP_DOCS = 2048
 LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+|\s+(?!\S)|\s+")
 OUTSIDE = re.compile("[^\t-\r\x20-\x7e\xa1-\xff]")
 CACHE_WORDS = 100_000
+#: Rows, and bytes of ids, that a task hands on at once.
+HELD_ROWS, HELD_BYTES = 20_000, 2_000_000
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -81,6 +83,7 @@ def tokenized(name: str, window: int):
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
+            held = 0
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 ids = encode(text.as_py() or "") + end
                 n, view = len(ids) // 4, memoryview(ids)
@@ -88,13 +91,14 @@ def tokenized(name: str, window: int):
                     piece = view[4 * s : 4 * (s + window)]
                     k = len(piece) // 4
                     rows.append((doc_id, s, k, zlib.crc32(piece), n, None if k == window else bytes(piece)))
-                if len(rows) >= 20_000:
+                    held += 0 if k == window else 4 * k
+                if len(rows) >= HELD_ROWS or held >= HELD_BYTES:
                     yield arrow(rows)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield arrow(rows)
 
-    return of
+    return giving_back(of)
 
 
 def arrow(rows: list[tuple]) -> pa.RecordBatch:
@@ -203,7 +207,10 @@ def packed(window: int, tiers: tuple[int, ...], step: int, span: int):
                 whole = r not in where or b - a == len(where[r])
                 out.append((doc[r], int(start[r]) + a, b - a, int(crc[r]) if whole else zlib.crc32(where[r][a:b].tobytes()), int(total[r]), key[0] * span + n, at, tier, key[0] * span + turn[n]))
                 at += b - a
-        return pd.DataFrame(out, columns=[x.split()[0] for x in PIECES.split(", ")])
+        made = pd.DataFrame(out, columns=[x.split()[0] for x in PIECES.split(", ")])
+        del rows, loose, ids, sequences, where, doc, start, crc, total, out
+        give_back()
+        return made
 
     return of
 

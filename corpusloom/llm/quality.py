@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, restored
+from .common import beside, giving_back, restored
 
 #: The most labelled documents that the fit sees, in the order of a hash of their ids, and the most lines in all of them and
 #: in one; their lines' features go to the driver. A document of more lines is not drawn, and drawing ends at the bound.
@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_line
     drawn = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id")
     few = texts.where(F.col("lines") <= fit_doc_lines).select("doc_id", "lines").withColumn("upto", F.sum("lines").over(drawn)).where(F.col("upto") <= fit_lines).select("doc_id").distinct()
     used = texts.where(F.col("lines") <= fit_doc_lines).join(F.broadcast(few), "doc_id").select(*texts.columns)
-    rows = used.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, lines long, x binary, size binary")
+    rows = used.mapInArrow(giving_back(of), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, lines long, x binary, size binary")
     rows = rows.select("quality", "x", "size").collect()
     rows.sort(key=lambda r: (r.quality, r.size, r.x))  # sums of floats don't depend on the order of arrival
     width = 3 * WIDTH + 1
@@ -245,7 +245,7 @@ def quality_scores(docs: DataFrame, chain: Chain, keep: float = KEEP) -> DataFra
             found = np.concatenate([scores(chain, b) for b in blocks(batch["text"])]) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(found, 0, 1), pa.float64())], ["doc_id", "text", "row", "score"])
 
-    scored = rows.mapInArrow(of, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    scored = rows.mapInArrow(giving_back(of), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.select(*restored(own, doc_id=F.col("doc_id"), text=F.col("text")), held_out().alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))
 
 
@@ -259,5 +259,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
             found = np.concatenate([scores(chain, b) for b in blocks(batch["text"])]) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.clip(found, 0, 1), pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(giving_back(of), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
