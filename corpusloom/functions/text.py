@@ -169,8 +169,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
-#: Strings, braces, and what stands between them.
-JSON_PARTS = r'"(?:[^"\\]|\\[\s\S])*"|[{}]|[^"{}]+|"'
+#: A string, read without going back; braces, and what stands between them, strings and all.
+JSON_STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
+JSON_PARTS = rf'[{{}}]|(?:[^"{{}}]++|{JSON_STRING})++|"'
 
 
 def json_objects(text: Column) -> Column:
@@ -189,8 +190,9 @@ def json_objects(text: Column) -> Column:
 
 def mended_json(text: Column) -> Column:
     """Between strings, a comma before a closing bracket goes; in strings, a backslash that begins no escape is doubled."""
-    parts = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\[\s\S])*"|[^"]+|"'), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"'), _doubled(p)).otherwise(F.regexp_replace(p, r",(\s*[\]}])", "$1"))), "")
+    parts = F.regexp_extract_all(text, F.lit(rf'{JSON_STRING}|[^"]++|"'), F.lit(0))
+    told = F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"'), _doubled(p)).otherwise(F.regexp_replace(p, r",(\s*[\]}])", "$1"))), "")
+    return F.when(text.contains("\\"), told).otherwise(F.regexp_replace(text, rf"({JSON_STRING})|,(\s*[\]}}])", "$1$2"))  # strings stay as they are without backslashes
 
 
 def repaired_json(raw: Column) -> Column:

@@ -11,8 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Items of a group that are compared with as many others at once.
-TILE = 1024
+#: Items of a group that are compared with as many others at once, and rows that a task hands on at once.
+TILE, ROWS = 1024, 10_000
+
+
+def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of many small batches in batches of about ROWS: each costs Spark as much as many rows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += part.num_rows
+        if n >= ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def runs(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.Table]:
@@ -79,7 +92,7 @@ def scored_pairs(items: DataFrame, threshold: float) -> DataFrame:
                         columns = [run["grp"].take(pa.array(x)).combine_chunks(), *map(pa.array, (idx[x], idx[y], s, score[x], score[y]))]
                         yield pa.RecordBatch.from_arrays(columns, kind.names)
 
-    return met.mapInArrow(compare, kind)
+    return met.mapInArrow(lambda batches: gathered(compare(batches)), kind)
 
 
 def similar_pairs(items: DataFrame, threshold: float = 0.82) -> DataFrame:
@@ -129,7 +142,7 @@ def greedy_dedup(items: DataFrame, threshold: float = 0.82) -> DataFrame:
         if gone:
             yield told()
 
-    gone = pairs.mapInArrow(visit, kind)
+    gone = pairs.mapInArrow(lambda batches: gathered(visit(batches)), kind)
     return items.select("grp", F.col("idx").cast("long").alias("idx")).join(gone, ["grp", "idx"], "left_anti")
 
 

@@ -172,3 +172,44 @@ def test_answers_with_fences_and_loose_braces(spark):
     rows = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(forms)], "i int, f string")
     got = {r.i: r.j for r in rows.select("i", repaired_json(F.col("f")).alias("j")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(forms)}
+
+
+def test_long_and_odd_strings_in_answers(spark):
+    """Strings of any length are read, and answers mended as by the plain patterns."""
+    import random
+    import re
+
+    from corpusloom.functions.text import json_objects, mended_json
+
+    long = '{"a": "' + 'x\\"' * 40_000 + '", "b": [1,],}'
+    assert spark.createDataFrame([(long,)], "f string").select(repaired_json(F.col("f"))).first()[0] == long.replace(",]", "]").replace(",}", "}")
+
+    def objects(text):
+        parts = re.findall(r'"(?:[^"\\]|\\[\s\S])*"|[{}]|[^"{}]+|"', text[text.find("{") :]) if "{" in text else []
+        depth, out, begin = 0, [], 0
+        for i, p in enumerate(parts):
+            begin = i if p == "{" and not depth else begin
+            out += ["".join(parts[begin : i + 1])] if p == "}" and depth == 1 else []
+            depth += 1 if p == "{" else -1 if p == "}" and depth else 0
+        return out
+
+    def mended(text):
+        double = lambda p: re.sub(r'(?<!\\)((?:\\\\)*)\\(?![\\"/bfnrtu])', r"\1\\\\", p)
+        return "".join(double(p) if p[0] == '"' else re.sub(r",(\s*[\]}])", r"\1", p) for p in re.findall(r'"(?:[^"\\]|\\[\s\S])*"|[^"]+|"', text))
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice('{}[]",, \\nax\n') for _ in range(rnd.randrange(30))) for _ in range(3_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "f string").select("f", json_objects(F.col("f")).alias("o"), mended_json(F.col("f")).alias("m")).collect()
+    assert [(r.f, r.o, r.m) for r in rows] == [(t, objects(t), mended(t)) for t in texts]
+
+
+def test_few_large_batches_come_of_many_groups(spark):
+    from corpusloom.operators import dedup
+
+    rows = spark.range(4_000).select((F.col("id") / 4).cast("int").alias("grp"), (F.col("id") % 4).alias("idx"), F.lit(1.0).alias("score"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    sizes = dedup.scored_pairs(rows, 0.8).mapInArrow(lambda batches: (b.select(["i"]) for b in batches), "i long")
+    assert sizes.count() == 6_000 and dedup.greedy_dedup(rows).count() == 1_000
+    import pyarrow as pa
+
+    small = [pa.RecordBatch.from_pydict({"x": [i]}) for i in range(25_000)]
+    assert [b.num_rows for b in dedup.gathered(iter(small))] == [10_000, 10_000, 5_000]
