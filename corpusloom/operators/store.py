@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import contains
 
 
+#: Rows that one task joins, so that its memory does not grow with the tables.
+TASK_ROWS = 250_000
+
+
 def with_children(parents: DataFrame, children: DataFrame, key: str, child_key: str, order: str) -> DataFrame:
     """Every parent with its children's `order` column, in order, as one array; parents without children have an empty one."""
     lists = children.groupBy(F.col(child_key).alias(key)).agg(F.array_sort(F.collect_list(order)).alias("children"))
@@ -70,10 +74,13 @@ def apply_feedback(requests: DataFrame, feedback: DataFrame, most: int = 3) -> t
     """What teachers' feedback(test_id, question_id, action, comment) on requests(test_id, owner, iteration, ...) leads to.
 
     Training rows for what was rejected or edited; the rejected ids by test; and the requests again, one iteration on, with
-    the test they follow as previous_test_id. Tests at `most` iterations, and those without feedback, take no part.
+    the test they follow as previous_test_id. Tests at `most` iterations, and those without feedback, take no part. Rows are dealt by
+    test to as many tasks as there are TASK_ROWS of them.
     """
-    open_tests = requests.where(F.col("iteration") < most).join(feedback.select("test_id").distinct(), "test_id", "left_semi")
-    chosen = rejected(feedback).join(open_tests.select("test_id", "owner"), "test_id")
+    parts = max(1, *(-(-rows.count() // TASK_ROWS) for rows in (requests, feedback)))
+    below = requests.where(F.col("iteration") < most).repartition(parts, "test_id")
+    open_tests = below.join(feedback.select("test_id").repartition(parts, "test_id").distinct(), "test_id", "left_semi")
+    chosen = rejected(feedback).repartition(parts, "test_id").join(below.select("test_id", "owner"), "test_id")  # it has feedback, as it is some
     training = chosen.select("test_id", "owner", "question_id", F.coalesce("comment", F.lit("")).alias("teacher_feedback"), "action")
     ids = chosen.where("action = 'reject'").groupBy("test_id").agg(F.array_sort(F.collect_set("question_id")).alias("rejected"))
     again = open_tests.withColumn("iteration", F.col("iteration") + 1).withColumn("previous_test_id", F.col("test_id"))

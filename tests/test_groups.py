@@ -213,3 +213,19 @@ def test_few_large_batches_come_of_many_groups(spark):
 
     small = [pa.RecordBatch.from_pydict({"x": [i]}) for i in range(25_000)]
     assert [b.num_rows for b in dedup.gathered(iter(small))] == [10_000, 10_000, 5_000]
+
+
+def test_feedback_is_dealt_to_tasks_by_its_rows(spark, monkeypatch):
+    from corpusloom.operators import store
+
+    monkeypatch.setattr(store, "TASK_ROWS", 100, raising=False)
+    asked = spark.range(600).select(F.col("id").alias("test_id"), F.lit("o").alias("owner"), (F.col("id") % 5).alias("iteration"))
+    action = F.when(F.col("id") % 3 == 0, "reject").when(F.col("id") % 3 == 1, "edit").otherwise("approve")
+    told = spark.range(1_200).select((F.col("id") % 400).alias("test_id"), F.col("id").alias("question_id"), action.alias("action"), F.lit(None).cast("string").alias("comment"))
+    training, ids, again = store.apply_feedback(asked, told)
+    assert again.rdd.getNumPartitions() == training.rdd.getNumPartitions() == 12
+    rows = [(i % 400, i) for i in range(1_200) if i % 400 % 5 < 3]
+    assert sorted((r.test_id, r.question_id, r.teacher_feedback) for r in training.collect()) == sorted((t, q, "") for t, q in rows if q % 3 < 2)
+    assert {r.test_id: r.rejected for r in ids.collect()} == {t: [q for u, q in rows if u == t and q % 3 == 0] for t, q in rows if q % 3 == 0}
+    assert sorted((r.test_id, r.iteration, r.previous_test_id) for r in again.collect()) == sorted({(t, t % 5 + 1, t) for t, _ in rows})
+    assert all(t.count() == 0 for t in store.apply_feedback(asked, told.limit(0)))
