@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..memory import giving_back
 from .bytesfast import BASE, INVERSE, mix, power, prefix_sums, text_blocks
-from .common import connected_components, cut, even_join, giving_back
+from .common import connected_components, cut, even_join
 
 #: Two sets link when PER_CENT / 100 of their union is common.
 WORDS, PER_CENT = 3, 90

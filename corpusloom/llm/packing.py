@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, give_back, giving_back
+from ..memory import give_back, giving_back
+from .common import Words
 
 TOKENIZER = "byte_bpe_50k.json"
 WINDOW, TIERS, END_ID = 2048, (2048, 1024, 512, 256), 1

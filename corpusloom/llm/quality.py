@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, giving_back, restored
+from ..memory import giving_back
+from .common import beside, restored
 
 #: The most labelled documents that the fit sees, in the order of a hash of their ids, and the most lines in all of them and
 #: in one; their lines' features go to the driver. A document of more lines is not drawn, and drawing ends at the bound.

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name, word_pattern
+from ..memory import giving_back
 from ..providers import embedded
 from ..sources.tables import Workspace
 from .names import best_names, name_matches
@@ -17,8 +18,8 @@ from .patterns import automaton, terms_within
 
 #: Requests that are searched for in one scan, as they go to every task; more are several scans.
 REQUESTS = 1_000
-#: Texts that are matched at once, and numbers of a block of similarities.
-TEXTS, CELLS = 512, 4_000_000
+#: Texts that are matched at once, and numbers of a block of similarities or of texts by keywords.
+TEXTS, CELLS = 512, 1_000_000
 #: Keywords of a request, and stored names of a subject below which other names of the grade count too.
 KEYWORDS, FEW = 6, 3
 
@@ -138,7 +139,7 @@ class Block:
         masks = [self.allowed(*c) for c in at]
         which = np.array([at[c] for c in combos], np.int64)
         ids = batch["id"].to_numpy(zero_copy_only=False)
-        step = max(1, min(TEXTS, CELLS // max(1, len(self.subjects))))
+        step = max(1, min(TEXTS, CELLS // max(1, len(self.subjects), len(self.slot_req))))
         for a in range(0, len(combos), step):
             w = which[a : a + step]
             own, chapters = np.array([masks[i][0] for i in w]), np.array([masks[i][1] for i in w])
@@ -214,9 +215,11 @@ def retrieve_contexts(corpus: DataFrame, requests: DataFrame, work: Workspace, k
             block = Block(own, k, n, relaxed)
             for batch in batches:
                 block.add(batch)
+                del batch  # before the next one comes
+                pa.default_memory_pool().release_unused()
             yield block.hits()
 
-        found = fused(work.keep(rows.mapInArrow(of, HITS)), k, n, threshold, most)  # written, as two lists are made of it
+        found = fused(work.keep(rows.mapInArrow(giving_back(of), HITS)), k, n, threshold, most)  # written, as two lists are made of it
         ids = spark.createDataFrame([(i, r.req) for i, r in enumerate(part)], f"n int, req {requests.schema['req'].dataType.simpleString()}")
         found = found.join(F.broadcast(ids), "n").drop("n")  # a row a request of the block
         out = found if out is None else out.unionByName(found)

@@ -273,7 +273,7 @@ def test_packing_hands_on_few_ids_at_once_and_gives_memory_back(monkeypatch):
     import pyarrow as pa
 
     gone = []
-    monkeypatch.setattr("corpusloom.llm.common.give_back", lambda: gone.append(1))
+    monkeypatch.setattr("corpusloom.memory.give_back", lambda: gone.append(1))
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6_000)), "text": [f"one two three {i} " * 60 for i in range(6_000)]})
     sizes = [sum(len(x) for x in out["ids"].to_pylist()) for out in packing.tokenized(packing.TOKENIZER, 2048)(iter([batch]))]
     assert sum(sizes) > 2 * packing.HELD_BYTES and max(sizes) < packing.HELD_BYTES + 4 * 2048 and gone == [1]

@@ -258,3 +258,17 @@ def test_a_test_from_the_corpus(spark):
         assert [r.total_questions for r in tests.collect()] == [questions.count()]
         first = questions.where("position = 0").first()
         assert (first.correct_answer, first.validation_notes) == ("B) 2", "no") and questions.count() <= 6
+
+
+def test_texts_are_matched_in_blocks_by_keywords():
+    """A block of texts by keywords is bounded, whatever the number of keywords; the hits are the same."""
+    import pyarrow as pa
+
+    rows = [("1", "s", [], [f"w{i} {o}" for o in range(6)], None) for i in range(1_000)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(600)), "grade": ["1"] * 600, "subject": ["s"] * 600, "chapter": ["c"] * 600, "content": [f"w{i} {i % 6}" for i in range(600)], "embedding": pa.nulls(600, pa.list_(pa.float64()))})
+    block, sizes = many.Block(rows, 8, 6, 0.3), []
+    add = block.add_texts
+    block.add_texts = lambda ids, *other: (sizes.append(len(ids)), add(ids, *other))
+    block.add(batch)
+    assert max(sizes) * 6 * len(rows) <= 1_000_000 and sum(sizes) == 600
+    assert sorted(zip(block.hits()["n"].to_pylist(), block.hits()["id"].to_pylist())) == sorted((i, i) for i in range(600) for _ in range(2))
