@@ -94,10 +94,24 @@ def even_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_second", second).join(facts.withColumn("_second", second).hint("merge"), [key, "_second"]).drop("_second")
 
 
-#: Edges of a partition in rounds over edges: few edges run on few partitions, as each task costs the driver memory.
+#: Rows of a partition in steps over few rows: these run on few partitions, as each task costs the driver memory.
 EDGES = 50_000
 
 
+def parts_of(rows: int, each: int = EDGES) -> int:
+    """Partitions for so many rows, `each` of them a partition."""
+    return max(1, -(-rows // each))
+
+
+def gathered(df: DataFrame, each: int = EDGES) -> tuple[DataFrame, int]:
+    """df, which cut() has written, on a partition for each `each` rows (never on more than it has), and how many rows it has.
+
+    A step writes as many partitions as shuffles have; those that read few rows from it would start as many tasks again.
+    """
+    rows = df.coalesce(df.sparkSession.sparkContext.defaultParallelism).count()  # by as many tasks as can run at once
+    return df.coalesce(parts_of(rows, each)), rows
+
+
 def in_stars(edges: DataFrame, parts: int = 1 << 20) -> bool:
     """Whether every node of edges(a, b), b not above a, has one smaller neighbour at most, and none if it is one itself."""
     up = edges.where("a <> b")
@@ -106,25 +120,26 @@ def in_stars(edges: DataFrame, parts: int = 1 << 20) -> bool:
     return nodes.where("low < high or (root and low is not null)").agg(F.count("*")).first()[0] == 0
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component) for every node of edges(a long, b long); component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each node hands its smallest neighbour on, so stars merge in a number
     of rounds that grows with the logarithm of the longest path. Rounds end when only stars are left; each ends with a
-    checkpoint. Loops (a = b) give their node; no edges give no rows.
+    checkpoint. Loops (a = b) give their node; no edges give no rows. most: how many edges there are at most, if that is known;
+    then the first step runs on few partitions too.
     """
     tidy = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = cut(tidy)
-    parts = max(1, -(-now.count() // EDGES))  # rounds only lose edges
+    now, n = gathered(cut(tidy if most is None else tidy.coalesce(parts_of(most))))
+    parts = parts_of(n)  # rounds only lose edges
     while not in_stars(now, parts):
-        both = now.coalesce(parts).unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")).coalesce(parts))
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts).select("a", F.least("a", "m").alias("m"))
         large = even_join(both, least, "a").where("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts).distinct().coalesce(parts)
         least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts)
         small = even_join(large, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts)
         now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(parts))
     ends = now.unionByName(now.select(F.col("b").alias("a"), "b"))
-    return ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).coalesce(parts)
 
 
 class Words(dict):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..memory import giving_back
 from .bytesfast import BASE, INVERSE, mix, power, prefix_sums, text_blocks
-from .common import connected_components, cut, even_join
+from .common import connected_components, cut, even_join, gathered, parts_of
 
 #: Two sets link when PER_CENT / 100 of their union is common.
 WORDS, PER_CENT = 3, 90
@@ -31,6 +31,8 @@ LONGS = 8
 REMEMBERED = 50_000
 #: Ids of documents to fetch are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 200_000
+#: Pairs of whole sets that a task verifies, and sets of a partition.
+PAIRS = 5_000
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -168,20 +170,24 @@ def ngram_components(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CE
 
     sets = cut(docs.mapInArrow(giving_back(slim), ", ".join(f"{c} long" for c in ("doc_id", "text_hash", "n", "s1", "s2", *maps_of()))))
     docs = docs.drop("text_hash")
+    total, n_sets = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in maps_of()))
-    total = sets.agg(F.sum("n")).first()[0] or 0
+    classes = cut(classes.coalesce(parts_of(n_sets)))
     bits = min(MOST_BITS, max(LEAST_BITS, (total // TOKENS).bit_length()))
-    edges = verified_links(docs, classes, frequency_classes(docs, words, bits), words, per_cent, leaders, broadcast_ids)
-    parts = connected_components(edges)
+    parts = connected_components(*verified_links(docs, classes, n_sets, frequency_classes(docs, words, bits), words, per_cent, leaders, broadcast_ids))
     # a component's id is its least document, and a class's least document is in the class
-    named = classes.join(parts.hint("merge"), classes["rep"] == parts["node"], "left").select(F.col("s1").bitwiseXOR(F.col("s2")).alias("x"), "s2", F.col("n").alias("_n"), F.coalesce("component", "rep").alias("component"))
+    named = classes.join(parts.hint("merge"), classes["rep"] == parts["node"], "left").select(F.col("s1").bitwiseXOR(F.col("s2")).alias("x"), "s2", F.col("n").alias("_n"), F.coalesce("component", "rep").alias("component")).coalesce(parts_of(n_sets))
     every = sets.select("doc_id", "text_hash", "n", "s2", F.col("s1").bitwiseXOR(F.col("s2")).alias("x"))
     out = every.join(named.hint("merge"), (every["x"] == named["x"]) & (every["s2"] == named["s2"]) & (every["n"] == named["_n"]), "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def verified_links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, words: int, per_cent: int, most: int, broadcast_ids: int) -> DataFrame:
-    """(a, b): enough links between classes, by their least documents, to connect all that any link connects."""
+def verified_links(docs: DataFrame, classes: DataFrame, n_classes: int, sketch: np.ndarray, words: int, per_cent: int, most: int, broadcast_ids: int) -> tuple[DataFrame, int]:
+    """(a, b): enough links between classes, by their least documents, to connect all that any link connects; and how many.
+
+    Only posting lists and their stars run on as many partitions as shuffles have. All other steps are cut where their rows
+    are few and go on with partitions by their number, so plans stay small and tasks few: both cost the driver memory.
+    """
     frequent = docs.sparkSession.sparkContext.broadcast(sketch)  # a byte a counter, 2^MOST_BITS at most
     shift = np.uint64(64 - (len(sketch) - 1).bit_length())
 
@@ -228,30 +234,36 @@ def verified_links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, word
     stars = live.select("k", F.col("s1").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("iy"), "nth").join(leaders.hint("merge"), "k").where((F.col("mth") < F.col("nth")) & sized(per_cent))
     orders = range(ORDERS)
     stars = stars.groupBy("x", "y", "nx", "ny").agg(F.max(early(per_cent)).alias("soon"), *(F.count_if(F.col("k.ord") == o).alias(f"c{o}") for o in orders)).where("soon")
-    inside = cut(live.where(F.col("long") & (F.col("nth") > most)).groupBy("s1").agg(*(F.count_if(F.col("k.ord") == o).alias(f"in{o}") for o in orders)))
+    inside = live.where(F.col("long") & (F.col("nth") > most)).groupBy("s1").agg(*(F.count_if(F.col("k.ord") == o).alias(f"in{o}") for o in orders))
+    inside = cut(inside.coalesce(parts_of(n_classes)))
     for s in "xy":
         stars = stars.join(inside.toDF(s, *(f"{s}in{o}" for o in orders)).hint("merge"), s, "left")
     for o in orders:  # a list that both are in is missing here only if both are in it beyond its leaders
         stars = stars.where(F.col(f"c{o}") + F.expr(f"least(coalesce(xin{o}, 0), coalesce(yin{o}, 0))") >= shared_at_least(per_cent))
+    stars, n = gathered(cut(stars.select("x", "y", "nx", "ny")))
     maps = classes.select("s1", *maps_of())
-    stars = stars.select("x", "y", "nx", "ny").join(maps.toDF("x", *maps_of("x")).hint("merge"), "x").join(maps.toDF("y", *maps_of("y")).hint("merge"), "y").where(close(per_cent))
-    stars = cut(stars.select("x", "y").distinct())
-    known = cut(links(docs, classes, stars, words, per_cent, broadcast_ids))
-    parts = connected_components(known.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    stars = stars.join(maps.toDF("x", *maps_of("x")).hint("merge"), "x").coalesce(parts_of(n)).join(maps.toDF("y", *maps_of("y")).hint("merge"), "y").where(close(per_cent))
+    stars, n = gathered(cut(stars.select("x", "y").distinct().coalesce(parts_of(n))))
+    known, n_known = gathered(cut(links(docs, classes, stars, n, words, per_cent, broadcast_ids)))
+    parts = connected_components(known.select(F.col("x").alias("a"), F.col("y").alias("b")), n_known)
     joined = live.where(F.col("long") & (F.col("nth") > most)).join(parts.withColumnRenamed("node", "s1").hint("merge"), "s1", "left").select("k", "s1", "n", "pos", F.coalesce("component", "s1").alias("part"))
-    sizes = joined.groupBy("k", "part").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("k").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_rows = even_join(joined, mixed, "k").join(maps.hint("merge"), "s1").select("k", "s1", "n", "pos", "part", "main", *maps_of())
+    joined, n = gathered(cut(joined))
+    sizes = joined.groupBy("k", "part").agg(F.count("*").alias("c")).coalesce(parts_of(n))
+    mixed = sizes.groupBy("k").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts").coalesce(parts_of(n))
+    open_rows, n = gathered(cut(even_join(joined, mixed, "k").coalesce(parts_of(n))))
+    if not n:
+        return known.select("a", "b"), n_known
+    open_rows = cut(open_rows.join(maps.hint("merge"), "s1").coalesce(parts_of(n)).select("k", "s1", "n", "pos", "part", "main", *maps_of()))
     left = open_rows.where("part <> main").drop("main").toDF("k", "x", "nx", "ix", "px", *maps_of("x"))
     right = open_rows.toDF("k", "y", "ny", "iy", "py", "main", *maps_of("y"))
     once = (F.col("py") == F.col("main")) | (F.col("x") < F.col("y"))
     pairs = left.join(right.hint("merge"), "k").where((F.col("px") != F.col("py")) & once & sized(per_cent) & early(per_cent) & close(per_cent))
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "k.ord")
-    pairs = pairs.groupBy("x", "y").agg(F.countDistinct("ord").alias("orders")).where(F.col("orders") == ORDERS).select("x", "y")
-    pairs = cut(pairs.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).hint("merge"), ["x", "y"], "left_anti"))
-    if pairs.agg(F.count("*")).first()[0] == 0:
-        return known.select("a", "b")
-    return known.select("a", "b").unionByName(links(docs, classes, pairs, words, per_cent, broadcast_ids).select("a", "b"))
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.expr("shiftleft(1, k.ord)").alias("ord"))
+    pairs = pairs.groupBy("x", "y").agg(F.bit_or("ord").alias("orders")).where(F.col("orders") == (1 << ORDERS) - 1).select("x", "y")
+    pairs, n = gathered(cut(pairs.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).hint("merge"), ["x", "y"], "left_anti")))
+    if not n:
+        return known.select("a", "b"), n_known
+    return known.select("a", "b").unionByName(links(docs, classes, pairs, n, words, per_cent, broadcast_ids).select("a", "b")), n_known + n
 
 
 def sized(per_cent: int) -> Column:
@@ -292,11 +304,11 @@ def shared_at_least(per_cent: int) -> Column:
     return F.greatest(F.lit(1), least_common(per_cent) - F.greatest(rest("nx"), rest("ny")))
 
 
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, per_cent: int, broadcast_ids: int) -> DataFrame:
-    """(x, y, a, b) for the pairs (x, y) of set names whose whole sets link; a and b are the least documents of both."""
-    names = pairs.select(F.col("x").alias("s1")).unionByName(pairs.select(F.col("y").alias("s1"))).distinct()
-    wanted = cut(classes.where("rep is not null").join(names.hint("merge"), "s1").select("s1", "rep"))
-    few = wanted.count() <= broadcast_ids
+def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n_pairs: int, words: int, per_cent: int, broadcast_ids: int) -> DataFrame:
+    """(x, y, a, b) for the n_pairs pairs (x, y) of set names whose whole sets link; a and b are the least documents of both."""
+    names = pairs.select(F.col("x").alias("s1")).unionByName(pairs.select(F.col("y").alias("s1"))).distinct().coalesce(parts_of(2 * n_pairs))
+    wanted, n = gathered(cut(classes.where("rep is not null").join(names.hint("merge"), "s1").select("s1", "rep").coalesce(parts_of(2 * n_pairs))))
+    few = n <= broadcast_ids
     ids = wanted.select(F.col("rep").alias("doc_id"), "s1")
     texts = docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id")
 
@@ -310,8 +322,9 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, per
                 yield pa.RecordBatch.from_arrays([part["s1"], part["doc_id"], pa.array([t.astype("<u8").tobytes() for t in sets], pa.binary())], ["s1", "rep", "t"]).filter(own)
 
     held = texts.select("s1", "doc_id", "text").mapInArrow(giving_back(tokens), "s1 long, rep long, t binary")
-    held = cut(held.groupBy("s1", "rep").agg(F.first("t").alias("t")))
-    both = pairs.join(held.toDF("x", "a", "tx").hint("merge"), "x").join(held.toDF("y", "b", "ty").hint("merge"), "y")
+    held = cut(held.groupBy("s1", "rep").agg(F.first("t").alias("t")).coalesce(parts_of(n, PAIRS)))
+    both = pairs.join(held.toDF("x", "a", "tx").hint("merge"), "x").coalesce(parts_of(n_pairs, PAIRS))
+    both = both.join(held.toDF("y", "b", "ty").hint("merge"), "y").coalesce(parts_of(n_pairs, PAIRS))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

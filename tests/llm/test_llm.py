@@ -396,6 +396,33 @@ def test_ngram_join_by_any_plan(spark, leaders, ids):
     assert 12 < len({find(i) for i in range(len(rows))}) < len(rows)
 
 
+def test_ngram_join_starts_few_tasks(spark):
+    """Few rows don't go through as many tasks as shuffles have partitions, step after step: tasks cost the driver memory."""
+    rnd = random.Random(9)
+    rows = []
+    for g in range(4):
+        text = [f"g{g}w{i}" for i in range(60)]
+        for j in range(10):
+            rows.append((10 * g + j, " ".join(text)))
+            text[rnd.randrange(60)] = f"x{rnd.randrange(10**6)}"
+    context = spark.sparkContext
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few tasks", "")
+        ngramjoin.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), leaders=2).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    status = context.statusTracker()
+    stages = {i for j in status.getJobIdsForGroup("few tasks") for i in status.getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for x in map(status.getStageInfo, stages) if x)
+    assert 40 < tasks < 1200
+
+
 def test_ngram_join(docs, empty):
     fold = {i: i + 32 for i in range(65, 91)}
     sets = []
