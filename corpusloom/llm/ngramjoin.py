@@ -32,7 +32,7 @@ REMEMBERED = 50_000
 #: Ids of documents to fetch are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 200_000
 #: Pairs of whole sets that a task verifies, and sets of a partition.
-PAIRS = 5_000
+PAIRS = 1_000
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -235,16 +235,16 @@ def verified_links(docs: DataFrame, classes: DataFrame, n_classes: int, sketch:
     orders = range(ORDERS)
     stars = stars.groupBy("x", "y", "nx", "ny").agg(F.max(early(per_cent)).alias("soon"), *(F.count_if(F.col("k.ord") == o).alias(f"c{o}") for o in orders)).where("soon")
     inside = live.where(F.col("long") & (F.col("nth") > most)).groupBy("s1").agg(*(F.count_if(F.col("k.ord") == o).alias(f"in{o}") for o in orders))
-    inside = cut(inside.coalesce(parts_of(n_classes)))
+    inside = cut(inside.coalesce(parts_of(8 * n_classes)))  # it adds up several rows a class
     for s in "xy":
         stars = stars.join(inside.toDF(s, *(f"{s}in{o}" for o in orders)).hint("merge"), s, "left")
     for o in orders:  # a list that both are in is missing here only if both are in it beyond its leaders
         stars = stars.where(F.col(f"c{o}") + F.expr(f"least(coalesce(xin{o}, 0), coalesce(yin{o}, 0))") >= shared_at_least(per_cent))
     stars, n = gathered(cut(stars.select("x", "y", "nx", "ny")))
     maps = classes.select("s1", *maps_of())
-    stars = stars.join(maps.toDF("x", *maps_of("x")).hint("merge"), "x").coalesce(parts_of(n)).join(maps.toDF("y", *maps_of("y")).hint("merge"), "y").where(close(per_cent))
-    stars, n = gathered(cut(stars.select("x", "y").distinct().coalesce(parts_of(n))))
-    known, n_known = gathered(cut(links(docs, classes, stars, n, words, per_cent, broadcast_ids)))
+    stars = stars.join(maps.toDF("x", *maps_of("x")).hint("merge"), "x").coalesce(parts_of(n + n_classes)).join(maps.toDF("y", *maps_of("y")).hint("merge"), "y").where(close(per_cent))
+    stars, n = gathered(cut(stars.select("x", "y").distinct().coalesce(parts_of(n + n_classes))))
+    known, n_known = gathered(cut(links(docs, classes, n_classes, stars, n, words, per_cent, broadcast_ids)))
     parts = connected_components(known.select(F.col("x").alias("a"), F.col("y").alias("b")), n_known)
     joined = live.where(F.col("long") & (F.col("nth") > most)).join(parts.withColumnRenamed("node", "s1").hint("merge"), "s1", "left").select("k", "s1", "n", "pos", F.coalesce("component", "s1").alias("part"))
     joined, n = gathered(cut(joined))
@@ -253,7 +253,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, n_classes: int, sketch:
     open_rows, n = gathered(cut(even_join(joined, mixed, "k").coalesce(parts_of(n))))
     if not n:
         return known.select("a", "b"), n_known
-    open_rows = cut(open_rows.join(maps.hint("merge"), "s1").coalesce(parts_of(n)).select("k", "s1", "n", "pos", "part", "main", *maps_of()))
+    open_rows = cut(open_rows.join(maps.hint("merge"), "s1").coalesce(parts_of(n + n_classes)).select("k", "s1", "n", "pos", "part", "main", *maps_of()))
     left = open_rows.where("part <> main").drop("main").toDF("k", "x", "nx", "ix", "px", *maps_of("x"))
     right = open_rows.toDF("k", "y", "ny", "iy", "py", "main", *maps_of("y"))
     once = (F.col("py") == F.col("main")) | (F.col("x") < F.col("y"))
@@ -263,7 +263,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, n_classes: int, sketch:
     pairs, n = gathered(cut(pairs.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).hint("merge"), ["x", "y"], "left_anti")))
     if not n:
         return known.select("a", "b"), n_known
-    return known.select("a", "b").unionByName(links(docs, classes, pairs, n, words, per_cent, broadcast_ids).select("a", "b")), n_known + n
+    return known.select("a", "b").unionByName(links(docs, classes, n_classes, pairs, n, words, per_cent, broadcast_ids).select("a", "b")), n_known + n
 
 
 def sized(per_cent: int) -> Column:
@@ -304,10 +304,10 @@ def shared_at_least(per_cent: int) -> Column:
     return F.greatest(F.lit(1), least_common(per_cent) - F.greatest(rest("nx"), rest("ny")))
 
 
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n_pairs: int, words: int, per_cent: int, broadcast_ids: int) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, n_classes: int, pairs: DataFrame, n_pairs: int, words: int, per_cent: int, broadcast_ids: int) -> DataFrame:
     """(x, y, a, b) for the n_pairs pairs (x, y) of set names whose whole sets link; a and b are the least documents of both."""
     names = pairs.select(F.col("x").alias("s1")).unionByName(pairs.select(F.col("y").alias("s1"))).distinct().coalesce(parts_of(2 * n_pairs))
-    wanted, n = gathered(cut(classes.where("rep is not null").join(names.hint("merge"), "s1").select("s1", "rep").coalesce(parts_of(2 * n_pairs))))
+    wanted, n = gathered(cut(classes.where("rep is not null").join(names.hint("merge"), "s1").select("s1", "rep").coalesce(parts_of(2 * n_pairs + n_classes))))
     few = n <= broadcast_ids
     ids = wanted.select(F.col("rep").alias("doc_id"), "s1")
     texts = docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id")
