@@ -149,7 +149,8 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
                 row, col, score = best(fixed(qs.as_py(), len(a)), a, fixed(vs.as_py(), len(b)), b, k * most)
                 yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[col]), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
 
-    pairs = asked.join(data, "cell").select("q_ids", "qs", "ids", "vs")
+    # Spark takes the copies of the queries for as small as the queries are and would broadcast them; the hint forbids that
+    pairs = asked.hint("merge").join(data, "cell").select("q_ids", "qs", "ids", "vs")
     found = pairs.mapInArrow(solve, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

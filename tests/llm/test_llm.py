@@ -575,6 +575,26 @@ def test_top_k_of_repeated_ids(spark, same):
     assert sorted(map(tuple, vectors.voronoi_top_k(d, F.col("vec_id") % 10 == 0).collect())) == sorted(want)
 
 
+def test_top_k_broadcasts_no_copies_of_queries(spark):
+    """Few queries that go to every group are more rows than Spark expects; they never pass through the driver."""
+    rnd = np.random.default_rng(12)
+    v = np.floor(256 * rnd.normal(size=(2000, 16))).astype(int)
+    d = spark.createDataFrame([(i, (x / 256).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    want = []
+    for q in range(0, 2000, 20):
+        near = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.maxBroadcastTableSize": "100k"}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, x in limits.items():
+            spark.conf.set(k, x)
+        assert sorted(map(tuple, vectors.voronoi_top_k(d, F.col("vec_id") % 20 == 0).collect())) == sorted(want)
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
 def test_near_vectors(embeddings):
     rows = [(i, np.array(v, "f4").astype(float), c) for i, v, c in vector_rows() if sound(v) and any(v) and c is not None]
     links, root = collections.Counter(), {i: i for i, _, _ in vector_rows()}
