@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, parts_of
 
 #: Pivots are about the square root of all vectors, chosen by a hash of their ids, in these bounds; they steer the work,
 #: not the result, and come to the driver.
 PIVOTS, MOST_PIVOTS = 64, 2048
 PACK, QUERY_PACK = 4096, 512
+#: A query travels once to each bin of neighbouring groups that it needs; there are about so many bins, some more as groups
+#: fill them unevenly, so copies grow with the queries.
+BINS = 128
 #: The rotation is fitted on so many vectors at most, chosen by a hash of their ids; it orders the work, not the result.
 PCA_ROWS = 4096
 TILE, THRESHOLD = 1024, 0.93
@@ -36,10 +39,13 @@ def best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.n
     top = np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * queries.shape[1]
     if (top + 1) * 2 * n < 2**53:
         score = queries @ data.T  # sums of whole numbers this small are exact
-        key = score * n + np.arange(n - 1, -1, -1)
-        key[query_ids[:, None] == ids[None, :]] = -np.inf
+        key = score * n
+        key += np.arange(n - 1, -1, -1)
+        low, high = np.searchsorted(ids, query_ids), np.searchsorted(ids, query_ids, "right")
+        for r in np.flatnonzero(high > low):  # a query is not its own neighbour
+            key[r, low[r] : high[r]] = -np.inf
         k = min(k, n)
-        at = np.argpartition(-key, k - 1, axis=1)[:, :k]
+        at = np.argpartition(key, n - k, axis=1)[:, n - k :]
         row, col = np.repeat(np.arange(len(queries)), k), at.ravel()
         ok = np.isfinite(key[row, col])
         return row[ok], order[col[ok]], score[row[ok], col[ok]].astype(np.int64)
@@ -53,14 +59,30 @@ def best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.n
     return row, col, score
 
 
+def neighbourhoods(p: np.ndarray, weight: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of the pivots p in lists of neighbours that weigh `most` at most together, or hold one pivot: halves across the widest axis."""
+    todo, found = [np.arange(len(p))] if len(p) else [], []
+    while todo:
+        at = todo.pop()
+        total = np.cumsum(weight[at])
+        if len(at) == 1 or total[-1] <= most:
+            found.append(at)
+            continue
+        at = at[np.argsort(p[at, p[at].var(0).argmax()], kind="stable")]
+        half = np.clip(np.searchsorted(np.cumsum(weight[at]), total[-1] / 2) + 1, 1, len(at) - 1)
+        todo += [at[half:], at[:half]]
+    return found
+
+
 def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, n_pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query's vector with all other vectors.
 
     Components become floor(scale * x), so scores are whole numbers and exact. Every vector joins the group of its
     nearest pivot. From a group's summary (distinct ids, radius) follow bounds of what its members can score with a query: those
     of the best groups give a score that k vectors reach for sure, and groups that cannot reach it get no copy of the
-    query. Queries and data travel in packs of bounded size, a pack of queries to every pack of the groups it needs, and
-    each pair is solved by one product of matrices; of its results only k a query go on.
+    query. Neighbouring groups share a bin, and a large group has several. Queries and data travel in packs of bounded size, a query
+    once to each bin with a group that it needs, and each pair of packs there is solved by one product of matrices; of its results
+    only k a query go on.
 
     Vectors that are null or hold null or non-finite components, and null ids, take no part, nor do vectors with a component
     so large that d squares of it, once scaled, pass 2**62, as scores must fit a long; vectors of different lengths
@@ -68,9 +90,10 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     score; ties go to the smaller vec_id; no rows give none; other columns are ignored.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))
-    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (F.size("embedding") > 0)
+    sound = ~F.array_contains("embedding", F.lit(float("nan")))  # null, so not true, if a component is null
+    farthest = F.greatest(F.array_max("embedding"), -F.array_min("embedding"))  # null without components
     most = F.sqrt(F.lit(2.0**62) / F.size("embedding")) - 1
-    rows = rows.where(finite).where(~F.exists(F.transform("embedding", lambda x: F.abs(x * scale)), lambda x: x > most))
+    rows = rows.where(sound).where(farthest < float("inf")).where(farthest * abs(scale) <= most)
     if n_pivots is None:
         n_pivots = min(MOST_PIVOTS, max(PIVOTS, int(rows.count() ** 0.5)))
     chosen = [np.floor(scale * np.array(r.embedding)) for r in rows.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(n_pivots).collect()]
@@ -82,7 +105,7 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(x) for x in batch["embedding"]], int)
+            lengths = np.diff(batch["embedding"].offsets.to_numpy())
             for d in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == d))
                 v = np.floor(scale * part["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
@@ -107,15 +130,31 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
         own = np.array([c for c in cells if c in set(at.tolist())], int)
         groups[d] = own, p[np.searchsorted(at, own)], np.array([ids.get(c, 0) for c in own]), np.array([sums[c].radius for c in own]) * (1 + 1e-9) + 1e-6
 
-    def slot(counts: dict[int, int], most: int) -> Column:
-        parts = F.create_map(*[F.lit(int(x)) for c in cells for x in (c, -(-counts[c] // most) or 1)])
-        return F.pmod(F.xxhash64(F.lit("slot"), "vec_id"), parts[F.col("cell")]).cast("int")
-
-    def needed(v: np.ndarray) -> list[int]:
-        """Groups that some of these queries need."""
-        if v.shape[1] not in groups:
-            return [-v.shape[1]]
-        own, p, size, radius = groups[v.shape[1]]
+    def binned(counts: dict[int, int], most: int) -> tuple[dict[int, int], dict[int, int]]:
+        """By cell its first bin and how many it has. A bin gets about `most` of what counts has, from cells that are neighbours or from one."""
+        first, several, n = {}, {}, 0
+        lists = [own[x] for own, p, _, _ in groups.values() for x in neighbourhoods(p, np.array([counts[c] for c in own]), most)]
+        for some in [*lists, *([c] for c in cells if c < 0)]:
+            parts = max(1, -(-sum(counts[c] for c in some) // most))
+            for c in some:
+                first[int(c)], several[int(c)] = n, parts
+            n += parts
+        return first, several
+
+    def bin_of(bins: tuple[dict[int, int], dict[int, int]], salt: str) -> Column:
+        first, several = (F.create_map(*[F.lit(x) for at in of.items() for x in at])[F.col("cell")] for of in bins)
+        return (first + F.pmod(F.xxhash64(F.lit(salt), "vec_id"), several)).cast("int")
+
+    most = max(PACK, -(-sum(r.n for r in sums.values()) // BINS))
+    slots = -(-most // PACK)
+    first, several = binned({c: sums[c].n for c in cells}, most)
+
+    def needed(v: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Bins that some of these queries need, and which of them."""
+        d = v.shape[1]
+        if d not in groups:
+            return [(first[-d] + x, np.arange(len(v))) for x in range(several[-d])]
+        own, p, size, radius = groups[d]
         middle, spread = v @ p.T, np.sqrt((v**2).sum(1))[:, None] * radius
         low, high = middle - spread, middle + spread
         order = np.argsort(-low, axis=1)
@@ -123,23 +162,33 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
         at = np.where(sure.any(1), sure.argmax(1), len(own) - 1)
         floor = low[np.arange(len(v)), order[np.arange(len(v)), at]]
         floor = np.where(sure.any(1), floor, -np.inf)
-        return [int(c) for c in own[(high >= floor[:, None] - 1e-6).any(0)]]
+        needs = high >= floor[:, None] - 1e-6
+        begins = np.array([first[int(c)] for c in own])
+        to = [(int(b), np.flatnonzero(needs[:, begins == b].any(1))) for b in np.unique(begins)]
+        parts = {first[int(c)]: several[int(c)] for c in own}
+        return [(b + x, rows) for b, rows in to if len(rows) for x in range(parts[b])]
 
     def pack(key, part):  # frames of pandas, which only tasks import
         import pandas as pd
 
         part = part.sort_values(["vec_id", "v"], kind="stable").drop_duplicates(["vec_id", "v"])
-        return pd.DataFrame({"cell": [key[0]], "ids": [part["vec_id"].to_numpy("<i8").tobytes()], "vs": [b"".join(part["v"])]})
+        return pd.DataFrame({"bin": [key[0]], "ids": [part["vec_id"].to_numpy("<i8").tobytes()], "vs": [b"".join(part["v"])]})
 
     def pack_queries(key, part):
         import pandas as pd
 
         one = pack(key, part)
-        to = needed(fixed(one["vs"][0], len(one["ids"][0]) // 8))
-        return pd.DataFrame({"cell": to, "q_ids": [one["ids"][0]] * len(to), "qs": [one["vs"][0]] * len(to)})
-
-    data = placed.groupBy("cell", slot({c: sums[c].n for c in sums}, PACK).alias("slot")).applyInPandas(pack, "cell int, ids binary, vs binary")
-    asked = placed.where("is_query").groupBy("cell", slot({c: sums[c].q for c in sums}, QUERY_PACK).alias("slot")).applyInPandas(pack_queries, "cell int, q_ids binary, qs binary")
+        ids = np.frombuffer(one["ids"][0], "<i8")
+        v = fixed(one["vs"][0], len(ids))
+        to = needed(v)
+        return pd.DataFrame({"bin": [b for b, _ in to], "q_ids": [ids[rows].tobytes() for _, rows in to], "qs": [v[rows].tobytes() for _, rows in to]})
+
+    # both by the places of their cells: a pack of queries from neighbouring cells needs much the same bins
+    data = placed.withColumn("bin", bin_of((first, several), "bin")).groupBy("bin", F.pmod(F.xxhash64(F.lit("slot"), "vec_id"), F.lit(slots)).alias("slot")).applyInPandas(pack, "bin int, ids binary, vs binary")
+    asking = {c: sums[c].q or 0 for c in cells}
+    queries = placed.where("is_query").withColumn("bin", bin_of(binned(asking, QUERY_PACK), "queries"))
+    # by number, as Spark would deal so few rows to one task, which writes all their copies
+    asked = queries.repartition(parts_of(sum(asking.values()), 4 * QUERY_PACK), "bin").groupBy("bin").applyInPandas(pack_queries, "bin int, q_ids binary, qs binary")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +199,7 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
                 yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[col]), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
 
     # Spark takes the copies of the queries for as small as the queries are and would broadcast them; the hint forbids that
-    pairs = asked.hint("merge").join(data, "cell").select("q_ids", "qs", "ids", "vs")
+    pairs = asked.hint("merge").join(data, "bin").select("q_ids", "qs", "ids", "vs")
     found = pairs.mapInArrow(solve, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -595,6 +595,37 @@ def test_top_k_broadcasts_no_copies_of_queries(spark):
             spark.conf.set(k, x)
 
 
+def test_top_k_in_small_bins(spark, monkeypatch):
+    """Bins of few and of many groups, groups of several bins, bins of several packs and lengths without a pivot give the same result."""
+    rnd = np.random.default_rng(13)
+    common = rnd.normal(size=6)
+    rows = [(i, (common if i % 3 == 0 else rnd.normal(size=(6, 6, 3)[i % 3]) * (1 + i % 5)).astype("f4").tolist()) for i in range(600)]
+    rows += [(i, rnd.normal(size=9).astype("f4").tolist()) for i in range(600, 640)]
+    own = {i: np.floor(256 * np.array(v, "f4").astype(float)).astype(int) for i, v in rows}
+    want = []
+    for q in (i for i in own if i % 5 == 0):
+        near = sorted((-int(own[q] @ v), i) for i, v in own.items() if i != q and len(v) == len(own[q]))[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for sizes in ((16, 8, 4), (16, 8, 1000), (1000, 3, 2)):
+        for name, size in zip(("PACK", "QUERY_PACK", "BINS"), sizes, strict=True):
+            monkeypatch.setattr(vectors, name, size)
+        assert sorted(map(tuple, vectors.voronoi_top_k(d, F.col("vec_id") % 5 == 0, n_pivots=20).collect())) == sorted(want)
+
+
+def test_neighbourhoods():
+    """Lists hold every pivot once, weigh no more than asked, are few, and hold neighbours."""
+    p = np.array([[x, y] for x in range(16) for y in (0.0, 0.1)])
+    weight = np.ones(32, int)
+    lists = vectors.neighbourhoods(p, weight, 8)
+    assert sorted(np.concatenate(lists).tolist()) == list(range(32)) and [len(x) for x in lists] == [8] * 4
+    assert all(np.ptp(p[x, 0]) == 3 for x in lists)
+    weight[5] = 100
+    lists = vectors.neighbourhoods(np.zeros((32, 2)), weight, 8)
+    assert sorted(np.concatenate(lists).tolist()) == list(range(32)) and all(len(x) == 1 or weight[x].sum() <= 8 for x in lists)
+    assert vectors.neighbourhoods(p[:0], weight[:0], 8) == []
+
+
 def test_near_vectors(embeddings):
     rows = [(i, np.array(v, "f4").astype(float), c) for i, v, c in vector_rows() if sound(v) and any(v) and c is not None]
     links, root = collections.Counter(), {i: i for i, _, _ in vector_rows()}
