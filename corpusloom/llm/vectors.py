@@ -18,6 +18,8 @@ PACK, QUERY_PACK = 4096, 512
 #: A query travels once to each bin of neighbouring groups that it needs; there are about so many bins, some more as groups
 #: fill them unevenly, so copies grow with the queries.
 BINS = 128
+#: Results that a task gathers before it keeps the best of each query.
+HELD = 1_000_000
 #: The rotation is fitted on so many vectors at most, chosen by a hash of their ids; it orders the work, not the result.
 PCA_ROWS = 4096
 TILE, THRESHOLD = 1024, 0.93
@@ -59,6 +61,22 @@ def best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.n
     return row, col, score
 
 
+def leading(query_ids: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query id, best first; a repeated id counts once with its best score, equal scores go to the smaller id."""
+
+    def begins(*keys: np.ndarray) -> np.ndarray:
+        """Whether a row differs from the one before in some key."""
+        return np.concatenate([[True], np.any([x[1:] != x[:-1] for x in keys], axis=0)]) if len(keys[0]) else np.zeros(0, bool)
+
+    order = np.lexsort((-score, ids, query_ids))
+    order = order[begins(query_ids[order], ids[order])]
+    order = order[np.lexsort((ids[order], -score[order], query_ids[order]))]
+    new = begins(query_ids[order])
+    rank = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    order = order[rank < k]
+    return query_ids[order], ids[order], score[order]
+
+
 def neighbourhoods(p: np.ndarray, weight: np.ndarray, most: int) -> list[np.ndarray]:
     """Places of the pivots p in lists of neighbours that weigh `most` at most together, or hold one pivot: halves across the widest axis."""
     todo, found = [np.arange(len(p))] if len(p) else [], []
@@ -81,8 +99,8 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     nearest pivot. From a group's summary (distinct ids, radius) follow bounds of what its members can score with a query: those
     of the best groups give a score that k vectors reach for sure, and groups that cannot reach it get no copy of the
     query. Neighbouring groups share a bin, and a large group has several. Queries and data travel in packs of bounded size, a query
-    once to each bin with a group that it needs, and each pair of packs there is solved by one product of matrices; of its results
-    only k a query go on.
+    once to each bin with a group that it needs, and each pair of packs there is solved by one product of matrices; of the results
+    of a task only k a query go on.
 
     Vectors that are null or hold null or non-finite components, and null ids, take no part, nor do vectors with a component
     so large that d squares of it, once scaled, pass 2**62, as scores must fit a long; vectors of different lengths
@@ -191,12 +209,22 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     asked = queries.repartition(parts_of(sum(asking.values()), 4 * QUERY_PACK), "bin").groupBy("bin").applyInPandas(pack_queries, "bin int, q_ids binary, qs binary")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, n = ["query_id", "vec_id", "score"], [], 0
         for batch in batches:
             for q_ids, qs, ids, vs in zip(*(batch[c] for c in ("q_ids", "qs", "ids", "vs")), strict=True):
                 a, b = np.frombuffer(q_ids.as_py(), "<i8"), np.frombuffer(ids.as_py(), "<i8")
                 most = int(np.unique(b, return_counts=True)[1].max())  # so many rows can be one vec_id
                 row, col, score = best(fixed(qs.as_py(), len(a)), a, fixed(vs.as_py(), len(b)), b, k * most)
-                yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[col]), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
+                held.append((a[row], b[col], score))
+                n += len(row)
+                if n > HELD:
+                    held = [leading(*map(np.concatenate, zip(*held, strict=True)), k)]
+                    n = len(held[0][0])
+                    if 2 * n > HELD:  # so many queries that little falls away
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names)
+                        held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in leading(*map(np.concatenate, zip(*held, strict=True)), k)], names)
 
     # Spark takes the copies of the queries for as small as the queries are and would broadcast them; the hint forbids that
     pairs = asked.hint("merge").join(data, "bin").select("q_ids", "qs", "ids", "vs")

@@ -607,12 +607,24 @@ def test_top_k_in_small_bins(spark, monkeypatch):
         near = sorted((-int(own[q] @ v), i) for i, v in own.items() if i != q and len(v) == len(own[q]))[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    for sizes in ((16, 8, 4), (16, 8, 1000), (1000, 3, 2)):
-        for name, size in zip(("PACK", "QUERY_PACK", "BINS"), sizes, strict=True):
+    for sizes in ((16, 8, 4, 300), (16, 8, 1000, 1), (1000, 3, 2, 10**6)):
+        for name, size in zip(("PACK", "QUERY_PACK", "BINS", "HELD"), sizes, strict=True):
             monkeypatch.setattr(vectors, name, size)
         assert sorted(map(tuple, vectors.voronoi_top_k(d, F.col("vec_id") % 5 == 0, n_pivots=20).collect())) == sorted(want)
 
 
+def test_leading():
+    """The best of each query by brute force: repeated ids count once, ties go to the smaller id."""
+    rnd = np.random.default_rng(14)
+    q, ids, score = rnd.integers(0, 9, 400), rnd.integers(0, 30, 400), rnd.integers(-6, 6, 400)
+    most = {}
+    for x, i, y in zip(q.tolist(), ids.tolist(), score.tolist(), strict=True):
+        most[x, i] = max(y, most.get((x, i), y))
+    want = [(x, i, -s) for x in range(9) for s, i in sorted((-s, i) for (y, i), s in most.items() if y == x)[:5]]
+    assert list(zip(*(a.tolist() for a in vectors.leading(q, ids, score, 5)), strict=True)) == want
+    assert [len(x) for x in vectors.leading(q[:0], ids[:0], score[:0], 5)] == [0, 0, 0]
+
+
 def test_neighbourhoods():
     """Lists hold every pivot once, weigh no more than asked, are few, and hold neighbours."""
     p = np.array([[x, y] for x in range(16) for y in (0.0, 0.1)])
